@@ -6,7 +6,7 @@ import importlib
 
 from labelq.catalog.base import ORACLES, QUERIES
 
-MODULES = ("noise", "metrics")
+MODULES = ("prep", "results", "scans", "noise", "metrics")
 
 
 def load():
