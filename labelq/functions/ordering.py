@@ -134,24 +134,30 @@ def quantile(
 ) -> DataFrame:
     """Exact linearly interpolated quantile per key, one row per key: (keys, group_rows, out).
 
-    ``fraction`` is a number, or a table (keys, fraction) with a different share for every key.
+    ``fraction`` is a number, or a table (keys, fraction) or (keys, position) with a share, or a
+    0-based place in ascending order, for every key.
     """
     keys = list(keys)
     thin = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     sketch = thin.groupBy(*keys).agg(
         F.count("*").alias("group_rows"),
         F.percentile_approx("_v", [i / grid for i in range(grid + 1)], 10000).alias("_q"))
+    last = F.greatest(F.col("group_rows") - 1, F.lit(1))
     if isinstance(fraction, DataFrame):
-        sketch = attach(sketch, fraction.select(*keys, F.col("fraction").cast("double").alias("_f")), keys, "inner")
+        by_position = "position" in fraction.columns
+        given = F.col("position" if by_position else "fraction").cast("double")
+        sketch = attach(sketch, fraction.select(*keys, given.alias("_g")), keys, "inner")
+        position = F.col("_g") if by_position else F.col("_g") * (F.col("group_rows") - 1)
     else:
-        sketch = sketch.withColumn("_f", F.lit(float(fraction)))
-    i = F.floor(F.col("_f") * grid)
+        position = F.lit(float(fraction)) * (F.col("group_rows") - 1)
+    # The sketch is off by at most a fraction of a grid step; one row more or less matters in small groups.
+    i = F.floor(position / last * grid)
+    margin = 3 + F.ceil(2.0 * grid / F.col("group_rows"))
     inf = F.lit(float("inf"))
     bounds = sketch.select(
-        *keys, "group_rows",
-        (F.col("_f") * (F.col("group_rows") - 1)).alias("_pos"),
-        F.when(i < 2, -inf).otherwise(F.get("_q", (i - 2).cast("int"))).alias("_lo"),
-        F.when(i > grid - 3, inf).otherwise(F.get("_q", (i + 3).cast("int"))).alias("_hi"))
+        *keys, "group_rows", position.alias("_pos"),
+        F.when(i < margin, -inf).otherwise(F.get("_q", (i - margin).cast("int"))).alias("_lo"),
+        F.when(i > grid - margin - 1, inf).otherwise(F.get("_q", (i + margin + 1).cast("int"))).alias("_hi"))
     near = attach(thin, bounds, keys, "inner").filter(F.col("_v") <= F.col("_hi"))
     # Everything under the bracket collapses into one counted row before the shuffle.
     cells = near.groupBy(*keys, "group_rows", "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))

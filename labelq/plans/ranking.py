@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelq.session import materialised
+
 MAX_METHODS = 12
 
 
@@ -154,10 +156,14 @@ def indistinct_groups(pairs: DataFrame) -> DataFrame:
 
     Subsets are bit masks over the sorted methods; there are at most 2^12 of them.
     """
+    pairs = materialised(pairs.select("method_1", "method_2", "significant"), "pairs")
     names = pairs.select(F.explode(F.array("method_1", "method_2")).alias("m")).agg(F.array_sort(F.collect_set("m")).alias("m"))
-    place = lambda c: (F.array_position(F.col("_m"), F.col(c)) - 1).cast("int")
+
+    def bit(c: str):
+        return F.call_function("shiftleft", F.lit(1), (F.array_position(F.col("_m"), F.col(c)) - 1).cast("int"))
+
     same = pairs.filter("significant = 0").withColumn("_m", names.scalar()).select(
-        F.shiftleft(F.lit(1), place("method_1")).bitwiseOR(F.shiftleft(F.lit(1), place("method_2"))).alias("b"))
+        bit("method_1").bitwiseOR(bit("method_2")).alias("b"))
     edges = same.agg(F.collect_list("b").alias("e"))
     base = names.withColumn("n", F.size("m")).withColumn("_big", F.assert_true(F.col("n") <= MAX_METHODS))
     subsets = base.filter(F.col("_big").isNull()).select("m", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int"))).alias("mask"))

@@ -43,7 +43,7 @@ def tsv_label_first(spark: SparkSession, path: str, length: int) -> DataFrame:
 
 def labelled_dirs(spark: SparkSession, path: str) -> DataFrame:
     """One text file per row; the label is the parent folder. Newlines are removed, ends trimmed."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     where = F.col("_metadata.file_path")
     return raw.select(
         F.regexp_extract(where, r"/([^/]+)/[^/]+$", 1).alias("label"),
