@@ -6,7 +6,7 @@ import importlib
 
 from labelq.catalog.base import ORACLES, QUERIES
 
-MODULES = ("prep", "results", "scans", "noise", "metrics", "neighbours", "detectors")
+MODULES = ("prep", "results", "scans", "noise", "metrics", "neighbours", "detectors", "series", "learning")
 
 
 def load():
