@@ -76,17 +76,14 @@ def _(spark, sf):
     return d.select(*[F.col("features")[i].alias(f"v{i}") for i in range(3)], "label")
 
 
-@query("derive_label_lookup", """SELECT s.doc_id, (CASE WHEN contains(lower(f),'de') AND contains(lower(f),'web') THEN 1 WHEN contains(lower(f),'en') OR contains(lower(f),'fr') THEN coalesce(seen,0) ELSE 0 END)::INT AS label
- FROM (SELECT doc_id, lang, source, lang||' '||source AS f FROM documents) s LEFT JOIN (SELECT d.doc_id, d.lang, d.source, max((l.quality=1)::INT) AS seen FROM labels l JOIN documents d ON d.doc_id=l.doc_id GROUP BY 1,2,3) r
+@query("derive_label_lookup", """SELECT s.doc_id, (CASE WHEN contains(lower(text),'the') THEN 1 WHEN contains(lower(text),'que') OR contains(lower(text),'sch') THEN coalesce(seen,0) ELSE 0 END)::INT AS label
+ FROM documents s LEFT JOIN (SELECT d.doc_id, d.lang, d.source, max((l.quality=1)::INT) AS seen FROM labels l JOIN documents d ON d.doc_id=l.doc_id GROUP BY 1,2,3) r
  ON r.doc_id=s.doc_id AND r.lang=s.lang AND r.source=s.source""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    studies = docs.withColumn("finding", F.concat_ws(" ", "lang", "source"))
-    names = F.when(F.col("quality") == 1, "good").otherwise("poor")
-    readings = table(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "lang", "source", names.alias("reading"))
-    out = readers.label_from_findings(
-        studies.withColumn("finding", F.when(F.contains("finding", F.lit("de")) & F.contains("finding", F.lit("web")), "positive").otherwise(F.col("finding"))),
-        readings, ["doc_id", "lang", "source"], "finding", "reading", "positive", ["en", "fr"], "good")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    reading = F.when(F.col("quality") == 1, "good").otherwise("poor").alias("reading")
+    readings = table(spark, sf, "labels").join(docs.drop("text"), "doc_id").select("doc_id", "lang", "source", reading)
+    out = readers.label_from_findings(docs, readings, ["doc_id", "lang", "source"], "text", "reading", "the", ["que", "sch"], "good")
     return out.select("doc_id", "label")
 
 

@@ -57,11 +57,11 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def find_label_issues(df: DataFrame, method: str, n_classes: int, **settings) -> DataFrame:
+def find_label_issues(df: DataFrame, detector: str, n_classes: int, **settings) -> DataFrame:
     """(id, label_issue) of (id, features, label) by a detector's name."""
-    if method not in DETECTORS:
-        raise ValueError(f"unknown method {method!r}, known: {sorted(DETECTORS)}")
-    return DETECTORS[method](df, n_classes, **{**DEFAULTS[method], **settings})
+    if detector not in DETECTORS:
+        raise ValueError(f"unknown detector {detector!r}, known: {sorted(DETECTORS)}")
+    return DETECTORS[detector](df, n_classes, **{**DEFAULTS[detector], **settings})
 
 
 def baseline(train: DataFrame, test: DataFrame) -> DataFrame:
