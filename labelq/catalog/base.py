@@ -28,7 +28,11 @@ def query(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. One stored in fewer files than there are task slots is spread over the slots;
+    a large table has more files than that and is scanned in place, without a shuffle."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots) if len(df.inputFiles()) < slots else df
 
 
 # ---- SQL text helpers ----
@@ -141,7 +145,7 @@ def probs_line(spark, sf) -> DataFrame:
     easy = rand.uniform("pk", "id") < 0.8
     raw = F.array(*[rand.uniform("p", "id", F.lit(j)) + F.when((F.col("label") == j) & easy, 1.0).otherwise(0.0) for j in range(KL)])
     return lab_line(spark, sf).select("id", "label", raw.alias("w")).select(
-        "id", "label", F.transform("w", lambda x: x / arrays.total("w")).alias("probs"))
+        "id", "label", arrays.shares("w").alias("probs"))
 
 
 fragment("probs_raw", "SELECT id, label, [" + ", ".join(

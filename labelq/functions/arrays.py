@@ -10,6 +10,11 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def total(a) -> Column:
     return F.aggregate(_col(a), F.lit(0.0), lambda s, x: s + x)
 
@@ -25,14 +30,19 @@ def norm(a) -> Column:
 def unit(a) -> Column:
     """Vector scaled to length 1."""
     a = _col(a)
-    return F.transform(F.arrays_zip(a.alias("v"), F.array_repeat(norm(a), F.size(a)).alias("n")), lambda z: z["v"] / z["n"])
+    return let(norm(a), lambda n: F.transform(a, lambda x: x / n))
+
+
+def shares(a) -> Column:
+    """Elements divided by their sum."""
+    a = _col(a)
+    return let(total(a), lambda s: F.transform(a, lambda x: x / s))
 
 
 def softmax(a) -> Column:
     """Probabilities from logits, shifted by the maximum."""
     a = _col(a)
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    return let(let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m))), shares)
 
 
 def argmax(a) -> Column:
@@ -49,7 +59,7 @@ def at(a, i) -> Column:
 def others(a, i) -> Column:
     """Array without the element at 0-based index ``i``."""
     i = _col(i)
-    return F.filter(F.transform(_col(a), lambda x, j: F.when(j != i, x)), lambda x: x.isNotNull())
+    return F.filter(_col(a), lambda x, j: j != i)
 
 
 def distance(a, b, metric: str = "euclidean") -> Column:

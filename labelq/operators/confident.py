@@ -18,8 +18,8 @@ def thresholds(probs: DataFrame) -> DataFrame:
 def confident_class(probs: DataFrame, cuts: DataFrame) -> DataFrame:
     """Add ``confident``: the most probable class among those at or above their threshold, or null."""
     table = cuts.agg(F.map_from_entries(F.collect_list(F.struct("label", "threshold"))).alias("t"))
-    pairs = F.transform("probs", lambda p, j: F.struct(F.when(p >= F.try_element_at("_t", j), p).alias("p"), (-j).alias("low"), j.alias("j")))
-    best = F.array_max(F.filter(pairs, lambda z: z["p"].isNotNull()))
+    pairs = F.transform("probs", lambda p, j: F.struct(p.alias("p"), (-j).alias("low"), j.alias("j")))
+    best = F.array_max(F.filter(pairs, lambda z: z["p"] >= F.try_element_at("_t", z["j"])))
     return probs.withColumn("_t", table.scalar()).withColumn("confident", best["j"]).drop("_t")
 
 
@@ -30,9 +30,9 @@ def confident_joint(probs: DataFrame, n_classes: int) -> DataFrame:
     """
     cuts = thresholds(probs)
     counts = (
-        confident_class(probs, cuts).filter(F.col("confident").isNotNull())
+        confident_class(probs, cuts)
         .groupBy(F.col("label").alias("_l"), F.col("confident").alias("_c")).agg(F.count("*").alias("n"))
-    )
+    )  # rows without a confident class form a null cell that the grid join leaves out
     grid = class_grid(probs, n_classes, ("label", "confident"))
     full = grid.join(F.broadcast(counts), (F.col("label") == F.col("_l")) & (F.col("confident") == F.col("_c")), "left").select(
         "label", "confident", F.coalesce("n", F.lit(0)).alias("n"))
@@ -59,8 +59,8 @@ def issues(probs: DataFrame, n_classes: int, joint: DataFrame | None = None) ->
     cuts = quantile(margins, "margin", places, ["label", "other"], "cut")
     table = cuts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("other", "cut"))).alias("_cuts"))
     wide = attach(probs, table, ["label"])
-    hit = F.exists(F.transform("probs", lambda p, j: (j != F.col("label")) & (p - own >= F.try_element_at("_cuts", j))), lambda b: F.coalesce(b, F.lit(False)))
-    flagged = F.coalesce(hit, F.lit(False)) & (arrays.argmax("probs") != F.col("label"))
+    over = F.filter("probs", lambda p, j: (j != F.col("label")) & (p - own >= F.try_element_at("_cuts", j)))
+    flagged = (F.coalesce(F.size(over), F.lit(0)) > 0) & (arrays.argmax("probs") != F.col("label"))
     return wide.select("id", flagged.cast("int").alias("label_issue"))
 
 

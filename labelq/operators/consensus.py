@@ -37,7 +37,7 @@ def label_distribution(knn: DataFrame, n_classes: int, min_similarity: float = 0
         size = arrays.total("weights")
     else:
         raise ValueError(f"unknown norm {norm!r}")
-    return w.withColumn("_s", size).withColumn("distribution", F.transform("weights", lambda x: x / F.col("_s"))).drop("_n", "_s")
+    return w.withColumn("distribution", arrays.let(size, lambda s: F.transform("weights", lambda x: x / s))).drop("_n")
 
 
 def scores(dist: DataFrame, prior: DataFrame | None = None) -> DataFrame:

@@ -51,6 +51,7 @@ def draw(cumulative: Column, values: Column, u: Column) -> Column:
 
 
 def running_sum(a: Column) -> Column:
+    """Cumulative sums; rows are as long as the number of classes."""
     return F.transform(a, lambda _, i: arrays.total(F.slice(a, 1, i + 1)))
 
 
@@ -117,10 +118,11 @@ def instance_scores(df: DataFrame, n_features: int, n_classes: int, rate: float,
     w = random_projection(df, n_features, n_classes, tag + "/w")
     scored = df.withColumn("_w", w.scalar()).withColumn("_s", F.transform("_w", lambda v: arrays.dot(F.col("features"), v)))
     label = F.col("label")
-    top = F.array_max(arrays.others("_s", "label"))
-    weights = F.transform("_s", lambda s, j: F.when(j == label, F.lit(0.0)).otherwise(F.exp(s - top)))
+    weights = arrays.let(F.array_max(arrays.others("_s", "label")), lambda top: F.transform(
+        "_s", lambda s, j: F.when(j == label, F.lit(0.0)).otherwise(F.exp(s - top))))
     scored = scored.withColumn("q", rand.truncated_normal_above(rate, 0.1, tag + "/q", "id")).withColumn("_e", weights)
-    probs = F.transform("_e", lambda e, j: F.when(j == label, F.lit(1.0) - F.col("q")).otherwise(F.col("q") * e / arrays.total("_e")))
+    probs = arrays.let(arrays.total("_e"), lambda total: F.transform(
+        "_e", lambda e, j: F.when(j == label, F.lit(1.0) - F.col("q")).otherwise(F.col("q") * e / total)))
     return scored.withColumn("flip_probs", probs).drop("_w", "_s", "_e")
 
 
