@@ -51,14 +51,11 @@ MATRIX_DRAW = """SELECT id, label, noisy_label, (noisy_label<>label)::INT AS is_
 
 
 def plan_matrix(spark, sf):
-    c = sampling.class_counts(lab_order(spark, sf), "label")
-    pairs = noise.class_grid(c, KO, ("from_label", "to_label"))
-    a = c.select(F.col("label").alias("from_label"), F.col("n").alias("na"), "share")
-    b = c.select(F.col("label").alias("to_label"), F.col("n").alias("nb"))
-    j = pairs.join(F.broadcast(a), "from_label").join(F.broadcast(b), "to_label")
-    total = c.agg(F.sum("n").alias("n")).scalar()
-    same = F.col("from_label") == F.col("to_label")
-    return j.select("from_label", "to_label", F.when(same, F.lit(0.7)).otherwise(F.lit(0.3) * F.col("nb") / (total - F.col("na"))).alias("prob"))
+    counts = sampling.class_counts(lab_order(spark, sf), "label").agg(F.collect_list(F.struct("label", "n")).alias("c"), F.sum("n").alias("total"))
+    pairs = counts.select("total", "c", F.explode("c").alias("a")).select("total", "a", F.explode("c").alias("b"))
+    other = F.lit(0.3) * F.col("b.n") / (F.col("total") - F.col("a.n"))
+    return pairs.select(F.col("a.label").alias("from_label"), F.col("b.label").alias("to_label"),
+                        F.when(F.col("a.label") == F.col("b.label"), F.lit(0.7)).otherwise(other).alias("prob"))
 
 
 @query("noise_by_matrix", ctes("plan_matrix") + MATRIX_DRAW.format(u=U("matrix", "id"), src="lab_order", m="plan_matrix"))

@@ -8,6 +8,7 @@ from labelq.catalog.base import DIM, KE, KL, U, ctes, fragment, lab_embed, lab_l
 from labelq.functions import arrays, rand
 from labelq.operators import prep
 from labelq.operators.sampling import stratified_split
+from labelq.session import materialised
 from labelq.sources.readers import strip
 
 
@@ -125,7 +126,7 @@ fragment("num_line", "SELECT id, label, features[1] AS q, features[2] AS p, feat
  f AS (SELECT {', '.join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in NUM)} FROM s WHERE NOT te)
  SELECT id, te::INT AS is_test, {', '.join(f"round(({c}-m{c})/s{c},6) AS {c}" for c in NUM)} FROM s, f""")
 def _(spark, sf):
-    d = stratified_split(numeric_line(spark, sf), "label", 0.15)
+    d = materialised(stratified_split(numeric_line(spark, sf), "label", 0.15), "split")
     fit = prep.standard_fit(d.filter("is_test = 0"), NUM)
     return prep.standard_apply(d, fit, NUM).select("id", "is_test", *[F.round(c, 6).alias(c) for c in NUM])
 

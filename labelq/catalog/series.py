@@ -12,20 +12,21 @@ from labelq.session import materialised
 
 
 def wide(spark, sf):
+    """Events numbered within their user; stored, as every series query reads it several times."""
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("id"), "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"),
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("us"))
     d = ranked(e, ["id"], F.col("us"), F.col("event_id"), out="t").withColumn("t", F.col("t") - 1)
-    return d.select("id", "t", "event_id", "event_type", F.col("value").alias("c0"), F.col("k").alias("c1"))
+    return materialised(d.select("id", "t", "event_id", "event_type", F.col("value").alias("c0"), F.col("k").alias("c1")), "wide")
 
 
-def long(spark, sf, columns=("c0", "c1")):
+def long(w, columns=("c0", "c1")):
     cells = F.array(*[F.struct(F.lit(i).alias("channel"), F.col(c).alias("value")) for i, c in enumerate(columns)])
-    return wide(spark, sf).select("id", "t", F.explode(cells).alias("z")).select("id", "z.channel", "t", "z.value")
+    return w.select("id", "t", F.explode(cells).alias("z")).select("id", "z.channel", "t", "z.value")
 
 
-def signal(spark, sf):
-    return wide(spark, sf).select("id", "t", F.col("c0").alias("value"))
+def signal(w):
+    return w.select("id", "t", F.col("c0").alias("value"))
 
 
 fragment("wide", """SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS t, event_id, event_type, value AS c0, json_extract(props, '$.k')::DOUBLE AS c1 FROM events""")
@@ -36,23 +37,23 @@ fragment("maxima", """SELECT id, floor((t+e-1)/2)::BIGINT AS t, v AS height FROM
 
 @query("series_local_maxima", ctes("maxima") + "SELECT id, t, height FROM maxima")
 def _(spark, sf):
-    return series.local_maxima(signal(spark, sf))
+    return series.local_maxima(signal(wide(spark, sf)))
 
 
 @query("series_autocorrelation", ctes("wide") + """, x AS (SELECT id, t, c0-avg(c0) OVER (PARTITION BY id) AS v, count(*) OVER (PARTITION BY id) AS n FROM wide)
  SELECT id, t, round(v+1e-7::DOUBLE,3) AS value FROM (SELECT a.id, a.t+b.t-(a.n-1)//2 AS t, sum(a.v*b.v) AS v, any_value(a.n) AS n FROM x a JOIN x b ON a.id=b.id GROUP BY 1,2) WHERE t>=0 AND t<n""")
 def _(spark, sf):
-    s = materialised(signal(spark, sf), "signal")
+    s = signal(wide(spark, sf))
     return series.self_convolution(s, series.lengths(s)).withColumn("value", F.round(F.col("value") + 1e-7, 3))
 
 
 @query("series_window_size")
 def _(spark, sf):
-    return series.window_size_from(series.conv_peaks(materialised(signal(spark, sf), "signal")))
+    return series.window_size_from(series.conv_peaks(signal(wide(spark, sf))))
 
 
-def place(spark, sf):
-    s = materialised(signal(spark, sf), "signal")
+def place(w):
+    s = signal(w)
     peaks = materialised(series.local_maxima(s), "maxima")
     return series.place_anomaly(peaks, series.window_size_from(peaks), series.lengths(s))
 
@@ -65,7 +66,7 @@ fragment("place", f"""SELECT id, n, w, s, least(s+len*w, n) AS e FROM (SELECT p.
 
 @query("anomaly_place", ctes("place") + "SELECT * FROM place")
 def _(spark, sf):
-    return place(spark, sf)
+    return place(wide(spark, sf))
 
 
 fragment("corr", """SELECT id, channel, coalesce(sign(c)*pow(abs(c),0.2::DOUBLE),0) AS corr FROM (SELECT a.id, a.channel, CASE WHEN stddev_pop(a.value)=0 OR stddev_pop(b.c0)=0 THEN NULL ELSE corr(a.value,b.c0) END AS c FROM long a JOIN wide b ON a.id=b.id AND a.t=b.t GROUP BY 1,2)""", "long")
@@ -73,7 +74,7 @@ fragment("corr", """SELECT id, channel, coalesce(sign(c)*pow(abs(c),0.2::DOUBLE)
 
 @query("channel_correlation", ctes("corr") + "SELECT id, channel, round(corr,6) AS corr FROM corr")
 def _(spark, sf):
-    return series.channel_correlation(long(spark, sf)).withColumn("corr", F.round("corr", 6))
+    return series.channel_correlation(long(wide(spark, sf))).withColumn("corr", F.round("corr", 6))
 
 
 SPIKE = f"(({U('spikes/hit', 'x.id', 't')} < 0.5)::INT*2.0::DOUBLE*{N('spikes', 'x.id', 't')})"
@@ -82,7 +83,7 @@ R = "round(value,6) AS value"
 
 @query("anomaly_spikes", ctes("corr") + f"SELECT x.id, x.channel, t, round(value+{SPIKE}*corr,5) AS value, (abs({SPIKE})>0.05)::INT AS label FROM long x JOIN corr c ON c.id=x.id AND c.channel=x.channel")
 def _(spark, sf):
-    s = long(spark, sf)
+    s = long(wide(spark, sf))
     return series.spikes(s, series.channel_correlation(s)).withColumn("value", F.round("value", 5))
 
 
@@ -92,7 +93,8 @@ fragment("spot", "SELECT x.*, p.s, p.e, coalesce(t>=s AND t<e, FALSE) AS inside
 def _register(key, sql, fn, digits=6, needs=("spot",)):
     @query(key, ctes(*needs) + sql)
     def _(spark, sf):
-        return fn(long(spark, sf), place(spark, sf)).withColumn("value", F.round("value", digits))
+        w = wide(spark, sf)
+        return fn(long(w), place(w)).withColumn("value", F.round("value", digits))
 
 
 A, B = f"(1.0::DOUBLE+2.0::DOUBLE*{N('contextual/a', 'x.id')})", f"(2.0::DOUBLE*{N('contextual/b', 'x.id')})"
@@ -116,8 +118,9 @@ fragment("averaged", AVG, "spot")
 
 @query("anomaly_size", ctes("averaged") + """SELECT a.id, a.t, round(avg(abs(a.value-b.value)),6) AS mae, round(avg((a.value-b.value)*(a.value-b.value))+1e-9::DOUBLE,6) AS mse FROM long a JOIN averaged b ON a.id=b.id AND a.channel=b.channel AND a.t=b.t GROUP BY 1,2""")
 def _(spark, sf):
-    s = materialised(long(spark, sf), "series")
-    noisy = materialised(series.average(s, place(spark, sf)), "noisy")
+    w = wide(spark, sf)
+    s = long(w)
+    noisy = materialised(series.average(s, place(w)), "noisy")
     mae = series.anomaly_size(s, noisy, "mae").select("id", "t", F.round("size", 6).alias("mae"))
     return mae.join(series.anomaly_size(s, noisy, "mse").select("id", "t", F.round(F.col("size") + 1e-9, 6).alias("mse")), ["id", "t"])
 
@@ -126,14 +129,16 @@ def _(spark, sf):
  q AS (SELECT id, t, max(value) FILTER (WHERE channel=0) AS a, max(value) FILTER (WHERE channel=1) AS b FROM averaged GROUP BY 1,2)
  SELECT id, t, round(avg(d)/2,6) AS size FROM (SELECT q.id, q.t, abs(q.a-o.a)+abs(q.b-o.b) AS d, row_number() OVER (PARTITION BY q.id, q.t ORDER BY abs(q.a-o.a)+abs(q.b-o.b)) AS r FROM q JOIN o ON o.id=q.id) WHERE r<=2 GROUP BY 1,2""")
 def _(spark, sf):
-    s = materialised(long(spark, sf), "series")
-    noisy = series.average(s, place(spark, sf))
+    w = wide(spark, sf)
+    s = long(w)
+    noisy = series.average(s, place(w))
     return series.anomaly_size_nearest(s, noisy).withColumn("size", F.round("size", 6))
 
 
 @query("anomaly_labels", ctes("spot") + "SELECT id, t, coalesce(t>=s-8 AND t<e+8, FALSE)::INT AS label FROM spot WHERE channel=0")
 def _(spark, sf):
-    return series.anomaly_labels(long(spark, sf), place(spark, sf))
+    w = wide(spark, sf)
+    return series.anomaly_labels(long(w), place(w))
 
 
 @query("feature_noise_series", ctes("spot") + f"""SELECT kind, id, channel, round(sum(v*t),3) AS moment FROM (
@@ -141,8 +146,9 @@ def _(spark, sf):
  SELECT 'scale', id, channel, t, CASE WHEN inside THEN value*2 ELSE value END FROM spot UNION ALL
  SELECT 'noise', id, channel, t, CASE WHEN inside THEN value+0.05::DOUBLE*{N('jitter', 'id', 't')} ELSE value END FROM spot) GROUP BY 1,2,3""")
 def _(spark, sf):
-    s = materialised(long(spark, sf), "series")
-    p = materialised(place(spark, sf), "place")
+    w = wide(spark, sf)
+    s = long(w)
+    p = materialised(place(w), "place")
     kinds = [series.inject(s, p, k).select(F.lit(k).alias("kind"), "id", "channel", "t", "value") for k in ("flip", "scale", "noise")]
     both = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     return both.groupBy("kind", "id", "channel").agg(F.round(F.sum(F.col("value") * F.col("t")), 3).alias("moment"))

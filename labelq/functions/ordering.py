@@ -20,13 +20,6 @@ from pyspark.sql import functions as F
 BUCKET_SHIFT = 16
 
 
-def _same(keys: Sequence[str], left: str, right: str) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
-
-
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str] = (), how: str = "left") -> DataFrame:
     """Add the columns of a table of bounded size: one row (no keys) or one row per class."""
     keys = list(keys)
@@ -96,22 +89,23 @@ def ranked(
     Rows are spread over (keys, bucket), where buckets follow the order: either a given
     order-preserving ``bucket``, or global sketch splits of ``value``; rows that equal a split
     (heavy ties) are spread further by splits of ``tie``. The splits only steer the load, the
-    result is exact whatever they are. ``value`` and ``tie`` must be numeric.
+    result is exact whatever they are. ``value`` and ``tie`` must be numeric. A row with a null key
+    gets a null rank.
     """
     keys = list(keys)
     names = df.columns
     base = df.withColumn("_v", value).withColumn("_t", tie)
     if bucket is None:
         grid = [i / buckets for i in range(1, buckets)]
-        splits = df.select(value.cast("double").alias("_v"), tie.cast("double").alias("_t")).agg(
-            F.struct(F.array_distinct(F.percentile_approx("_v", grid, 10000)).alias("v"),
-                     F.array_distinct(F.percentile_approx("_t", grid, 10000)).alias("t")).alias("s"))
-        base = base.withColumn("_s", splits.scalar())
+        # Fetched now (2 * buckets numbers): numbering and offsets below must see the same splits.
+        found = df.select(value.cast("double").alias("_v"), tie.cast("double").alias("_t")).agg(
+            F.percentile_approx("_v", grid, 10000), F.percentile_approx("_t", grid, 10000)).first()
+        by_value, by_tie = (F.array(*[F.lit(x) for x in sorted(set(f or [0.0]))]) for f in found)
         v, t = F.col("_v").cast("double"), F.col("_t").cast("double")
-        below = F.size(F.filter(F.col("_s")["v"], lambda s: s < v))
-        equal = F.array_contains(F.col("_s")["v"], v)
-        sub = F.when(equal, F.size(F.filter(F.col("_s")["t"], lambda s: s < t))).otherwise(F.lit(0))
-        base = base.withColumn("_b", (below * 2 + equal.cast("int")) * F.lit(buckets) + sub).drop("_s")
+        below = F.size(F.filter(by_value, lambda s: s < v))
+        equal = F.array_contains(by_value, v)
+        sub = F.when(equal, F.size(F.filter(by_tie, lambda s: s < t))).otherwise(F.lit(0))
+        base = base.withColumn("_b", (below * 2 + equal.cast("int")) * F.lit(buckets) + sub)
     else:
         base = base.withColumn("_b", bucket)
     counts = base.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
@@ -120,8 +114,9 @@ def ranked(
         F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     numbered = base.withColumn(
         "_rn", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(F.col("_v"), F.col("_t"), *last)))
-    joined = numbered.alias("l").join(offsets.alias("r"), _same([*keys, "_b"], "l", "r"))
-    return joined.select(*[F.col(f"l.{c}") for c in names], (F.col("_rn") + F.col("_off")).cast("long").alias(out))
+    # Plain equality keeps the partitioning of the numbering, so the rows are shuffled once.
+    joined = numbered.join(offsets, [*keys, "_b"], "left")
+    return joined.select(*names, (F.col("_rn") + F.col("_off")).cast("long").alias(out))
 
 
 def quantile(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelq.functions import rand
-from labelq.functions.ordering import attach, take_first
+from labelq.functions.ordering import take_first
 from labelq.operators.noise import with_flag
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays, rand
@@ -37,9 +38,9 @@ def confident_joint(probs: DataFrame, n_classes: int) -> DataFrame:
     full = grid.join(F.broadcast(counts), (F.col("label") == F.col("_l")) & (F.col("confident") == F.col("_c")), "left").select(
         "label", "confident", F.coalesce("n", F.lit(0)).alias("n"))
     floor = F.when(F.col("label") == F.col("confident"), F.greatest("n", F.lit(1))).otherwise(F.col("n"))
-    rows = full.groupBy("label").agg(F.sum(floor).alias("_r"))
-    joined = full.join(F.broadcast(rows), "label").join(F.broadcast(cuts.select("label", F.col("n").alias("_n"))), "label", "left")
-    return joined.select("label", "confident", "n", (floor / F.greatest("_r", F.lit(1)) * F.coalesce("_n", F.lit(0))).alias("calibrated"))
+    row = F.sum(floor).over(W.partitionBy("label"))
+    joined = full.join(F.broadcast(cuts.select("label", F.col("n").alias("_n"))), "label", "left")
+    return joined.select("label", "confident", "n", (floor / F.greatest(row, F.lit(1)) * F.coalesce("_n", F.lit(0))).alias("calibrated"))
 
 
 def issues(probs: DataFrame, n_classes: int, joint: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays
@@ -190,18 +191,15 @@ def cell_transitions(df: DataFrame, centres: DataFrame, n_classes: int) -> DataF
         "cell", F.array_min(F.transform("_c", lambda c: F.struct(F.round(arrays.distance(F.col("features"), c["v"]), 9).alias("d"), c["cell"].alias("cell"))))["cell"])
     counts = placed.groupBy("cell", "label", "noisy_label").agg(F.count("*").alias("n"))
     grid = class_grid(df, n_classes, ("label", "noisy_label"))
-    cells = counts.select("cell").distinct()
+    cells = centres.select("cell")
     full = cells.withColumn("_k", F.explode(grid.agg(F.collect_list(F.struct("label", "noisy_label"))).scalar())).select("cell", "_k.*")
     full = full.join(counts, ["cell", "label", "noisy_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rows = full.groupBy("cell", "label").agg(F.sum("n").alias("r"))
-    sizes = rows.groupBy("cell").agg(F.sum("r").alias("c"))
-    world = full.groupBy("label", "noisy_label").agg(F.sum("n").alias("gn"))
-    world_rows = world.groupBy("label").agg(F.sum("gn").alias("gr"))
-    j = (full.join(F.broadcast(rows), ["cell", "label"]).join(F.broadcast(sizes), "cell")
-         .join(F.broadcast(world), ["label", "noisy_label"]).join(F.broadcast(world_rows), "label"))
+    # The count table has cells x classes^2 rows; every margin is a window over it.
+    over = lambda *keys: F.sum("n").over(W.partitionBy(*keys))
+    m = full.select("*", over("cell", "label").alias("r"), over("cell").alias("c"), over("label", "noisy_label").alias("gn"), over("label").alias("gr"))
     local = F.when(F.col("r") > 0, F.col("n") / F.col("r")).otherwise(F.lit(0.0))
     share, average = F.col("r") / F.col("c"), F.when(F.col("gr") > 0, F.col("gn") / F.col("gr")).otherwise(F.lit(0.0))
-    return j.select("cell", "label", "noisy_label", (share * local + (1 - share) * average).alias("prob"))
+    return m.select("cell", "label", "noisy_label", (share * local + (1 - share) * average).alias("prob"))
 
 
 def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, sample: int = 3000, steps: int = 1000,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from labelq.functions import arrays, rand
 from labelq.functions.ordering import ranked
 from labelq.operators import neighbours
+from labelq.session import materialised
 
 
 def inspect(scored: DataFrame, inspector: str = "margin", threshold: float = 0.25, tag: str = "inspect") -> DataFrame:
@@ -89,7 +90,8 @@ def within_radius(suspicious: DataFrame, trusted: DataFrame, share: float = 0.1,
     everything = suspicious.select("id", "label", "features").unionByName(trusted.select("id", "label", "features"))
     radius = share * neighbours.diameter(everything, **layout)
     s, t = log_likelihood_gradient(suspicious), log_likelihood_gradient(trusted)
-    near = neighbours.within_radius(s, t, radius, kernel, "grad", "pred", "label", **layout).select("id", "n_within", "nbr_id")
+    found = neighbours.within_radius(s, t, radius, kernel, "grad", "pred", "label", **layout)
+    near = materialised(found.select("id", "n_within", "nbr_id"), "within")
     rest = suspicious.join(near, "id", "left_anti")
     lone = nearest(rest, trusted, 1, **layout).select("id", F.lit(0).cast("long").alias("n_within"), "nbr_id")
     return near.unionByName(lone)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays
@@ -72,10 +73,9 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str, n_classes: int, digit
         .join(F.broadcast(counts), (F.col("from_label") == F.col("truth")) & (F.col("to_label") == F.col("pred")), "left")
         .select("from_label", "to_label", F.coalesce("n", F.lit(0)).alias("n"))
     )
-    rows = full.groupBy(F.col("from_label").alias("f")).agg(F.sum("n").alias("t"))
-    joined = full.join(F.broadcast(rows), F.col("from_label") == F.col("f"))
-    prob = F.when(F.col("t") > 0, F.col("n") / F.col("t")).otherwise(F.lit(0.0))
-    return joined.select("from_label", "to_label", F.round(prob, digits).alias("prob"))
+    total = F.sum("n").over(W.partitionBy("from_label"))
+    prob = F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0))
+    return full.select("from_label", "to_label", F.round(prob, digits).alias("prob"))
 
 
 def calibration_error(df: DataFrame, label: str, probs: str, bins: int = 3) -> DataFrame:

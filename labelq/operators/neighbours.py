@@ -223,8 +223,8 @@ def _probes(queries: DataFrame, cells: Cells, home_only: bool, radius: float | N
 def _chunked(probes: DataFrame, data: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Split the queries of busy cells into chunks and give every chunk its own copy of the blocks."""
     keys = ["grp", "cell", "part"]
-    busy = probes.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks")).filter("chunks > 1")
-    counts = F.broadcast(busy)  # at most one row per block, and only for blocks with many queries
+    # Only blocks with many queries are listed; Spark broadcasts the list if its measured size allows.
+    counts = probes.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks")).filter("chunks > 1")
     chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks").cast("long"))).cast("int")
     p = probes.join(counts, keys, "left").withColumn("chunk", chunk).drop("chunks")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
@@ -232,9 +232,15 @@ def _chunked(probes: DataFrame, data: DataFrame, block_rows: int) -> tuple[DataF
     return p, d, [*keys, "chunk"]
 
 
+def _together(p: DataFrame, d: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
+    """Queries and data of a key in one task; the data get fresh column identities, as both may come from one table."""
+    d = d.toDF(*d.columns)
+    return p.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(kernel, schema)
+
+
 def _search(probes: DataFrame, data: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
     p, d, keys = _chunked(probes, data, block_rows)
-    return p.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(kernel, schema)
+    return _together(p, d, keys, kernel, schema)
 
 
 def _topk_kernel(metric: str, k: int, exclude_self: bool):
@@ -269,6 +275,14 @@ def _topk_kernel(metric: str, k: int, exclude_self: bool):
     return run
 
 
+def _one_block(q: DataFrame, points: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
+    """Search when all data fit one block: only the queries are cut into chunks, by their counted number."""
+    chunks = max(1, -(-q.select("id").count() // block_rows))
+    p = q.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    d = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return _together(p, d, ["grp", "chunk"], kernel, schema)
+
+
 def knn(
     queries: DataFrame,
     data: DataFrame,
@@ -285,12 +299,16 @@ def knn(
     Distances are rounded to 9 digits and ties go to the lower id. With groups, a query only meets
     data of its own group (few groups: classes).
     """
-    points = _limit_copies(prepared(data, metric, data_group), k + int(exclude_self))
-    cells, blocks = layout(points, metric, block_rows, max_cells)
-    q = prepared(queries, metric, query_group)
+    points, q = prepared(data, metric, data_group), prepared(queries, metric, query_group)
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
     schema = f"id {types['id']}, label {types['label']}, nbr_id {dict(points.dtypes)['id']}, nbr_label {dict(points.dtypes)['label']}, dist double"
     kernel = _topk_kernel(metric, k, exclude_self)
+    w = W.partitionBy("id").orderBy("dist", "nbr_id")
+    out = ("id", "label", "rank", "nbr_id", "nbr_label", "dist")
+    if points.select("id").count() <= block_rows:
+        found = _one_block(q, points, kernel, schema, block_rows)
+        return found.withColumn("rank", F.row_number().over(w)).select(*out)
+    cells, blocks = layout(_limit_copies(points, k + int(exclude_self)), metric, block_rows, max_cells)
     found = _search(_probes(q, cells, True), blocks, kernel, schema, block_rows)
     if cells.blocks > 1:
         found = materialised(found, "near")
@@ -298,9 +316,7 @@ def knn(
         bound = bound.select("id", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
         rest = materialised(_probes(q.join(bound, "id", "left"), cells, False), "probes")
         found = found.unionByName(_search(rest, blocks, kernel, schema, block_rows))
-    w = W.partitionBy("id").orderBy("dist", "nbr_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("id", "label", "rank", "nbr_id", "nbr_label", "dist")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*out)
 
 
 def within_radius(
@@ -316,10 +332,7 @@ def within_radius(
         g = F.col(group).cast("long") if group else F.lit(0).cast("long")
         return df.select("id", "label", g.alias("grp"), F.col("features").cast("array<double>").alias("vec"), F.col(score_column).alias("aux"))
 
-    points = side(data, data_group)
-    cells, blocks = layout(points, "euclidean", block_rows, max_cells)
-    q = side(queries, query_group)
-    probes = _probes(q, cells, False, radius)
+    points, q = side(data, data_group), side(queries, query_group)
     idt = dict(q.dtypes)["id"]
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -340,7 +353,12 @@ def within_radius(
             out.append(pd.DataFrame({"id": own, "n": near.sum(1), "nbr_id": ids[best], "score": s.max(1)})[hit])
         return pd.concat(out, ignore_index=True)[cols]
 
-    rows = _search(probes, blocks, run, f"id {idt}, n long, nbr_id {idt}, score double", block_rows)
+    schema = f"id {idt}, n long, nbr_id {idt}, score double"
+    if points.select("id").count() <= block_rows:
+        rows = _one_block(q, points, run, schema, block_rows)
+    else:
+        cells, blocks = layout(points, "euclidean", block_rows, max_cells)
+        rows = _search(_probes(q, cells, False, radius), blocks, run, schema, block_rows)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("nbr_id")))
     return rows.groupBy("id").agg(F.sum("n").alias("n_within"), best.alias("_b")).select("id", "n_within", F.col("_b.nbr_id").alias("nbr_id"), (-F.col("_b.s")).alias("score"))
 
@@ -352,6 +370,20 @@ def diameter(df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_C
     visited block returns one number.
     """
     points = prepared(df, "euclidean", None)
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({"far": pd.Series(dtype=float)})
+        x, y = _stack(q["vec"]), _stack(d["vec"])
+        best = 0.0
+        for start in range(0, len(x), 512):
+            b = _block(x[start:start + 512], y, "euclidean")
+            i, j = np.unravel_index(b.argmax(), b.shape)
+            best = max(best, float(_reported(x[start + i:start + i + 1], y[j:j + 1], "euclidean")[0]))
+        return pd.DataFrame({"far": [best]})
+
+    if points.select("id").count() <= block_rows:
+        return _one_block(points, points, run, "far double", block_rows).agg(F.max("far")).first()[0] or 0.0
     cells, blocks = layout(points, "euclidean", block_rows, max_cells)
     known = max(float(_root_distance(cells.anchors, cells.anchors, "euclidean").max()), float(cells.hi.max()) - 1e-7)
     anchors, hi, cell, parts = cells.anchors, cells.hi, cells.cell, cells.parts
@@ -366,17 +398,6 @@ def diameter(df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_C
             part = np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
             yield pdf.iloc[rows].assign(cell=cell[at].astype(np.int32), part=part.astype(np.int32))
 
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"far": pd.Series(dtype=float)})
-        x, y = _stack(q["vec"]), _stack(d["vec"])
-        best = 0.0
-        for start in range(0, len(x), 512):
-            b = _block(x[start:start + 512], y, "euclidean")
-            i, j = np.unravel_index(b.argmax(), b.shape)
-            best = max(best, float(_reported(x[start + i:start + i + 1], y[j:j + 1], "euclidean")[0]))
-        return pd.DataFrame({"far": [best]})
-
     got = _search(points.mapInPandas(probes, f"{fields}, cell int, part int"), blocks, run, "far double", block_rows).agg(F.max("far")).first()[0]
     return max(known, got or 0.0)
 

@@ -7,10 +7,11 @@ repeats its draws and a table may be repartitioned freely.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays, rand
-from labelq.functions.ordering import attach, flag_first
+from labelq.functions.ordering import flag_first
 from labelq.operators.metrics import class_grid, confusion_matrix
 
 EPS = 1e-7
@@ -94,9 +95,8 @@ def class_dependent_matrix(preds: DataFrame, n_classes: int, axis: str = "true")
         cm = cm.select(F.col("to_label").alias("from_label"), F.col("from_label").alias("to_label"), "prob")
     elif axis != "true":
         raise ValueError(f"unknown axis {axis!r}")
-    sums = cm.groupBy(F.col("from_label").alias("_f")).agg(F.sum(F.col("prob") + EPS).alias("_s"))
-    joined = cm.join(F.broadcast(sums), F.col("from_label") == F.col("_f"))
-    return joined.select("from_label", "to_label", ((F.col("prob") + EPS) / F.col("_s")).alias("prob"))
+    lifted = F.col("prob") + EPS
+    return cm.select("from_label", "to_label", (lifted / F.sum(lifted).over(W.partitionBy("from_label"))).alias("prob"))
 
 
 def class_dependent(df: DataFrame, preds: DataFrame, n_classes: int, axis: str = "true", tag: str = "classdependent") -> DataFrame:
@@ -156,10 +156,9 @@ def transition(df: DataFrame, given: str, seen: str, n_classes: int, digits: int
         .join(F.broadcast(counts), (F.col(given) == F.col("_g")) & (F.col(seen) == F.col("_s")), "left")
         .select(given, seen, F.coalesce("_n", F.lit(0)).alias("n"))
     )
-    rows = full.groupBy(F.col(given).alias("_g")).agg(F.sum("n").alias("_t"))
-    both = attach(full.join(F.broadcast(rows), F.col(given) == F.col("_g")), full.agg(F.sum("n").alias("_all")))
-    prob = F.when(F.col("_t") > 0, F.col("n") / F.col("_t")).otherwise(F.lit(0.0))
-    return both.select(given, seen, "n", F.round(prob, digits).alias("prob"), F.round(F.col("_t") / F.col("_all"), digits).alias("share"))
+    row, everything = F.sum("n").over(W.partitionBy(given)), F.sum("n").over(W.partitionBy())
+    prob = F.when(row > 0, F.col("n") / row).otherwise(F.lit(0.0))
+    return full.select(given, seen, "n", F.round(prob, digits).alias("prob"), F.round(row / everything, digits).alias("share"))
 
 
 def sweep(df: DataFrame, preds: DataFrame, n_classes: int, rates: list[float], n_features: int | None = None) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import rand
-from labelq.functions.ordering import attach, flag_first, ranked, take_first
+from labelq.functions.ordering import flag_first, ranked, take_first
 
 
 def stratified_split(df: DataFrame, label: str, test: float, tag: str = "split") -> DataFrame:
@@ -55,7 +56,7 @@ def sample_rounds(df: DataFrame, n, rounds: int, tag: str = "round") -> DataFram
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """(label, n, share) of every class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    return attach(counts, counts.agg(F.sum("n").alias("_all"))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))  # one row per class
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

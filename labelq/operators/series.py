@@ -68,15 +68,16 @@ def _decide(t: np.ndarray, height: np.ndarray, distance: int, left: float, right
 
 
 def _settle(distance: int, chunk: int, pad: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        c, n = int(pdf["chunk"].iloc[0]), int(pdf["n"].iloc[0])
-        lo, hi = c * chunk - pad, (c + 1) * chunk - 1 + pad
-        state = _decide(pdf["t"].to_numpy(), pdf["height"].to_numpy(), distance, -np.inf if lo <= 0 else lo, np.inf if hi >= n - 1 else hi)
-        out = pdf[["id", "t", "height", "chunk"]].assign(state=state)
-        return out[pdf["core"].to_numpy()]
+    """State of every peak of a packed chunk, in the order of its packed times."""
+    @F.pandas_udf("array<int>")
+    def states(times: pd.Series, heights: pd.Series, number: pd.Series, steps: pd.Series) -> pd.Series:
+        out = []
+        for t, h, c, n in zip(times, heights, number, steps):
+            lo, hi = c * chunk - pad, (c + 1) * chunk - 1 + pad
+            out.append(_decide(np.asarray(t), np.asarray(h), distance, -np.inf if lo <= 0 else lo, np.inf if hi >= n - 1 else hi))
+        return pd.Series(out)
 
-    return run
+    return states
 
 
 def peaks_apart(peaks: DataFrame, lengths_: DataFrame, distance: int, chunk: int = CHUNK, pad: int | None = None) -> DataFrame:
@@ -87,14 +88,17 @@ def peaks_apart(peaks: DataFrame, lengths_: DataFrame, distance: int, chunk: int
     """
     pad = pad or 16 * distance
     base = peaks.join(lengths_, "id")
-    idt = dict(peaks.dtypes)["id"]
     longest = None
     done, todo = None, None
     while True:
         cut = halo(base, "t", chunk, pad)
         if todo is not None:
             cut = cut.join(todo, ["id", "chunk"], "left_semi")
-        step = materialised(cut.groupBy("id", "chunk").applyInPandas(_settle(distance, chunk, pad), f"id {idt}, t long, height double, chunk long, state int"), "peaks")
+        packed = cut.groupBy("id", "chunk").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "height", "core"))).alias("p"))
+        states = _settle(distance, chunk, pad)(F.col("p.t"), F.col("p.height"), F.col("chunk"), F.col("n"))
+        each = packed.withColumn("s", states).select("id", "chunk", F.explode(F.arrays_zip("p", "s")).alias("z"))
+        own = each.filter("z.p.core").select("id", "chunk", "z.p.t", "z.p.height", F.col("z.s").alias("state"))
+        step = materialised(own, "peaks")
         open_chunks = step.filter("state = -1").select("id", "chunk").distinct()
         settled = step.join(open_chunks, ["id", "chunk"], "left_anti").filter("state = 1").select("id", "t", "height")
         done = settled if done is None else done.unionByName(settled)
@@ -117,15 +121,19 @@ def self_convolution(signal: DataFrame, lengths_: DataFrame, direct: int = DIREC
     means = signal.groupBy("id").agg(F.avg("value").alias("_m"), F.count("*").alias("_n"))
     x = signal.join(means, "id").select("id", "t", (F.col("value") - F.col("_m")).alias("value"), F.col("_n").alias("n"))
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        v = pdf["value"].to_numpy()
-        n = len(v)
-        size = 1 << int(2 * n - 1).bit_length()
-        full = np.fft.irfft(np.fft.rfft(v, size) ** 2, size)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "t": np.arange(n), "value": full[(n - 1) // 2:(n - 1) // 2 + n]})
-
-    short = x.filter(F.col("n") <= direct).groupBy("id").applyInPandas(whole, f"id {idt}, t long, value double")
+    @F.pandas_udf("array<double>")
+    def whole(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            n = len(v)
+            size = 1 << int(2 * n - 1).bit_length()
+            full = np.fft.irfft(np.fft.rfft(v, size) ** 2, size)
+            out.append(full[(n - 1) // 2:(n - 1) // 2 + n])
+        return pd.Series(out)
+
+    # A short series is one row of at most ``direct`` values, so many of them share an Arrow batch.
+    packed = x.filter(F.col("n") <= direct).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("p"))
+    short = packed.select("id", F.posexplode(whole(F.col("p.value"))).alias("t", "value")).select("id", F.col("t").cast("long").alias("t"), "value")
     if lengths_.filter(F.col("n") > direct).isEmpty():
         return short
 

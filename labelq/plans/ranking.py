@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def complete_groups(df: DataFrame, method: str = "method", by: Sequence[str] = (
     return counts.filter(F.col("n") == counts.agg(F.max("n").alias("t")).scalar())
 
 
-def average_rank(order, ties: W) -> F.col:
+def average_rank(order, ties) -> Column:
     """Rank with ties averaged: first rank of the tie plus half its width."""
     return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
 
@@ -73,14 +73,10 @@ def chi_square_tail(x: float, df: int) -> float:
 
 def friedman(df: DataFrame, block: Sequence[str], value: str, by: Sequence[str] = (), method: str = "method", alpha: float = 0.05) -> DataFrame:
     """Friedman statistic with tie correction, its p-value, and whether it is significant."""
-    r = block_ranks(df, [*by, *block], value, descending=False)
-    ties = (
-        r.groupBy(*by, *block, value).agg(F.count("*").alias("t"))
-        .groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("_ties"))
-    )
-    sums = r.groupBy(*by, method).agg(F.sum("rank").alias("_r"), F.count("*").alias("_n"))
-    agg = sums.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_r")).alias("_rr"), F.max("_n").alias("n_blocks"), F.count("*").alias("n_methods"))
-    both = agg.join(F.broadcast(ties), list(by)) if by else agg.withColumn("_ties", ties.scalar())
+    # A tie of t methods adds t^3 - t, that is t^2 - 1 for each of its rows: ranks and ties come from one pass.
+    r = block_ranks(df, [*by, *block], value, descending=False).withColumn("_t", F.count("*").over(W.partitionBy(*by, *block, value)))
+    sums = r.groupBy(*by, method).agg(F.sum("rank").alias("_r"), F.count("*").alias("_n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_x"))
+    both = sums.groupBy(*by).agg(F.sum(F.col("_r") * F.col("_r")).alias("_rr"), F.max("_n").alias("n_blocks"), F.count("*").alias("n_methods"), F.sum("_x").alias("_ties"))
     n, k = F.col("n_blocks").cast("double"), F.col("n_methods").cast("double")
     plain = F.lit(12.0) / (n * k * (k + 1)) * F.col("_rr") - F.lit(3.0) * n * (k + 1)
     correction = F.lit(1.0) - F.col("_ties") / (n * k * (k * k - 1))

@@ -11,10 +11,10 @@ RUN_KEYS = ("dataset", "base_model", "noise_type", "seed")
 def datacard(df: DataFrame, path: str, mode: str = "append") -> None:
     """Long run table, one folder per run, so later reads prune on dataset, model, noise and seed.
 
-    A run may hold most rows: rows are spread over several files per run by a hash of the id.
+    A run may hold most rows: the rebalance lets Spark split it into as many tasks and files as its
+    measured size asks for, and gather small runs.
     """
-    spread = df.repartition(*RUN_KEYS, F.pmod(F.xxhash64("id"), F.lit(8)))
-    spread.write.mode(mode).partitionBy(*RUN_KEYS).parquet(path)
+    df.hint("rebalance", *RUN_KEYS).write.mode(mode).partitionBy(*RUN_KEYS).parquet(path)
 
 
 def read_datacard(spark: SparkSession, path: str) -> DataFrame:
