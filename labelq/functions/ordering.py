@@ -6,16 +6,17 @@
 ``halo``        rows of a long series cut into chunks that overlap, so bounded frames stay correct
 
 Keys of ``take_first`` and ``quantile`` must have few values (classes, rounds, methods): their
-per-key cut tables are joined by broadcast. Keys of ``ranked`` and ``halo`` may be many.
+per-key cut tables hold one row per key. Keys of ``ranked`` and ``halo`` may be many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_SHIFT = 16
 
@@ -30,43 +31,63 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str] = (), how: str =
     return df.join(F.broadcast(small), keys, how)
 
 
-def cut_rows(df: DataFrame, n: Column, order: Column, tie: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Per key, ``n`` and the (order, tie) of its n-th smallest row.
+def cut_rows(df: DataFrame, n: Column, order: Column, tie: Column, keys: Sequence[str] = ()) -> list[Row]:
+    """Per key (keys.., group_rows, n, cut_order, cut_tie): the n-th smallest row by (order, tie).
 
     ``order`` is a non-negative long, usually a keyed hash; ``n`` is an expression over ``group_rows``.
-    Only bucket counts and the rows of one boundary bucket per key are shuffled.
+    Two thin passes run at once: bucket counts, then the rows of one boundary bucket per key. One row
+    per key reaches the driver, and the caller's plan is left with constants.
     """
     keys = list(keys)
+    spark = df.sparkSession
     thin = df.select(*keys, order.alias("_o"), tie.alias("_t")).withColumn("_b", F.shiftright("_o", BUCKET_SHIFT))
     w = W.partitionBy(*keys)
     hist = (
         thin.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
         .withColumn("group_rows", F.sum("_c").over(w))
         .withColumn("_cum", F.sum("_c").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("n", n.cast("long"))
     )
-    totals = hist.groupBy(*keys).agg(F.max("group_rows").alias("group_rows")).withColumn("n", n.cast("long"))
-    edge = hist.withColumn("n", n.cast("long")).filter((F.col("_cum") >= F.col("n")) & (F.col("_cum") - F.col("_c") < F.col("n")))
-    edge = edge.select(*keys, "_b", (F.col("n") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    inner = thin.join(F.broadcast(edge), [*keys, "_b"])
-    row = (
-        inner.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", "_t")))
-        .filter(F.col("_rn") == F.col("_need"))
-        .select(*keys, F.col("_o").alias("cut_order"), F.col("_t").alias("cut_tie"))
-    )
-    if keys:
-        return totals.join(F.broadcast(row), keys, "left")
-    return attach(totals, row)
+    before = F.col("_cum") - F.col("_c")
+    holds = (F.col("_cum") >= F.col("n")) & (before < F.col("n"))
+    edges = hist.groupBy(*keys).agg(
+        F.max("group_rows").alias("group_rows"), F.max("n").alias("n"),
+        F.max(F.when(holds, F.struct("_b", (F.col("n") - before).alias("need")))).alias("e"))
+    schema = edges.schema
+    found = edges.collect()
+    table = spark.createDataFrame(found, schema)
+    wanted = table.filter("e is not null").select(*keys, "e._b", "e.need", "group_rows", "n")
+    inner = thin.join(F.broadcast(wanted), [*keys, "_b"]).withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", "_t")))
+    rows = inner.filter(F.col("_rn") == F.col("need")).select(*keys, F.col("_o").alias("cut_order"), F.col("_t").alias("cut_tie"))
+    cuts = {tuple(r[k] for k in keys): r for r in rows.collect()}
+    none = Row(cut_order=None, cut_tie=None)
+    out = []
+    for r in found:
+        c = cuts.get(tuple(r[k] for k in keys), none)
+        out.append(Row(**{k: r[k] for k in keys}, group_rows=r["group_rows"], n=r["n"], cut_order=c["cut_order"], cut_tie=c["cut_tie"]))
+    return out
 
 
 def flag_first(df: DataFrame, n: Column, order: Column, tie: Column, keys: Sequence[str] = (), out: str = "taken") -> DataFrame:
     """Add a 0/1 flag for the ``n`` smallest rows by (order, tie), per key; no row is moved."""
     keys = list(keys)
-    cuts = cut_rows(df, n, order, tie, keys).select(
-        *keys, F.col("n").alias("_n"), F.col("group_rows").alias("_g"), F.col("cut_order").alias("_co"), F.col("cut_tie").alias("_ct"))
-    wide = attach(df, cuts, keys)
-    inside = (order < F.col("_co")) | ((order == F.col("_co")) & (tie <= F.col("_ct")))
-    flag = (F.col("_n") >= F.col("_g")) | ((F.col("_n") > 0) & F.coalesce(inside, F.lit(False)))
-    return wide.withColumn(out, F.coalesce(flag, F.lit(False)).cast("int")).drop("_n", "_g", "_co", "_ct")
+    cuts = cut_rows(df, n, order, tie, keys)
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    probe = df.select(*keys, order.alias("cut_order"), tie.alias("cut_tie")).schema
+    names = {"_g": "group_rows", "_n": "n", "_co": "cut_order", "_ct": "cut_tie"}
+    types = {"_g": T.LongType(), "_n": T.LongType(), "_co": T.LongType(), "_ct": probe["cut_tie"].dataType}
+    if keys:
+        schema = T.StructType([*[probe[k] for k in keys], *[T.StructField(c, types[c]) for c in names]])
+        local = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) + tuple(r[v] for v in names.values()) for r in cuts], schema)
+        wide = df.join(F.broadcast(local), keys, "left")
+        cell = {c: F.col(c) for c in names}
+    else:
+        wide = df
+        cell = {c: F.lit(cuts[0][v]).cast(types[c]) for c, v in names.items()}
+    inside = (order < cell["_co"]) | ((order == cell["_co"]) & (tie <= cell["_ct"]))
+    flag = (cell["_n"] >= cell["_g"]) | ((cell["_n"] > 0) & F.coalesce(inside, F.lit(False)))
+    return wide.withColumn(out, F.coalesce(flag, F.lit(False)).cast("int")).drop(*names)
 
 
 def take_first(df: DataFrame, n: Column, order: Column, tie: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -31,9 +31,9 @@ def crowd_majority(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return with_flag(majority(df, columns, "noisy_label"))
 
 
-def _needed(df: DataFrame, rate: float) -> DataFrame:
+def _needed(df: DataFrame, rate: float):
     """Least number of flips whose share of all rows reaches ``rate``."""
-    return df.agg(F.ceil(F.round(F.lit(rate) * F.count("*"), 9)).alias("_need"))
+    return df.agg(F.ceil(F.round(F.lit(rate) * F.count("*"), 9)).alias("_need")).scalar()
 
 
 def _apply(df: DataFrame, moves: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def dissenting_label(df: DataFrame, columns: Sequence[str], rate: float, tag: st
     options = F.array_except(votes, F.array("label"))
     pick = F.get(options, F.floor(rand.uniform(tag + "/pick", "id") * F.size(options)).cast("int"))
     eligible = df.filter(F.size(votes) > 1).select("id", pick.alias("_to"))
-    moves = take_first(eligible, F.least(F.col("group_rows"), _needed(df, rate).scalar()), rand.hash32(tag, "id"), F.col("id"))
+    moves = take_first(eligible, F.least(F.col("group_rows"), _needed(df, rate)), rand.hash32(tag, "id"), F.col("id"))
     return _apply(df, moves.select("id", "_to"))
 
 
@@ -64,5 +64,5 @@ def dissenting_worker(df: DataFrame, columns: Sequence[str], rate: float, tag: s
     dissent = F.filter(place, lambda s: s["l"] != F.col("label"))
     first = df.select("id", F.get(dissent, F.lit(0)).alias("_d")).filter(F.col("_d").isNotNull())
     order = F.col("_d.place").cast("long") * F.lit(1 << 32) + rand.hash32(tag, F.col("_d.w"), F.col("id"))
-    moves = take_first(first, F.least(F.col("group_rows"), _needed(df, rate).scalar()), order, F.col("id"))
+    moves = take_first(first, F.least(F.col("group_rows"), _needed(df, rate)), order, F.col("id"))
     return _apply(df, moves.select("id", F.col("_d.l").alias("_to")))

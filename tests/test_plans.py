@@ -38,12 +38,11 @@ def test_metric_rows_are_combined_before_the_shuffle(spark):
 
 
 def test_exact_selection_moves_no_rows(spark, tmp_path):
-    """Flagging the n smallest rows by hash leaves the wide table where it is: no exchange but the cut's own, which runs as a subquery."""
+    """Flagging the n smallest rows by hash leaves the wide table where it is."""
     spark.range(5000).withColumn("x", F.rand(1)).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     text = plan(flag_first(df, F.lit(100), rand.hash32("a", "id"), F.col("id")))
-    main = text.split("Subquery")[0]
-    assert "Exchange" not in main
+    assert "Exchange" not in text and "Join" not in text
 
 
 def test_ranking_shuffles_the_rows_once(spark, tmp_path):
