@@ -23,7 +23,7 @@ def nn(spark, sf, metric="cosine"):
     return neighbours.knn(d, d, K - 1, metric)
 
 
-@query("knn_cosine", ctes("nn") + "SELECT id, label, rank, nbr_id, nbr_label, round(dist,6) AS dist FROM nn")
+@query("knn_cosine", ctes("nn") + "SELECT id, label, rank::INT AS rank, nbr_id, nbr_label, round(dist,6) AS dist FROM nn")
 def _(spark, sf):
     return nn(spark, sf).withColumn("dist", F.round("dist", 6))
 

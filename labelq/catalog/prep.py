@@ -99,14 +99,14 @@ def _(spark, sf):
     return probs_line(spark, sf).select("id", F.round(F.col("probs")[0], 6).alias("p"))
 
 
-@query("encode_low_cardinality", """SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus)-1 AS o_orderstatus, dense_rank() OVER (ORDER BY o_orderpriority)-1 AS o_orderpriority,
+@query("encode_low_cardinality", """SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderstatus)-1)::INT AS o_orderstatus, (dense_rank() OVER (ORDER BY o_orderpriority)-1)::INT AS o_orderpriority,
  'Customer-'||o_custkey||'-'||o_orderkey AS free_text FROM orders""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.concat_ws("-", F.lit("Customer"), "o_custkey", "o_orderkey").alias("free_text"))
     return prep.encode_low_cardinality(o)
 
 
-@query("encode_label", "SELECT o_orderkey AS id, dense_rank() OVER (ORDER BY o_orderpriority)-1 AS label FROM orders")
+@query("encode_label", "SELECT o_orderkey AS id, (dense_rank() OVER (ORDER BY o_orderpriority)-1)::INT AS label FROM orders")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
     return prep.encode(o, "label", prep.codes(o, "label")).select("id", "label")

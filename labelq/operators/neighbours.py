@@ -308,7 +308,8 @@ def knn(
     if points.select("id").count() <= block_rows:
         found = _one_block(q, points, kernel, schema, block_rows)
         return found.withColumn("rank", F.row_number().over(w)).select(*out)
-    cells, blocks = layout(_limit_copies(points, k + int(exclude_self)), metric, block_rows, max_cells)
+    points = materialised(_limit_copies(points, k + int(exclude_self)), "points")
+    cells, blocks = layout(points, metric, block_rows, max_cells)
     found = _search(_probes(q, cells, True), blocks, kernel, schema, block_rows)
     if cells.blocks > 1:
         found = materialised(found, "near")

@@ -32,7 +32,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="labelq-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # One folder per application, so that everything an application wrote can be deleted together.
+    return f"{base.rstrip('/')}/labelq-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
