@@ -99,7 +99,7 @@ def _(spark, sf):
     # rows go to results_<stamp>_randomseed_<seed>_<model>/<dataset>_<noise>_label_issues.csv.
     folder = F.concat(F.lit("results_20240101_randomseed_"), "seed", F.lit("_"), "base_model")
     file = F.concat("dataset", F.lit("_"), "noise_type", F.lit("_label_issues.csv"))
-    wide.select(*cols, folder.alias("run"), file.alias("card")).write.partitionBy("run", "card").csv(path, header=True)
+    wide.select(*cols, folder.alias("run"), file.alias("card")).hint("rebalance", "run", "card").write.partitionBy("run", "card").csv(path, header=True)
     raw = spark.read.schema(readers.DATACARD_SCHEMA).option("recursiveFileLookup", True).csv(path, header=True)
     return readers.with_run_names(raw, r"/run=([^/]+)/", r"/card=([^/]+)/").drop("stamp").select("dataset", "base_model", "noise_type", "seed", *cols)
 
@@ -108,7 +108,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = _scratch(spark, "preds")
     name = F.concat_ws("_", "dataset", "base_model", "noise_type", "method", "seed", F.lit("test_preds.csv"))
-    datacard_long(spark, sf).select(F.col("pred_cleaned").alias("pred"), name.alias("file")).write.partitionBy("file").csv(path)
+    datacard_long(spark, sf).select(F.col("pred_cleaned").alias("pred"), name.alias("file")).hint("rebalance", "file").write.partitionBy("file").csv(path)
     d = readers.predictions(spark, path, r"/file=([^/]+)/", "*.csv")
     return d.groupBy("dataset", "base_model", "noise_type", "method", "seed").agg(F.count("*").alias("n"), F.sum("pred").alias("total"))
 

@@ -28,10 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     Only where that setting is absent (a local test) is a fresh local folder used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="labelq-")
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelq-"))
+        base = sc.getCheckpointDir()
     # One folder per application, so that everything an application wrote can be deleted together.
     return f"{base.rstrip('/')}/labelq-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelq.catalog.registry import load
 from labelq.functions import rand
 from labelq.functions.ordering import flag_first, ranked
+from labelq.operators import neighbours
 from labelq.sources import writers
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,23 @@ def test_stored_runs_are_pruned_by_folder(spark, tmp_path):
 def test_filters_reach_the_scan(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderkey < 10").select("o_custkey")
     assert "LessThan(o_orderkey,10)" in plan(o)
+
+
+def test_copies_are_limited_before_the_shuffle(spark, tmp_path):
+    """Of a hot set of identical vectors each task forwards only the few rows that can matter."""
+    path = str(tmp_path / "v")
+    spark.range(3000).select("id", F.lit(0).alias("label"), F.array(F.lit(1.0), F.lit(0.0)).alias("features")).repartition(4).write.parquet(path)
+    limited = neighbours._limit_copies(neighbours.prepared(spark.read.parquet(path), "cosine", None), 5)
+    text = plan(limited)
+    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+    assert sorted(r["id"] for r in limited.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_scratch_follows_the_session_setting(spark):
+    from labelq.session import scratch_path
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+    if base:
+        assert a.startswith(base)
