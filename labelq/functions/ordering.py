@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKET_SHIFT = 16
+BUCKET_SHIFT = 18  # 2^14 buckets of a 32-bit hash
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str] = (), how: str = "left") -> DataFrame:
@@ -55,9 +55,15 @@ def cut_rows(df: DataFrame, n: Column, order: Column, tie: Column, keys: Sequenc
         F.max(F.when(holds, F.struct("_b", (F.col("n") - before).alias("need")))).alias("e"))
     schema = edges.schema
     found = edges.collect()
-    table = spark.createDataFrame(found, schema)
-    wanted = table.filter("e is not null").select(*keys, "e._b", "e.need", "group_rows", "n")
-    inner = thin.join(F.broadcast(wanted), [*keys, "_b"]).withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", "_t")))
+    some = [r for r in found if r["e"] is not None]
+    if keys:
+        wanted = spark.createDataFrame(some, schema).select(*keys, "e._b", "e.need")
+        inner = thin.join(F.broadcast(wanted), [*keys, "_b"])
+    elif some:
+        inner = thin.filter(F.col("_b") == some[0]["e"]["_b"]).withColumn("need", F.lit(some[0]["e"]["need"]))
+    else:
+        inner = thin.withColumn("need", F.lit(0)).limit(0)
+    inner = inner.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", "_t")))
     rows = inner.filter(F.col("_rn") == F.col("need")).select(*keys, F.col("_o").alias("cut_order"), F.col("_t").alias("cut_tie"))
     cuts = {tuple(r[k] for k in keys): r for r in rows.collect()}
     none = Row(cut_order=None, cut_tie=None)
