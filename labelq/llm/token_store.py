@@ -135,7 +135,8 @@ def chunk_starts(spark: SparkSession, folder: str) -> DataFrame:
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     earlier = F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("_start"))
-    return chunks.join(starts, "part").withColumn("start", F.col("_start") + F.col("before")).drop("_start")
+    # One row per part, and parts are the range partitions of the writing job: a few thousand rows at most.
+    return chunks.join(F.broadcast(starts), "part").withColumn("start", F.col("_start") + F.col("before")).drop("_start")
 
 
 def _documents(schema: pa.Schema):
