@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,13 @@ def texts(column: pa.Array) -> Iterator[str]:
     """The texts of a column one by one; null is the empty text."""
     for x in column:
         yield x.as_py() or ""
+
+
+#: A table is broadcast by hint only after it was counted and has no more rows than this.
+SMALL_ROWS = 100_000
+
+
+def small_join(rows: DataFrame, table_: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join a stored table of counts: broadcast if it was counted to be small, else left to Spark."""
+    small = table_.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(table_) if small else table_, keys, how)
