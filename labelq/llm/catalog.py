@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelq.llm import decontaminate, hamming_search, jaccard_join, language_id, mixing, personal_data, token_counts, token_store, unit_dedup  # noqa: F401
+from labelq.llm import decontaminate, hamming_search, jaccard_join, language_id, mixing, personal_data, repeats, token_counts, token_store, unit_dedup  # noqa: F401
 from labelq.llm.base import ORACLES, QUERIES
 
 
