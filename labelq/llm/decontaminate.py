@@ -63,7 +63,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent: int
     some = pairs.select("doc_id", "_text_hash").distinct()
     same = named["doc_id"].eqNullSafe(some["doc_id"]) & (named["_text_hash"] == some["_text_hash"])
     held = named.join(some, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    held = held.select("doc_id", "_text_hash", F.explode(shingles(words(F.col("text")), k)).alias("_s"))
+    # The words are a column of their own: inside the shingle expression they would be cut anew for each place.
+    held = held.select("doc_id", "_text_hash", words(F.col("text")).alias("_w")).select("doc_id", "_text_hash", F.explode(shingles(F.col("_w"), k)).alias("_s"))
     wanted = listed.select("item_id", F.explode(shingles(F.col("_w"), k)).alias("_s"))
     shared = held.join(wanted, "_s").groupBy("doc_id", "_text_hash", "item_id").agg(F.count("*").alias("n_shared"))
     mine = shared["doc_id"].eqNullSafe(pairs["doc_id"]) & (shared["_text_hash"] == pairs["_text_hash"]) & shared["item_id"].eqNullSafe(pairs["item_id"])
