@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelq.llm import signatures as S
-from labelq.llm.base import batch, query, small_batches, table
+from labelq.llm.base import SMALL_ROWS, batch, query, small_batches, table
 from labelq.llm.components import components
 from labelq.llm.shingle_sets import shingle_sets
 from labelq.session import materialised
@@ -43,15 +43,16 @@ def prefix_length(n, percent: int):
 
 
 def _features(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("inner", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("inner", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {f.name: [] for f in schema}
-            for doc_id, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), k), strict=True):
+            for doc_id, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k), strict=True):
                 cut = int(np.searchsorted(s, np.uint64(1) << QUARTER))
                 n = len(s)
                 out["doc_id"].append(doc_id)
+                out["text_key"].append(key)
                 out["n"].append(n)
                 out["f1"].append(int(s.sum(dtype=np.uint64).astype(np.int64)) if n else 0)
                 out["f2"].append(int(np.bitwise_xor.reduce(s).astype(np.int64)) if n else 0)
@@ -62,8 +63,8 @@ def _features(k: int, percent: int):
 
 
 def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    named = docs.select(F.col("doc_id").cast("long"), "text")
-    return named.mapInArrow(_features(k, percent), "doc_id long, n int, f1 long, f2 long, inner array<long>, rest array<long>")
+    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return named.mapInArrow(_features(k, percent), "doc_id long, text_key long, n int, f1 long, f2 long, inner array<long>, rest array<long>")
 
 
 def _prefixes(percent: int, common):
@@ -260,7 +261,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+    """Per row of ``docs`` (doc_id, text): doc_id, text_key (a hash of the text), n_shingles, component_id.
 
     Rows are linked where 100 * |intersection| >= ``percent`` * |union| of their shingle sets. Texts without words
     (null, empty, white space) have no shingle and no link. Repeated rows keep a row each and share a component;
@@ -270,11 +271,11 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     made = materialised(features(docs, k, percent), "features")
-    thin = made.select("doc_id", "n", "f1", "f2")
+    thin = made.select("doc_id", "text_key", "n", "f1", "f2")
     known = thin.where("n > 0 and doc_id is not null")
     classes = materialised(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
     copies = materialised(known.join(classes.where("rows > 1"), ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id", "n", "f1", "f2"), "copies")
-    few = copies.limit(100_001).count() <= 100_000
+    few = copies.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     reps = made.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, ["doc_id", "n", "f1", "f2"], "left_anti")
     counts = materialised(reps.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     common = spark.sparkContext.broadcast(_common(counts))
@@ -302,9 +303,26 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     placed = classes.join(final, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     out = thin.join(materialised(placed, "placed"), ["n", "f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component of ``near_components``: the one with the smallest doc_id; of repeated rows one.
+
+    Documents without words and rows with a null doc_id all stay. The result has the columns of ``docs``.
+    """
+    found = materialised(near_components(docs, k, percent), "components")
+    gone = materialised(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
+    twice = materialised(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "twice")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    match = (keyed["doc_id"] == gone["doc_id"]) & (keyed["_key"] == gone["text_key"])
+    few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    kept = keyed.join(F.broadcast(gone) if few else gone, match, "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark, sf):
-    return near_components(table(spark, sf, "documents"))
+    return near_components(table(spark, sf, "documents")).drop("text_key")

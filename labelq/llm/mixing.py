@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelq.llm.base import query, table
+from labelq.llm.base import query, small_join, table
 from labelq.session import materialised
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,7 +93,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Add ``_weight`` from the quality labels: doubled for good, halved for bad, 1 where there is no label."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     weight = F.when(F.col("_quality") == 1, QUALITY_WEIGHT[1]).when(F.col("_quality") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
-    return docs.join(one, "doc_id", "left").withColumn("_weight", weight).drop("_quality")
+    return small_join(docs, materialised(one, "quality"), ["doc_id"]).withColumn("_weight", weight).drop("_quality")
 
 
 def mix(docs: DataFrame, quality_weight: Column | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", size: Column | None = None) -> DataFrame:
@@ -111,9 +111,8 @@ def mix(docs: DataFrame, quality_weight: Column | None = None, weights=WEIGHTS,
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("times")).alias("taken"))
 
 
-def repeated(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", quality_weight: Column | None = None) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with all its columns."""
-    names = docs.columns
+def repeated(docs: DataFrame, names: list[str], weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", quality_weight: Column | None = None) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with its columns ``names``."""
     keyed = with_keys(docs, quality_weight, seed)
     thin = materialised(keyed.select("_source", "_size", "_key", "_bucket", "_id"), "mix")
     taken = decided(keyed, materialised(cuts(thin, weights, most), "cuts")).where("times > 0")
