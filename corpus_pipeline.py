@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelq.llm import decontaminate, jaccard_join, language_id, mixing, token_store
 from labelq.llm.base import table
@@ -34,8 +33,7 @@ def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and select documents to the sources' target weights; the better labelled come first."""
-    weighed = mixing.quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mixing.repeated(weighed, docs.columns, quality_weight=F.col("_weight"))
+    return mixing.repeated(docs, table(spark, sf_dir, "labels"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,10 +314,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = materialised(near_components(docs, k, percent), "components")
     gone = materialised(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
     twice = materialised(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "twice")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    match = (keyed["doc_id"] == gone["doc_id"]) & (keyed["_key"] == gone["text_key"])
+    match = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
     few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    kept = keyed.join(F.broadcast(gone) if few else gone, match, "left_anti").select(*docs.columns)
+    kept = docs.join(F.broadcast(gone) if few else gone, match, "left_anti")
     if twice.isEmpty():
         return kept
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

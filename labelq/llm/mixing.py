@@ -111,12 +111,18 @@ def mix(docs: DataFrame, quality_weight: Column | None = None, weights=WEIGHTS,
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("times")).alias("taken"))
 
 
-def repeated(docs: DataFrame, names: list[str], weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", quality_weight: Column | None = None) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with its columns ``names``."""
-    keyed = with_keys(docs, quality_weight, seed)
+def repeated(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    ``labels`` (doc_id, quality) weighs the documents; without it all weigh the same.
+    """
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    if labels is not None:
+        packed = quality_weights(packed, labels)
+    keyed = with_keys(packed, None if labels is None else F.col("_weight"), seed)
     thin = materialised(keyed.select("_source", "_size", "_key", "_bucket", "_id"), "mix")
     taken = decided(keyed, materialised(cuts(thin, weights, most), "cuts")).where("times > 0")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*names)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")
 
 
 SQL = r"""WITH d AS (

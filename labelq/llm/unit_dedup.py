@@ -73,7 +73,7 @@ def per_document(lines: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with removed lines cut out of the text; ``removed_spans`` keeps their places in the original."""
+    """``docs`` with removed lines cut out of the text; ``_gone`` has their places (start, end) in the original."""
     gone = per_document(flagged(docs, least_words)).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed_spans")
     return _cut(docs, gone)
 
@@ -99,9 +99,10 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
             return "\n".join(lines)
         return pd.Series([one(x, s) for x, s in zip(text, spans, strict=True)])
 
-    keyed = docs.withColumn("_k", key("text"))
+    keyed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"), key("text").alias("_k"))
     joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_k"] == gone["_key"]), "left")
-    return joined.withColumn("text", kept("text", "removed_spans")).select(*docs.columns, "removed_spans")
+    cut = F.col("_row").withField("text", kept(keyed["text"], "removed_spans"))
+    return joined.select(cut.alias("_row"), F.col("removed_spans").alias("_gone")).select("_row.*", "_gone")
 
 
 SQL = r"""WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
