@@ -28,11 +28,8 @@ def query(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. One whose scan has fewer tasks than there are slots is spread over the slots;
-    a large table has more tasks than that and is scanned in place, without a shuffle."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """A given table, scanned in place; how many tasks a scan has is set by the session."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # ---- SQL text helpers ----

@@ -126,7 +126,7 @@ ROUNDS = 10
 fragment("triples", f"""SELECT l1, l2, l3, count(*)/(any_value(m)*{ROUNDS}) AS share FROM (SELECT r, id, any_value(label) AS l1, max(nl) FILTER (WHERE rk=1) AS l2, max(nl) FILTER (WHERE rk=2) AS l3, any_value(m) AS m FROM (
  SELECT a.r, a.id, a.label, b.label AS nl, a.m, row_number() OVER (PARTITION BY a.r, a.id ORDER BY round(1-list_dot_product(a.features,b.features),9), b.id) AS rk FROM picked a JOIN picked b ON a.r=b.r AND a.id<>b.id) WHERE rk<=2 GROUP BY r, id) GROUP BY l1, l2, l3""", "noisy_structured")
 fragment("picked", f"""SELECT *, count(*) OVER (PARTITION BY r) AS m FROM (SELECT s.*, r, row_number() OVER (PARTITION BY r ORDER BY {H('consensus', 'r', 's.id')}, s.id) AS rn FROM noisy_structured s, (SELECT unnest(range({ROUNDS}))::INT AS r))
- WHERE rn <= least(3000, floor((SELECT count(*) FROM noisy_structured)/4))""", "noisy_structured")
+ WHERE rn <= floor((SELECT count(*) FROM noisy_structured)/4)""", "noisy_structured")
 from labelq.catalog.base import SQL  # noqa: E402
 
 SQL["triples"] = (SQL["triples"][0], ("picked",))
@@ -194,10 +194,12 @@ def centroids(spark, sf):
  round({EUCLID},6) AS euclidean, round({EUCLID}*{EUCLID},6) AS squared FROM lab_structured a, centroids b""")
 def _(spark, sf):
     d = lab_structured(spark, sf)
-    few = centroids(spark, sf).agg(F.collect_list(F.struct(F.col("id").alias("point"), F.col("features").alias("v"))).alias("p"))
-    wide = d.withColumn("p", F.explode(few.scalar()))
-    m = lambda name: F.round(arrays.distance("features", F.col("p.v"), name), 6)
-    return wide.select("id", "p.point", m("cosine").alias("cosine"), m("euclidean").alias("euclidean"), m("sqeuclidean").alias("squared"))
+    centres = materialised(centroids(spark, sf), "centres")
+    out = None
+    for name, metric in (("cosine", "cosine"), ("euclidean", "euclidean"), ("squared", "sqeuclidean")):
+        one = neighbours.pairwise_distance(d, centres, metric).withColumn(name, F.round("dist", 6)).drop("dist")
+        out = one if out is None else out.join(one, ["id", "point"])
+    return out
 
 
 fragment("centres", f"SELECT id AS cell, features FROM lab_structured ORDER BY {H('centre', 'id')}, id LIMIT 8", "lab_structured")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays
 from labelq.functions.ordering import attach, quantile
+from labelq.operators.neighbours import knn as nearest_rows
 from labelq.operators.noise import class_grid
 from labelq.operators.sampling import class_counts, sample_rounds
+from labelq.session import materialised
 
 EPS = 1e-8
 
@@ -80,27 +81,20 @@ def both_flags(vote: DataFrame, rank: DataFrame) -> DataFrame:
     return vote.join(r, "id").select("id", (F.col("label_issue") * F.col("_r")).alias("label_issue"))
 
 
-def consensus_counts(df: DataFrame, sample: int | Column, rounds: int, tag: str = "consensus", bound: int = 3000) -> DataFrame:
+def consensus_counts(df: DataFrame, sample: int | Column, rounds: int, tag: str = "consensus") -> DataFrame:
     """(l1, l2, l3, share): label of a row, its nearest and second nearest, averaged over samples.
 
-    Every round draws ``sample`` rows (at most ``bound``) and searches inside the sample, so one
-    round is one bounded group.
+    Every round draws exactly ``sample`` rows (all, if there are fewer) and searches inside the sample; all rounds
+    are one search in groups, cut into blocks like any other.
     """
-    size = F.least(sample if not isinstance(sample, int) else F.lit(sample), F.lit(bound))
-    drawn = sample_rounds(df.select("id", "label", "features"), size, rounds, tag)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack([np.asarray(v, float) for v in pdf["features"]])
-        x = x / np.sqrt((x * x).sum(1))[:, None]
-        y = pdf["label"].to_numpy()
-        dist = np.round(1.0 - x @ x.T, 9)
-        np.fill_diagonal(dist, np.inf)
-        two = np.argsort(dist, axis=1, kind="stable")[:, :2]
-        out = pd.DataFrame({"l1": y, "l2": y[two[:, 0]], "l3": y[two[:, 1]]})
-        return out.groupby(["l1", "l2", "l3"], as_index=False).size().rename(columns={"size": "n"}).assign(round=key[0], m=len(pdf))
-
-    counts = drawn.groupBy("round").applyInPandas(run, "l1 int, l2 int, l3 int, n long, round int, m long")
+    size = F.lit(sample) if isinstance(sample, int) else sample
+    drawn = materialised(sample_rounds(df.select("id", "label", "features"), size, rounds, tag), "rounds")
+    found = nearest_rows(drawn, drawn, 2, query_group="round", data_group="round", keep_group=True)
+    nearest = lambda r: F.max(F.when(F.col("rank") == r, F.col("nbr_label")))
+    three = found.groupBy("grp", "id").agg(F.max("label").alias("l1"), nearest(1).alias("l2"), nearest(2).alias("l3"))
+    counts = three.filter("l3 is not null").groupBy("grp", "l1", "l2", "l3").agg(F.count("*").alias("n"))
+    # K^3 counts a round.
+    counts = counts.withColumn("m", F.sum("n").over(W.partitionBy("grp")))
     return counts.groupBy("l1", "l2", "l3").agg((F.sum(F.col("n") / F.col("m")) / rounds).alias("share"))
 
 
@@ -202,15 +196,19 @@ def cell_transitions(df: DataFrame, centres: DataFrame, n_classes: int) -> DataF
     return m.select("cell", "label", "noisy_label", (share * local + (1 - share) * average).alias("prob"))
 
 
-def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, sample: int = 3000, steps: int = 1000,
+def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, sample: int | None = None, steps: int = 1000,
            min_similarity: float = 0.45, offset: float = 2.5, method: str = "both") -> DataFrame:
-    """(id, label_issue) by neighbour vote (``mv``), class-wise rank (``rank``) or both."""
+    """(id, label_issue) by neighbour vote (``mv``), class-wise rank (``rank``) or both.
+
+    A round of the transition estimate draws a quarter of the rows, or ``sample`` rows if that is given and fewer.
+    """
     dist = label_distribution(knn, n_classes, min_similarity)
     vote = majority_flags(dist)
     if method == "mv":
         return vote
-    quarter = F.greatest(F.least(F.lit(sample), F.floor(F.col("group_rows") / 4)), F.lit(3))
-    t, p = estimate_transition(consensus_counts(df, quarter, rounds, bound=sample), n_classes, steps)
+    quarter = F.floor(F.col("group_rows") / 4)
+    drawn = F.greatest(quarter if sample is None else F.least(F.lit(sample), quarter), F.lit(3))
+    t, p = estimate_transition(consensus_counts(df, drawn, rounds), n_classes, steps)
     keep = posterior_true_given_noisy(t, p, class_counts(df, "label")).filter("label = noisy_label").select("label", F.col("prob").alias("keep"))
     rank = rank_flags(scores(dist), keep, offset)
     return rank if method == "rank" else both_flags(vote, rank)

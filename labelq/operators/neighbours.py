@@ -34,10 +34,16 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def _cityblock(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|x-y|_1 in slices of x, so that the differences held at once stay bounded."""
+    step = max(1, 4_000_000 // max(1, y.size))
+    return np.concatenate([np.abs(x[s:s + step, None, :] - y[None, :, :]).sum(2) for s in range(0, len(x), step)]) if len(x) else np.zeros((0, len(y)))
+
+
 def _root_distance(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     """Distances in the space where the triangle inequality holds: |x-y|_1, or Euclid."""
     if metric == "cityblock":
-        return np.abs(x[:, None, :] - y[None, :, :]).sum(2)
+        return _cityblock(x, y)
     square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
     return np.sqrt(np.maximum(square, 0.0))
 
@@ -60,7 +66,7 @@ def _block(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     if metric == "inner":
         return -(x @ y.T)
     if metric == "cityblock":
-        return np.abs(x[:, None, :] - y[None, :, :]).sum(2)
+        return _cityblock(x, y)
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
 
 
@@ -158,9 +164,7 @@ def layout(data: DataFrame, metric: str, block_rows: int = BLOCK_ROWS, max_cells
         anchors = np.array([r["vec"] for r in rows], dtype=float)
         if not len(anchors):
             anchors = np.zeros((1, 1))
-    placed = _assigned(data, metric, anchors)
-    if n_cells > 1:  # the placement is used several times
-        placed = materialised(placed, "cells")
+    placed = materialised(_assigned(data, metric, anchors), "cells")
     stats = placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
     # Widened by a rounding margin, so that a bound never cuts off an exact tie.
     cells = Cells(metric, anchors, [(s["grp"], s["cell"], s["n"], s["lo"] - 1e-7, s["hi"] + 1e-7) for s in stats], block_rows)
@@ -244,7 +248,7 @@ def _search(probes: DataFrame, data: DataFrame, kernel, schema: str, block_rows:
 
 
 def _topk_kernel(metric: str, k: int, exclude_self: bool):
-    columns = ["id", "label", "nbr_id", "nbr_label", "dist"]
+    columns = ["grp", "id", "label", "nbr_id", "nbr_label", "dist"]
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
@@ -269,20 +273,12 @@ def _topk_kernel(metric: str, k: int, exclude_self: bool):
             place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
             keep = place < k
             r, c, exact = r[keep], c[keep], exact[keep]
-            out.append(pd.DataFrame({"id": own[r], "label": part["label"].to_numpy()[r], "nbr_id": ids[c], "nbr_label": labels[c], "dist": exact}))
+            out.append(pd.DataFrame({"grp": part["grp"].to_numpy()[r], "id": own[r], "label": part["label"].to_numpy()[r], "nbr_id": ids[c], "nbr_label": labels[c], "dist": exact}))
         return pd.concat(out, ignore_index=True)[columns]
 
     return run
 
 
-def _one_block(q: DataFrame, points: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
-    """Search when all data fit one block: only the queries are cut into chunks, by their counted number."""
-    chunks = max(1, -(-q.select("id").count() // block_rows))
-    p = q.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    d = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    return _together(p, d, ["grp", "chunk"], kernel, schema)
-
-
 def knn(
     queries: DataFrame,
     data: DataFrame,
@@ -291,31 +287,30 @@ def knn(
     query_group: str | None = None,
     data_group: str | None = None,
     exclude_self: bool = True,
+    keep_group: bool = False,
     block_rows: int = BLOCK_ROWS,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """(id, label, rank, nbr_id, nbr_label, dist): the k nearest rows of ``data``, ranks from 1.
 
     Distances are rounded to 9 digits and ties go to the lower id. With groups, a query only meets
-    data of its own group (few groups: classes).
+    data of its own group (few groups: classes, rounds); ``keep_group`` adds it as ``grp``, so that a row
+    may be asked in several groups.
     """
     points, q = prepared(data, metric, data_group), prepared(queries, metric, query_group)
     types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
-    schema = f"id {types['id']}, label {types['label']}, nbr_id {dict(points.dtypes)['id']}, nbr_label {dict(points.dtypes)['label']}, dist double"
+    schema = f"grp long, id {types['id']}, label {types['label']}, nbr_id {dict(points.dtypes)['id']}, nbr_label {dict(points.dtypes)['label']}, dist double"
     kernel = _topk_kernel(metric, k, exclude_self)
-    w = W.partitionBy("id").orderBy("dist", "nbr_id")
-    out = ("id", "label", "rank", "nbr_id", "nbr_label", "dist")
-    if points.select("id").count() <= block_rows:
-        found = _one_block(q, points, kernel, schema, block_rows)
-        return found.withColumn("rank", F.row_number().over(w)).select(*out)
+    w = W.partitionBy("grp", "id").orderBy("dist", "nbr_id")
+    out = (*(["grp"] if keep_group else []), "id", "label", "rank", "nbr_id", "nbr_label", "dist")
     points = materialised(_limit_copies(points, k + int(exclude_self)), "points")
     cells, blocks = layout(points, metric, block_rows, max_cells)
     found = _search(_probes(q, cells, True), blocks, kernel, schema, block_rows)
     if cells.blocks > 1:
         found = materialised(found, "near")
-        bound = found.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-        bound = bound.select("id", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
-        rest = materialised(_probes(q.join(bound, "id", "left"), cells, False), "probes")
+        bound = found.groupBy("grp", "id").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
+        bound = bound.select("grp", "id", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
+        rest = materialised(_probes(q.join(bound, ["grp", "id"], "left"), cells, False), "probes")
         found = found.unionByName(_search(rest, blocks, kernel, schema, block_rows))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*out)
 
@@ -355,11 +350,8 @@ def within_radius(
         return pd.concat(out, ignore_index=True)[cols]
 
     schema = f"id {idt}, n long, nbr_id {idt}, score double"
-    if points.select("id").count() <= block_rows:
-        rows = _one_block(q, points, run, schema, block_rows)
-    else:
-        cells, blocks = layout(points, "euclidean", block_rows, max_cells)
-        rows = _search(_probes(q, cells, False, radius), blocks, run, schema, block_rows)
+    cells, blocks = layout(points, "euclidean", block_rows, max_cells)
+    rows = _search(_probes(q, cells, False, radius), blocks, run, schema, block_rows)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("nbr_id")))
     return rows.groupBy("id").agg(F.sum("n").alias("n_within"), best.alias("_b")).select("id", "n_within", F.col("_b.nbr_id").alias("nbr_id"), (-F.col("_b.s")).alias("score"))
 
@@ -383,8 +375,6 @@ def diameter(df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_C
             best = max(best, float(_reported(x[start + i:start + i + 1], y[j:j + 1], "euclidean")[0]))
         return pd.DataFrame({"far": [best]})
 
-    if points.select("id").count() <= block_rows:
-        return _one_block(points, points, run, "far double", block_rows).agg(F.max("far")).first()[0] or 0.0
     cells, blocks = layout(points, "euclidean", block_rows, max_cells)
     known = max(float(_root_distance(cells.anchors, cells.anchors, "euclidean").max()), float(cells.hi.max()) - 1e-7)
     anchors, hi, cell, parts = cells.anchors, cells.hi, cells.cell, cells.parts

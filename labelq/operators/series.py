@@ -201,9 +201,12 @@ def place_anomaly(peaks: DataFrame, window: DataFrame, lengths_: DataFrame, max_
 # ---- anomalies ----
 
 def channel_correlation(series: DataFrame, chosen: int = 0, root: float = 5.0) -> DataFrame:
-    """(id, channel, corr): correlation with the chosen channel, sign(c)*|c|^(1/root), undefined as 0."""
+    """(id, channel, corr): correlation with the chosen channel, sign(c)*|c|^(1/root), undefined as 0.
+
+    Every channel of every series has a row; one of a series without the chosen channel correlates with nothing.
+    """
     base = series.filter(F.col("channel") == chosen).select("id", "t", F.col("value").alias("_y"))
-    c = series.join(base, ["id", "t"]).groupBy("id", "channel").agg(F.corr("value", "_y").alias("c"), F.max("channel").alias("_x"))
+    c = series.join(base, ["id", "t"], "left").groupBy("id", "channel").agg(F.corr("value", "_y").alias("c"), F.max("channel").alias("_x"))
     c = c.withColumn("c", F.when(F.isnan("c"), None).otherwise(F.col("c")))
     return c.select("id", "channel", F.coalesce(F.signum("c") * F.pow(F.abs("c"), F.lit(1.0 / root)), F.lit(0.0)).alias("corr"))
 
@@ -220,14 +223,14 @@ def _spot(series: DataFrame, place: DataFrame) -> DataFrame:
 def spikes(series: DataFrame, corr: DataFrame, p: float = 0.5, scale: float = 2.0, tag: str = "spikes") -> DataFrame:
     """(.., value, label): a spike with probability p at every step, shared by the channels up to their correlation."""
     hit = (rand.uniform(tag + "/hit", "id", "t") < p).cast("int") * F.lit(scale) * rand.normal(tag, "id", "t")
-    j = series.join(corr, ["id", "channel"]).withColumn("_spike", hit)
+    j = series.join(corr, ["id", "channel"], "left").withColumn("corr", F.coalesce("corr", F.lit(0.0))).withColumn("_spike", hit)
     return j.select("id", "channel", "t", (F.col("value") + F.col("_spike") * F.col("corr")).alias("value"), (F.abs("_spike") > 0.05).cast("int").alias("label"))
 
 
 def contextual(series: DataFrame, place: DataFrame, corr: DataFrame, scale: float = 2.0, tag: str = "contextual") -> DataFrame:
     """Inside the window x becomes x + (a*x + b - x)*corr, with one random line per series."""
     a, b = 1.0 + F.lit(scale) * rand.normal(tag + "/a", "id"), F.lit(scale) * rand.normal(tag + "/b", "id")
-    j = _spot(series, place).join(corr, ["id", "channel"])
+    j = _spot(series, place).join(corr, ["id", "channel"], "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
     x = F.col("value")
     return j.select("id", "channel", "t", F.when(_inside(), x + (a * x + b - x) * F.col("corr")).otherwise(x).alias("value"))
 
@@ -352,8 +355,8 @@ def anomaly_size_nearest(series: DataFrame, noisy: DataFrame, rows: int = 4096)
 
 
 def anomaly_labels(series: DataFrame, place: DataFrame, widen: int = MIN_WINDOW) -> DataFrame:
-    """(id, t, label): 1 in the window and ``widen`` steps on both sides."""
-    steps = series.filter("channel = 0").select("id", "t")
+    """(id, t, label): 1 in the window and ``widen`` steps on both sides, for every step of any channel."""
+    steps = series.select("id", "t").distinct()
     j = steps.join(place.select("id", "s", "e"), "id", "left")
     hit = (F.col("t") >= F.col("s") - widen) & (F.col("t") < F.col("e") + widen)
     return j.select("id", "t", F.coalesce(hit, F.lit(False)).cast("int").alias("label"))

@@ -16,7 +16,7 @@ from labelq.session import materialised
 DEFAULTS = {
     "aum": {"alpha": 0.01},
     "cincer": {"inspector": "margin", "threshold": 0.25},
-    "simifeat": {"k": 10, "rounds": 10, "sample": 3000, "steps": 1000, "min_similarity": 0.45, "offset": 2.5, "method": "both"},
+    "simifeat": {"k": 10, "rounds": 10, "sample": None, "steps": 1000, "min_similarity": 0.45, "offset": 2.5, "method": "both"},
     "cleanlab": {"folds": 5},
 }
 
@@ -40,7 +40,7 @@ def by_margin(df: DataFrame, n_classes: int, inspector: str, threshold: float) -
     return flagged.select("id", F.col("suspicious").alias("label_issue"))
 
 
-def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: int, steps: int, min_similarity: float, offset: float, method: str) -> DataFrame:
+def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: int | None, steps: int, min_similarity: float, offset: float, method: str) -> DataFrame:
     """Neighbour vote and class-wise rank on the given features."""
     found = materialised(neighbours.knn(df, df, k - 1), "knn")
     return consensus.detect(df, found, n_classes, rounds, sample, steps, min_similarity, offset, method)

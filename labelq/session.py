@@ -15,6 +15,8 @@ def local_session(name: str = "labelq", cpus: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", str(cpus))
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -26,17 +28,25 @@ def local_session(name: str = "labelq", cpus: int = 8) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test) is a fresh local folder used.
+    Only where that setting is absent and the master is local (a test) is a fresh local folder used.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelq-"))
         base = sc.getCheckpointDir()
     # One folder per application, so that everything an application wrote can be deleted together.
     return f"{base.rstrip('/')}/labelq-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder; call it when its results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x").rsplit("/", 1)[0])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate that is read several times to the shared folder; it outlives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -24,7 +24,7 @@ def read_datacard(spark: SparkSession, path: str) -> DataFrame:
 def metrics_csv(train: DataFrame, test: DataFrame, path: str) -> None:
     """Train and test metrics in one CSV folder with a ``split`` column."""
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    both.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    both.write.mode("overwrite").csv(path, header=True)
 
 
 def pending_runs(grid: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
