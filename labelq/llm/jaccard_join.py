@@ -2,18 +2,20 @@
 
 1. Sets. Every text becomes a set of hashed shingles. Texts with the same set are one class, represented by the
    smallest doc_id; only representatives go on.
-2. Forest. In any global order of tokens, two sets with enough overlap share a token among their first
-   n - ceil(n * percent / 100) + 1. The order puts tokens that many sets share last. Each shared token of these
-   prefixes is the root of a signature tree over the sets that have it; a tree above ``TREE_ROWS`` is cut into
-   parts, and pairs of parts are separate tasks.
-3. Traversal. Inside a tree, pairs of nodes are ruled out by size ranges and by the largest possible overlap of
-   their OR-combined bitmaps. A first traversal sends on a spanning forest of the pairs that remain, best first;
-   these are verified on the full sets. A second one leaves out pairs of one component and sends on all others.
-   So a group of thousands of near copies costs a few checks a member and not one for each pair.
-4. Components of the verified links, with the smallest doc_id as their name.
-
-Nothing is sampled or capped: the order of tokens, sizes of trees and components found early decide how much
-work is done, never which pairs are linked.
+2. Trees. In any global order of tokens, two sets with enough overlap share a token among their first
+   n - ceil(n * percent / 100) + 1. The order puts tokens that many sets share last. The sets that share a token
+   of these prefixes form a signature tree; tokens shared by the same sets are one tree, and a tree above
+   ``TREE_ROWS`` is cut into parts, whose pairs are separate tasks. The dual traversal of a tree rules out pairs of
+   nodes by size ranges and by the largest possible overlap of their OR-combined bitmaps of half the tokens.
+   A spanning forest of the pairs that remain leaves the task; its components are families.
+3. Families. Linked sets are always in one family. Its full sets come together, in signature trees with bitmaps of
+   all tokens; pairs that the traversal leaves and that are not connected yet are compared exactly. Large families
+   are cut into parts by size band and hash, and only parts of the same or the next band meet. Again a spanning
+   forest, now of links, leaves the task.
+4. Components of these links, with the smallest doc_id as their name.
+
+Nothing is sampled or capped: the order of tokens, sizes of trees and links found early decide how much work is
+done, never which sets end up connected. A group of thousands of near copies never becomes a list of all its pairs.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from labelq.llm.components import components
 from labelq.llm.shingle_sets import shingle_sets
 from labelq.session import materialised
 
-QUARTER = np.uint64(62)  # tokens whose two highest bits are zero: the quarter that is counted and that bitmaps show
+QUARTER = np.uint64(62)  # tokens whose two highest bits are zero: the quarter of the hash space that is counted
+HALF = np.uint64(63)  # tokens whose highest bit is zero: the half that the bitmaps of step 2 show
 COMMON = 64  # tokens of more sets than this come last in the order
 COMMON_LISTED = 1 << 20  # most tokens in that list, which every task gets; a longer one is cut at a higher count
 TREE_ROWS = 2048
+LISTED = 64  # up to so many sets of a token are gathered as a list, so that equal lists become one tree
 BULK = 32  # trees of up to this many sets are one leaf node and are handled together
+FAMILY_ROWS, FAMILY_TOKENS = 1024, 1 << 21  # most of a family, or of one of its parts, in one tree
 
 
 def prefix_length(n, percent: int):
@@ -43,7 +48,7 @@ def prefix_length(n, percent: int):
 
 
 def _features(k: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("inner", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("m", pa.int32()), ("sig", pa.binary()), ("inner", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,6 +61,9 @@ def _features(k: int, percent: int):
                 out["n"].append(n)
                 out["f1"].append(int(s.sum(dtype=np.uint64).astype(np.int64)) if n else 0)
                 out["f2"].append(int(np.bitwise_xor.reduce(s).astype(np.int64)) if n else 0)
+                shown = s[:int(np.searchsorted(s, np.uint64(1) << HALF))]
+                out["m"].append(len(shown))
+                out["sig"].append(S.bitmap(shown, 2 * n) if n else b"")
                 out["inner"].append(s[:cut].view(np.int64))
                 out["rest"].append(s[cut:cut + prefix_length(n, percent)].view(np.int64) if n else [])
             yield batch(schema, out)
@@ -64,11 +72,11 @@ def _features(k: int, percent: int):
 
 def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return named.mapInArrow(_features(k, percent), "doc_id long, text_key long, n int, f1 long, f2 long, inner array<long>, rest array<long>")
+    return named.mapInArrow(_features(k, percent), "doc_id long, text_key long, n int, f1 long, f2 long, m int, sig binary, inner array<long>, rest array<long>")
 
 
 def _prefixes(percent: int, common):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("first", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
@@ -79,7 +87,7 @@ def _prefixes(percent: int, common):
                 at = np.searchsorted(late, inner)
                 hot = (at < len(late)) & (late[np.minimum(at, len(late) - 1)] == inner) if len(late) else np.zeros(len(inner), bool)
                 order = np.concatenate([inner[~hot], rest, inner[hot]])[:prefix_length(n, percent)]
-                for name, v in zip(out, (doc_id, n, len(inner), int(inner[0] if len(inner) else rest[0]), S.bitmap(inner.view(np.uint64), n), order), strict=True):
+                for name, v in zip(out, (doc_id, int(inner[0] if len(inner) else rest[0]), order), strict=True):
                     out[name].append(v)
             yield batch(schema, out)
     return run
@@ -99,132 +107,200 @@ def _common(counts: DataFrame) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy())
 
 
-def _forest(percent: int, spanning: bool):
-    """Candidate pairs of the trees in a partition sorted by (token, part); see the module's text, step 3."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def levels(r: dict, rows: np.ndarray, w: int) -> S.Level:
-        bits = np.frombuffer(b"".join(S.folded(np.frombuffer(r["sig"][x], "<u8")[None, :], w).tobytes() for x in rows), "<u8").reshape(len(rows), -1)
-        seen = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        n, m, comp = r["n"][rows], r["m"][rows], r["comp"][rows]
-        return S.Level(bits, m - seen, n - m, n, n, comp, comp)
-
-    def bulk(r: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
-        """All pairs of rows inside small trees, checked together: (tree, i, j, bound)."""
-        rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, int)
-        stop = np.repeat(ends, ends - starts)
-        later = stop - rows - 1
-        i = np.repeat(rows, later)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
-        cross = (r["side"][i] != r["side"][j]) | (r["side"][i] == 0)
-        low, high = np.minimum(r["n"][i], r["n"][j]), np.maximum(r["n"][i], r["n"][j])
-        ok = cross & (100 * low >= percent * high) & (r["comp"][i] != r["comp"][j]) & (r["id"][i] != r["id"][j])
-        i, j = i[ok], j[ok]
-        klass = np.minimum(r["w"][i], r["w"][j])
-        for w in np.unique(klass):
-            mine = klass == w
-            need, place = np.unique(np.concatenate([i[mine], j[mine]]), return_inverse=True)
-            level = levels(r, need, int(w))
-            x, y = place[:mine.sum()], place[mine.sum():]
-            good, most = S.possible(level, x, level, y, percent)
-            yield i[mine][good], j[mine][good], most[good]
-
-    def big(r: dict, s: int, e: int) -> Iterator[tuple]:
-        """One larger tree, or the cross of two parts: one traversal for each pair of bitmap widths that can meet."""
-        sides = [np.arange(s, e)] if not r["side"][s:e].any() else [s + np.flatnonzero(r["side"][s:e] == x) for x in (1, 2)]
-        by_width = [{int(w): x[r["w"][x] == w] for w in np.unique(r["w"][x])} for x in sides]
-        left, right = by_width[0], by_width[-1]
-        for u, xs in left.items():
-            for v, ys in right.items():
-                if abs(u - v) > 1 or (len(sides) == 1 and u > v):
-                    continue
-                xs, ys = (x[np.lexsort((r["n"][x], r["first"][x]))] for x in (xs, ys))
-                w = min(u, v)
-                alone = len(sides) == 1 and u == v
-                for i, j, most in S.traverse(S.tree(levels(r, xs, w)), None if alone else S.tree(levels(r, ys, w)), percent):
-                    yield xs[i], ys[j], most
-
-    def spanned(r: dict, i: np.ndarray, j: np.ndarray, most: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Indices of pairs that connect something new inside their tree, the likeliest first."""
-        share = most / np.maximum(r["n"][i] + r["n"][j] - most, 1)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        keep = []
-        for t in np.lexsort((r["id"][j], r["id"][i], -share, group[i])).tolist():
-            x, y = root(int(i[t])), root(int(j[t]))
-            if x != y:
-                parent[y] = x
-                keep.append(t)
-        return np.array(keep, dtype=np.int64)
-
-    def trees(r: dict) -> pa.RecordBatch | None:
-        change = np.flatnonzero((r["token"][1:] != r["token"][:-1]) | (r["part"][1:] != r["part"][:-1])) + 1
-        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(r["token"])]])
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        size = ends - starts
-        found = [x for s, e in zip(starts[size > BULK], ends[size > BULK], strict=True) for x in big(r, int(s), int(e))]
-        some = (size > 1) & (size <= BULK)
-        found += bulk(r, starts[some], ends[some])
-        if not found:
-            return None
-        i, j, most = (np.concatenate(x) for x in zip(*found, strict=True))
-        if spanning and len(i):
-            keep = spanned(r, i, j, most, group)
-            i, j = i[keep], j[keep]
-        a, b = np.minimum(r["id"][i], r["id"][j]), np.maximum(r["id"][i], r["id"][j])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return batch(schema, {"a": pairs[:, 0], "b": pairs[:, 1]})
+def _levels(r: dict, rows: np.ndarray, w: int) -> S.Level:
+    bits = np.frombuffer(b"".join(S.folded(np.frombuffer(r["sig"][x], "<u8")[None, :], w).tobytes() for x in rows), "<u8").reshape(len(rows), -1)
+    seen = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    n, m, own = r["n"][rows], r["m"][rows], r["id"][rows]
+    return S.Level(bits, m - seen, n - m, n, n, own, own)
+
+
+def _small_trees(r: dict, starts: np.ndarray, ends: np.ndarray, percent: int) -> Iterator[tuple]:
+    """All pairs of rows inside small trees, checked together: (i, j, bound)."""
+    if not len(starts):
+        return
+    rows = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)])
+    later = np.repeat(ends, ends - starts) - rows - 1
+    i = np.repeat(rows, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    low, high = np.minimum(r["n"][i], r["n"][j]), np.maximum(r["n"][i], r["n"][j])
+    cross = (r["side"][i] != r["side"][j]) | (r["side"][i] == 0)
+    ok = cross & (100 * low >= percent * high) & (r["id"][i] != r["id"][j])
+    i, j = i[ok], j[ok]
+    klass = np.minimum(r["w"][i], r["w"][j])
+    for w in np.unique(klass):
+        mine = klass == w
+        need, place = np.unique(np.concatenate([i[mine], j[mine]]), return_inverse=True)
+        level = _levels(r, need, int(w))
+        x, y = place[:mine.sum()], place[mine.sum():]
+        good, most = S.possible(level, x, level, y, percent)
+        yield i[mine][good], j[mine][good], most[good]
+
+
+def _large_tree(r: dict, s: int, e: int, percent: int) -> Iterator[tuple]:
+    """One larger tree, or the cross of two parts: one traversal for each pair of bitmap widths that can meet."""
+    side = r["side"][s:e]
+    sides = [s + np.flatnonzero(side == x) for x in (1, 2)] if side.any() else [np.arange(s, e)]
+    by_width = [{int(w): x[r["w"][x] == w] for w in np.unique(r["w"][x])} for x in sides]
+    for u, own in by_width[0].items():
+        for v, other in by_width[-1].items():
+            if abs(u - v) > 1 or (len(sides) == 1 and u > v):
+                continue
+            # Sets of one family lie next to each other, so that nodes stay thin.
+            xs, ys = (x[np.lexsort((r["n"][x], r["first"][x]))] for x in (own, other))
+            alone = len(sides) == 1 and u == v
+            a = S.tree(_levels(r, xs, min(u, v)))
+            b = None if alone else S.tree(_levels(r, ys, min(u, v)))
+            for i, j, most in S.traverse(a, b, percent):
+                yield xs[i], ys[j], most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def work(rows: pa.Table) -> pa.RecordBatch | None:
-            r = {x: rows.column(x).to_numpy() for x in ("token", "part", "side", "id", "n", "m", "first", "comp")}
-            r["n"], r["m"] = r["n"].astype(np.int64), r["m"].astype(np.int64)
-            r["sig"], r["w"] = rows.column("sig").to_pylist(), S.width_class(r["n"])
-            return trees(r)
+class _Joined:
+    """Union-find over ids."""
 
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) < 20_000 and sum(x.nbytes for x in held) < 1 << 25:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal keys."""
+    change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return np.concatenate([[0], change]), np.concatenate([change, [len(keys[0])]])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int, size: int) -> Iterator[pa.Table]:
+    """Tables of a sorted partition that hold whole groups of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < size:
+            continue
+        t = pa.Table.from_batches(held)
+        starts, _ = _groups([t.column(k).to_numpy() for k in keys])
+        if starts[-1]:
+            yield t.slice(0, int(starts[-1]))
+            held = t.slice(int(starts[-1])).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    found = np.array(sorted({(min(p), max(p)) for p in pairs}), np.int64).reshape(-1, 2)
+    return batch(PAIRS, {"a": found[:, 0], "b": found[:, 1]})
+
+
+def _candidate_forest(percent: int):
+    """Step 2 in a partition sorted by (token, part): spanning forests of the pairs that the trees leave."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ("token", "part"), 20_000, 1 << 25):
+            r = {x: t.column(x).to_numpy() for x in ("token", "part", "side", "id", "first")}
+            r["n"], r["m"] = (t.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
+            r["sig"], r["w"] = t.column("sig").to_pylist(), S.width_class(2 * r["n"])
+            starts, ends = _groups([r["token"], r["part"]])
+            size = ends - starts
+            some = (size > 1) & (size <= BULK)
+            found = [x for s, e in zip(starts[size > BULK].tolist(), ends[size > BULK].tolist(), strict=True) for x in _large_tree(r, s, e, percent)]
+            found += _small_trees(r, starts[some], ends[some], percent)
+            if not found:
                 continue
-            rows = pa.Table.from_batches(held)
-            token, part = rows.column("token"), rows.column("part")
-            last = (token[-1].as_py(), part[-1].as_py())
-            cut = rows.num_rows
-            while cut and (token[cut - 1].as_py(), part[cut - 1].as_py()) == last:
-                cut -= 1
-            if cut:
-                if (out := work(rows.slice(0, cut))) is not None:
-                    yield out
-                held = rows.slice(cut).combine_chunks().to_batches()
-        if held and (out := work(pa.Table.from_batches(held))) is not None:
-            yield out
+            i, j, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+            group = np.repeat(np.arange(len(starts)), size)
+            order = np.argsort(group[i], kind="stable")
+            pairs, joined, last = [], _Joined(), -1
+            for g, x, y in zip(group[i][order].tolist(), r["id"][i][order].tolist(), r["id"][j][order].tolist(), strict=True):
+                if g != last:
+                    joined, last = _Joined(), g
+                if joined.join(x, y):
+                    pairs.append((x, y))
+            yield _pairs(pairs)
+    return run
+
+
+def _link_forest(percent: int):
+    """Step 3 in a partition sorted by (family, part): spanning forests of the links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ("family", "part"), 2_000, 1 << 25):
+            r = {x: t.column(x).to_numpy() for x in ("family", "part", "side", "id")}
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+            r["n"] = r["m"] = np.array([len(x) for x in sets], np.int64)
+            r["first"] = np.array([int(x[0] >> np.uint64(1)) if len(x) else 0 for x in sets], np.int64)
+            r["w"] = S.width_class(4 * r["n"])
+            starts, ends = _groups([r["family"], r["part"]])
+            pairs = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                r["sig"] = {x: S.bitmap(sets[x], 4 * len(sets[x])) for x in range(s, e)}
+                some = (np.array([s]), np.array([e]))
+                found = _small_trees(r, *some, percent) if e - s <= BULK else _large_tree(r, s, e, percent)
+                joined = _Joined()
+                for i, j, most in found:
+                    share = most / np.maximum(r["n"][i] + r["n"][j] - most, 1)
+                    for k in np.argsort(-share, kind="stable").tolist():
+                        x, y = int(i[k]), int(j[k])
+                        a, b = int(r["id"][x]), int(r["id"][y])
+                        if a == b or joined.root(a) == joined.root(b):
+                            continue
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            joined.join(a, b)
+                            pairs.append((a, b))
+            yield _pairs(pairs)
     return run
 
 
-def _parted(postings: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows of the trees: (token, part, side, id). Trees above ``TREE_ROWS`` become pairs of parts."""
+def _trees(postings: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of the trees: (token, part, side, id).
+
+    Tokens that the same few sets share become one tree. Trees above ``TREE_ROWS`` become pairs of parts.
+    """
     listed = postings.join(counts, "token")
-    small = listed.where(F.col("c") <= TREE_ROWS).select("token", F.lit(0).alias("part"), F.lit(0).alias("side"), "id")
-    parts = F.ceil(F.col("c") / TREE_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("_p")).cast("int")
-    large = listed.where(F.col("c") > TREE_ROWS).withColumn("_p", parts).withColumn("_m", mine)
-    large = large.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    lists = listed.where(F.col("c") <= LISTED).groupBy("token").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    few = lists.select(F.xxhash64("ids").alias("token"), F.lit(0).alias("part"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    more = listed.where((F.col("c") > LISTED) & (F.col("c") <= TREE_ROWS)).select("token", F.lit(0).alias("part"), F.lit(0).alias("side"), "id")
+    large = listed.where(F.col("c") > TREE_ROWS).withColumn("_p", F.ceil(F.col("c") / TREE_ROWS).cast("int"))
+    large = large.withColumn("_m", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
     side = F.when(F.col("_m") == F.col("_o"), 0).when(F.col("_m") < F.col("_o"), 1).otherwise(2)
     part = F.least("_m", "_o") * F.col("_p") + F.greatest("_m", "_o")
-    return small.unionByName(large.select("token", part.cast("int").alias("part"), side.cast("int").alias("side"), "id"))
+    return few.unionByName(more).unionByName(large.select("token", part.cast("int").alias("part"), side.cast("int").alias("side"), "id"))
 
 
-def _candidates(rows: DataFrame, heads: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    placed = rows.join(heads, "id").select("token", "part", "side", "id", "n", "m", "first", "comp", "sig")
-    ordered = placed.repartition("token", "part").sortWithinPartitions("token", "part", "side", "id")
-    return ordered.mapInArrow(_forest(percent, spanning), "a long, b long").distinct()
+def _families(members: DataFrame, percent: int) -> DataFrame:
+    """Places of sets in family trees: (id, family, part, side), from (id, n, family).
+
+    A family above ``FAMILY_ROWS`` sets or ``FAMILY_TOKENS`` tokens is cut by size band, a factor of percent / 100
+    wide, and hash; sets whose bands differ by two or more cannot be linked.
+    """
+    sizes = members.groupBy("family").agg(F.count("*").alias("_c"), F.sum("n").alias("_t"))
+    whole = (F.col("_c") <= FAMILY_ROWS) & (F.col("_t") <= FAMILY_TOKENS)
+    placed = members.join(sizes, "family")
+    small = placed.where(whole).select("id", "family", F.lit("").alias("part"), F.lit(0).alias("side"))
+    width = -np.log(percent / 100) * 1.0001
+    banded = placed.where(~whole).select("id", "n", "family", F.floor(F.log("n") / width).cast("int").alias("band"))
+    bands = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("n") / FAMILY_TOKENS)).cast("int").alias("_p"))
+    own = banded.join(bands, ["family", "band"]).withColumn("_m", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
+    met = own.withColumn("_b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    met = met.join(bands.select("family", F.col("band").alias("_b"), F.col("_p").alias("_q")), ["family", "_b"])
+    met = met.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
+    here, there = F.struct(F.col("band").alias("x"), F.col("_m").alias("y")), F.struct(F.col("_b").alias("x"), F.col("_o").alias("y"))
+    side = F.when(here == there, 0).when(here < there, 1).otherwise(2)
+    low, high = F.least(here, there), F.greatest(here, there)
+    part = F.concat_ws("/", low["x"], low["y"], high["x"], high["y"])
+    return small.unionByName(met.select("id", "family", part.alias("part"), side.alias("side"))).distinct()
 
 
 def _sets(k: int):
@@ -236,28 +312,15 @@ def _sets(k: int):
     return run
 
 
-def _linked(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch(schema, {"a": b.column(0), "b": b.column(1), "linked": good})
-    return run
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b, linked), decided on the full sets."""
-    ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialised(wanted.mapInArrow(_sets(k), "id long, tokens binary").distinct(), "sets")
-    left = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("tokens", "x"), "a")
-    both = left.join(sets.withColumnRenamed("id", "b").withColumnRenamed("tokens", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked(percent), "a long, b long, linked boolean")
+def _links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked sets; ``places`` is the result of ``_families``."""
+    ids = materialised(places.select("id").distinct(), "members")
+    few = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sets = named.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(k), "id long, tokens binary")
+    placed = sets.join(F.broadcast(places) if few and places.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else places, "id")
+    ordered = placed.select("family", F.xxhash64("part").alias("part"), "side", "id", "tokens").repartition("family", "part").sortWithinPartitions("family", "part", "side", "id")
+    return ordered.mapInArrow(_link_forest(percent), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -279,27 +342,21 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     reps = made.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, ["doc_id", "n", "f1", "f2"], "left_anti")
     counts = materialised(reps.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     common = spark.sparkContext.broadcast(_common(counts))
-    heads = materialised(
-        reps.select("doc_id", "n", "inner", "rest").mapInArrow(_prefixes(percent, common), "id long, n int, m int, first long, sig binary, prefix array<long>"), "heads")
+    heads = materialised(reps.select("doc_id", "n", "inner", "rest").mapInArrow(_prefixes(percent, common), "id long, first long, prefix array<long>"), "heads")
     listed = heads.select("id", F.explode("prefix").alias("token"))
     inside = (F.col("token") >= 0) & (F.col("token") < F.lit(1 << 62))
-    shared = listed.where(inside).join(counts.select("token"), "token", "left_semi").unionByName(listed.where(~inside), allowMissingColumns=True)
+    shared = listed.where(inside).join(counts.select("token"), "token", "left_semi").unionByName(listed.where(~inside))
     postings = materialised(shared.distinct(), "postings")
     sizes = materialised(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    rows = materialised(_parted(postings, sizes), "trees")
-    nodes = heads.select("id", "n", "m", "first", "sig").dropDuplicates(["id", "n", "first"])
-
-    pairs = materialised(_candidates(rows, nodes.withColumn("comp", F.col("id")), percent, True), "pairs")
-    checked = materialised(_verified(pairs, docs, k, percent), "checked")
-    links = checked.where("linked").select("a", "b")
-    early = components(links)
-    named = materialised(nodes.join(early.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "nodes")
-    # Only trees whose sets are in more than one component can add anything.
-    open_ = rows.join(named.select("id", "comp"), "id").groupBy("token", "part").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "part")
-    more = _candidates(rows.join(open_, ["token", "part"], "left_semi"), named, percent, False)
-    more = materialised(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    again = _verified(more, docs, k, percent).where("linked").select("a", "b")
-    final = materialised(components(links.unionByName(materialised(again, "links"))), "components")
+    nodes = reps.select(F.col("doc_id").alias("id"), "n", "m", "f1", "sig").join(heads.select("id", "first").distinct(), "id").dropDuplicates(["id", "n", "f1"])
+
+    trees = materialised(_trees(postings, sizes), "trees").join(nodes, "id").select("token", "part", "side", "id", "n", "m", "first", "sig")
+    ordered = trees.repartition("token", "part").sortWithinPartitions("token", "part", "side", "id")
+    candidates = materialised(ordered.mapInArrow(_candidate_forest(percent), "a long, b long").distinct(), "candidates")
+    family = components(candidates)
+    sized = reps.select(F.col("doc_id").alias("id"), "n").distinct()
+    members = materialised(family.withColumnRenamed("component", "family").join(sized, "id"), "families")
+    final = materialised(components(_links(docs, materialised(_families(members, percent), "places"), k, percent)), "components")
     placed = classes.join(final, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
     out = thin.join(materialised(placed, "placed"), ["n", "f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

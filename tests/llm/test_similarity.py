@@ -61,10 +61,12 @@ def test_components_match_brute_force(spark, documents, some_texts, k, percent):
 def test_hot_trees_are_cut_without_losing_links(spark, documents, monkeypatch):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
-    rows = [(i, edited(rng, base, rng.randrange(0, 3))) for i in range(130)]
+    rows = [(i, edited(rng, base[: rng.randrange(40, 60)], rng.randrange(0, 3))) for i in range(130)]
     want = brute_components(rows, 4, 85)
     monkeypatch.setattr(jaccard_join, "TREE_ROWS", 20)
     monkeypatch.setattr(jaccard_join, "BULK", 6)
+    monkeypatch.setattr(jaccard_join, "LISTED", 10)
+    monkeypatch.setattr(jaccard_join, "FAMILY_ROWS", 25)
     got = {r.doc_id: r.component_id for r in jaccard_join.near_components(documents(rows)).collect()}
     assert got == want
 
