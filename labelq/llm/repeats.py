@@ -50,17 +50,23 @@ def _unpack(x: bytes):
     return pickle.loads(zlib.decompress(x))
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
-    """Runs of strings with one anchor, over documents laid end to end: (doc, start, count, anchor place, hash)."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, none, none.astype(np.uint64)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    x = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,))
-    a, b = x[:len(raw) - GRAM + 1], x[8:len(raw) - GRAM + 9]
-    h = a * np.uint64(0x9E3779B97F4A7C15)
+def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, slice_: int = 1 << 20):
+    """Runs of strings with one anchor, over documents laid end to end: (doc, start, count, anchor place, hash).
+
+    Strings are taken in slices of their starts, which bounds what is held; a run that two slices share is two runs.
+    """
+    parts = [_anchors(raw, ends, s, min(s + slice_, len(raw) - length + 1), length) for s in range(0, len(raw) - length + 1, slice_)]
+    parts.append((*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(raw: np.ndarray, ends: np.ndarray, begin: int, stop: int, length: int):
+    here = np.concatenate([raw[begin:stop + length - 1], np.zeros(8, np.uint8)])
+    n = stop + length - 1 - begin
+    x = np.ndarray((n,), "<u8", here.data, strides=(1,))
+    h = x[:n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    h += b
+    h += x[8:n - GRAM + 9]
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -73,15 +79,17 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     if width > reach:
         low = np.minimum(low[:-(width - reach)], low[width - reach:])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.arange(len(place))
-    doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))[:len(place)]
+    starts = np.arange(begin, stop)
+    least, most = np.searchsorted(ends, [begin, stop - 1], "right")
+    edges = np.clip(np.concatenate([[begin], ends[least:most], [stop]]), begin, stop)
+    doc = np.repeat(np.arange(least, most + 1), np.diff(edges))
     valid = starts + length <= ends[doc]
     starts, place, doc = starts[valid], place[valid], doc[valid]
     if not len(starts):
-        return none, none, none, none, none.astype(np.uint64)
+        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
     first = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (doc[1:] != doc[:-1])) + 1])
     count = np.diff(np.concatenate([first, [len(starts)]]))
-    return doc[first], starts[first], count, place[first], h[place[first]]
+    return doc[first], starts[first], count, place[first] + begin, h[place[first]]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:

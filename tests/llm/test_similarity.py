@@ -169,3 +169,17 @@ def test_lines_keep_their_first_occurrence(spark, documents, some_texts):
     assert kept.count() == len(rows)
     texts = {r.doc_id: r.text for r in kept.where("doc_id > 7000 and doc_id < 8000").collect()}
     assert texts[7002] == "x\nnew ending of this text" and texts[7001].startswith("first Line")
+
+
+@pytest.mark.parametrize("slice_", [1, 7, 64, 10_000])
+def test_anchors_do_not_depend_on_slices(slice_):
+    rng = random.Random(4)
+    docs = [bytes(rng.choice(b"ab c") for _ in range(n)) for n in (0, 49, 50, 51, 300, 120)]
+    raw, ends = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([len(d) for d in docs])
+    place = {}
+    for doc, start, count, at, h in zip(*repeats.anchors(raw, ends, slice_=slice_), strict=True):
+        for s in range(start, start + count):
+            assert s not in place and s <= at <= s + 34 and s + 50 <= ends[doc]
+            place[s] = (int(at), int(h))
+    whole = {s: (int(at), int(h)) for doc, start, count, at, h in zip(*repeats.anchors(raw, ends), strict=True) for s in range(start, start + count)}
+    assert place == whole and len(place) == sum(max(0, len(d) - 49) for d in docs)
