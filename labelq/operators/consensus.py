@@ -197,7 +197,7 @@ def cell_transitions(df: DataFrame, centres: DataFrame, n_classes: int) -> DataF
 
 
 def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, sample: int | None = None, steps: int = 1000,
-           min_similarity: float = 0.45, offset: float = 2.5, method: str = "both") -> DataFrame:
+           min_similarity: float = 0.45, offset: float = 2.5, method: str = "both", tag: str = "consensus") -> DataFrame:
     """(id, label_issue) by neighbour vote (``mv``), class-wise rank (``rank``) or both.
 
     A round of the transition estimate draws a quarter of the rows, or ``sample`` rows if that is given and fewer.
@@ -208,7 +208,7 @@ def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, samp
         return vote
     quarter = F.floor(F.col("group_rows") / 4)
     drawn = F.greatest(quarter if sample is None else F.least(F.lit(sample), quarter), F.lit(3))
-    t, p = estimate_transition(consensus_counts(df, drawn, rounds), n_classes, steps)
+    t, p = estimate_transition(consensus_counts(df, drawn, rounds, tag), n_classes, steps)
     keep = posterior_true_given_noisy(t, p, class_counts(df, "label")).filter("label = noisy_label").select("label", F.col("prob").alias("keep"))
     rank = rank_flags(scores(dist), keep, offset)
     return rank if method == "rank" else both_flags(vote, rank)

@@ -43,9 +43,9 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out.withColumn("pred", arrays.argmax("probs")).drop("_vec", "_prob", "_raw", "_pred")
 
 
-def oof_probs(df: DataFrame, folds: int = 5, weighted: bool = False, make: Callable = default_classifier) -> DataFrame:
+def oof_probs(df: DataFrame, folds: int = 5, weighted: bool = False, make: Callable = default_classifier, tag: str = "fold") -> DataFrame:
     """Every row scored by a model that did not see it; the fold table is read from storage by each fit."""
-    placed = materialised(kfold(df, "label", folds), "folds")
+    placed = materialised(kfold(df, "label", folds, tag), "folds")
     out = None
     for k in range(folds):
         model = fit(placed.filter(F.col("fold") != k), weighted, make)
@@ -54,9 +54,9 @@ def oof_probs(df: DataFrame, folds: int = 5, weighted: bool = False, make: Calla
     return out.drop("fold")
 
 
-def cross_halves(df: DataFrame, weighted: bool = False, make: Callable = default_classifier) -> DataFrame:
+def cross_halves(df: DataFrame, weighted: bool = False, make: Callable = default_classifier, tag: str = "half") -> DataFrame:
     """Both halves, each scored by a model fitted on the other one; adds ``half``."""
-    placed = materialised(half_split(df), "halves")
+    placed = materialised(half_split(df, tag), "halves")
     parts = []
     for train, test in (("A", "B"), ("B", "A")):
         model = fit(placed.filter(F.col("half") == train), weighted, make)

@@ -21,9 +21,17 @@ DEFAULTS = {
 }
 
 
-def by_dynamics(df: DataFrame, n_classes: int, alpha: float, epochs: int = 8) -> DataFrame:
-    """Two passes with an extra class; a row is flagged below the alpha quantile of the extra class."""
-    placed = materialised(aum.threshold_class(df, n_classes), "threshold")
+def seeded(tag: str, seed: str | None) -> str:
+    """The tag of a draw under a seed; without one the tag itself."""
+    return tag if seed is None else f"{tag}/{seed}"
+
+
+def by_dynamics(df: DataFrame, n_classes: int, alpha: float, epochs: int = 8, make: Callable | None = None, seed: str | None = None) -> DataFrame:
+    """Two passes with an extra class; a row is flagged below the alpha quantile of the extra class.
+
+    The dynamics come from its own softmax descent, whatever model ``make`` gives to other steps.
+    """
+    placed = materialised(aum.threshold_class(df, n_classes, seeded("aum", seed)), "threshold")
     scored = []
     for n in (1, 2):
         data = placed.select("id", "features", F.col(f"label_{n}").alias("label"))
@@ -34,21 +42,22 @@ def by_dynamics(df: DataFrame, n_classes: int, alpha: float, epochs: int = 8) ->
     return aum.flags(df, aum.aum_issues(*scored, alpha))
 
 
-def by_margin(df: DataFrame, n_classes: int, inspector: str, threshold: float) -> DataFrame:
+def by_margin(df: DataFrame, n_classes: int, inspector: str, threshold: float, make: Callable = learn.default_classifier, seed: str | None = None) -> DataFrame:
     """Two halves, each inspected with the model of the other."""
-    flagged = margin.inspect(learn.cross_halves(df), inspector, threshold)
+    flagged = margin.inspect(learn.cross_halves(df, make=make, tag=seeded("half", seed)), inspector, threshold)
     return flagged.select("id", F.col("suspicious").alias("label_issue"))
 
 
-def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: int | None, steps: int, min_similarity: float, offset: float, method: str) -> DataFrame:
-    """Neighbour vote and class-wise rank on the given features."""
+def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: int | None, steps: int, min_similarity: float, offset: float, method: str,
+                  make: Callable | None = None, seed: str | None = None) -> DataFrame:
+    """Neighbour vote and class-wise rank on the given features; no model is fitted."""
     found = materialised(neighbours.knn(df, df, k - 1), "knn")
-    return consensus.detect(df, found, n_classes, rounds, sample, steps, min_similarity, offset, method)
+    return consensus.detect(df, found, n_classes, rounds, sample, steps, min_similarity, offset, method, seeded("consensus", seed))
 
 
-def by_confidence(df: DataFrame, n_classes: int, folds: int) -> DataFrame:
+def by_confidence(df: DataFrame, n_classes: int, folds: int, make: Callable = learn.default_classifier, seed: str | None = None) -> DataFrame:
     """Confident learning on out-of-fold probabilities."""
-    probs = materialised(learn.oof_probs(df, folds).select("id", "label", "probs"), "probs")
+    probs = materialised(learn.oof_probs(df, folds, make=make, tag=seeded("fold", seed)).select("id", "label", "probs"), "probs")
     return confident.issues(probs, n_classes)
 
 

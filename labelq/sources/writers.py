@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_KEYS = ("dataset", "base_model", "noise_type", "seed")
 
 
-def datacard(df: DataFrame, path: str) -> None:
-    """Long run table, one folder per run, so later reads prune on dataset, model, noise and seed.
+def datacard(df: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS) -> None:
+    """Long run table, one folder per run (or per ``keys``), so later reads prune on dataset, model, noise and seed.
 
     A run may hold most rows: the rebalance lets Spark split it into as many tasks and files as its
     measured size asks for, and gather small runs. A run that is written again replaces itself only.
     """
-    df.hint("rebalance", *RUN_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS).parquet(path)
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_datacard(spark: SparkSession, path: str) -> DataFrame:
