@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelq.functions import rand
 from labelq.functions.ordering import ranked
+from labelq.session import materialised
 
 
 def nan_to_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,12 +32,17 @@ def one_hot(df: DataFrame, label: str, classes: Sequence[int], out: str = "one_h
     return df.withColumn(out, F.array(*[(F.col(label) == F.lit(c)).cast("int") for c in classes]))
 
 
+SPLITS = 256  # values that cut the order of all values into ranges
+
+
 def codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): sorted 0-based codes of the distinct values of a string column."""
-    values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    # Leading bytes follow the string order, so the values are numbered prefix by prefix, not in one task.
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.col("value").cast("string").cast("binary"), 1, 3)), 6, "0"), 16, 10).cast("long")
-    numbered = ranked(values, [], F.col("value"), F.lit(0), out="_r", bucket=prefix)
+    values = materialised(df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct(), "values")
+    # The ranges follow the values that occur, so values with a common beginning are spread as well.
+    drawn = values.orderBy(rand.hash32("split", F.col("value").cast("string")), "value").limit(SPLITS - 1).collect()
+    cuts = sorted(r["value"] for r in drawn)
+    below = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda s: s <= F.col("value"))) if cuts else F.lit(0)
+    numbered = ranked(values, [], F.col("value"), F.lit(0), out="_r", bucket=below)
     return numbered.select("value", (F.col("_r") - 1).cast("int").alias("code"))
 
 
