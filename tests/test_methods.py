@@ -125,3 +125,12 @@ def test_datacard_reader_takes_names_from_the_path(spark, tmp_path):
     r = readers.datacards(spark, str(tmp_path)).collect()
     assert len(r) == 1
     assert (r[0]["dataset"], r[0]["base_model"], r[0]["noise_type"], r[0]["seed"], r[0]["stamp"]) == ("car_evaluation", "mobilenet-v2", "uniform-0.1", "42", "2024-01-01")
+
+
+def test_codes_of_values_with_a_common_beginning(spark):
+    from labelq.operators import prep
+
+    names = [f"Customer#{i:09d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string")
+    got = {r.value: r.code for r in prep.codes(df, "name").collect()}
+    assert got == {n: i for i, n in enumerate(names)}
