@@ -126,7 +126,9 @@ fragment("num_line", "SELECT id, label, features[1] AS q, features[2] AS p, feat
  f AS (SELECT {', '.join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in NUM)} FROM s WHERE NOT te)
  SELECT id, te::INT AS is_test, {', '.join(f"round(({c}-m{c})/s{c},6) AS {c}" for c in NUM)} FROM s, f""")
 def _(spark, sf):
-    d = materialised(stratified_split(numeric_line(spark, sf), "label", 0.15), "split")
+    # The draw is hashed once and stored; the split itself is then a comparison with constants.
+    stored = materialised(numeric_line(spark, sf).withColumn("_draw", rand.hash32("split", "id")), "drawn")
+    d = stratified_split(stored, "label", 0.15, drawn="_draw")
     fit = prep.standard_fit(d.filter("is_test = 0"), NUM)
     return prep.standard_apply(d, fit, NUM).select("id", "is_test", *[F.round(c, 6).alias(c) for c in NUM])
 

@@ -141,6 +141,26 @@ def _(spark, sf):
     return series.anomaly_labels(long(w), place(w))
 
 
+@query("anomaly_labels_speedup", ctes("spot") + """SELECT id, t, coalesce(t>=s-8 AND t<s+(e-s)//2+8, FALSE)::INT AS label FROM (
+ SELECT *, max(t) OVER (PARTITION BY id) AS z FROM spot WHERE channel=0) WHERE t <= z-coalesce((e-s)-(e-s)//2, 0)""")
+def _(spark, sf):
+    w = wide(spark, sf)
+    return series.anomaly_labels(long(w), place(w), speed=2.0)
+
+
+fragment("part_spot", "SELECT * FROM spot WHERE NOT (id % 7 = 3 AND channel = 0)", "spot")
+fragment("part_corr", """SELECT x.id, x.channel, coalesce(CASE WHEN isnan(c) THEN 0 ELSE sign(c)*pow(abs(c),0.2::DOUBLE) END,0) AS c FROM (SELECT DISTINCT id, channel FROM part_spot) x LEFT JOIN (
+ SELECT a.id, a.channel, corr(a.value,b.value) AS c FROM part_spot a JOIN part_spot b ON a.id=b.id AND a.t=b.t AND b.channel=0 GROUP BY 1,2) y ON y.id=x.id AND y.channel=x.channel""", "part_spot")
+
+
+@query("anomaly_spikes_lost_channel", ctes("part_corr") + f"""SELECT s.id, s.channel, t, round(value+k*c,6) AS value, (abs(k)>0.05)::INT AS label FROM (
+ SELECT *, ({U('spikes/hit', 'id', 't')}<0.5)::INT*2.0::DOUBLE*{N('spikes', 'id', 't')} AS k FROM part_spot) s JOIN part_corr p ON p.id=s.id AND p.channel=s.channel""")
+def _(spark, sf):
+    """Series of which every seventh has lost the chosen channel; all their rows come back."""
+    part = long(wide(spark, sf)).filter("NOT (id % 7 = 3 AND channel = 0)")
+    return series.spikes(part, series.channel_correlation(part)).withColumn("value", F.round("value", 6))
+
+
 @query("feature_noise_series", ctes("spot") + f"""SELECT kind, id, channel, round(sum(v*t),3) AS moment FROM (
  SELECT 'flip' AS kind, id, channel, CASE WHEN inside THEN s+e-1-t ELSE t END AS t, value AS v FROM spot UNION ALL
  SELECT 'scale', id, channel, t, CASE WHEN inside THEN value*2 ELSE value END FROM spot UNION ALL

@@ -10,9 +10,13 @@ from labelq.functions import rand
 from labelq.functions.ordering import flag_first, ranked, take_first
 
 
-def stratified_split(df: DataFrame, label: str, test: float, tag: str = "split") -> DataFrame:
-    """Add ``is_test``: round(n_class * test) rows of every class."""
-    return flag_first(df, F.round(F.col("group_rows") * F.lit(test)), rand.hash32(tag, "id"), F.col("id"), [label], "is_test")
+def stratified_split(df: DataFrame, label: str, test: float, tag: str = "split", drawn: str | None = None) -> DataFrame:
+    """Add ``is_test``: round(n_class * test) rows of every class.
+
+    ``drawn`` names a column that holds the draw already, for tables that are stored with it.
+    """
+    order = rand.hash32(tag, "id") if drawn is None else F.col(drawn)
+    return flag_first(df, F.round(F.col("group_rows") * F.lit(test)), order, F.col("id"), [label], "is_test")
 
 
 def random_split(df: DataFrame, share: float = 0.25, tag: str = "validation") -> DataFrame:

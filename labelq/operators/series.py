@@ -354,10 +354,19 @@ def anomaly_size_nearest(series: DataFrame, noisy: DataFrame, rows: int = 4096)
     return two.groupBy("id", "t").agg(F.avg("dist").alias("size"))
 
 
-def anomaly_labels(series: DataFrame, place: DataFrame, widen: int = MIN_WINDOW) -> DataFrame:
-    """(id, t, label): 1 in the window and ``widen`` steps on both sides, for every step of any channel."""
+def anomaly_labels(series: DataFrame, place: DataFrame, widen: int = MIN_WINDOW, speed: float | None = None) -> DataFrame:
+    """(id, t, label): 1 in the window and ``widen`` steps on both sides, for every step of any channel.
+
+    With ``speed`` the labels are those of the series after ``speedup``: the window is floor(length / speed) steps
+    long, and the series is shorter by what it lost.
+    """
     steps = series.select("id", "t").distinct()
     j = steps.join(place.select("id", "s", "e"), "id", "left")
+    if speed is not None:
+        lost = (F.col("e") - F.col("s")) - F.floor((F.col("e") - F.col("s")) / F.lit(speed))
+        last = steps.groupBy("id").agg(F.max("t").alias("_last"))
+        j = j.join(last, "id").withColumn("_lost", F.coalesce(lost, F.lit(0))).filter(F.col("t") <= F.col("_last") - F.col("_lost"))
+        j = j.withColumn("e", F.col("e") - F.col("_lost"))
     hit = (F.col("t") >= F.col("s") - widen) & (F.col("t") < F.col("e") + widen)
     return j.select("id", "t", F.coalesce(hit, F.lit(False)).cast("int").alias("label"))
 
