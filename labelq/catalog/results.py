@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelq.catalog.base import KO, U, ctes, fragment, lab_order, metrics_sql, query, table
 from labelq.functions import rand
 from labelq.operators import votes
+from labelq.session import materialised
 from labelq.plans import ranking, results
 
 # Method names of the stored run tables.
@@ -271,17 +272,52 @@ def _slice_sql(measure: str, name: str, expr: str) -> str:
 SLICES = {"noise": "regexp_extract(noise_type, '^(.*)-', 1)", "modality": MODAL}
 
 
-@query("rank_by_slice", ctes("results") + " UNION ALL ".join(_slice_sql(m, n, e) for m in ("cleaning_f1", "downstream_f1") for n, e in SLICES.items()))
-def _(spark, sf):
+BY = ["measure", "slice_by", "slice"]
+
+
+def sliced(spark, sf):
+    """Slices and measures as rows, so that the figures of all of them come from one pass."""
     r = results.with_modality(results_df(spark, sf)).withColumn("noise", results.noise_name("noise_type"))
-    # Slices and measures become rows, so that the ranks of all of them come from one pass.
     cells = F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.lit(s).alias("slice_by"), F.col(s).alias("slice"), F.round(m, 2).alias("v"))
         for m in ("cleaning_f1", "downstream_f1") for s in SLICES]))
     long = r.select(*BLOCK, "method", cells.alias("c")).select(*BLOCK, "method", "c.*").filter(F.col("v").isNotNull())
-    long = long.filter((F.col("measure") == "downstream_f1") | (F.col("method") != "nocleaning"))
-    by = ["measure", "slice_by", "slice"]
-    return ranking.average_ranks(long, BLOCK, "v", by).select(*by, "method", "average_rank", "n_blocks")
+    return long.filter((F.col("measure") == "downstream_f1") | (F.col("method") != "nocleaning"))
+
+
+@query("rank_by_slice", ctes("results") + " UNION ALL ".join(_slice_sql(m, n, e) for m in ("cleaning_f1", "downstream_f1") for n, e in SLICES.items()))
+def _(spark, sf):
+    return ranking.average_ranks(sliced(spark, sf), BLOCK, "v", BY).select(*BY, "method", "average_rank", "n_blocks")
+
+
+fragment("sliced", " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, '{n}' AS slice_by, {e} AS slice, dataset, noise_type, method, round({m},2) AS v FROM results WHERE {m} IS NOT NULL AND ('{m}'='downstream_f1' OR method<>'nocleaning')"
+    for m in ("cleaning_f1", "downstream_f1") for n, e in SLICES.items()), "results")
+fragment("sliced_full", """SELECT s.* FROM sliced s JOIN (SELECT *, max(c) OVER (PARTITION BY measure, slice_by, slice) AS top FROM (SELECT measure, slice_by, slice, method, count(*) AS c FROM sliced GROUP BY ALL)) f
+ ON f.measure=s.measure AND f.slice_by=s.slice_by AND f.slice=s.slice AND f.method=s.method WHERE c=top""", "sliced")
+fragment("sliced_x", """SELECT measure, slice_by, slice, k, n, (12.0::DOUBLE/(n*k*(k+1))*rr - 3.0::DOUBLE*n*(k+1))/(1-ties/(n*k*(k*k-1))) AS x FROM (
+ SELECT measure, slice_by, slice, count(*) AS k, max(n) AS n, sum(s*s) AS rr FROM (SELECT measure, slice_by, slice, method, sum(a) AS s, count(*) AS n FROM (
+  SELECT *, rank() OVER (PARTITION BY measure, slice_by, slice, dataset, noise_type ORDER BY v) + (count(*) OVER (PARTITION BY measure, slice_by, slice, dataset, noise_type, v)-1)/2 AS a FROM sliced_full) GROUP BY ALL) GROUP BY ALL)
+ JOIN (SELECT measure, slice_by, slice, sum(t*t*t-t)::DOUBLE AS ties FROM (SELECT measure, slice_by, slice, dataset, noise_type, v, count(*) AS t FROM sliced_full GROUP BY ALL) GROUP BY ALL) USING (measure, slice_by, slice)""", "sliced_full")
+SLICE_P = f"CASE k WHEN 4 THEN {erfc_sql('sqrt(x/2)')}+sqrt(2*x/pi())*exp(-x/2) WHEN 5 THEN exp(-x/2)*(1+x/2) END"
+
+
+def sliced_full(spark, sf):
+    """Only methods with all results of their slice, as the tests need whole blocks."""
+    long = materialised(sliced(spark, sf), "sliced")
+    return long.join(ranking.complete_groups(long, by=BY).select(*BY, "method"), [*BY, "method"], "left_semi")
+
+
+@query("friedman_by_slice", ctes("sliced_x") + f"SELECT measure, slice_by, slice, k AS n_methods, n AS n_blocks, round(x,6) AS statistic, round({SLICE_P},5) AS p_value, (({SLICE_P}) < 0.05)::INT AS significant FROM sliced_x")
+def _(spark, sf):
+    return ranking.friedman(sliced_full(spark, sf), BLOCK, "v", BY).withColumn("p_value", F.round("p_value", 5))
+
+
+@query("compare_by_slice")
+def _(spark, sf):
+    """The whole comparison per slice: pair tests behind the overall test, and the groups they leave."""
+    pairs = materialised(ranking.compare(sliced_full(spark, sf), BLOCK, "v", BY), "pairs")
+    return ranking.indistinct_groups(pairs, BY)
 
 
 def two_runs(spark, sf):

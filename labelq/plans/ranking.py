@@ -147,27 +147,39 @@ def holm(pairs: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> DataF
     return step.withColumn("significant", F.min("_ok").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_i", "_ok")
 
 
-def indistinct_groups(pairs: DataFrame) -> DataFrame:
-    """Maximal sets of methods no two of which differ significantly, single methods included.
+def indistinct_groups(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Maximal sets of methods no two of which differ significantly, single methods included, per slice.
 
-    Subsets are bit masks over the sorted methods; there are at most 2^12 of them.
+    Subsets are bit masks over the sorted methods of a slice; there are at most 2^12 of them.
     """
-    pairs = materialised(pairs.select("method_1", "method_2", "significant"), "pairs")
-    names = pairs.select(F.explode(F.array("method_1", "method_2")).alias("m")).agg(F.array_sort(F.collect_set("m")).alias("m"))
+    ends = F.array_distinct(F.flatten(F.collect_list(F.array("method_1", "method_2"))))
+    same = F.collect_list(F.when(F.col("significant") == 0, F.struct("method_1", "method_2")))
+    slices = pairs.groupBy(*by).agg(F.array_sort(ends).alias("m"), same.alias("_s"))
 
-    def bit(c: str):
-        return F.call_function("shiftleft", F.lit(1), (F.array_position(F.col("_m"), F.col(c)) - 1).cast("int"))
+    def bit(name: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1), (F.array_position(F.col("m"), name) - 1).cast("int"))
 
-    same = pairs.filter("significant = 0").withColumn("_m", names.scalar()).select(
-        bit("method_1").bitwiseOR(bit("method_2")).alias("b"))
-    edges = same.agg(F.collect_list("b").alias("e"))
-    base = names.withColumn("n", F.size("m")).withColumn("_big", F.assert_true(F.col("n") <= MAX_METHODS))
-    subsets = base.filter(F.col("_big").isNull()).select("m", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int"))).alias("mask"))
+    edges = F.transform("_s", lambda p: bit(p["method_1"]).bitwiseOR(bit(p["method_2"])))
+    base = slices.withColumn("e", edges).withColumn("n", F.size("m")).withColumn("_big", F.assert_true(F.col("n") <= MAX_METHODS))
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int"))
+    subsets = base.filter(F.col("_big").isNull() & (F.col("n") > 0)).select(*by, "m", "e", F.explode(masks).alias("mask"))
     inside = F.size(F.filter("e", lambda b: b.bitwiseAND(F.col("mask")) == b))
     width = F.bit_count("mask")
-    valid = subsets.withColumn("e", edges.scalar()).filter(inside == width * (width - 1) / 2)
-    masks = valid.agg(F.collect_list("mask").alias("v"))
+    valid = subsets.filter(inside == width * (width - 1) / 2)
+    each = valid.groupBy(*by, "m").agg(F.collect_list("mask").alias("v")).withColumn("mask", F.explode("v"))
     contained = F.exists("v", lambda o: (o != F.col("mask")) & (o.bitwiseAND(F.col("mask")) == F.col("mask")))
-    kept = valid.withColumn("v", masks.scalar()).filter(~contained)
     members = F.filter("m", lambda x, i: F.call_function("getbit", F.col("mask"), i) == 1)
-    return kept.select(F.array_join(members, ",").alias("methods"), width.cast("long").alias("size"))
+    return each.filter(~contained).select(*by, F.array_join(members, ",").alias("methods"), width.cast("long").alias("size"))
+
+
+def compare(df: DataFrame, block: Sequence[str], value: str, by: Sequence[str] = (), method: str = "method", alpha: float = 0.05) -> DataFrame:
+    """The whole comparison per slice: (by, method_1, method_2, n, p_value, overall_p, significant).
+
+    ``overall_p`` is the Friedman test of the slice. Pairs count as different only where that test is significant
+    and the step-down correction of the slice's signed-rank tests says so.
+    """
+    df = materialised(df, "compared")
+    overall = friedman(df, block, value, by, method, alpha).select(*by, F.col("p_value").alias("overall_p"), F.col("significant").alias("_open"))
+    pairs = holm(wilcoxon_pairs(df, block, value, by, method), alpha, by)
+    joined = pairs.join(overall, list(by), "left") if by else pairs.crossJoin(overall)  # without slices: one row
+    return joined.select(*by, "method_1", "method_2", "n", "p_value", "overall_p", (F.col("significant") * F.coalesce("_open", F.lit(0))).alias("significant"))

@@ -134,3 +134,17 @@ def test_codes_of_values_with_a_common_beginning(spark):
     df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string")
     got = {r.value: r.code for r in prep.codes(df, "name").collect()}
     assert got == {n: i for i, n in enumerate(names)}
+
+
+def test_comparison_per_slice_equals_each_slice_alone(spark):
+    from labelq.functions import rand
+
+    good = {"a": 0.3, "b": 0.0, "c": 0.28}
+    rows = [(s, b, m, v if s == "clear" else 0.0) for s in ("clear", "none") for b in range(30) for m, v in good.items()]
+    df = spark.createDataFrame(rows, "slice string, block int, method string, base double").withColumn("v", F.round(F.col("base") + rand.uniform("x", "slice", "block", "method") * 0.2, 3))
+    got = ranking.compare(df, ["block"], "v", ["slice"])
+    alone = {s: {(r.method_1, r.method_2): (round(r.p_value, 9), r.significant) for r in ranking.compare(df.filter(F.col("slice") == s), ["block"], "v").collect()} for s in ("clear", "none")}
+    assert {s: {(r.method_1, r.method_2): (round(r.p_value, 9), r.significant) for r in got.filter(F.col("slice") == s).collect()} for s in alone} == alone
+    assert alone["clear"]["a", "b"][1] == 1
+    groups = {(r["slice"], r.methods) for r in ranking.indistinct_groups(got, ["slice"]).collect()}
+    assert ("clear", "b") in groups and (("none", "a,b,c") in groups or any(x for _, x in alone["none"].values()))
