@@ -36,7 +36,7 @@ from labelq.session import materialised
 
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 16 << 20  # documents that are packed together
-BUCKET_BYTES = 16 << 20  # text whose anchors one bucket gets, about
+BUCKET_BYTES = 16 << 20  # text whose anchors one bucket gets, about; see bucket_count
 LATE = np.iinfo(np.int64).max  # rank of a null doc_id
 ROWS = "block long, bucket int, payload binary"
 ROWS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -126,8 +126,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
         yield block()
 
 
-def _edges(of: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(of, np.arange(buckets + 1))
+def bucket_count(total: int, bucket_bytes: int) -> int:
+    """Buckets for so many bytes of text. Beyond some hundred GB they grow with the root of the total only, so that a
+    packed row of a block keeps several anchors and a bucket stays within some hundred MB of text at 100 TB."""
+    size = max(bucket_bytes, int((total * bucket_bytes) ** 0.5) >> 7)
+    return max(8, 1 << max(0, int(np.ceil(np.log2(max(total, 1) / size)))))
+
+
+def _cuts(of: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that occur in a sorted array, each with its slice."""
+    own, first = np.unique(of, return_index=True)
+    stop = np.append(first, len(of))[1:]
+    for k, a, z in zip(own.tolist(), first.tolist(), stop.tolist(), strict=True):
+        yield k, slice(a, z)
 
 
 def _send_prints(buckets: int, block_bytes: int):
@@ -139,14 +150,11 @@ def _send_prints(buckets: int, block_bytes: int):
             code = (_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | _print(h)
             pairs = np.unique(np.stack([code, doc.astype(np.uint64)], axis=1).view([("c", "<u8"), ("d", "<u8")]))
             code, doc = pairs["c"].ravel(), pairs["d"].ravel()
-            cut = _edges((code >> np.uint64(32)).astype(np.int64), buckets)
             out = {"block": [], "bucket": [], "payload": []}
-            for k in range(buckets):
-                mine = slice(cut[k], cut[k + 1])
-                if cut[k] < cut[k + 1]:
-                    out["block"].append(block)
-                    out["bucket"].append(k)
-                    out["payload"].append(_pack((code[mine].astype(np.uint32), doc[mine].astype(np.uint16))))
+            for k, mine in _cuts((code >> np.uint64(32)).astype(np.int64)):
+                out["block"].append(block)
+                out["bucket"].append(k)
+                out["payload"].append(_pack((code[mine].astype(np.uint32), doc[mine].astype(np.uint16))))
             out["block"].append(block)
             out["bucket"].append(block % buckets)
             out["payload"].append(_pack((ids, keys)))
@@ -233,16 +241,14 @@ def _send_pieces(buckets: int, block_bytes: int):
             lead = order[np.concatenate([[0], np.flatnonzero(np.diff(same[order])) + 1])] if len(order) else order
             lead = lead[np.argsort(of[lead], kind="stable")]
             slot = np.zeros(len(numbers), np.int64)
-            cut = _edges(of[lead], buckets)
-            slot[same[lead]] = np.arange(len(lead)) - cut[of[lead]]
             out = {"block": [], "bucket": [], "payload": []}
-            for k in range(buckets):
-                mine = lead[cut[k]:cut[k + 1]]
-                if len(mine):
-                    out["block"].append(block)
-                    out["bucket"].append(k)
-                    rel = (place[mine] - start[mine]).astype(np.uint8)
-                    out["payload"].append(_pack((code[mine].astype(np.uint32), rel, count[mine].astype(np.uint8), rank[doc[mine]], b"".join(pieces[i] for i in mine.tolist()))))
+            for k, own in _cuts(of[lead]):
+                mine = lead[own]
+                slot[same[mine]] = np.arange(len(mine))
+                rel = (place[mine] - start[mine]).astype(np.uint8)
+                out["block"].append(block)
+                out["bucket"].append(k)
+                out["payload"].append(_pack((code[mine].astype(np.uint32), rel, count[mine].astype(np.uint8), rank[doc[mine]], b"".join(pieces[i] for i in mine.tolist()))))
             leader = np.zeros(len(numbers), np.int64)
             leader[same[lead]] = rank[doc[lead]]
             offset = np.concatenate([[0], ends])[doc]
@@ -347,7 +353,7 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, 1 << int(np.ceil(np.log2(max(total, 1) / bucket_bytes)))) if total > bucket_bytes else 8
+    buckets = bucket_count(total, bucket_bytes)
     sent = named.mapInArrow(_send_prints(buckets, block_bytes), ROWS)
     seen = sent.groupBy("bucket").applyInPandas(_repeated_prints, "block long, payload binary")
     hot = seen.groupBy("block").applyInPandas(_prints_per_document, "doc_id long, text_key long, codes binary")

@@ -156,16 +156,18 @@ def _per_document(limit: int):
     return run
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, buckets: int = 64, block_chars: int = 8 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, buckets: int | None = None, block_chars: int = 8 << 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     ``path`` names a byte-level BPE file of the tokenizers library. Special strings inside a text count as
     their special token, nothing is added, cut or padded. A null text is empty: 0 bytes, 0 tokens. Repeated
     rows and null ids keep a row each; other columns are ignored; an empty table gives an empty result.
-    ``buckets`` and ``block_chars`` steer how much is packed together, not the result. A worker holds one
-    block and at most ``bpe.REMEMBERED`` counted pre-tokens.
+    ``buckets`` (by default as many as there are shuffle partitions, 64 at least) and ``block_chars`` steer how
+    much is packed together, not the result. A worker holds one block and at most ``bpe.REMEMBERED`` counted
+    pre-tokens.
     """
     small_batches(docs.sparkSession)
+    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(F.col("doc_id"), F.col("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     ids_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
