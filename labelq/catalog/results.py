@@ -207,6 +207,7 @@ def _(spark, sf):
 def erfc_sql(x: str) -> str:
     """Complementary error function, x >= 0, fractional error below 1.2e-7 (published Chebyshev fit)."""
     t = f"(1.0::DOUBLE/(1.0::DOUBLE+0.5::DOUBLE*{x}))"
+    # The coefficients of the published fit.
     cs = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
     acc = f"({cs[0]}::DOUBLE)"
     for c in cs[1:]:

@@ -15,6 +15,9 @@ from labelq.operators.sampling import class_counts, sample_rounds
 from labelq.session import materialised
 
 EPS = 1e-8
+# Weight of the own loss in the score ``new``; diagonal and offset the transition solver starts from.
+OWN_WEIGHT = 1.1
+START_DIAGONAL, START_OFFSET = 5.0, -1.0
 
 
 def label_distribution(knn: DataFrame, n_classes: int, min_similarity: float = 0.45, norm: str = "l2") -> DataFrame:
@@ -47,7 +50,7 @@ def scores(dist: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     loss = F.transform("distribution", lambda p: -F.log(p + EPS))
     d = dist.withColumn("_l", loss)
     own, mean = arrays.at("_l", "label"), arrays.total("_l") / F.size("_l")
-    d = d.withColumn("ce", own).withColumn("cores", own - mean).withColumn("avg", -mean).withColumn("new", 1.1 * own - mean)
+    d = d.withColumn("ce", own).withColumn("cores", own - mean).withColumn("avg", -mean).withColumn("new", OWN_WEIGHT * own - mean)
     if prior is not None:
         row = prior.agg(F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("p"))
         expect = arrays.total(F.transform("_l", lambda x, j: x * F.coalesce(F.try_element_at("_p", j), F.lit(0.0))))
@@ -137,7 +140,7 @@ def solve_transition(p3: np.ndarray, steps: int = 1000, rate: float = 0.1, start
     """
     k = p3.shape[0]
     seen = (p3.sum((1, 2)), p3.sum(2), p3)
-    a, b = (5.0 * np.eye(k) - 1.0, np.zeros(k)) if start is None else (start[0].copy(), start[1].copy())
+    a, b = (START_DIAGONAL * np.eye(k) + START_OFFSET, np.zeros(k)) if start is None else (start[0].copy(), start[1].copy())
     moments = [np.zeros_like(a), np.zeros_like(a), np.zeros_like(b), np.zeros_like(b)]
     best = (np.inf, a, b)
     for step in range(1, steps + 1):

@@ -110,8 +110,11 @@ def cleaning_gain(downstream: DataFrame, metric: str = "weighted_f1") -> DataFra
     return after.join(base, RUN).withColumn("gain", F.round(F.col("after") - F.col("before"), 6))
 
 
-def model_consistency(a: DataFrame, b: DataFrame, suffixes: tuple[str, str],
-                      ignore: Sequence[str] = ("is_injected_noise", "observed_labels", "preds_cleaned", "noisy_label")) -> DataFrame:
+# Beginnings of stored columns that do not belong to a detector.
+NOT_COMPARED = ("is_injected_noise", "observed_labels", "preds_cleaned", "noisy_label")
+
+
+def model_consistency(a: DataFrame, b: DataFrame, suffixes: tuple[str, str], ignore: Sequence[str] = NOT_COMPARED) -> DataFrame:
     """Two runs of one data set side by side, aligned on the row id."""
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("id", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "id" and not c.startswith(tuple(ignore))])
