@@ -11,7 +11,6 @@ product. A background class with equal chances for all 4-grams takes what fits n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,14 +83,30 @@ def _scores(model: np.ndarray, keep: list[str], out: pa.Schema):
     return run
 
 
-def _posterior(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+# Every array below becomes a column of its own before it is used more than once: nested in one expression, each
+# use would be computed again for each element.
 
+def _normalised(rows: DataFrame, column: str, out: str) -> DataFrame:
+    total = F.aggregate(column, F.lit(0.0), lambda a, y: a + y)
+    return rows.withColumn("_total", total).withColumn(out, F.transform(column, lambda x: x / F.col("_total"))).drop("_total")
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+
+def _posterior(rows: DataFrame, logs: str, out: str) -> DataFrame:
+    raised = rows.withColumn("_top", F.array_max(logs)).withColumn("_raised", F.transform(logs, lambda x: F.exp(x - F.col("_top"))))
+    return _normalised(raised, "_raised", out).drop("_top", "_raised")
+
+
+def _plus(rows: DataFrame, column: str, more: Column, n: int) -> DataFrame:
+    """Add an array to the array in ``column``; a null one adds nothing."""
+    zeros = F.array(*[F.lit(0.0)] * n)
+    return rows.withColumn("_more", F.coalesce(more, zeros)).withColumn(column, F.zip_with(column, "_more", lambda x, y: x + y)).drop("_more")
+
+
+def _smoothed(rows: DataFrame, counts: Column, base: str, weight: float, n: int, out: str) -> DataFrame:
+    """Counts as shares, with ``weight`` times the shares of ``base`` added to them."""
+    zeros = F.array(*[F.lit(0.0)] * n)
+    own = rows.withColumn("_counts", F.coalesce(counts, zeros)).withColumn("_own", F.zip_with("_counts", base, lambda c, b: c + weight * b))
+    return _normalised(own, "_own", out).drop("_counts", "_own")
 
 
 def _summed(rows: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -128,7 +143,7 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, keep: list[st
     out = to_arrow_schema(schema)
     thin = named.mapInArrow(_scores(model, thin_names, out), schema)
     prior = F.array(*[F.lit(float(np.log((1 - BACKGROUND_PRIOR) / max(n, 1))))] * n, F.lit(float(np.log(BACKGROUND_PRIOR))))
-    thin = materialised(thin.withColumn("p", _posterior(_plus(F.col("ll"), prior))), "scores")
+    thin = materialised(_posterior(_plus(thin.withColumn("_logs", F.col("ll")), "_logs", prior, n + 1), "_logs", "p").drop("_logs"), "scores")
 
     whole = thin.agg(*[F.sum(F.get("p", F.lit(i))).alias(f"t{i}") for i in range(n + 1)]).first()
     mass = sum(float(x or 0.0) for x in whole) or 1.0
@@ -140,21 +155,19 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, keep: list[st
     found = small_join(found, domains, ["domain"])
     found = small_join(found, hosts, ["domain", "host"])
 
-    def smoothed(counts: Column, base: Column, weight: float) -> Column:
-        own = F.when(counts.isNull(), base).otherwise(F.zip_with(counts, base, lambda c, b: c + weight * b))
-        total = F.aggregate(own, F.lit(0.0), lambda a, y: a + y)
-        return F.transform(own, lambda x: x / total)
-
+    found = _smoothed(found.withColumn("_corpus", corpus), F.col("_d"), "_corpus", SMOOTH_DOMAIN, n + 1, "_by_domain")
     others = F.zip_with("_h", "p", lambda c, x: F.greatest(c - x, F.lit(0.0)))
-    by_domain = smoothed(F.col("_d"), corpus, SMOOTH_DOMAIN)
-    host_prior = F.transform(smoothed(others, by_domain, SMOOTH_HOST), lambda x: F.log(x + 1e-9))
-    logs = reduce(_plus, [F.col("_declared"), F.col("_suffix")], _plus(F.col("ll"), host_prior))
+    found = _smoothed(found, others, "_by_domain", SMOOTH_HOST, n + 1, "_by_host")
+    found = found.withColumn("_logs", F.zip_with("ll", "_by_host", lambda x, h: x + F.log(h + 1e-9)))
+    for evidence in ("_declared", "_suffix"):
+        found = _plus(found, "_logs", F.col(evidence), n + 1)
+    found = _posterior(found, "_logs", "_post").withColumn("_best", F.array_max("_post")).withColumn("_best_text", F.array_max("p"))
     names = F.array(*[F.lit(x) for x in [*langs, UNKNOWN]])
-    best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    joined = found.withColumn("_post", _posterior(logs)).withColumn("lang", best(F.col("_post")))
-    return joined.select(
-        *keep, "lang", F.array_max("_post").alias("posterior"), best(F.col("p")).alias("text_lang"),
-        (F.col("_letters") & (F.col("lang") != UNKNOWN) & (F.array_max("_post") >= LEAST_POSTERIOR)).alias("accepted"))
+    place = lambda a, top: F.get(names, (F.array_position(a, F.col(top)) - 1).cast("int"))
+    named = found.withColumn("lang", place(F.col("_post"), "_best"))
+    return named.select(
+        *keep, "lang", F.col("_best").alias("posterior"), place(F.col("p"), "_best_text").alias("text_lang"),
+        (F.col("_letters") & (F.col("lang") != UNKNOWN) & (F.col("_best") >= LEAST_POSTERIOR)).alias("accepted"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
