@@ -30,11 +30,22 @@ LEAST_POSTERIOR = 0.5
 UNKNOWN = "und"
 
 
+#: Bytes that say something about a language: letters, and white space as one sign. Others are zero.
+SPEAKING = np.zeros(256, np.uint8)
+SPEAKING[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+SPEAKING[128:] = np.arange(128, 256)
+SPEAKING[[9, 10, 11, 12, 13, 32]] = 32
+
+
 def grams(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
+    """Hashed byte 4-grams of a text; those with digits or punctuation are left out."""
+    raw = SPEAKING[np.frombuffer(text.lower().encode(), np.uint8)]
     if len(raw) < 4:
         return np.zeros(0, np.uint32)
-    x = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    mute = raw == 0
+    keep = ~(mute[:-3] | mute[1:-2] | mute[2:-1] | mute[3:])
+    raw = raw.astype(np.uint32)
+    x = (raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[keep]
     return (x * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
 
 
