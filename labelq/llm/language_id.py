@@ -11,6 +11,7 @@ product. A background class with equal chances for all 4-grams takes what fits n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from labelq.session import materialised
 GRAM_BITS = 16
 SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, at most about this many
 EVIDENCE_GRAMS = 40  # overlapping 4-grams repeat each other: a text counts as this many at most
+UNSEEN_SHARE = 0.2  # share of a language's 4-grams that are taken to be spread evenly, as rare words are
 BACKGROUND_PRIOR = 0.02
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_VALUE = 5.0, 20.0, 1.0
 LEAST_POSTERIOR = 0.5
@@ -75,8 +77,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str],
     langs = sorted(sums)
     table_ = np.zeros((len(langs) + 1, 1 << GRAM_BITS), np.float32)
     for i, lang in enumerate(langs):
-        c = sums[lang] + 0.01
-        table_[i] = np.log(c / c.sum())
+        c = sums[lang] / max(sums[lang].sum(), 1)
+        table_[i] = np.log((1 - UNSEEN_SHARE) * c + UNSEEN_SHARE / (1 << GRAM_BITS))
     table_[-1] = -GRAM_BITS * np.log(2.0)
     return langs, table_
 
@@ -94,30 +96,36 @@ def _scores(model: np.ndarray, keep: list[str], out: pa.Schema):
     return run
 
 
-# Every array below becomes a column of its own before it is used more than once: nested in one expression, each
-# use would be computed again for each element.
+# Languages are few, so the fusion is written out per language in plain columns: array functions with lambdas would
+# be interpreted element by element for every row.
 
-def _normalised(rows: DataFrame, column: str, out: str) -> DataFrame:
-    total = F.aggregate(column, F.lit(0.0), lambda a, y: a + y)
-    return rows.withColumn("_total", total).withColumn(out, F.transform(column, lambda x: x / F.col("_total"))).drop("_total")
+def _sum(names: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(x) for x in names])
 
 
-def _posterior(rows: DataFrame, logs: str, out: str) -> DataFrame:
-    raised = rows.withColumn("_top", F.array_max(logs)).withColumn("_raised", F.transform(logs, lambda x: F.exp(x - F.col("_top"))))
-    return _normalised(raised, "_raised", out).drop("_top", "_raised")
+def _columns(rows: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with one column per language, and the columns' names."""
+    names = [f"{name}{i}" for i in range(len(values))]
+    return rows.withColumns(dict(zip(names, values, strict=True))), names
 
 
-def _plus(rows: DataFrame, column: str, more: Column, n: int) -> DataFrame:
-    """Add an array to the array in ``column``; a null one adds nothing."""
-    zeros = F.array(*[F.lit(0.0)] * n)
-    return rows.withColumn("_more", F.coalesce(more, zeros)).withColumn(column, F.zip_with(column, "_more", lambda x, y: x + y)).drop("_more")
+def _posterior(rows: DataFrame, logs: list[str], name: str) -> tuple[DataFrame, list[str], str]:
+    """Unnormalised chances relative to the best language, their columns, and the column of their sum."""
+    top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
+    rows, names = _columns(rows.withColumn("_top", top), name, [F.exp(F.col(x) - F.col("_top")) for x in logs])
+    return rows.withColumn(f"{name}_sum", _sum(names)), names, f"{name}_sum"
 
 
-def _smoothed(rows: DataFrame, counts: Column, base: str, weight: float, n: int, out: str) -> DataFrame:
-    """Counts as shares, with ``weight`` times the shares of ``base`` added to them."""
-    zeros = F.array(*[F.lit(0.0)] * n)
-    own = rows.withColumn("_counts", F.coalesce(counts, zeros)).withColumn("_own", F.zip_with("_counts", base, lambda c, b: c + weight * b))
-    return _normalised(own, "_own", out).drop("_counts", "_own")
+def _best(names: list[str], langs: list[str]) -> Column:
+    """The first language whose relative chance is 1."""
+    out = F.lit(None).cast("string")
+    for x, lang in reversed(list(zip(names, langs, strict=True))):
+        out = F.when(F.col(x) == 1.0, F.lit(lang)).otherwise(out)
+    return out
+
+
+def _at(column: str, i: int) -> Column:
+    return F.coalesce(F.get(column, F.lit(i)), F.lit(0.0))
 
 
 def _summed(rows: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -153,12 +161,15 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, keep: list[st
 
     out = to_arrow_schema(schema)
     thin = named.mapInArrow(_scores(model, thin_names, out), schema)
-    prior = F.array(*[F.lit(float(np.log((1 - BACKGROUND_PRIOR) / max(n, 1))))] * n, F.lit(float(np.log(BACKGROUND_PRIOR))))
-    thin = materialised(_posterior(_plus(thin.withColumn("_logs", F.col("ll")), "_logs", prior, n + 1), "_logs", "p").drop("_logs"), "scores")
+    every = [*langs, UNKNOWN]
+    priors = [float(np.log((1 - BACKGROUND_PRIOR) / max(n, 1)))] * n + [float(np.log(BACKGROUND_PRIOR))]
+    first, logs = _columns(thin, "_log", [F.get("ll", F.lit(i)) + prior for i, prior in enumerate(priors)])
+    first, raised, total = _posterior(first, logs, "_text")
+    thin = materialised(first.withColumn("p", F.array(*[F.col(x) / F.col(total) for x in raised])).select(*thin.columns, "p", _best(raised, every).alias("text_lang")), "scores")
 
     whole = thin.agg(*[F.sum(F.get("p", F.lit(i))).alias(f"t{i}") for i in range(n + 1)]).first()
     mass = sum(float(x or 0.0) for x in whole) or 1.0
-    corpus = F.array(*[F.lit((float(x or 0.0) + 1e-6) / (mass + 1e-6 * (n + 1))) for x in whole])
+    corpus = [(float(x or 0.0) + 1e-6) / (mass + 1e-6 * (n + 1)) for x in whole]
     domains = materialised(_summed(thin, ["domain"], n + 1, "_d"), "domains")
     hosts = materialised(_summed(thin, ["domain", "host"], n + 1, "_h"), "hosts")
     found = small_join(thin, _chances(thin, "declared", n + 1, "_declared"), ["declared"])
@@ -166,19 +177,17 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, keep: list[st
     found = small_join(found, domains, ["domain"])
     found = small_join(found, hosts, ["domain", "host"])
 
-    found = _smoothed(found.withColumn("_corpus", corpus), F.col("_d"), "_corpus", SMOOTH_DOMAIN, n + 1, "_by_domain")
-    others = F.zip_with("_h", "p", lambda c, x: F.greatest(c - x, F.lit(0.0)))
-    found = _smoothed(found, others, "_by_domain", SMOOTH_HOST, n + 1, "_by_host")
-    found = found.withColumn("_logs", F.zip_with("ll", "_by_host", lambda x, h: x + F.log(h + 1e-9)))
-    for evidence in ("_declared", "_suffix"):
-        found = _plus(found, "_logs", F.col(evidence), n + 1)
-    found = _posterior(found, "_logs", "_post").withColumn("_best", F.array_max("_post")).withColumn("_best_text", F.array_max("p"))
-    names = F.array(*[F.lit(x) for x in [*langs, UNKNOWN]])
-    place = lambda a, top: F.get(names, (F.array_position(a, F.col(top)) - 1).cast("int"))
-    named = found.withColumn("lang", place(F.col("_post"), "_best"))
-    return named.select(
-        *keep, "lang", F.col("_best").alias("posterior"), place(F.col("p"), "_best_text").alias("text_lang"),
-        (F.col("_letters") & (F.col("lang") != UNKNOWN) & (F.col("_best") >= LEAST_POSTERIOR)).alias("accepted"))
+    found, domain = _columns(found, "_domain", [_at("_d", i) + SMOOTH_DOMAIN * share for i, share in enumerate(corpus)])
+    found = found.withColumn("_domain_sum", _sum(domain))
+    others = [F.greatest(_at("_h", i) - _at("p", i), F.lit(0.0)) for i in range(n + 1)]
+    found, host = _columns(found, "_host", [own + SMOOTH_HOST * F.col(x) / F.col("_domain_sum") for own, x in zip(others, domain, strict=True)])
+    found = found.withColumn("_host_sum", _sum(host))
+    evidence = [F.get("ll", F.lit(i)) + F.log(F.col(x) / F.col("_host_sum") + 1e-9) + _at("_declared", i) + _at("_suffix", i) for i, x in enumerate(host)]
+    found, logs = _columns(found, "_log", evidence)
+    found, raised, total = _posterior(found, logs, "_all")
+    named = found.withColumn("lang", _best(raised, every)).withColumn("posterior", 1.0 / F.col(total))
+    accepted = F.col("_letters") & (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
+    return named.select(*keep, "lang", "posterior", "text_lang", accepted.alias("accepted"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
