@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 The evidence of a row: its text, under a naive Bayes model of hashed byte 4-grams; the language its markup
-declares; the suffix of its address; and its host. The text model is fitted on a bounded sample of labelled
-rows. All other tables are grouped sums, over every row, of the text posteriors: how often a language comes with
+declares; the suffix of its address; and its host. The text model is fitted on a bounded sample of each
+language's labelled rows. All other tables are grouped sums, over every row, of the text posteriors: how often a language comes with
 a declared value or a suffix, and how often a host has it. A host with few rows leans on its domain and that on
 the corpus (hierarchical smoothing); a row is left out of its own host's counts. The posterior is the normalised
 product. A background class with equal chances for all 4-grams takes what fits no language.
@@ -23,7 +23,8 @@ from labelq.llm.base import batch, query, small_batches, small_join, table, text
 from labelq.session import materialised
 
 GRAM_BITS = 16
-SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, at most about this many
+SAMPLE_ROWS = 4000  # labelled rows the text model is fitted on, about this many and the next for each language
+LANGUAGE_ROWS = 200  # rows of each language that are drawn at least, or all it has
 EVIDENCE_GRAMS = 40  # overlapping 4-grams repeat each other: a text counts as this many at most
 UNSEEN_SHARE = 0.2  # share of a language's 4-grams that are taken to be spread evenly, as rare words are
 BACKGROUND_PRIOR = 0.02
@@ -61,18 +62,33 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(schema, {"lang": list(total), "counts": [c.astype("<i8").tobytes() for c in total.values()]})
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def _drawn(labelled: DataFrame, sample_rows: int, language_rows: int) -> DataFrame:
+    """The rows (lang, text) the model is fitted on.
+
+    A language's rate is the larger of that for ``sample_rows`` of all rows and that for ``language_rows`` of its
+    own, and reaches its smallest hash at least, so every labelled language has rows at any size.
+    """
+    known = labelled.where("lang is not null").withColumn("_h", F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")))
+    counts = known.groupBy("lang").agg(F.count("*").alias("c"), F.min("_h").alias("least")).collect()
+    n = sum(r["c"] for r in counts)
+    cuts = []
+    for r in counts:
+        rate = min(1.0, max(sample_rows / n, language_rows / r["c"]))
+        cuts.append((r["lang"], max(r["least"], min((1 << 63) - 1, int(rate * 2.0**64) - (1 << 63)))))
+    cut = known.sparkSession.createDataFrame(cuts, "lang string, _cut long")
+    return known.join(F.broadcast(cut), "lang").where("_h <= _cut").select("lang", "text")
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, language_rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log chances of the hashed 4-grams, from rows (doc_id, text, lang).
 
-    Rows are drawn by a hash of doc_id at the rate that gives about ``sample_rows``; rows without a language are
-    left out. One vector per language and task reaches the driver. Without any labelled row there is no language.
+    Languages are those of all labelled rows; each is fitted on rows drawn by a hash of doc_id and text (see
+    ``_drawn``). Rows without a language are left out. One vector per language and task reaches the driver.
+    Without any labelled row there is no language.
     """
-    known = labelled.where("lang is not null")
-    n = known.count()
-    rate = min(1.0, sample_rows / n) if n else 0.0
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1_000_000)) < int(rate * 1_000_000))
+    drawn = _drawn(labelled, sample_rows, language_rows)
     sums: dict[str, np.ndarray] = {}
-    for row in drawn.select("lang", "text").coalesce(16).mapInArrow(_counts, "lang string, counts binary").toLocalIterator():
+    for row in drawn.coalesce(16).mapInArrow(_counts, "lang string, counts binary").toLocalIterator():
         sums[row["lang"]] = sums.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")
     langs = sorted(sums)
     table_ = np.zeros((len(langs) + 1, 1 << GRAM_BITS), np.float32)

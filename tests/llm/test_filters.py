@@ -180,3 +180,17 @@ def test_language_evidence_and_odd_rows(spark, documents, some_texts):
     assert kept.columns == docs.columns and kept.where("doc_id < 200").count() == docs.where("doc_id < 200").count()
     empty = documents([])
     assert language_id.accepted_documents(empty, empty).count() == 0
+
+
+def test_rare_languages_are_fitted_at_any_size(spark):
+    rare = [(100_000 + i, f"zq{i % 20} vyx wuq{i % 7} kyj", f"r{i % 20}") for i in range(40)]
+    common = [(i, f"the common words of document {i} and more", "en") for i in range(8000)]
+    lone = [(None, "o mesmo texto", "pt")] * 3
+    labelled = spark.createDataFrame(rare + common + lone, "doc_id long, text string, lang string")
+    want = sorted({f"r{i}" for i in range(20)} | {"en", "pt"})
+    for sample_rows, language_rows in ((40, 5), (0, 0)):
+        langs, model = language_id.fit(labelled, sample_rows, language_rows)
+        assert langs == want and model.shape[0] == len(want) + 1
+    drawn = Counter(r.lang for r in language_id._drawn(labelled, 40, 5).collect())
+    assert drawn["en"] < 200 and all(drawn[f"r{i}"] == 2 for i in range(20))
+    assert language_id.fit(labelled.where("false"))[0] == []
