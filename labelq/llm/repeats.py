@@ -6,7 +6,8 @@ hold the strings around one anchor, aligned at it, and these are built apart:
 
 1. Anchors of all documents are dealt by hash as packed fingerprints; those seen in one document only drop out.
 2. For the rest, the bytes of the strings that belong to them are dealt by the same hash; equal pieces of a block
-   of documents travel once. A task then inserts one symbol per piece and round, from the last column to the
+   of documents travel once. Pieces of an anchor with very many of them are cut into their single strings, which
+   are dealt by a hash of the string, so no anchor is one big group; equal strings of a block travel once. A task then inserts one symbol per piece and round, from the last column to the
    first, and keeps the pieces ordered by what has been inserted (a positional Burrows-Wheeler transform) with
    the common prefix of neighbours. Neighbours with ``length`` common symbols start with the same string; the
    smallest doc_id of such a run of neighbours keeps it.
@@ -37,6 +38,9 @@ from labelq.session import materialised
 LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 16 << 20  # documents that are packed together
 BUCKET_BYTES = 16 << 20  # text whose anchors one bucket gets, about; see bucket_count
+BUSY_PIECES = 10_000  # an anchor with more pieces than this is dealt string by string
+BUSY = np.uint64(1 << 63)  # marks such an anchor's code
+STRING_BUCKETS = 4  # buckets of single strings for each bucket of anchors
 LATE = np.iinfo(np.int64).max  # rank of a null doc_id
 ROWS = "block long, bucket int, payload binary"
 ROWS_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -148,15 +152,15 @@ def _send_prints(buckets: int, block_bytes: int):
             block = (part << 32) | made
             doc, _, _, _, h = anchors(raw, ends)
             code = (_bucket(h, buckets).astype(np.uint64) << np.uint64(32)) | _print(h)
-            pairs = np.unique(np.stack([code, doc.astype(np.uint64)], axis=1).view([("c", "<u8"), ("d", "<u8")]))
+            pairs, times = np.unique(np.stack([code, doc.astype(np.uint64)], axis=1).view([("c", "<u8"), ("d", "<u8")]), return_counts=True)
             code, doc = pairs["c"].ravel(), pairs["d"].ravel()
             out = {"block": [], "bucket": [], "payload": []}
             for k, mine in _cuts((code >> np.uint64(32)).astype(np.int64)):
                 out["block"].append(block)
                 out["bucket"].append(k)
-                out["payload"].append(_pack((code[mine].astype(np.uint32), doc[mine].astype(np.uint16))))
+                out["payload"].append(_pack((code[mine].astype(np.uint32), doc[mine].astype(np.uint16), times[mine].astype(np.uint32))))
             out["block"].append(block)
-            out["bucket"].append(block % buckets)
+            out["bucket"].append((part + made) % buckets)
             out["payload"].append(_pack((ids, keys)))
             yield batch(ROWS_ARROW, out)
     return run
@@ -179,21 +183,23 @@ def _frame(away: list, blocks: list, replies: list) -> pd.DataFrame:
     return pd.DataFrame({"block": [x[0] for x in away] + blocks, "payload": [x[1] for x in away] + replies})
 
 
-def _repeated_prints(key, rows: pd.DataFrame) -> pd.DataFrame:
-    away, blocks, held = _split(rows)
-    if not held:
-        return _frame(away, [], [])
-    codes = np.concatenate([x[0] for x in held])
-    seen, times = np.unique(codes, return_counts=True)
-    many = seen[times > 1]
-    bucket, blocks_out, replies = int(key[0]), [], []
-    for block, (code, doc) in zip(blocks, held, strict=True):
-        at = np.searchsorted(many, code)
-        hit = (at < len(many)) & (many[np.minimum(at, len(many) - 1)] == code) if len(many) else np.zeros(len(code), bool)
-        if hit.any():
-            blocks_out.append(block)
-            replies.append(_pack((bucket, code[hit], doc[hit])))
-    return _frame(away, blocks_out, replies)
+def _repeated_prints(busy_pieces: int):
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        away, blocks, held = _split(rows)
+        if not held:
+            return _frame(away, [], [])
+        seen, place, docs = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+        pieces = np.bincount(place, np.concatenate([x[2] for x in held]), len(seen))
+        many, busy = seen[docs > 1], (pieces > busy_pieces)[docs > 1]
+        bucket, blocks_out, replies = int(key[0]), [], []
+        for block, (code, doc, _) in zip(blocks, held, strict=True):
+            at = np.minimum(np.searchsorted(many, code), max(len(many) - 1, 0))
+            hit = many[at] == code if len(many) else np.zeros(len(code), bool)
+            if hit.any():
+                blocks_out.append(block)
+                replies.append(_pack((bucket, code[hit], doc[hit], busy[at[hit]])))
+        return _frame(away, blocks_out, replies)
+    return run
 
 
 def _prints_per_document(rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,12 +209,12 @@ def _prints_per_document(rows: pd.DataFrame) -> pd.DataFrame:
         if isinstance(x[0], list):
             ids, keys = x
         else:
-            parts.append((np.full(len(x[1]), x[0], np.uint64) << np.uint64(32) | x[1], x[2]))
+            parts.append((np.full(len(x[1]), x[0], np.uint64) << np.uint64(32) | x[1], x[2], x[3]))
     if not parts:
         return pd.DataFrame({"doc_id": pd.array([], "Int64"), "text_key": pd.array([], "int64"), "codes": []})
-    code, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, doc, busy = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((code, doc))
-    code, doc = code[order], doc[order]
+    code, doc = (code | np.where(busy, BUSY, np.uint64(0)))[order], doc[order]
     own, first = np.unique(doc, return_index=True)
     stop = np.concatenate([first[1:], [len(doc)]])
     return pd.DataFrame({
@@ -216,6 +222,39 @@ def _prints_per_document(rows: pd.DataFrame) -> pd.DataFrame:
         "codes": [code[a:z].tobytes() for a, z in zip(first, stop, strict=True)]})
 
 
+def _words(raw: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings of ``LENGTH`` bytes from ``starts`` on, as columns of eight bytes that together cover them."""
+    x = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+    for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        yield x[starts + at]
+
+
+def _string_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(starts), np.uint64)
+    for x in _words(raw, starts):
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def equal_strings(raw: np.ndarray, starts: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each string its equal of smallest rank. ``h`` brings equal strings together, their bytes decide."""
+    order = np.lexsort((rank, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[:len(order)]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[new][np.cumsum(new) - 1]
+    same = np.ones(len(order), bool)
+    for x, y in zip(_words(raw, starts), _words(raw, starts[lead]), strict=True):
+        same &= x == y
+    if not same.all():
+        first: dict = {}
+        for i in order[np.isin(h[order], h[~same])].tolist():
+            lead[i] = first.setdefault(raw[starts[i]:starts[i] + LENGTH].tobytes(), i)
+    return lead
+
+
 def _send_pieces(buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -224,14 +263,16 @@ def _send_pieces(buckets: int, block_bytes: int):
             doc, start, count, place, h = anchors(raw, ends)
             of = _bucket(h, buckets)
             code = (of.astype(np.uint64) << np.uint64(32)) | _print(h)
-            keep = np.zeros(len(doc), bool)
+            keep, busy = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             edges = np.searchsorted(doc, np.arange(len(ids) + 1))
             for d, own in enumerate(codes):
                 mine = slice(edges[d], edges[d + 1])
                 own = np.frombuffer(own, np.uint64)
-                at = np.minimum(np.searchsorted(own, code[mine]), len(own) - 1)
-                keep[mine] = own[at] == code[mine]
-            doc, start, count, place, of, code = (x[keep] for x in (doc, start, count, place, of, code))
+                plain = own & ~BUSY
+                at = np.minimum(np.searchsorted(plain, code[mine]), len(own) - 1)
+                keep[mine] = plain[at] == code[mine]
+                busy[mine] = own[at] >= BUSY
+            doc, start, count, place, of, code, busy = (x[keep] for x in (doc, start, count, place, of, code, busy))
             rank = np.array([LATE if i is None else i for i in ids], np.int64)
             pieces = [raw[s:s + c + LENGTH - 1].tobytes() for s, c in zip(start.tolist(), count.tolist(), strict=True)]
             # Equal pieces of a block travel once, for the smallest doc_id among them.
@@ -239,9 +280,31 @@ def _send_pieces(buckets: int, block_bytes: int):
             same = np.fromiter((numbers.setdefault((c, s), len(numbers)) for c, s in zip(code.tolist(), pieces, strict=True)), np.int64, len(pieces))
             order = np.lexsort((rank[doc], same))
             lead = order[np.concatenate([[0], np.flatnonzero(np.diff(same[order])) + 1])] if len(order) else order
-            lead = lead[np.argsort(of[lead], kind="stable")]
+            leader = np.zeros(len(numbers), np.int64)
+            leader[same[lead]] = rank[doc[lead]]
             slot = np.zeros(len(numbers), np.int64)
             out = {"block": [], "bucket": [], "payload": []}
+            # The strings of busy anchors, in the order of their pieces; the pieces' own slots are their places in it.
+            cut, lead = lead[busy[lead]], lead[~busy[lead]]
+            slot[same[cut]] = np.arange(len(cut))
+            of[busy] = -1
+            long = count[cut].astype(np.int64)
+            single = np.repeat(start[cut] - np.cumsum(long) + long, long) + np.arange(long.sum())
+            held = np.repeat(rank[doc[cut]], long)
+            h = _string_hashes(raw, single)
+            head = equal_strings(raw, single, held, h)
+            s_of = buckets + (h % np.uint64(STRING_BUCKETS * buckets)).astype(np.int64)
+            heads = np.unique(head)
+            heads = heads[np.argsort(s_of[heads], kind="stable")]
+            s_slot = np.zeros(len(single), np.int64)
+            for k, own in _cuts(s_of[heads]):
+                mine = heads[own]
+                s_slot[mine] = np.arange(len(mine))
+                out["block"].append(block)
+                out["bucket"].append(k)
+                out["payload"].append(_pack((held[mine], np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[single[mine]].tobytes())))
+            strings = (long.astype(np.uint8), s_of.astype(np.int32), s_slot[head].astype(np.uint32), held > held[head])
+            lead = lead[np.argsort(of[lead], kind="stable")]
             for k, own in _cuts(of[lead]):
                 mine = lead[own]
                 slot[same[mine]] = np.arange(len(mine))
@@ -249,13 +312,11 @@ def _send_pieces(buckets: int, block_bytes: int):
                 out["block"].append(block)
                 out["bucket"].append(k)
                 out["payload"].append(_pack((code[mine].astype(np.uint32), rel, count[mine].astype(np.uint8), rank[doc[mine]], b"".join(pieces[i] for i in mine.tolist()))))
-            leader = np.zeros(len(numbers), np.int64)
-            leader[same[lead]] = rank[doc[lead]]
             offset = np.concatenate([[0], ends])[doc]
             out["block"].append(block)
-            out["bucket"].append(block % buckets)
+            out["bucket"].append((part + made) % buckets)
             later = rank[doc] > leader[same]
-            out["payload"].append(_pack((ids, keys, doc.astype(np.uint16), (start - offset).astype(np.uint32), count.astype(np.uint8), of.astype(np.int32), slot[same].astype(np.uint32), later)))
+            out["payload"].append(_pack((ids, keys, doc.astype(np.uint16), (start - offset).astype(np.uint32), count.astype(np.uint8), of.astype(np.int32), slot[same].astype(np.uint32), later, strings)))
             yield batch(ROWS_ARROW, out)
     return run
 
@@ -307,10 +368,14 @@ def _found(key, rows: pd.DataFrame) -> pd.DataFrame:
     away, blocks, held = _split(rows)
     if not held:
         return _frame(away, [], [])
+    stop, bucket = np.cumsum([len(x[0]) for x in held]), int(key[0])
+    if len(held[0]) == 2:
+        rank, raw = np.concatenate([x[0] for x in held]), np.frombuffer(b"".join(x[1] for x in held), np.uint8)
+        starts = np.arange(len(rank)) * LENGTH
+        later = rank > rank[equal_strings(raw, starts, rank, _string_hashes(raw, starts))]
+        return _frame(away, blocks, [_pack((bucket, later[z - len(x[0]):z])) for z, x in zip(stop, held, strict=True)])
     group, first, count, rank = (np.concatenate([x[i] for x in held]) for i in range(4))
     bits = earlier_starts(group, first, count, rank, b"".join(x[4] for x in held))
-    stop = np.cumsum([len(x[0]) for x in held])
-    bucket = int(key[0])
     return _frame(away, blocks, [_pack((bucket, bits[z - len(x[0]):z])) for z, x in zip(stop, held, strict=True)])
 
 
@@ -322,11 +387,19 @@ def _spans_per_document(rows: pd.DataFrame) -> pd.DataFrame:
             held = x
         else:
             found[x[0]] = x[1]
-    ids, keys, doc, start, count, of, slot, later = held
+    ids, keys, doc, start, count, of, slot, later, (long, s_of, s_slot, gone) = held
     bits = np.zeros(len(doc), np.uint64)
+    order = np.argsort(s_of, kind="stable")
+    for k, own in _cuts(s_of[order]):
+        gone[order[own]] |= found.pop(k)[s_slot[order[own]]]
     for k, own in found.items():
         mine = of == k
         bits[mine] = own[slot[mine]]
+    if len(long):
+        ends = np.cumsum(long, dtype=np.int64)
+        place = np.arange(len(gone)) - np.repeat(ends - long, long)
+        busy = of < 0
+        bits[busy] = np.bitwise_or.reduceat(gone.astype(np.uint64) << place.astype(np.uint64), ends - long)[slot[busy]]
     # A piece equal to one of a smaller doc_id in its own block goes whole.
     every = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
     bits = np.where(later, every, bits)
@@ -348,19 +421,23 @@ def _spans_per_document(rows: pd.DataFrame) -> pd.DataFrame:
         "spans": [spans[a:z].tobytes() for a, z in zip(first, stop, strict=True)]})
 
 
-def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, text_key, spans) of documents with removed bytes: pairs of 32-bit byte offsets, end exclusive."""
-    small_batches(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = bucket_count(total, bucket_bytes)
+def _sent_pieces(named: DataFrame, buckets: int, block_bytes: int, busy_pieces: int) -> DataFrame:
+    """Rows of ``ROWS``: the pieces of all repeated anchors of ``named`` (doc_id, text_key, text), with directories."""
     sent = named.mapInArrow(_send_prints(buckets, block_bytes), ROWS)
-    seen = sent.groupBy("bucket").applyInPandas(_repeated_prints, "block long, payload binary")
+    seen = sent.groupBy("bucket").applyInPandas(_repeated_prints(busy_pieces), "block long, payload binary")
     hot = seen.groupBy("block").applyInPandas(_prints_per_document, "doc_id long, text_key long, codes binary")
     hot = materialised(hot.dropDuplicates(["doc_id", "text_key"]), "anchors").hint("shuffle_hash")
     same = named["doc_id"].eqNullSafe(hot["doc_id"]) & (named["text_key"] == hot["text_key"])
     met = named.join(hot, same).select(named["doc_id"], named["text_key"], "text", "codes")
-    pieces = met.mapInArrow(_send_pieces(buckets, block_bytes), ROWS)
+    return met.mapInArrow(_send_pieces(buckets, block_bytes), ROWS)
+
+
+def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, busy_pieces: int = BUSY_PIECES) -> DataFrame:
+    """(doc_id, text_key, spans) of documents with removed bytes: pairs of 32-bit byte offsets, end exclusive."""
+    small_batches(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = _sent_pieces(named, bucket_count(total, bucket_bytes), block_bytes, busy_pieces)
     found = pieces.groupBy("bucket").applyInPandas(_found, "block long, payload binary")
     spans = found.groupBy("block").applyInPandas(_spans_per_document, "doc_id long, text_key long, spans binary")
     return materialised(spans.dropDuplicates(["doc_id", "text_key"]), "spans")

@@ -183,3 +183,41 @@ def test_anchors_do_not_depend_on_slices(slice_):
             place[s] = (int(at), int(h))
     whole = {s: (int(at), int(h)) for doc, start, count, at, h in zip(*repeats.anchors(raw, ends), strict=True) for s in range(start, start + count)}
     assert place == whole and len(place) == sum(max(0, len(d) - 49) for d in docs)
+
+
+def hot_rows(n):
+    """Documents that share a passage, each between words of its own; some are exact copies of others."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abc defg") for _ in range(150))
+
+    def word():
+        return "".join(rng.choice("mnopqrst") for _ in range(45))
+
+    rows = [(None if i % 50 == 7 else i, word() + passage[rng.randrange(3):] + word()) for i in range(n)]
+    return rows + [(n + i, rows[i][1]) for i in range(0, n, 10)] + [(rows[3][0], rows[9][1] + passage), rows[5]]
+
+
+@pytest.mark.parametrize("busy_pieces", [1, 20, 10_000])
+def test_repeats_around_hot_anchors_match_brute_force(spark, documents, busy_pieces):
+    rows = hot_rows(300)
+    want = Counter(zip([i for i, _ in rows], [x[1:3] for x in brute_repeats([(repeats.LATE if i is None else i, t) for i, t in rows])], strict=True))
+    docs = documents(rows, clash=False).select("doc_id", "text").repartition(4)
+    joined = repeats.with_spans(docs, repeats.repeated_spans(docs, block_bytes=5_000, bucket_bytes=20_000, busy_pieces=busy_pieces)).collect()
+    spans = [(r.doc_id, np.frombuffer(r.spans or b"", "<u4").reshape(-1, 2).tolist()) for r in joined]
+    assert Counter((i, (sum(e - s for s, e in x), len(x))) for i, x in spans) == want
+
+
+def test_pieces_of_hot_anchors_are_spread(spark, documents):
+    docs = documents(hot_rows(1000), clash=False).selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    held = Counter()
+    for r in repeats._sent_pieces(docs, 8, 1 << 20, 100).select("bucket", "payload").collect():
+        x = repeats._unpack(r.payload)
+        if not isinstance(x[0], list):
+            held[r.bucket] += len(x[0])
+    assert sum(held.values()) > 1000 and max(held.values()) < 0.1 * sum(held.values())
+
+
+def test_strings_with_equal_hashes_are_told_apart():
+    raw = np.frombuffer(b"".join(bytes([c]) * 50 for c in b"abacb"), np.uint8)
+    lead = repeats.equal_strings(raw, np.arange(5) * 50, np.array([3, 2, 1, 0, 4]), np.zeros(5, np.uint64))
+    assert lead.tolist() == [2, 1, 2, 3, 1]
