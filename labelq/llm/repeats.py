@@ -421,15 +421,20 @@ def _spans_per_document(rows: pd.DataFrame) -> pd.DataFrame:
         "spans": [spans[a:z].tobytes() for a, z in zip(first, stop, strict=True)]})
 
 
+def _met(named: DataFrame, hot: DataFrame) -> DataFrame:
+    """Documents with their repeated anchors. Rows leave a shuffle in any order, but blocks and slots are numbered as
+    rows come and a repeated task must give the same numbers, so each partition is sorted; rows that tie are equal."""
+    same = named["doc_id"].eqNullSafe(hot["doc_id"]) & (named["text_key"] == hot["text_key"])
+    return named.join(hot, same).select(named["doc_id"], named["text_key"], "text", "codes").sortWithinPartitions("doc_id", "text_key")
+
+
 def _sent_pieces(named: DataFrame, buckets: int, block_bytes: int, busy_pieces: int) -> DataFrame:
     """Rows of ``ROWS``: the pieces of all repeated anchors of ``named`` (doc_id, text_key, text), with directories."""
     sent = named.mapInArrow(_send_prints(buckets, block_bytes), ROWS)
     seen = sent.groupBy("bucket").applyInPandas(_repeated_prints(busy_pieces), "block long, payload binary")
     hot = seen.groupBy("block").applyInPandas(_prints_per_document, "doc_id long, text_key long, codes binary")
     hot = materialised(hot.dropDuplicates(["doc_id", "text_key"]), "anchors").hint("shuffle_hash")
-    same = named["doc_id"].eqNullSafe(hot["doc_id"]) & (named["text_key"] == hot["text_key"])
-    met = named.join(hot, same).select(named["doc_id"], named["text_key"], "text", "codes")
-    return met.mapInArrow(_send_pieces(buckets, block_bytes), ROWS)
+    return _met(named, hot).mapInArrow(_send_pieces(buckets, block_bytes), ROWS)
 
 
 def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, busy_pieces: int = BUSY_PIECES) -> DataFrame:

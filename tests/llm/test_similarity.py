@@ -221,3 +221,15 @@ def test_strings_with_equal_hashes_are_told_apart():
     raw = np.frombuffer(b"".join(bytes([c]) * 50 for c in b"abacb"), np.uint8)
     lead = repeats.equal_strings(raw, np.arange(5) * 50, np.array([3, 2, 1, 0, 4]), np.zeros(5, np.uint64))
     assert lead.tolist() == [2, 1, 2, 3, 1]
+
+
+def test_packing_does_not_depend_on_the_order_of_arrival(spark, documents):
+    docs = documents(hot_rows(400), clash=False).selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    hot = docs.selectExpr("doc_id", "text_key", "cast('x' AS binary) AS codes").distinct().hint("shuffle_hash")
+
+    def packed(named):
+        return [(r.p, r.doc_id, r.text_key) for r in repeats._met(named, hot).selectExpr("spark_partition_id() AS p", "*").collect()]
+
+    forth, back = packed(docs.repartition(5).orderBy("text")), packed(docs.repartition(7).orderBy(docs["text"].desc()))
+    assert forth == back and len(forth) == docs.count()
+    assert forth == sorted(forth, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
