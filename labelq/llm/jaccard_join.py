@@ -11,7 +11,8 @@
 3. Families. Linked sets are always in one family. Its full sets come together, in signature trees with bitmaps of
    all tokens; pairs that the traversal leaves and that are not connected yet are compared exactly. Large families
    are cut into parts by size band and hash, and only parts of the same or the next band meet. Again a spanning
-   forest, now of links, leaves the task.
+   forest, now of links, leaves the task. Where links are counted, all pairs that the traversal leaves are compared,
+   and a task also gives the number of links of each set; no two sets meet in more than one part.
 4. Components of these links, with the smallest doc_id as their name.
 
 Nothing is sampled or capped: the order of tokens, sizes of trees and links found early decide how much work is
@@ -230,17 +231,38 @@ def _candidate_forest(percent: int):
     return run
 
 
-def _link_forest(percent: int):
-    """Step 3 in a partition sorted by (family, part): spanning forests of the links."""
+LINKS = pa.schema([*PAIRS, ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("links", pa.int64())])
+
+
+def _linked(codes: dict, tokens: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of the non-empty sets ``codes`` (numbers below ``tokens``) are links; one set against many at once."""
+    out = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    seen = np.zeros(tokens, np.int32)
+    for s, e in zip(*_groups([i[order]]), strict=True):
+        for at in np.split(order[s:e], range(1024, e - s, 1024)):
+            own, others = codes[int(i[at[0]])], [codes[int(y)] for y in j[at]]
+            size = np.array([len(x) for x in others])
+            seen[own] = 1
+            both = np.add.reduceat(seen[np.concatenate(others)], np.cumsum(size) - size)
+            seen[own] = 0
+            out[at] = 100 * both >= percent * (len(own) + size - both)
+    return out
+
+
+def _link_forest(percent: int, count: bool):
+    """Step 3 in a partition sorted by (family, part): spanning forests of the links, and with ``count`` a row for each
+    set and part with the number of documents it is linked to there, from the ``weight`` of the sets (0: not counted)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ("family", "part"), 2_000, 1 << 25):
-            r = {x: t.column(x).to_numpy() for x in ("family", "part", "side", "id")}
+            r = {x: t.column(x).to_numpy() for x in ("family", "part", "side", "id", "f1", "f2")}
+            weight = t.column("weight").to_numpy().copy()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
             r["n"] = r["m"] = np.array([len(x) for x in sets], np.int64)
             r["first"] = np.array([int(x[0] >> np.uint64(1)) if len(x) else 0 for x in sets], np.int64)
             r["w"] = S.width_class(4 * r["n"])
             starts, ends = _groups([r["family"], r["part"]])
-            pairs = []
+            pairs, links = [], np.zeros(len(sets), np.int64)
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s < 2:
                     continue
@@ -248,7 +270,26 @@ def _link_forest(percent: int):
                 some = (np.array([s]), np.array([e]))
                 found = _small_trees(r, *some, percent) if e - s <= BULK else _large_tree(r, s, e, percent)
                 joined = _Joined()
+                if count:
+                    # Rows that repeat an id and text are one set.
+                    once: set = set()
+                    for x in np.flatnonzero(weight[s:e]) + s:
+                        key = (r["id"][x], r["n"][x], r["f1"][x], r["f2"][x])
+                        weight[x] *= key not in once
+                        once.add(key)
+                    tokens, place = np.unique(np.concatenate(sets[s:e]), return_inverse=True)
+                    codes = dict(zip(range(s, e), np.split(place, np.cumsum(r["n"][s:e])[:-1]), strict=True))
                 for i, j, most in found:
+                    if count:
+                        both = (weight[i] > 0) & (weight[j] > 0)
+                        x, y = (v[both & (r["id"][i] != r["id"][j])] for v in (i, j))
+                        if len(x):
+                            good = _linked(codes, len(tokens), x, y, percent)
+                            x, y = x[good], y[good]
+                            np.add.at(links, x, weight[y])
+                            np.add.at(links, y, weight[x])
+                            pairs += [(a, b) for a, b in zip(r["id"][x].tolist(), r["id"][y].tolist(), strict=True) if joined.join(a, b)]
+                        i, j, most = i[~both], j[~both], most[~both]
                     share = most / np.maximum(r["n"][i] + r["n"][j] - most, 1)
                     for k in np.argsort(-share, kind="stable").tolist():
                         x, y = int(i[k]), int(j[k])
@@ -259,7 +300,10 @@ def _link_forest(percent: int):
                         if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                             joined.join(a, b)
                             pairs.append((a, b))
-            yield _pairs(pairs)
+            forest, some = _pairs(pairs), np.flatnonzero(links)
+            none = [None] * forest.num_rows
+            yield batch(LINKS, {"a": forest.column(0), "b": forest.column(1), "n": none, "f1": none, "f2": none, "links": none})
+            yield batch(LINKS, {"a": r["id"][some], "b": r["id"][some], "n": r["n"][some], "f1": r["f1"][some], "f2": r["f2"][some], "links": links[some]})
     return run
 
 
@@ -280,7 +324,7 @@ def _trees(postings: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _families(members: DataFrame, percent: int) -> DataFrame:
-    """Places of sets in family trees: (id, family, part, side), from (id, n, family).
+    """Places of sets in family trees: (id, n, family, part, side), from (id, n, family).
 
     A family above ``FAMILY_ROWS`` sets or ``FAMILY_TOKENS`` tokens is cut by size band, a factor of percent / 100
     wide, and hash; sets whose bands differ by two or more cannot be linked.
@@ -288,7 +332,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("family").agg(F.count("*").alias("_c"), F.sum("n").alias("_t"))
     whole = (F.col("_c") <= FAMILY_ROWS) & (F.col("_t") <= FAMILY_TOKENS)
     placed = members.join(sizes, "family")
-    small = placed.where(whole).select("id", "family", F.lit("").alias("part"), F.lit(0).alias("side"))
+    small = placed.where(whole).select("id", "n", "family", F.lit("").alias("part"), F.lit(0).alias("side"))
     width = -np.log(percent / 100) * 1.0001
     banded = placed.where(~whole).select("id", "n", "family", F.floor(F.log("n") / width).cast("int").alias("band"))
     bands = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("n") / FAMILY_TOKENS)).cast("int").alias("_p"))
@@ -300,43 +344,60 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
     side = F.when(here == there, 0).when(here < there, 1).otherwise(2)
     low, high = F.least(here, there), F.greatest(here, there)
     part = F.concat_ws("/", low["x"], low["y"], high["x"], high["y"])
-    return small.unionByName(met.select("id", "family", part.alias("part"), side.alias("side"))).distinct()
+    return small.unionByName(met.select("id", "n", "family", part.alias("part"), side.alias("side"))).distinct()
+
+
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    return (int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(s).astype(np.int64))) if len(s) else (0, 0)
 
 
 def _sets(k: int):
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, {"id": b.column(0), "tokens": [s.tobytes() for s in shingle_sets(b.column(1), k)]})
+            sets = list(shingle_sets(b.column(1), k))
+            f1, f2 = zip(*map(_sums, sets), strict=True) if sets else ([], [])
+            yield batch(schema, {"id": b.column(0), "tokens": [s.tobytes() for s in sets], "n": [len(s) for s in sets], "f1": f1, "f2": f2})
     return run
 
 
-def _links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all linked sets; ``places`` is the result of ``_families``."""
+def _links(docs: DataFrame, places: DataFrame, weights: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked sets; ``places`` is the result of ``_families``. With ``weights`` (id, n, f1,
+    f2, weight) of the sets that count, also rows with ``links`` (a, n, f1, f2): their sum is a set's number of links."""
     ids = materialised(places.select("id").distinct(), "members")
     few = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = named.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(k), "id long, tokens binary")
-    placed = sets.join(F.broadcast(places) if few and places.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else places, "id")
-    ordered = placed.select("family", F.xxhash64("part").alias("part"), "side", "id", "tokens").repartition("family", "part").sortWithinPartitions("family", "part", "side", "id")
-    return ordered.mapInArrow(_link_forest(percent), "a long, b long").distinct()
-
-
-def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    sets = named.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets(k), "id long, tokens binary, n int, f1 long, f2 long")
+    if weights is None:
+        sets = sets.withColumn("weight", F.lit(0).cast("long"))
+    else:
+        mine = materialised(weights.join(ids, "id", "left_semi"), "weights")
+        sets = sets.join(F.broadcast(mine) if few and mine.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else mine, ["id", "n", "f1", "f2"], "left")
+    there = places.withColumnRenamed("n", "_n")
+    placed = sets.join(F.broadcast(there) if few and places.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else there, "id")
+    # A set counts in the places of its own size; an id with several texts has others as well.
+    weight = F.when(F.col("n") == F.col("_n"), F.coalesce("weight", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    ordered = placed.select("family", F.xxhash64("part").alias("part"), "side", "id", "f1", "f2", weight.alias("weight"), "tokens").repartition("family", "part").sortWithinPartitions("family", "part", "side", "id")
+    return ordered.mapInArrow(_link_forest(percent, weights is not None), "a long, b long, n int, f1 long, f2 long, links long")
+
+
+def near_components(docs: DataFrame, k: int = 4, percent: int = 85, count: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_key (a hash of the text), n_shingles, component_id.
 
     Rows are linked where 100 * |intersection| >= ``percent`` * |union| of their shingle sets. Texts without words
     (null, empty, white space) have no shingle and no link. Repeated rows keep a row each and share a component;
     rows with one id and other texts are each placed by their own text, links of either count for both. A row with
-    a null id has no link and a null component. An empty table gives an empty result; other columns are ignored.
+    a null id has no link and a null component. With ``count`` there is also n_links, the number of links of a row's
+    own text to documents with other ids, those with an equal set included; repeated rows are one document, and texts
+    of one id with different sets are several. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     made = materialised(features(docs, k, percent), "features")
     thin = made.select("doc_id", "text_key", "n", "f1", "f2")
     known = thin.where("n > 0 and doc_id is not null")
-    classes = materialised(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
+    classes = materialised(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("weight")), "classes")
     copies = materialised(known.join(classes.where("rows > 1"), ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id", "n", "f1", "f2"), "copies")
     few = copies.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     reps = made.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, ["doc_id", "n", "f1", "f2"], "left_anti")
@@ -356,11 +417,19 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     family = components(candidates)
     sized = reps.select(F.col("doc_id").alias("id"), "n").distinct()
     members = materialised(family.withColumnRenamed("component", "family").join(sized, "id"), "families")
-    final = materialised(components(_links(docs, materialised(_families(members, percent), "places"), k, percent)), "components")
-    placed = classes.join(final, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"))
+    weights = classes.select("id", "n", "f1", "f2", "weight") if count else None
+    links = materialised(_links(docs, materialised(_families(members, percent), "places"), weights, k, percent), "links")
+    final = materialised(components(links.where("links is null").select("a", "b").distinct()), "components")
+    placed = classes.join(final, "id", "left")
+    if count:
+        others = links.where("links is not null").groupBy("n", "f1", "f2").agg(F.sum("links").alias("links"))
+        placed = placed.join(others, ["n", "f1", "f2"], "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
+    number = ["n_links"] if count else []
+    placed = placed.select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"), *number)
     out = thin.join(materialised(placed, "placed"), ["n", "f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+                      *[F.when(F.col("doc_id").isNotNull(), F.coalesce(x, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(x) for x in number])
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -381,4 +450,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark, sf):
-    return near_components(table(spark, sf, "documents")).drop("text_key")
+    return near_components(table(spark, sf, "documents"), count=True).drop("text_key")

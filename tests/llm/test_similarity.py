@@ -233,3 +233,21 @@ def test_packing_does_not_depend_on_the_order_of_arrival(spark, documents):
     forth, back = packed(docs.repartition(5).orderBy("text")), packed(docs.repartition(7).orderBy(docs["text"].desc()))
     assert forth == back and len(forth) == docs.count()
     assert forth == sorted(forth, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+
+
+@pytest.mark.parametrize("family_rows", [25, 1024])
+def test_links_are_all_counted(spark, documents, some_texts, monkeypatch, family_rows):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    family = [(20_000 + i, edited(rng, base[: rng.randrange(70, 90)], rng.randrange(0, 4))) for i in range(130)]
+    copies = [(21_000 + i, family[i][1]) for i in range(0, 40, 2)]
+    rows = [r[:2] for r in some_texts] + family + copies + [family[0], (21_000, family[50][1] + " more"), (21_000, "x")]
+    sets = {(i, shingles(t, 4)) for i, t in rows if i is not None and t}
+    want = {}
+    for i, s in sets:
+        want[(i, s)] = sum(1 for j, r in sets if i != j and s and r and 100 * len(s & r) >= 85 * (len(s) + len(r) - len(s & r)))
+    monkeypatch.setattr(jaccard_join, "FAMILY_ROWS", family_rows)
+    got = jaccard_join.near_components(documents(rows), count=True).collect()
+    expected = Counter((i, len(shingles(t, 4)), want.get((i, shingles(t, 4)), 0)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == expected
+    assert max(r.n_links for r in got) > 5
