@@ -2,9 +2,10 @@
 
 A block of documents is reduced to its distinct chunks (what stands between white space) and, for each, the
 documents that hold it and how often. The distinct chunks of all blocks are made one table and cut into terms once
-each; the terms are joined back to the blocks, where postings of chunks become postings of terms, so that a document
-that holds a term in several chunks counts once. What leaves a block are sums per language, source and term; what
-travels before that is every chunk once per block, not once per document.
+each. Terms that even all documents of all their chunks together could not carry over the limit are left out; the
+others are joined back to the blocks, where postings of chunks become postings of terms, so that a document that
+holds a term in several chunks counts once. What leaves a block are sums per language, source and term; what travels
+before that is every chunk once per block, not once per document.
 
 Sums over all kept terms for all pairs of sources are made from non-zero counts only: terms are dealt by hash, a
 group holds a slice of terms for two blocks of sources, and terms that neither source has are added by their number.
@@ -12,6 +13,7 @@ group holds a slice of terms for two blocks of sources, and terms that neither s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS = 30
 SCALE, SMOOTH = 1_000_000_000, 5
 TERM_RANKS = 50
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 32 << 20
 SOURCE_BLOCK = 256  # sources on one side of a group of pairs
 TERM_BLOCK = 8192  # kept terms of a group of pairs, about
 
 FACTORS = pa.schema([
-    ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("kinds", pa.binary()),
-    ("chunks", pa.list_(pa.string())), ("chunk", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
-FACTOR_TYPE = "block long, langs array<string>, sources array<string>, kinds binary, chunks array<string>, chunk binary, doc binary, times binary"
+    ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+    ("chunks", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("postings", pa.binary())])
+FACTOR_TYPE = "block long, langs array<string>, sources array<string>, chunks array<string>, docs array<int>, postings binary"
 SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 
 
@@ -49,35 +51,50 @@ class _Numbered(dict):
         return n
 
 
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of 32-bit numbers in one compressed string."""
+    sink = pa.BufferOutputStream()
+    rows = pa.record_batch([pa.array([a.astype("<i4").tobytes() for a in arrays], pa.binary())], names=["a"])
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(a, "<i4").astype(np.int64) for a in pa.ipc.open_stream(packed).read_all().column(0).to_pylist()]
+
+
 def _factors(block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
 
         def empty():
-            return _Numbered(), _Numbered(), [], [], [], [], 0
+            return _Numbered(), _Numbered(), [], [], [], 0
 
-        chunks, groups, kinds, chunk, doc, times, chars = empty()
+        chunks, groups, kinds, chunk, times, chars = empty()
 
         def flush() -> pa.RecordBatch:
+            held = np.fromiter(map(len, chunk), np.int32, len(chunk))
+            all_chunks = np.concatenate(chunk)
             row = {
-                "block": (part << 32) | made, "langs": [g[0] for g in groups], "sources": [g[1] for g in groups], "kinds": np.array(kinds, "<i4").tobytes(),
-                "chunks": pa.array(list(chunks), pa.binary()).cast(pa.string()).to_pylist(), "chunk": np.concatenate(chunk).astype("<i4").tobytes(),
-                "doc": np.concatenate(doc).astype("<i4").tobytes(), "times": np.concatenate(times).astype("<i4").tobytes()}
+                "block": (part << 32) | made, "langs": [g[0] for g in groups], "sources": [g[1] for g in groups],
+                "chunks": pa.array(list(chunks), pa.binary()).cast(pa.string()).to_pylist(), "docs": np.bincount(all_chunks, minlength=len(chunks)),
+                "postings": _packed([np.array(kinds), held, np.diff(all_chunks, prepend=0), np.concatenate(times)])}
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in FACTORS], schema=FACTORS)
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
-                cut = text.encode().split()
-                own, n = np.unique(np.fromiter(map(chunks.__getitem__, cut), np.int64, len(cut)), return_counts=True)
-                chunk.append(own)
-                times.append(n)
-                doc.append(np.full(len(own), len(kinds)))
+                own = Counter(text.encode().split())
+                numbers = np.fromiter(map(chunks.__getitem__, own), np.int32, len(own))
+                order = np.argsort(numbers)
+                chunk.append(numbers[order])
+                times.append(np.fromiter(own.values(), np.int32, len(own))[order])
                 kinds.append(groups[lang, source])
                 chars += len(text) + 64
                 if chars >= block_chars:
                     yield flush()
                     made += 1
-                    chunks, groups, kinds, chunk, doc, times, chars = empty()
+                    chunks, groups, kinds, chunk, times, chars = empty()
         if kinds:
             yield flush()
     return run
@@ -90,23 +107,31 @@ def factors(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return named.mapInArrow(_factors(block_chars), FACTOR_TYPE)
 
 
-def chunk_terms(blocks: DataFrame) -> DataFrame:
-    """(chunk, term): the terms of every distinct chunk of the blocks, repeats kept; each chunk is cut once."""
-    distinct = blocks.select(F.explode("chunks").alias("chunk")).distinct()
-    return distinct.select("chunk", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("term"))
+def chunk_terms(blocks: DataFrame, least_docs: int) -> DataFrame:
+    """(chunk, term): the terms of every distinct chunk of the blocks, repeats kept; each chunk is cut once.
+
+    Terms whose chunks are in fewer than ``least_docs`` documents, all languages and chunks added up, are left out.
+    """
+    held = blocks.select(F.explode(F.arrays_zip("chunks", "docs")).alias("c")).groupBy(F.col("c.chunks").alias("chunk")).agg(F.sum("c.docs").alias("docs"))
+    cut = held.select("chunk", "docs", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("term"))
+    cut = materialised(cut, "chunk_terms")
+    known = cut.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("term")
+    return cut.select("chunk", "term").join(known, "term", "left_semi")
 
 
 def _block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sums per language, source and term of one block from its postings (left) and its chunks' terms (right)."""
     if left.num_rows == 0 or right.num_rows == 0:
         return SUMS.empty_table()
-    row = {c: left.column(c)[0].as_py() for c in left.column_names}
-    kinds, chunk, doc, times = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("kinds", "chunk", "doc", "times"))
+    langs, sources = (pa.array(left.column(c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
+    kinds, held, steps, times = _unpacked(left.column("postings")[0].as_py())
+    chunk = np.cumsum(steps)
+    doc = np.repeat(np.arange(len(kinds)), held)
     names = right.column("term").combine_chunks().dictionary_encode()
     pos, term = right.column("pos").to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)
     order = np.argsort(pos, kind="stable")
     pos, term = pos[order], term[order]
-    first = np.searchsorted(pos, np.arange(len(row["chunks"]) + 1))
+    first = np.searchsorted(pos, np.arange(left.column("size")[0].as_py() + 1))
     held = np.diff(first)[chunk]
     at = np.repeat(first[chunk] - np.cumsum(held) + held, held) + np.arange(held.sum())
     n_terms = len(names.dictionary)
@@ -118,20 +143,22 @@ def _block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, place, n)
     kind = pa.array(pairs // n_terms)
-    return pa.table([pa.array(row["langs"], pa.string()).take(kind), pa.array(row["sources"], pa.string()).take(kind), names.dictionary.take(pa.array(pairs % n_terms)), pa.array(docs), pa.array(total)], schema=SUMS)
+    return pa.table([langs.take(kind), sources.take(kind), names.dictionary.take(pa.array(pairs % n_terms)), pa.array(docs), pa.array(total)], schema=SUMS)
 
 
-def term_counts(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, docs, n) of all terms of ``docs``, and the groups (lang, source) that occur.
+def term_counts(docs: DataFrame, least_docs: int = 1, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, docs, n) of the terms of ``docs``, and the groups (lang, source) that occur.
 
     ``docs`` counts rows that hold the term, ``n`` its occurrences. A row is a document: repeated rows and null ids
-    count each. The results are read from stored tables.
+    count each. Every term that ``least_docs`` documents hold is there, all its groups with it. The results are read
+    from stored tables.
     """
     blocks = materialised(factors(docs, block_chars), "factors")
     groups = blocks.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
-    asked = blocks.select("block", F.posexplode("chunks").alias("pos", "chunk"))
-    replies = asked.join(chunk_terms(blocks), "chunk").select(F.col("block").alias("of"), "pos", "term")
-    sums = blocks.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_block_sums, "lang string, source string, term string, docs long, n long")
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("chunks").alias("pos", "chunk"))
+    replies = asked.join(chunk_terms(blocks, least_docs), "chunk").select("of", "pos", "term")
+    packed = blocks.select("block", "langs", "sources", "postings", F.size("chunks").alias("size"))
+    sums = packed.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_block_sums, "lang string, source string, term string, docs long, n long")
     counts = sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     return materialised(counts, "term_counts"), materialised(groups, "groups")
 
@@ -181,7 +208,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_
     Windows are over one language's sources (their numbers) and one group's terms, of which each task sends its first
     ``ranks``; no text or list of documents is in them.
     """
-    counts, groups = term_counts(docs, block_chars)
+    counts, groups = term_counts(docs, least_docs, block_chars)
     kept = materialised(counts.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("d")).where(F.col("d") >= least_docs).drop("d"), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("whole").alias("lang_total"))
     held = materialised(counts.drop("docs").join(kept, ["lang", "term"]), "held")
