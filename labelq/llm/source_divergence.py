@@ -42,7 +42,7 @@ FACTORS = pa.schema([
     ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
     ("chunks", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("postings", pa.binary())])
 FACTOR_TYPE = "block long, langs array<string>, sources array<string>, chunks array<string>, docs array<int>, postings binary"
-SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("number", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
 
 
 class _Numbered(dict):
@@ -107,34 +107,36 @@ def factors(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return named.mapInArrow(_factors(block_chars), FACTOR_TYPE)
 
 
-def chunk_terms(blocks: DataFrame, least_docs: int) -> DataFrame:
-    """(chunk, term): the terms of every distinct chunk of the blocks, repeats kept; each chunk is cut once.
+def chunk_terms(blocks: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, number): the terms of every distinct chunk, repeats kept, and (number, term). Each chunk is cut once.
 
     Terms whose chunks are in fewer than ``least_docs`` documents, all languages and chunks added up, are left out.
     """
     held = blocks.select(F.explode(F.arrays_zip("chunks", "docs")).alias("c")).groupBy(F.col("c.chunks").alias("chunk")).agg(F.sum("c.docs").alias("docs"))
     cut = held.select("chunk", "docs", F.explode(F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("term"))
     cut = materialised(cut, "chunk_terms")
-    known = cut.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("term")
-    return cut.select("chunk", "term").join(known, "term", "left_semi")
+    known = cut.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    # The numbers are fixed by being stored.
+    known = materialised(known.select(F.monotonically_increasing_id().alias("number"), "term"), "terms")
+    return cut.select("chunk", "term").join(known, "term").select("chunk", "number"), known
 
 
 def _block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums per language, source and term of one block from its postings (left) and its chunks' terms (right)."""
+    """Sums per language, source and term of one block from its postings (left) and its chunks' terms (right), as numbers."""
     if left.num_rows == 0 or right.num_rows == 0:
         return SUMS.empty_table()
     langs, sources = (pa.array(left.column(c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
     kinds, held, steps, times = _unpacked(left.column("postings")[0].as_py())
     chunk = np.cumsum(steps)
     doc = np.repeat(np.arange(len(kinds)), held)
-    names = right.column("term").combine_chunks().dictionary_encode()
-    pos, term = right.column("pos").to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64)
+    names, term = np.unique(right.column("number").to_numpy(), return_inverse=True)
+    pos = right.column("pos").to_numpy().astype(np.int64)
     order = np.argsort(pos, kind="stable")
     pos, term = pos[order], term[order]
     first = np.searchsorted(pos, np.arange(left.column("size")[0].as_py() + 1))
     held = np.diff(first)[chunk]
     at = np.repeat(first[chunk] - np.cumsum(held) + held, held) + np.arange(held.sum())
-    n_terms = len(names.dictionary)
+    n_terms = len(names)
     keys = np.repeat(doc, held) * n_terms + term[at]
     where, place = np.unique(keys, return_inverse=True)
     n = np.zeros(len(where), np.int64)
@@ -143,7 +145,7 @@ def _block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, place, n)
     kind = pa.array(pairs // n_terms)
-    return pa.table([langs.take(kind), sources.take(kind), names.dictionary.take(pa.array(pairs % n_terms)), pa.array(docs), pa.array(total)], schema=SUMS)
+    return pa.table([langs.take(kind), sources.take(kind), pa.array(names[pairs % n_terms]), pa.array(docs), pa.array(total)], schema=SUMS)
 
 
 def term_counts(docs: DataFrame, least_docs: int = 1, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -156,10 +158,12 @@ def term_counts(docs: DataFrame, least_docs: int = 1, block_chars: int = BLOCK_C
     blocks = materialised(factors(docs, block_chars), "factors")
     groups = blocks.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
     asked = blocks.select(F.col("block").alias("of"), F.posexplode("chunks").alias("pos", "chunk"))
-    replies = asked.join(chunk_terms(blocks, least_docs), "chunk").select("of", "pos", "term")
+    terms, names = chunk_terms(blocks, least_docs)
+    replies = asked.join(terms, "chunk").select("of", "pos", "number")
     packed = blocks.select("block", "langs", "sources", "postings", F.size("chunks").alias("size"))
-    sums = packed.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_block_sums, "lang string, source string, term string, docs long, n long")
-    counts = sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    sums = packed.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_block_sums, "lang string, source string, number long, docs long, n long")
+    counts = sums.groupBy("lang", "source", "number").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counts = counts.join(names, "number").select("lang", "source", "term", "docs", "n")
     return materialised(counts, "term_counts"), materialised(groups, "groups")
 
 
