@@ -11,11 +11,10 @@ product. A background class with equal chances for all 4-grams takes what fits n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,96 +51,129 @@ def grams(text: str) -> np.ndarray:
     return (x * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
 
 
+COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
     for b in batches:
+        total: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-            held = total.setdefault(lang, np.zeros(1 << GRAM_BITS, np.int64))
-            held += np.bincount(grams(text), minlength=1 << GRAM_BITS)
-    schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
-    yield batch(schema, {"lang": list(total), "counts": [c.astype("<i8").tobytes() for c in total.values()]})
+            total.setdefault(lang, []).append(grams(text))
+        for lang, found in total.items():
+            gram, n = np.unique(np.concatenate(found), return_counts=True)
+            yield batch(COUNTS, {"lang": [lang] * len(gram), "gram": gram.astype(np.int32), "n": n})
+
+
+def _log_chances(rows: pa.Table) -> pa.Table:
+    """The log chances of all grams for one language, from at most one row per gram."""
+    c = np.zeros(1 << GRAM_BITS)
+    c[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
+    logs = np.log((1 - UNSEEN_SHARE) * c / max(c.sum(), 1) + UNSEEN_SHARE / (1 << GRAM_BITS))
+    return pa.table({"lang": rows.column("lang")[:1], "logs": pa.array([logs.astype("<f4").tobytes()], pa.binary())})
 
 
-def _drawn(labelled: DataFrame, sample_rows: int, language_rows: int) -> DataFrame:
-    """The rows (lang, text) the model is fitted on.
+def _hashed(labelled: DataFrame) -> DataFrame:
+    return labelled.where("lang is not null").withColumn("_h", F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")))
+
+
+def _cuts(labelled: DataFrame, sample_rows: int, language_rows: int) -> list[tuple[str, int]]:
+    """The labelled languages in order, each with the largest hash that is drawn.
 
     A language's rate is the larger of that for ``sample_rows`` of all rows and that for ``language_rows`` of its
     own, and reaches its smallest hash at least, so every labelled language has rows at any size.
     """
-    known = labelled.where("lang is not null").withColumn("_h", F.xxhash64(F.lit("fit"), F.col("doc_id"), F.col("text")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("c"), F.min("_h").alias("least")).collect()
+    counts = _hashed(labelled).groupBy("lang").agg(F.count("*").alias("c"), F.min("_h").alias("least")).collect()
     n = sum(r["c"] for r in counts)
     cuts = []
     for r in counts:
         rate = min(1.0, max(sample_rows / n, language_rows / r["c"]))
         cuts.append((r["lang"], max(r["least"], min((1 << 63) - 1, int(rate * 2.0**64) - (1 << 63)))))
-    cut = known.sparkSession.createDataFrame(cuts, "lang string, _cut long")
-    return known.join(F.broadcast(cut), "lang").where("_h <= _cut").select("lang", "text")
+    return sorted(cuts)
+
+
+def _drawn(labelled: DataFrame, sample_rows: int, language_rows: int, cuts: list[tuple[str, int]] | None = None) -> DataFrame:
+    """The rows (lang, text) the model is fitted on; see ``_cuts``."""
+    cuts = _cuts(labelled, sample_rows, language_rows) if cuts is None else cuts
+    cut = labelled.sparkSession.createDataFrame(cuts, "lang string, _cut long")
+    return _hashed(labelled).join(F.broadcast(cut), "lang").where("_h <= _cut").select("lang", "text")
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, language_rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log chances of the hashed 4-grams, from rows (doc_id, text, lang).
 
     Languages are those of all labelled rows; each is fitted on rows drawn by a hash of doc_id and text (see
-    ``_drawn``). Rows without a language are left out. One vector per language and task reaches the driver.
-    Without any labelled row there is no language.
+    ``_cuts``). Rows without a language are left out. Counts are summed per language and gram; one vector per language
+    reaches the driver. Without any labelled row there is no language; one whose drawn texts have no grams gives all
+    grams equal chances.
     """
-    drawn = _drawn(labelled, sample_rows, language_rows)
-    sums: dict[str, np.ndarray] = {}
-    for row in drawn.coalesce(16).mapInArrow(_counts, "lang string, counts binary").toLocalIterator():
-        sums[row["lang"]] = sums.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")
-    langs = sorted(sums)
-    table_ = np.zeros((len(langs) + 1, 1 << GRAM_BITS), np.float32)
+    cuts = _cuts(labelled, sample_rows, language_rows)
+    counts = _drawn(labelled, sample_rows, language_rows, cuts).mapInArrow(_counts, "lang string, gram int, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = {r["lang"]: np.frombuffer(r["logs"], "<f4") for r in counts.groupBy("lang").applyInArrow(_log_chances, "lang string, logs binary").toLocalIterator()}
+    langs = [lang for lang, _ in cuts]
+    table_ = np.full((len(langs) + 1, 1 << GRAM_BITS), -GRAM_BITS * np.log(2.0), np.float32)
     for i, lang in enumerate(langs):
-        c = sums[lang] / max(sums[lang].sum(), 1)
-        table_[i] = np.log((1 - UNSEEN_SHARE) * c + UNSEEN_SHARE / (1 << GRAM_BITS))
-    table_[-1] = -GRAM_BITS * np.log(2.0)
+        table_[i] = found.get(lang, table_[-1])
     return langs, table_
 
 
-def _scores(model: np.ndarray, keep: list[str], out: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for text in texts(b.column(len(keep))):
-                idx = grams(text)
-                total = np.array([row[idx].sum(dtype=np.float64) for row in model])
-                found.append(total * min(1.0, EVIDENCE_GRAMS / max(len(idx), 1)))
-            columns = [b.column(i) for i in range(len(keep))] + [pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-    return run
+def _strings(codes: np.ndarray, names: list[str]) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(codes))
 
 
-# Languages are few, so the fusion is written out per language in plain columns: array functions with lambdas would
-# be interpreted element by element for every row.
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel(), pa.float64()))
 
-def _sum(names: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(x) for x in names])
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of vectors as rows; zeros where there is none."""
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
 
-def _columns(rows: DataFrame, name: str, values: list[Column]) -> tuple[DataFrame, list[str]]:
-    """``rows`` with one column per language, and the columns' names."""
-    names = [f"{name}{i}" for i in range(len(values))]
-    return rows.withColumns(dict(zip(names, values, strict=True))), names
 
+def _posterior(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages, and the first of the best."""
+    if len(logs) == 0:
+        return logs, np.zeros(0, np.int64)
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True), logs.argmax(axis=1)
 
-def _posterior(rows: DataFrame, logs: list[str], name: str) -> tuple[DataFrame, list[str], str]:
-    """Unnormalised chances relative to the best language, their columns, and the column of their sum."""
-    top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
-    rows, names = _columns(rows.withColumn("_top", top), name, [F.exp(F.col(x) - F.col("_top")) for x in logs])
-    return rows.withColumn(f"{name}_sum", _sum(names)), names, f"{name}_sum"
 
+def _scores(model: np.ndarray, every: list[str], out: pa.Schema):
+    """Log likelihoods of the last column's text, the languages' shares by the text alone, and the best of them."""
+    n = len(every) - 1
+    priors = np.log(np.array([(1 - BACKGROUND_PRIOR) / max(n, 1)] * n + [BACKGROUND_PRIOR]))
 
-def _best(names: list[str], langs: list[str]) -> Column:
-    """The first language whose relative chance is 1."""
-    out = F.lit(None).cast("string")
-    for x, lang in reversed(list(zip(names, langs, strict=True))):
-        out = F.when(F.col(x) == 1.0, F.lit(lang)).otherwise(out)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.zeros((b.num_rows, len(every)))
+            for i, text in enumerate(texts(b.columns[-1])):
+                idx = grams(text)
+                found[i] = np.array([row[idx].sum(dtype=np.float64) for row in model]) * min(1.0, EVIDENCE_GRAMS / max(len(idx), 1))
+            shares, best = _posterior(found + priors)
+            columns = [*b.columns[:-1], _lists(found), _lists(shares), _strings(best, every)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+    return run
 
 
-def _at(column: str, i: int) -> Column:
-    return F.coalesce(F.get(column, F.lit(i)), F.lit(0.0))
+def _fused(corpus: np.ndarray, every: list[str], n_keep: int, out: pa.Schema):
+    """Language, posterior and decision of rows whose evidence has been joined to them."""
+    n = len(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = dict(zip(b.schema.names, b.columns, strict=True))
+            ll, p, declared, suffix, domain, host = (_matrix(column[c], n) for c in ("ll", "p", "c_declared", "c_suffix", "d", "h"))
+            domain = domain + SMOOTH_DOMAIN * corpus
+            host = np.maximum(host - p, 0) + SMOOTH_HOST * domain / domain.sum(axis=1, keepdims=True)
+            shares, best = _posterior(ll + np.log(host / host.sum(axis=1, keepdims=True) + 1e-9) + declared + suffix)
+            posterior = shares[np.arange(b.num_rows), best]
+            letters = column["letters"].to_numpy(zero_copy_only=False).astype(bool)
+            accepted = letters & (best != n - 1) & (posterior >= LEAST_POSTERIOR)
+            columns = [*b.columns[:n_keep], _strings(best, every), pa.array(posterior), column["text_lang"], pa.array(accepted)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+    return run
 
 
 def _summed(rows: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -165,45 +197,35 @@ def identify(rows: DataFrame, langs: list[str], model: np.ndarray, keep: list[st
     ``rows`` has text, declared, suffix, domain and host, all strings; a null one is no evidence. ``lang`` is
     "und" where the background class wins. A row is accepted if a language wins with a posterior of
     ``LEAST_POSTERIOR`` or more. A null or empty text leaves the decision to the other evidence, and such a row
-    is not accepted, as is none without any letter. Repeated rows get one row each; an empty table gives none.
+    is not accepted, as is none without any letter. Repeated rows get one row each; an empty table gives none. Names
+    in ``keep`` clash with no inner ones.
     """
-    small_batches(rows.sparkSession)
-    n = len(langs)
-    letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    thin_names = [*keep, "declared", "suffix", "domain", "host", "_letters"]
-    named = rows.withColumn("_letters", letters).select(*thin_names, "text")
-    schema = T.StructType([*named.schema.fields[:-1], T.StructField("ll", T.ArrayType(T.DoubleType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(schema)
-    thin = named.mapInArrow(_scores(model, thin_names, out), schema)
+    small_batches(rows.sparkSession)
     every = [*langs, UNKNOWN]
-    priors = [float(np.log((1 - BACKGROUND_PRIOR) / max(n, 1)))] * n + [float(np.log(BACKGROUND_PRIOR))]
-    first, logs = _columns(thin, "_log", [F.get("ll", F.lit(i)) + prior for i, prior in enumerate(priors)])
-    first, raised, total = _posterior(first, logs, "_text")
-    thin = materialised(first.withColumn("p", F.array(*[F.col(x) / F.col(total) for x in raised])).select(*thin.columns, "p", _best(raised, every).alias("text_lang")), "scores")
-
-    whole = thin.agg(*[F.sum(F.get("p", F.lit(i))).alias(f"t{i}") for i in range(n + 1)]).first()
-    mass = sum(float(x or 0.0) for x in whole) or 1.0
-    corpus = [(float(x or 0.0) + 1e-6) / (mass + 1e-6 * (n + 1)) for x in whole]
-    domains = materialised(_summed(thin, ["domain"], n + 1, "_d"), "domains")
-    hosts = materialised(_summed(thin, ["domain", "host"], n + 1, "_h"), "hosts")
-    found = small_join(thin, _chances(thin, "declared", n + 1, "_declared"), ["declared"])
-    found = small_join(found, _chances(thin, "suffix", n + 1, "_suffix"), ["suffix"])
+    n = len(every)
+    inner = [f"k{i}" for i in range(len(keep))]
+    letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+    named = rows.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], "declared", "suffix", "domain", "host", letters.alias("letters"), "text")
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*named.schema.fields[:-1], T.StructField("ll", vector), T.StructField("p", vector), T.StructField("text_lang", T.StringType())])
+    thin = materialised(named.mapInArrow(_scores(model, every, to_arrow_schema(schema)), schema), "scores")
+
+    whole = thin.agg(*[F.sum(F.get("p", F.lit(i))).alias(f"t{i}") for i in range(n)]).first()
+    mass = np.array([float(x or 0.0) for x in whole])
+    corpus = (mass + 1e-6) / ((mass.sum() or 1.0) + 1e-6 * n)
+    domains = materialised(_summed(thin, ["domain"], n, "d"), "domains")
+    hosts = materialised(_summed(thin, ["domain", "host"], n, "h"), "hosts")
+    found = small_join(thin, _chances(thin, "declared", n, "c_declared"), ["declared"])
+    found = small_join(found, _chances(thin, "suffix", n, "c_suffix"), ["suffix"])
     found = small_join(found, domains, ["domain"])
     found = small_join(found, hosts, ["domain", "host"])
-
-    found, domain = _columns(found, "_domain", [_at("_d", i) + SMOOTH_DOMAIN * share for i, share in enumerate(corpus)])
-    found = found.withColumn("_domain_sum", _sum(domain))
-    others = [F.greatest(_at("_h", i) - _at("p", i), F.lit(0.0)) for i in range(n + 1)]
-    found, host = _columns(found, "_host", [own + SMOOTH_HOST * F.col(x) / F.col("_domain_sum") for own, x in zip(others, domain, strict=True)])
-    found = found.withColumn("_host_sum", _sum(host))
-    evidence = [F.get("ll", F.lit(i)) + F.log(F.col(x) / F.col("_host_sum") + 1e-9) + _at("_declared", i) + _at("_suffix", i) for i, x in enumerate(host)]
-    found, logs = _columns(found, "_log", evidence)
-    found, raised, total = _posterior(found, logs, "_all")
-    named = found.withColumn("lang", _best(raised, every)).withColumn("posterior", 1.0 / F.col(total))
-    accepted = F.col("_letters") & (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
-    return named.select(*keep, "lang", "posterior", "text_lang", accepted.alias("accepted"))
+    found = found.select(*inner, "letters", "ll", "p", "text_lang", "c_declared", "c_suffix", "d", "h")
+    out = T.StructType([
+        *[T.StructField(c, f.dataType) for c, f in zip(keep, named.schema.fields, strict=False)],
+        T.StructField("lang", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("text_lang", T.StringType()), T.StructField("accepted", T.BooleanType())])
+    return found.mapInArrow(_fused(corpus, every, len(keep), to_arrow_schema(out)), out)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
