@@ -174,33 +174,35 @@ def chance(n: Column, total: Column, terms: Column) -> Column:
     return (1 + F.call_function("div", above, below)).cast("long")
 
 
-def _pair_sums(key: tuple, bases: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-    """Sums over the terms seen in one group, for the pairs of a block of sources with another."""
-    a, b = int(key[1]), int(key[2])
-    base = dict(zip(bases["number"].to_numpy(), bases["p0"].to_numpy(), strict=True))
-    sides = [np.array(sorted(i for i in base if i // SOURCE_BLOCK == x), np.int64) for x in (a, b)]
-    codes, names = pd.factorize(values["term"])
-    numbers, p = values["number"].to_numpy(), values["p"].to_numpy()
-    total, held = np.zeros((len(sides[0]), len(sides[1])), np.int64), np.zeros((len(sides[0]), len(sides[1])), np.int64)
-    step = max(1, (4 << 20) // max(1, total.size))
-    order = np.argsort(codes, kind="stable")
-    codes, numbers, p = codes[order], numbers[order], p[order]
-    for lo in range(0, len(names), step):
-        hi = min(len(names), lo + step)
-        i, j = np.searchsorted(codes, [lo, hi])
-        filled = []
-        for x, side in zip((a, b), sides, strict=True):
-            matrix = np.repeat(np.array([[base[s] for s in side]], np.int64), hi - lo, axis=0)
-            mine = numbers[i:j] // SOURCE_BLOCK == x
-            matrix[codes[i:j][mine] - lo, np.searchsorted(side, numbers[i:j][mine])] = p[i:j][mine]
-            filled.append(matrix)
-        total += np.abs(filled[0][:, :, None] - filled[1][:, None, :]).sum(axis=0)
-        held += hi - lo
-    rows, cols = np.nonzero(sides[0][:, None] < sides[1][None, :])
-    return pd.DataFrame({"lang": key[0], "one": sides[0][rows], "other": sides[1][cols], "apart": total[rows, cols], "seen": held[rows, cols]})
-
-
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_RANKS, block_chars: int = BLOCK_CHARS, term_block: int = TERM_BLOCK) -> DataFrame:
+def _pair_sums(source_block: int):
+    def run(key: tuple, bases: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the terms seen in one group, for the pairs of a block of sources with another."""
+        a, b = int(key[1]), int(key[2])
+        base = dict(zip(bases["number"].to_numpy(), bases["p0"].to_numpy(), strict=True))
+        sides = [np.array(sorted(i for i in base if i // source_block == x), np.int64) for x in (a, b)]
+        codes, names = pd.factorize(values["term"])
+        numbers, p = values["number"].to_numpy(), values["p"].to_numpy()
+        total, held = np.zeros((len(sides[0]), len(sides[1])), np.int64), np.zeros((len(sides[0]), len(sides[1])), np.int64)
+        step = max(1, (4 << 20) // max(1, total.size))
+        order = np.argsort(codes, kind="stable")
+        codes, numbers, p = codes[order], numbers[order], p[order]
+        for lo in range(0, len(names), step):
+            hi = min(len(names), lo + step)
+            i, j = np.searchsorted(codes, [lo, hi])
+            filled = []
+            for x, side in zip((a, b), sides, strict=True):
+                matrix = np.repeat(np.array([[base[s] for s in side]], np.int64), hi - lo, axis=0)
+                mine = numbers[i:j] // source_block == x
+                matrix[codes[i:j][mine] - lo, np.searchsorted(side, numbers[i:j][mine])] = p[i:j][mine]
+                filled.append(matrix)
+            total += np.abs(filled[0][:, :, None] - filled[1][:, None, :]).sum(axis=0)
+            held += hi - lo
+        rows, cols = np.nonzero(sides[0][:, None] < sides[1][None, :])
+        return pd.DataFrame({"lang": key[0], "one": sides[0][rows], "other": sides[1][cols], "apart": total[rows, cols], "seen": held[rows, cols]})
+    return run
+
+
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_RANKS, block_chars: int = BLOCK_CHARS, term_block: int = TERM_BLOCK, source_block: int = SOURCE_BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` has the distance of a source to each other source of its
     language, part ``term`` the terms it uses more than its language does, up to ``ranks`` of them.
 
@@ -229,8 +231,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_
     terms = terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= ranks)
 
     slices = F.greatest(F.lit(1), F.ceil(F.col("terms") / term_block)).cast("long")
-    blocks = materialised(sources.groupBy("lang").agg((F.floor(F.max("number") / SOURCE_BLOCK) + 1).cast("long").alias("blocks"), F.max(slices).alias("slices")), "blocks")
-    mine = F.floor(F.col("number") / SOURCE_BLOCK).cast("long")
+    blocks = materialised(sources.groupBy("lang").agg((F.floor(F.max("number") / source_block) + 1).cast("long").alias("blocks"), F.max(slices).alias("slices")), "blocks")
+    mine = F.floor(F.col("number") / source_block).cast("long")
 
     def met(rows: DataFrame) -> DataFrame:
         """A row for each pair of blocks (one, other) that its source's block is in."""
@@ -241,7 +243,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_
     values = met(values).select("lang", "a", "b", "slice", "term", "number", "p")
     bases = sources.select("lang", "number", "p0").join(blocks, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     bases = met(bases).select("lang", "a", "b", "slice", "number", "p0").toDF("lang", "one", "other", "of", "number", "p0")
-    sums = bases.groupBy("lang", "one", "other", "of").cogroup(values.groupBy("lang", "a", "b", "slice")).applyInPandas(_pair_sums, "lang string, one long, other long, apart long, seen long")
+    sums = bases.groupBy("lang", "one", "other", "of").cogroup(values.groupBy("lang", "a", "b", "slice")).applyInPandas(_pair_sums(source_block), "lang string, one long, other long, apart long, seen long")
     sums = sums.groupBy("lang", "one", "other").agg(F.sum("apart").alias("apart"), F.sum("seen").alias("seen"))
     side = sources.select("lang", "source", "number", "p0", "terms")
     named = sums.join(side.select("lang", F.col("number").alias("one"), F.col("source").alias("s1"), F.col("p0").alias("p1"), "terms"), ["lang", "one"])

@@ -1,10 +1,12 @@
 """Personal data, decontamination, mixing, Hamming search and language identification."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from labelq.llm import decontaminate, hamming_search, language_id, mixing, personal_data
@@ -57,22 +59,25 @@ def test_long_digit_runs_take_linear_time():
 
 
 def test_containment_matches_brute_force(spark, documents, some_texts):
-    items = [(i, " ".join(t.split()[3:40])) for i, t, *_ in some_texts[:60] if t] + [(900, None), (901, ""), (902, "too short"), (900, None)]
+    items = [(i, " ".join(t.split()[3:40])) for i, t, *_ in some_texts[:60] if t] + [(900, None), (901, ""), (902, "too short"), (900, None), (903, "Xyzzy"), (904, "these four words too"), (905, "never there")]
     edited = [(80_000 + n, "Before it " + t.upper() + " and after") for n, (_, t) in enumerate(items[:10])]
     cut = [(81_000 + n, "x " + " ".join(t.split()[:-6]) + " y") for n, (_, t) in enumerate(items[:20])]
-    rows = [r[:2] for r in some_texts] + edited + cut
+    short = [(82_000, "it is Too Short"), (82_001, "xyzzy"), (82_002, "of these four words too many; too  short"), (82_003, "these four words")]
+    rows = [r[:2] for r in some_texts] + edited + cut + short
     found = decontaminate.contained(documents(rows), spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))).collect()
 
-    def grams(text):
+    def grams(text, item):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        k = min(5, len(w)) if item else 5
+        return {tuple(w[i:i + n]) for n in ([k] if item else range(1, 6)) for i in range(len(w) - n + 1) if n}
 
-    sets = {i: grams(t) for i, t in items}
+    sets = {i: grams(t, True) for i, t in items}
     want = set()
     for i, t in rows:
-        own = grams(t)
+        own = grams(t, False)
         want |= {(i, j, len(own & s), len(s)) for j, s in sets.items() if s and 100 * len(own & s) >= 80 * len(s)}
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found} == want
+    assert {(82_000, 902), (82_001, 903), (82_002, 904), (82_002, 902)} <= {(r.doc_id, r.item_id) for r in found}
     assert len(found) == len({(r.doc_id, r._text_hash, r.item_id) for r in found})
     left = decontaminate.without_leaks(documents(rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, *_ in want}
@@ -194,3 +199,47 @@ def test_rare_languages_are_fitted_at_any_size(spark):
     drawn = Counter(r.lang for r in language_id._drawn(labelled, 40, 5).collect())
     assert drawn["en"] < 200 and all(drawn[f"r{i}"] == 2 for i in range(20))
     assert language_id.fit(labelled.where("false"))[0] == []
+
+
+def test_fusion_matches_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 60")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("page_id < 60")
+    langs, model = language_id.fit(docs)
+    rows = language_id.document_rows(docs).drop("_text_hash").unionByName(language_id.page_rows(pages), allowMissingColumns=True)
+    rows = rows.withColumn("k0", F.col("doc_id")).withColumn("ll", F.col("page_id"))  # names used inside
+    got = {(r.k0, r.ll): r for r in language_id.identify(rows, langs, model, ["k0", "ll"]).collect()}
+    data = [r.asDict() for r in rows.collect()]
+    n = len(langs) + 1
+
+    def share(logs):
+        raised = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(raised) for x in raised]
+
+    sums = {"declared": {}, "suffix": {}, "domain": {}, "host": {}}
+    total = [0.0] * n
+    for r in data:
+        idx = language_id.grams(r["text"] or "")
+        r["ll"] = [float(row[idx].sum(dtype=np.float64)) * min(1.0, language_id.EVIDENCE_GRAMS / max(len(idx), 1)) for row in model]
+        priors = [math.log(0.98 / (n - 1))] * (n - 1) + [math.log(0.02)]
+        r["p"] = share([x + y for x, y in zip(r["ll"], priors, strict=True)])
+        total = [x + y for x, y in zip(total, r["p"], strict=True)]
+        for kind, held in sums.items():
+            key = (r["domain"], r["host"]) if kind == "host" else r[kind]
+            if r[kind] is not None:
+                held[key] = [x + y for x, y in zip(held.get(key, [0.0] * n), r["p"], strict=True)]
+    corpus = [(x + 1e-6) / (sum(total) + 1e-6 * n) for x in total]
+    for r in data:
+        domain = [x + 20 * c for x, c in zip(sums["domain"].get(r["domain"], [0.0] * n), corpus, strict=True)]
+        held = sums["host"].get((r["domain"], r["host"]), [0.0] * n)
+        host = [max(h - p, 0) + 5 * d / sum(domain) for h, p, d in zip(held, r["p"], domain, strict=True)]
+        logs = [x + math.log(h / sum(host) + 1e-9) for x, h in zip(r["ll"], host, strict=True)]
+        for kind in ("declared", "suffix"):
+            table = sums[kind]
+            if r[kind] is not None:
+                for i in range(n):
+                    logs[i] += math.log((table[r[kind]][i] + 1) / (sum(v[i] for v in table.values()) + max(len(table), 1)))
+        p = share(logs)
+        best = max(range(n), key=lambda i: (p[i], -i))
+        found = got[(r["doc_id"], r["page_id"])]
+        assert found.lang == [*langs, "und"][best] and abs(found.posterior - p[best]) < 1e-6
+    assert len(got) == len(data)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -157,20 +158,40 @@ def test_lines_keep_their_first_occurrence(spark, documents, some_texts):
     rows = [r[:2] for r in some_texts] + [(7001, "first Line of four words\nother text here now\nshort one\n\nshort one"), (7002, "x\n first  line OF four words \r\nnew ending of this text"), (7002, "x\n first  line OF four words \r\nnew ending of this text")]
     lines = unit_dedup.flagged(documents(rows))
     got = {(r.doc_id, r.start, r.end): r.removed for r in lines.collect()}
-    assert got[(7001, 0, 24)] == 0 and got[(7002, 2, 31)] == 1 and got[(7001, 45, 54)] == 0 and got[(7001, 56, 65)] == 0
+    assert got[(7001, 0, 24)] == 0 and got[(7002, 2, 30)] == 1 and got[(7001, 45, 54)] == 0 and got[(7001, 56, 65)] == 1
     first = defaultdict(list)
     for i, t in dict.fromkeys(rows):
-        for p, line in enumerate((t or "").split("\n")):
-            w = tuple(line.encode().lower().split())
-            if len(w) >= 4:
-                first[w].append((i is None, i or 0, p))
+        at = 0
+        for line in (t or "").split("\n"):
+            whole = tuple(line.encode().lower().split())
+            if whole:
+                first[whole].append((i is None, i or 0, at))
+            for m in re.finditer("[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+", line):
+                w = tuple(m.group().encode().lower().split())
+                if w != whole and (len(w) >= 8 or len(b" ".join(w).decode()) >= 64):
+                    first[w].append((i is None, i or 0, at + m.start()))
+            at += len(line) + 1
     assert sum(got.values()) == sum(len(x) - 1 for x in first.values())
+    for share in (1, 10**9):  # all digests by one join, or all by the other
+        same = unit_dedup.flagged(documents(rows), hot_share=share).collect()
+        assert {(r.doc_id, r.start, r.end): r.removed for r in same} == got
     kept = unit_dedup.without_repeats(documents(rows))
     assert kept.count() == len(rows)
     texts = {r.doc_id: r.text for r in kept.where("doc_id > 7000 and doc_id < 8000").collect()}
     assert texts[7002] == "x\nnew ending of this text" and texts[7001].startswith("first Line")
 
 
+def test_pieces_of_edited_lines_and_texts_without_spaces(spark, documents):
+    shared = "a passage of more than eight words that two documents share."
+    chinese = "\u4e2d" * 70
+    rows = [(1, f"Some words before. {shared} And an end."), (2, f"Other words first! {shared.upper()} Another end\nnext line"), (3, f"{chinese}\u3002\u77ed\u3002"), (4, f"\u77ed\u3002{chinese}\u3002 x"), (5, chinese + "\u3002\u77ed\u3002")]
+    got = {r.doc_id: r.text for r in unit_dedup.without_repeats(documents(rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2] == "Other words first! Another end\nnext line" and got[4] == "\u77ed\u3002 x" and got[5] == ""
+    out = {r.doc_id: r for r in unit_dedup.per_document(unit_dedup.flagged(documents(rows))).collect()}
+    assert out[5].n_removed == 1 and out[2].n_removed == 1 and out[2].removed_chars == len(shared) + 1
+
+
 @pytest.mark.parametrize("slice_", [1, 7, 64, 10_000])
 def test_anchors_do_not_depend_on_slices(slice_):
     rng = random.Random(4)
