@@ -89,11 +89,17 @@ def decided(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("times", F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("long"))
 
 
+def _qualities(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+
+
+def _weight() -> Column:
+    return F.when(F.col("_quality") == 1, QUALITY_WEIGHT[1]).when(F.col("_quality") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
+
+
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Add ``_weight`` from the quality labels: doubled for good, halved for bad, 1 where there is no label."""
-    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") == 1, QUALITY_WEIGHT[1]).when(F.col("_quality") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
-    return small_join(docs, materialised(one, "quality"), ["doc_id"]).withColumn("_weight", weight).drop("_quality")
+    return small_join(docs, materialised(_qualities(labels), "quality"), ["doc_id"]).withColumn("_weight", _weight()).drop("_quality")
 
 
 def mix(docs: DataFrame, quality_weight: Column | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", size: Column | None = None) -> DataFrame:
@@ -116,12 +122,17 @@ def repeated(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS,
 
     ``labels`` (doc_id, quality) weighs the documents; without it all weigh the same.
     """
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.struct(*docs.columns).alias("_row"))
+    thin = packed.drop("_row")
+    weight = None
     if labels is not None:
-        packed = quality_weights(packed, labels)
-    keyed = with_keys(packed, None if labels is None else F.col("_weight"), seed)
-    thin = materialised(keyed.select("_source", "_size", "_key", "_bucket", "_id"), "mix")
-    taken = decided(keyed, materialised(cuts(thin, weights, most), "cuts")).where("times > 0")
+        # Texts meet the labels in one shuffle at every size; the cuts are found on rows without texts.
+        held = materialised(_qualities(labels), "quality")
+        thin, packed = (x.join(held.hint("merge"), "doc_id", "left").withColumn("_weight", _weight()).drop("_quality") for x in (thin, packed))
+        weight = F.col("_weight")
+    keys = ("_source", "_size", "_key", "_bucket", "_id")
+    thin = materialised(with_keys(thin, weight, seed, F.col("_size")).select(*keys), "mix")
+    taken = decided(with_keys(packed, weight, seed, F.col("_size")), materialised(cuts(thin, weights, most), "cuts")).where("times > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")
 
 
