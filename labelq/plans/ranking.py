@@ -1,8 +1,7 @@
 """Ranking methods over many runs: tie-averaged ranks, Friedman, signed-rank pairs, Holm, groups.
 
 Input: one row per (block, method) with a value; a block is a run that all methods saw. Blocks may be
-many, methods are few (their number is bounded by contract to 12), so windows inside a block or over
-the method pairs stay small or are plain aggregates.
+many, methods are few, so windows inside a block or over the method pairs stay small or are plain aggregates.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 
 from labelq.session import materialised
 
-MAX_METHODS = 12
-
 
 def complete_groups(df: DataFrame, method: str = "method", by: Sequence[str] = ()) -> DataFrame:
     """Methods with the largest number of results."""
@@ -150,26 +147,33 @@ def holm(pairs: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> DataF
 def indistinct_groups(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Maximal sets of methods no two of which differ significantly, single methods included, per slice.
 
-    Subsets are bit masks over the sorted methods of a slice; there are at most 2^12 of them.
+    A set grows by one method a round, in a table of open sets: ``r`` is the set, ``p`` the methods that can still
+    join it, ``x`` those that could but are in sets made elsewhere. Only methods that the best connected one (the
+    pivot) is not alike to start a new set, so no set is made twice and none that another contains. Rounds are
+    written to storage; there are as many as the largest set has methods, and one more.
     """
-    ends = F.array_distinct(F.flatten(F.collect_list(F.array("method_1", "method_2"))))
-    same = F.collect_list(F.when(F.col("significant") == 0, F.struct("method_1", "method_2")))
-    slices = pairs.groupBy(*by).agg(F.array_sort(ends).alias("m"), same.alias("_s"))
-
-    def bit(name: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1), (F.array_position(F.col("m"), name) - 1).cast("int"))
-
-    edges = F.transform("_s", lambda p: bit(p["method_1"]).bitwiseOR(bit(p["method_2"])))
-    base = slices.withColumn("e", edges).withColumn("n", F.size("m")).withColumn("_big", F.assert_true(F.col("n") <= MAX_METHODS))
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.col("n")) - 1).cast("int"))
-    subsets = base.filter(F.col("_big").isNull() & (F.col("n") > 0)).select(*by, "m", "e", F.explode(masks).alias("mask"))
-    inside = F.size(F.filter("e", lambda b: b.bitwiseAND(F.col("mask")) == b))
-    width = F.bit_count("mask")
-    valid = subsets.filter(inside == width * (width - 1) / 2)
-    each = valid.groupBy(*by, "m").agg(F.collect_list("mask").alias("v")).withColumn("mask", F.explode("v"))
-    contained = F.exists("v", lambda o: (o != F.col("mask")) & (o.bitwiseAND(F.col("mask")) == F.col("mask")))
-    members = F.filter("m", lambda x, i: F.call_function("getbit", F.col("mask"), i) == 1)
-    return each.filter(~contained).select(*by, F.array_join(members, ",").alias("methods"), width.cast("long").alias("size"))
+    both = F.array(F.struct(F.col("method_1").alias("a"), F.col("method_2").alias("b")), F.struct(F.col("method_2").alias("a"), F.col("method_1").alias("b")))
+    ends = pairs.select(*by, "significant", F.explode(both).alias("_e"))
+    near = ends.groupBy(*by, F.col("_e.a").alias("v")).agg(F.collect_list(F.when(F.col("significant") == 0, F.col("_e.b"))).alias("n"))
+    graph = near.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("g"), F.array_sort(F.collect_list("v")).alias("p"))
+    none = F.array().cast("array<string>")
+    state = graph.select(*by, "g", none.alias("r"), "p", none.alias("x"))
+    alike = lambda v: F.try_element_at("g", v)
+    found = None
+    while True:
+        state = materialised(state, "groups")
+        whole = state.filter((F.size("p") == 0) & (F.size("x") == 0) & (F.size("r") > 0)).select(*by, "r")
+        found = whole if found is None else found.unionByName(whole)
+        growing = state.filter(F.size("p") > 0)
+        if growing.isEmpty():
+            break
+        pivot = F.array_max(F.transform(F.concat("p", "x"), lambda u: F.struct(F.size(F.array_intersect("p", alike(u))).alias("n"), u.alias("u"))))["u"]
+        step = growing.withColumn("_u", pivot).withColumn("_t", F.array_except("p", alike(F.col("_u")))).select("*", F.posexplode("_t").alias("_i", "v"))
+        before = F.slice("_t", F.lit(1), F.col("_i"))
+        state = step.select(
+            *by, "g", F.array_append("r", F.col("v")).alias("r"), F.array_intersect(F.array_except("p", before), alike(F.col("v"))).alias("p"),
+            F.array_intersect(F.array_union("x", before), alike(F.col("v"))).alias("x"))
+    return found.select(*by, F.array_join(F.array_sort("r"), ",").alias("methods"), F.size("r").cast("long").alias("size"))
 
 
 def compare(df: DataFrame, block: Sequence[str], value: str, by: Sequence[str] = (), method: str = "method", alpha: float = 0.05) -> DataFrame:
