@@ -47,6 +47,20 @@ def _(spark, sf):
     return experiments.find_label_issues(noisy_structured(spark, sf).select("id", "features", "label"), "aum", KE, alpha=0.05)
 
 
+@query("simifeat_halves")
+def _(spark, sf):
+    d = noisy_structured(spark, sf).select("id", "features", "label")
+    return experiments.find_label_issues(d, "simifeat", KE, min_similarity=0.0, features_from=learn.hidden_from)
+
+
+@query("hidden_features")
+def _(spark, sf):
+    d = noisy_structured(spark, sf).select("id", "features", "label")
+    halves = experiments.half_features(d, KE, learn.hidden_from)
+    both = halves["A"].withColumn("half", F.lit("A")).unionByName(halves["B"].withColumn("half", F.lit("B")))
+    return both.select("id", "half", F.size("features").alias("width"), F.round(F.array_max("features"), 6).alias("top"))
+
+
 def _sides(spark, sf):
     d = materialised(stratified_split(lab_structured(spark, sf), "label", 0.25), "sides")
     cols = ("id", "features", "label")

@@ -214,3 +214,10 @@ def _(spark, sf):
     d = noisy_structured(spark, sf).select("id", "features", F.col("true_label").alias("label"), F.col("label").alias("noisy_label"))
     centres = lab_structured(spark, sf).orderBy(rand.hash32("centre", "id"), "id").limit(8).select(F.col("id").alias("cell"), "features")
     return consensus.cell_transitions(d, centres, KE).withColumn("prob", F.round("prob", 6))
+
+
+@query("local_transition_consensus")
+def _(spark, sf):
+    d = noisy_structured(spark, sf).select("id", "features", "label")
+    out = consensus.local_transitions(d, KE, 250)
+    return out.select("cell", "label", "noisy_label", "n", *[F.round(c, 4).alias(c) for c in ("share", "local", "prob")])

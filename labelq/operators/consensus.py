@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import arrays
 from labelq.functions.ordering import attach, quantile
+from labelq.functions.rand import uniform
 from labelq.operators.neighbours import knn as nearest_rows
 from labelq.operators.noise import class_grid
 from labelq.operators.sampling import class_counts, sample_rounds
@@ -199,6 +201,69 @@ def cell_transitions(df: DataFrame, centres: DataFrame, n_classes: int) -> DataF
     return m.select("cell", "label", "noisy_label", (share * local + (1 - share) * average).alias("prob"))
 
 
+def cover(df: DataFrame, size: int, tag: str = "cover") -> DataFrame:
+    """(cell, id): neighbourhoods of the ``size`` nearest rows (the centre is one) that together hold every row.
+
+    ``cell`` is the centre's id. A round draws centres among the rows not yet held, by a keyed hash and twice as dense
+    as in the round before, so after log2(size) rounds at most every row left is a centre of its own. A row can be in
+    several cells; a cell has at most ``size`` rows.
+    """
+    data = materialised(df.select("id", "features", F.lit(0).alias("label")), "cover")
+    left, held, r = data, None, 0
+    while True:
+        rate = min(1.0, 2.0**r / size)
+        centres = materialised(left.where(uniform(f"{tag}/{r}", "id") < rate), "centres")
+        near = nearest_rows(centres, data, size - 1).select(F.col("id").alias("cell"), F.col("nbr_id").alias("id"))
+        cells = materialised(near.unionByName(centres.select(F.col("id").alias("cell"), "id")), "cells")
+        held = cells if held is None else held.unionByName(cells)
+        if rate >= 1.0:
+            return held
+        left = materialised(left.join(cells.select("id").distinct(), "id", "left_anti"), "left")
+        if left.isEmpty():
+            return held
+        r += 1
+
+
+def cell_consensus(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell, l1, l2, l3, n): label triples of a row and its two nearest rows, counted per cell in one pass.
+
+    ``df`` is (id, features, label); the two nearest are sought among all rows, so a cell's edge has no other
+    neighbours than its middle.
+    """
+    found = nearest_rows(df, df, 2)
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("nbr_label")))
+    three = found.groupBy("id").agg(F.max("label").alias("l1"), at(1).alias("l2"), at(2).alias("l3")).filter("l3 is not null")
+    return cells.join(three, "id").groupBy("cell", "l1", "l2", "l3").agg(F.count("*").alias("n"))
+
+
+def local_transitions(df: DataFrame, n_classes: int, size: int = 250, steps: int = 500, tag: str = "cover", cells: DataFrame | None = None) -> DataFrame:
+    """(cell, label, noisy_label, n, share, local, prob): transitions estimated per neighbourhood, no true label known.
+
+    Every cell of ``cover`` (or of the given (cell, id) table) has its own consensus tensor of K^3 numbers and is
+    solved by a task of its own, from the global solution on. ``local`` is the cell's estimate, ``share`` its estimated
+    share of the true class; ``prob`` mixes it with the global estimate, share * local + (1 - share) * global. Cells are
+    as many as it takes; a task holds one tensor.
+    """
+    cells = cover(df, size, tag) if cells is None else cells
+    counts = materialised(cell_consensus(df, cells), "consensus")
+    total = counts.groupBy("l1", "l2", "l3").agg(F.sum("n").alias("n")).collect()  # at most K^3 rows
+    cube = np.zeros((n_classes,) * 3)
+    for r in total:
+        cube[r["l1"], r["l2"], r["l3"]] = r["n"]
+    whole, _, _, start = solve_transition(cube / max(cube.sum(), 1), 2 * steps)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros((n_classes,) * 3)
+        own[rows["l1"], rows["l2"], rows["l3"]] = rows["n"]
+        t, p, _, _ = solve_transition(own / own.sum(), steps, start=start)
+        mixed = p[:, None] * t + (1 - p[:, None]) * whole
+        i, j = (x.ravel() for x in np.indices(t.shape))
+        return pd.DataFrame({"cell": rows["cell"].iloc[0], "label": i, "noisy_label": j, "n": int(own.sum()), "share": p[i], "local": t[i, j], "prob": mixed[i, j]})
+
+    kind = dict(counts.dtypes)["cell"]
+    return counts.groupBy("cell").applyInPandas(solve, f"cell {kind}, label int, noisy_label int, n long, share double, local double, prob double")
+
+
 def detect(df: DataFrame, knn: DataFrame, n_classes: int, rounds: int = 10, sample: int | None = None, steps: int = 1000,
            min_similarity: float = 0.45, offset: float = 2.5, method: str = "both", tag: str = "consensus") -> DataFrame:
     """(id, label_issue) by neighbour vote (``mv``), class-wise rank (``rank``) or both.

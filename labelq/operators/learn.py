@@ -125,3 +125,81 @@ def training_dynamics(df: DataFrame, n_classes: int, epochs: int = 5, rate: floa
 
     idt = dict(df.dtypes)["id"]
     return df.select("id", "features", "label").mapInPandas(run, f"id {idt}, epoch int, target int, logits array<double>"), losses
+
+
+# ---- one hidden layer, by distributed partial gradients ----
+
+class Hidden:
+    """One tanh layer and a softmax; ``weights`` are (hidden, D+1) and (classes, hidden+1)."""
+
+    def __init__(self, weights: list[np.ndarray]):
+        self.weights = weights
+
+    def layer(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.weights[0].T)
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """Sums of the gradients and of the loss; ``x`` ends with a column of ones."""
+        h = self.layer(x)
+        h1 = np.hstack([h, np.ones((len(h), 1))])
+        p = _softmax(h1 @ self.weights[1].T)
+        loss = -float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum())
+        p[np.arange(len(y)), y] -= 1.0
+        back = (p @ self.weights[1][:, :-1]) * (1.0 - h * h)
+        return [back.T @ x, p.T @ h1], loss
+
+
+def fit_hidden(df: DataFrame, n_classes: int, hidden: int = 16, steps: int = 40, rate: float = 0.1, decay: float = 1e-3) -> tuple[Hidden, list[float]]:
+    """A hidden-layer classifier of (features, label) and its mean loss before every step.
+
+    Every step is one pass in which a task sends the sums of its gradients; they are added on the executors, so the
+    driver gets one number per weight. Rows without a label are left out.
+    """
+    data = df.select("features", "label").where("label is not null")
+    width = len(data.first()[0]) + 1
+    rng = np.random.default_rng(3)
+    model = Hidden([rng.normal(0, 1.0, (hidden, width)), rng.normal(0, 0.1, (n_classes, hidden + 1))])
+    sizes = [w.size for w in model.weights]
+    mean, square, losses = [0.0, 0.0], [0.0, 0.0], []
+    for step in range(1, steps + 1):
+        def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            total = np.zeros(sum(sizes) + 2)
+            for pdf in batches:
+                if len(pdf):
+                    x, y = _batch(pdf)
+                    g, loss = model.gradients(x, y)
+                    total += np.r_[g[0].ravel(), g[1].ravel(), loss, float(len(y))]
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        flat = np.zeros(sum(sizes) + 2)
+        for r in data.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # one number per weight
+            flat[r["i"]] = r["v"]
+        losses.append(flat[-2] / max(flat[-1], 1.0))
+        parts = flat[: sizes[0]], flat[sizes[0] : -2]
+        new = []
+        for i, (w, g) in enumerate(zip(model.weights, parts, strict=True)):
+            g = g.reshape(w.shape) / max(flat[-1], 1.0) + decay * w
+            mean[i] = 0.9 * mean[i] + 0.1 * g
+            square[i] = 0.99 * square[i] + 0.01 * g * g
+            new.append(w - rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8))
+        model = Hidden(new)
+    return model, losses
+
+
+def hidden_features(model: Hidden, df: DataFrame) -> DataFrame:
+    """``df`` with the hidden layer of its rows, scaled to length 1, as ``features``."""
+    @F.pandas_udf("array<double>")
+    def layer(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        x = np.stack([np.asarray(v, dtype=float) for v in features])
+        h = model.layer(np.hstack([x, np.ones((len(x), 1))]))
+        return pd.Series(list(h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)))
+
+    return df.withColumn("features", layer("features"))
+
+
+def hidden_from(train: DataFrame, n_classes: int) -> Callable[[DataFrame], DataFrame]:
+    """The default ``features_from``: fit on ``train``, give back what replaces features by the hidden layer."""
+    model, _ = fit_hidden(train, n_classes)
+    return lambda rows: hidden_features(model, rows)

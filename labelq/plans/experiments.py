@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelq.operators import aum, confident, consensus, learn, margin, neighbours
 from labelq.operators.metrics import metrics
 from labelq.operators.prep import clean
+from labelq.operators.sampling import half_split
 from labelq.session import materialised
 
 # Default settings of the detectors.
@@ -48,11 +49,29 @@ def by_margin(df: DataFrame, n_classes: int, inspector: str, threshold: float, m
     return flagged.select("id", F.col("suspicious").alias("label_issue"))
 
 
+def half_features(df: DataFrame, n_classes: int, features_from: Callable, tag: str = "half") -> dict[str, DataFrame]:
+    """The halves of (id, features, label), each with the features of a model fitted on the other half."""
+    placed = materialised(half_split(df.select("id", "features", "label"), tag), "halves")
+    part = {h: placed.filter(F.col("half") == h).drop("half") for h in ("A", "B")}
+    return {h: materialised(features_from(part[o], n_classes)(part[h]), f"half{h}") for h, o in (("A", "B"), ("B", "A"))}
+
+
 def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: int | None, steps: int, min_similarity: float, offset: float, method: str,
-                  make: Callable | None = None, seed: str | None = None) -> DataFrame:
-    """Neighbour vote and class-wise rank on the given features; no model is fitted."""
-    found = materialised(neighbours.knn(df, df, k - 1), "knn")
-    return consensus.detect(df, found, n_classes, rounds, sample, steps, min_similarity, offset, method, seeded("consensus", seed))
+                  features_from: Callable | None = None, make: Callable | None = None, seed: str | None = None) -> DataFrame:
+    """Neighbour vote and class-wise rank.
+
+    Without ``features_from`` the given features are searched in one pass. With it (``learn.hidden_from`` or another
+    callable of a training table and the number of classes that returns a function from rows to rows with other
+    features) there are two passes: each half is searched within itself, in features of a model that was fitted on
+    the other half. ``make`` is not used.
+    """
+    parts = {"": df} if features_from is None else half_features(df, n_classes, features_from, seeded("half", seed))
+    out = None
+    for name, rows in parts.items():
+        found = materialised(neighbours.knn(rows, rows, k - 1), "knn")
+        flags = consensus.detect(rows, found, n_classes, rounds, sample, steps, min_similarity, offset, method, seeded("consensus" + name, seed))
+        out = flags if out is None else out.unionByName(flags)
+    return out
 
 
 def by_confidence(df: DataFrame, n_classes: int, folds: int, make: Callable = learn.default_classifier, seed: str | None = None) -> DataFrame:
