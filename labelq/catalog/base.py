@@ -17,6 +17,10 @@ KL = 3  # classes of lineitem (return flag)
 KO = 5  # classes of orders (priority)
 DIM = 64  # length of the embedding vectors
 
+#: Tasks over which the narrow inputs of the queries are dealt by id. The given files are one row group each, which no
+#: scan can split; several hashes a row would be made in one task.
+SPREAD = 32
+
 
 def query(key: str, sql: str | None = None):
     def register(fn):
@@ -102,7 +106,7 @@ def lab_line(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return li.select(key.alias("id"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"), code.cast("int").alias("label"))
+    return li.select(key.alias("id"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"), code.cast("int").alias("label")).repartition(SPREAD, "id")
 
 
 fragment("lab_line", """SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS id,
@@ -113,7 +117,7 @@ fragment("lab_line", """SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-
 def lab_order(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("id"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"),
-                    F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"))
+                    F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price")).repartition(SPREAD, "id")
 
 
 fragment("lab_order", "SELECT o_orderkey AS id, substr(o_orderpriority,1,1)::INT - 1 AS label, o_custkey AS cust, o_totalprice AS price FROM orders")
