@@ -47,7 +47,26 @@ def _(spark, sf):
     return series.self_convolution(s, series.lengths(s)).withColumn("value", F.round(F.col("value") + 1e-7, 3))
 
 
-@query("series_window_size")
+fragment("conv", """SELECT id, t, v FROM (SELECT a.id, a.t+b.t-(a.n-1)//2 AS t, sum(a.v*b.v) AS v, any_value(a.n) AS n FROM centred a JOIN centred b ON a.id=b.id GROUP BY 1,2) WHERE t>=0 AND t<n""", "centred")
+fragment("centred", "SELECT id, t, c0-avg(c0) OVER (PARTITION BY id) AS v, count(*) OVER (PARTITION BY id) AS n FROM wide", "wide")
+fragment("conv_maxima", """SELECT id, floor((t+e-1)/2)::BIGINT AS t, v AS height FROM (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a, lead(t) OVER w AS e FROM (
+ SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY t) AS p FROM conv) WHERE p IS NULL OR p<>v) WINDOW w AS (PARTITION BY id ORDER BY t)) WHERE v>b AND v>a""", "conv")
+
+
+def apart(peaks: str, distance: int) -> str:
+    """A recursive table of peaks (id, t, height, s); those with s=1 stay."""
+    near = f"(PARTITION BY id ORDER BY t RANGE BETWEEN {distance - 1} PRECEDING AND {distance - 1} FOLLOWING)"
+    return f"""apart AS (SELECT id, t, height, 0 AS s FROM {peaks} UNION ALL
+ SELECT id, t, height, top::INT FROM (SELECT *, max(top::INT) OVER {near} AS shut FROM (SELECT id, t, height, k=max(k) OVER {near} AS top FROM (
+ SELECT id, t, height, row_number() OVER (PARTITION BY id ORDER BY height, t) AS k FROM apart WHERE s=0))) WHERE top OR shut=0)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("series_window_size", recursive(ctes("conv_maxima")) + f""", {apart("conv_maxima", series.MIN_WINDOW)}
+ SELECT id, CASE WHEN count(*)>1 THEN least(greatest(floor((max(t)-min(t))/(count(*)-1)), {series.MIN_WINDOW}), {series.MAX_WINDOW})::BIGINT END AS w FROM apart WHERE s=1 GROUP BY id""")
 def _(spark, sf):
     return series.window_size_from(series.conv_peaks(signal(wide(spark, sf))))
 
@@ -174,7 +193,13 @@ def _(spark, sf):
     return both.groupBy("kind", "id", "channel").agg(F.round(F.sum(F.col("value") * F.col("t")), 3).alias("moment"))
 
 
-@query("segment_at_peaks")
+@query("segment_at_peaks", recursive(ctes("maxima")) + f""", {apart("maxima", 10)},
+ scaled AS (SELECT id, t, (c0-avg(c0) OVER w)/CASE WHEN stddev_pop(c0) OVER w=0 THEN 1 ELSE stddev_pop(c0) OVER w END AS value FROM wide WINDOW w AS (PARTITION BY id)),
+ notes AS (SELECT id, t, event_type AS symbol FROM wide WHERE {U('note', 'event_id')}<0.1),
+ spans AS (SELECT id, t AS peak FROM (SELECT *, min(t) OVER w AS f, max(t) OVER w AS l FROM apart WHERE s=1 WINDOW w AS (PARTITION BY id)) WHERE t>f AND t<l),
+ single AS (SELECT p.id, peak, max(symbol) AS symbol FROM spans p JOIN notes n ON n.id=p.id AND n.t BETWEEN peak-8 AND peak+8 GROUP BY 1,2 HAVING count(*)=1),
+ kept AS (SELECT * FROM single WHERE symbol IN ('view','purchase','error') OR (symbol='click' AND {U('segment', 'id', 'peak')}<0.15))
+ SELECT k.id, peak AS t, symbol, count(*)::INT AS length, round(max(value), 6) AS top FROM kept k JOIN scaled v ON v.id=k.id AND v.t>=peak-8 AND v.t<peak+8 GROUP BY 1,2,3""")
 def _(spark, sf):
     """Windows of 16 steps around peaks 10 apart that hold exactly one noted event."""
     w = wide(spark, sf)

@@ -48,66 +48,33 @@ def local_maxima(signal: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return around.filter(top).select("id", F.floor((F.col("t") + F.col("_e") - 1) / 2).alias("t"), F.col("value").alias("height"))
 
 
-def _decide(t: np.ndarray, height: np.ndarray, distance: int, left: float, right: float) -> np.ndarray:
-    """1 kept, 0 removed, -1 not decidable from what is loaded.
-
-    Highest first (later on ties), a kept peak removes all closer than ``distance``. ``left`` and
-    ``right`` bound the loaded range; beyond them peaks are unknown (infinite where the series ends).
+def peaks_apart(peaks: DataFrame, distance: int, chunk: int = CHUNK, rounds: int = 8) -> DataFrame:
+    """(id, t, height) of peaks at least ``distance`` apart, the higher ones first, later ones on ties.
+
+    Rounds of a ranked independent set: an open peak that tops all open peaks closer than ``distance``
+    stays, and it closes those peaks. A round looks ``distance`` to either side twice, so a pass of
+    ``rounds`` rounds over chunks that overlap by that reach is exact for the own rows of a chunk; its
+    width never grows. The next pass sees only what is still open, usually nothing. Every pass closes
+    the highest open peak of each series at least, so the passes end.
     """
-    state = np.full(len(t), -2)
-    for i in np.lexsort((-t, -height)):
-        lo, hi = np.searchsorted(t, t[i] - distance, "right"), np.searchsorted(t, t[i] + distance, "left")
-        near = state[lo:hi]
-        if (near == 1).any():
-            state[i] = 0
-        elif (near == -1).any() or t[i] - distance < left or t[i] + distance > right:
-            state[i] = -1
-        else:
-            state[i] = 1
-    return state
-
-
-def _settle(distance: int, chunk: int, pad: int):
-    """State of every peak of a packed chunk, in the order of its packed times."""
-    @F.pandas_udf("array<int>")
-    def states(times: pd.Series, heights: pd.Series, number: pd.Series, steps: pd.Series) -> pd.Series:
-        out = []
-        for t, h, c, n in zip(times, heights, number, steps):
-            lo, hi = c * chunk - pad, (c + 1) * chunk - 1 + pad
-            out.append(_decide(np.asarray(t), np.asarray(h), distance, -np.inf if lo <= 0 else lo, np.inf if hi >= n - 1 else hi))
-        return pd.Series(out)
-
-    return states
-
-
-def peaks_apart(peaks: DataFrame, lengths_: DataFrame, distance: int, chunk: int = CHUNK, pad: int | None = None) -> DataFrame:
-    """Peaks at least ``distance`` apart, the higher ones first.
-
-    Each chunk sees ``pad`` steps of its neighbours and settles every peak whose outcome cannot depend
-    on anything farther away. Chunks with open peaks are repeated with a wider view until none is left.
-    """
-    pad = pad or 16 * distance
-    base = peaks.join(lengths_, "id")
-    longest = None
-    done, todo = None, None
+    reach = distance - 1
+    near = W.partitionBy("id", "chunk").orderBy("t").rangeBetween(-reach, reach)
+    todo, done = peaks.select("id", F.col("t").cast("long").alias("t"), "height"), None
     while True:
-        cut = halo(base, "t", chunk, pad)
-        if todo is not None:
-            cut = cut.join(todo, ["id", "chunk"], "left_semi")
-        packed = cut.groupBy("id", "chunk").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "height", "core"))).alias("p"))
-        states = _settle(distance, chunk, pad)(F.col("p.t"), F.col("p.height"), F.col("chunk"), F.col("n"))
-        each = packed.withColumn("s", states).select("id", "chunk", F.explode(F.arrays_zip("p", "s")).alias("z"))
-        own = each.filter("z.p.core").select("id", "chunk", "z.p.t", "z.p.height", F.col("z.s").alias("state"))
-        step = materialised(own, "peaks")
-        open_chunks = step.filter("state = -1").select("id", "chunk").distinct()
-        settled = step.join(open_chunks, ["id", "chunk"], "left_anti").filter("state = 1").select("id", "t", "height")
-        done = settled if done is None else done.unionByName(settled)
-        if open_chunks.isEmpty():
+        # state: 0 open, 1 stays, 2 closed by a neighbour
+        cut = halo(todo, "t", chunk, 2 * reach * rounds).withColumn("_s", F.lit(0))
+        for _ in range(rounds):
+            rank = F.when(F.col("_s") == 0, F.struct("height", "t"))
+            top = (F.col("_s") == 0) & (F.max(rank).over(near)["t"] == F.col("t"))
+            cut = cut.withColumn("_top", F.coalesce(top, F.lit(False)))
+            closed = (F.col("_s") == 0) & F.max("_top").over(near)
+            cut = cut.withColumn("_s", F.when(F.col("_top"), 1).when(closed, 2).otherwise(F.col("_s")))
+        step = materialised(cut.filter("core AND _s < 2").select("id", "t", "height", "_s"), "peaks")
+        kept = step.filter("_s = 1").select("id", "t", "height")
+        done = kept if done is None else done.unionByName(kept)
+        todo = step.filter("_s = 0").select("id", "t", "height")
+        if todo.isEmpty():
             return done
-        longest = longest or lengths_.agg(F.max("n")).first()[0]
-        if pad > longest:
-            raise RuntimeError("peaks left undecided with the whole series in view")
-        todo, pad = open_chunks, pad * 4
 
 
 def self_convolution(signal: DataFrame, lengths_: DataFrame, direct: int = DIRECT) -> DataFrame:
@@ -181,7 +148,7 @@ def conv_peaks(signal: DataFrame, chunk: int = CHUNK, direct: int = DIRECT) -> D
     """Peaks of the self-convolution, at least ``MIN_WINDOW`` apart."""
     n = lengths(signal)
     conv = materialised(self_convolution(signal, n, direct), "conv")
-    return peaks_apart(local_maxima(conv, chunk), n, MIN_WINDOW, chunk)
+    return peaks_apart(local_maxima(conv, chunk), MIN_WINDOW, chunk)
 
 
 def place_anomaly(peaks: DataFrame, window: DataFrame, lengths_: DataFrame, max_length: int = 4, tag: str = "place") -> DataFrame:
@@ -380,8 +347,7 @@ def segment_at_peaks(signal: DataFrame, annotations: DataFrame, classes: Sequenc
     The first and the last peak of a series are dropped, the common class is thinned. Windows meet
     annotations and samples through the chunks they touch, which is an equi-join.
     """
-    n = lengths(signal)
-    peaks = peaks_apart(local_maxima(signal, chunk), n, distance, chunk)
+    peaks = peaks_apart(local_maxima(signal, chunk), distance, chunk)
     ends = peaks.groupBy("id").agg(F.min("t").alias("_f"), F.max("t").alias("_l"))
     inner = peaks.join(ends, "id").filter((F.col("t") > F.col("_f")) & (F.col("t") < F.col("_l")))
     half = size // 2

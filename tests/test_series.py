@@ -35,11 +35,11 @@ def brute_apart(t, h, d):
     return [x for x in t if keep[x]]
 
 
-@pytest.mark.parametrize("chunk,pad", [(64, 12), (100000, None)])
-def test_maxima_and_spacing_across_chunks(spark, chunk, pad):
+@pytest.mark.parametrize("chunk,rounds", [(64, 1), (64, 3), (100000, 8)])
+def test_maxima_and_spacing_across_chunks(spark, chunk, rounds):
     d = signal(spark, 1500)
     p = series.local_maxima(d, chunk)
-    spaced = series.peaks_apart(p, series.lengths(d), 6, chunk, pad).toPandas()
+    spaced = series.peaks_apart(p, 6, chunk, rounds).toPandas()
     rows = d.toPandas()
     peaks = p.toPandas()
     for i, g in rows.groupby("id"):
@@ -49,16 +49,25 @@ def test_maxima_and_spacing_across_chunks(spark, chunk, pad):
         assert sorted(spaced[spaced.id == i]["t"]) == brute_apart(want, [v[t] for t in want], 6)
 
 
-def test_falling_heights_force_wider_views(spark):
+def test_falling_heights_take_many_passes(spark):
     """A long falling chain makes every outcome depend on the far left."""
     d = spark.range(400).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("t"), (F.when(F.col("id") % 2 == 1, 1000.0).otherwise(0.0) - F.col("id") * (F.col("id") % 2)).alias("value"))
     p = series.local_maxima(d)
-    got = sorted(r["t"] for r in series.peaks_apart(p, series.lengths(d), 3, 20, 3).collect())
+    got = sorted(r["t"] for r in series.peaks_apart(p, 3, 20, 16).collect())
     t = [r["t"] for r in p.orderBy("t").collect()]
     h = [1000.0 - x for x in t]
     assert got == brute_apart(t, h, 3)
 
 
+def test_spacing_of_ties_nulls_and_no_peaks(spark):
+    """Equal heights: the later peak stays. An empty table gives an empty table."""
+    flat = spark.range(0, 300, 2).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("t"), F.lit(5.0).alias("height"))
+    got = sorted(r["t"] for r in series.peaks_apart(flat, 5, 32, 16).collect())
+    assert got == brute_apart(list(range(0, 300, 2)), [5.0] * 150, 5)
+    assert series.peaks_apart(flat.limit(0), 5).count() == 0
+    assert sorted(r["t"] for r in series.peaks_apart(flat, 1).collect()) == list(range(0, 300, 2))
+
+
 @pytest.mark.parametrize("direct", [10000, 50])
 def test_self_convolution_direct_and_split(spark, direct):
     d = signal(spark, 333, 2, 6)
