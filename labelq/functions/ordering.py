@@ -2,7 +2,7 @@
 
 ``take_first``  the n smallest rows of each group, by counting hash buckets and cutting at one row
 ``ranked``      exact row numbers, from ranks inside order-preserving buckets plus bucket offsets
-``quantile``    exact interpolated quantiles, by bracketing them with a sketch and counting the bracket
+``quantile``    exact interpolated quantiles, by bracketing them with a sketch and counting digits in the bracket
 ``halo``        rows of a long series cut into chunks that overlap, so bounded frames stay correct
 
 Keys of ``take_first`` and ``quantile`` must have few values (classes, rounds, methods): their
@@ -18,7 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelq.session import materialised
+
 BUCKET_SHIFT = 18  # 2^14 buckets of a 32-bit hash
+DIGIT = 16  # bits a counted pass of ``quantile`` looks at
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str] = (), how: str = "left") -> DataFrame:
@@ -182,16 +185,59 @@ def quantile(
         F.when(i > grid - margin - 1, inf).otherwise(F.get("_q", (i + margin + 1).cast("int"))).alias("_hi"))
     near = attach(thin, bounds, keys, "inner").filter(F.col("_v") <= F.col("_hi"))
     # Everything under the bracket collapses into one counted row before the shuffle.
-    cells = near.groupBy(*keys, "group_rows", "_pos", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    cum = cells.withColumn("_cum", F.sum("_c").over(w)).withColumn("_low", F.floor("_pos"))
-    first = F.min(F.when(F.col("_cum") > F.col("_low"), F.struct("_cum", "_v")))["_v"]
-    second = F.min(F.when(F.col("_cum") > F.col("_low") + 1, F.struct("_cum", "_v")))["_v"]
-    picked = cum.groupBy(*keys, "group_rows", "_pos").agg(first.alias("_a"), second.alias("_z"))
-    step = (F.coalesce(F.col("_z"), F.col("_a")) - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
+    cells = near.groupBy(*keys, "group_rows", "_pos", inside).agg(F.count("*").alias("_c"))
+    cells = materialised(cells.withColumn("_i", ordered_image(F.col("_v"))), "bracket")
+    # _need: 0-based place among the cells of the bracket; no row below the bracket means no such cell.
+    below = F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0))
+    pick = cells.groupBy(*keys, "group_rows", "_pos").agg(below.alias("_below"))
+    pick = pick.select(*keys, (F.floor("_pos") - F.col("_below")).alias("_need"), F.lit(0).cast("long").alias("_p"))
+    inner = cells.filter(F.col("_v").isNotNull())
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        pick = _next_digit(inner, pick, keys, shift)
+    # All bits are fixed: the lower value, its copies, and the smallest value above it.
+    top = attach(inner, pick, keys, "inner").filter(F.col("_i") >= F.col("_p"))
+    at = F.col("_i") == F.col("_p")
+    picked = top.groupBy(*keys, "group_rows", "_pos", "_need").agg(
+        F.min("_v").alias("_a"), F.sum(F.when(at, F.col("_c"))).alias("_n"), F.min(F.when(~at, F.col("_v"))).alias("_z"))
+    upper = F.when(F.col("_n") > F.col("_need") + 1, F.col("_a")).otherwise(F.coalesce("_z", "_a"))
+    part = F.col("_pos") - F.floor("_pos")
+    step = F.when(part == 0, 0.0).otherwise((upper - F.col("_a")) * part)
     return picked.select(*keys, "group_rows", (F.col("_a") + step).alias(out))
 
 
+def ordered_image(x: Column) -> Column:
+    """A long in the order of the double ``x``: its bits, negated for negative numbers; NaN comes last.
+
+    The exponent comes from the logarithm, corrected by one where that rounds; powers of two and the
+    divisions by them are exact. Both zeros are 0; null stays null.
+    """
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    two = F.lit(2.0)
+    e = guess + F.when(size >= F.pow(two, guess + 1), 1).when(size < F.pow(two, guess), -1).otherwise(0)
+    normal = (e + 1023) * F.lit(1 << 52) + ((size / F.pow(two, e) - 1.0) * F.lit(float(1 << 52))).cast("long")
+    tiny = (size * F.lit(2.0 ** 1022) * F.lit(2.0 ** 52)).cast("long")
+    bits = (F.when(F.isnan(x), 0x7FF8 << 48).when(size == float("inf"), 0x7FF0 << 48)
+            .when(size < 2.0 ** -1022, tiny).otherwise(normal))
+    return F.when(x.isNull(), F.lit(None)).when((x < 0) & ~F.isnan(x), -bits).otherwise(bits).cast("long")
+
+
+def _next_digit(cells: DataFrame, pick: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """Fix one more digit of the wanted image per key: (keys, _need, _p) with ``_p`` the bits down to ``shift``.
+
+    At most 2^DIGIT counts per key are put in order, however many values the bracket holds.
+    """
+    found = attach(cells, pick, keys, "inner")
+    if shift + DIGIT < 64:
+        found = found.filter(F.shiftright("_i", shift + DIGIT) == F.col("_p"))
+    counts = found.groupBy(*keys, "_need", F.shiftright("_i", shift).alias("_d")).agg(F.sum("_c").alias("_c"))
+    w = W.partitionBy(*keys).orderBy("_d").rowsBetween(W.unboundedPreceding, 0)
+    before = F.col("_cum") - F.col("_c")
+    place = counts.withColumn("_cum", F.sum("_c").over(w)).filter((F.col("_cum") > F.col("_need")) & (before <= F.col("_need")))
+    return place.select(*keys, (F.col("_need") - before).alias("_need"), F.col("_d").alias("_p"))
+
+
 def halo(df: DataFrame, t: str, length: int, pad: int) -> DataFrame:
     """Cut series into chunks of ``length`` steps, each with ``pad`` steps of its neighbours.
 

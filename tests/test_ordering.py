@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelq.functions import rand
-from labelq.functions.ordering import flag_first, halo, quantile, ranked, take_first
+from labelq.functions.ordering import DIGIT, _next_digit, flag_first, halo, ordered_image, quantile, ranked, take_first
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,44 @@ def test_normal_draws(spark):
     x = spark.range(20000).select(rand.normal("n", "id").alias("x"), rand.truncated_normal_above(0.2, 0.1, "q", "id").alias("q")).toPandas()
     assert abs(x["x"].mean()) < 0.03 and abs(x["x"].std() - 1) < 0.03
     assert x["q"].between(0.2, 0.3).all() and abs(x["q"].mean() - 0.2460) < 0.002
+
+
+def test_ordered_image_is_the_bit_pattern(spark):
+    rng = np.random.default_rng(5)
+    raw = rng.integers(-(2 ** 63), 2 ** 63 - 1, 20000).view(np.float64)
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    near = np.concatenate([powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0)])
+    x = np.concatenate([raw[~np.isnan(raw)], near, -near, [0.0, -0.0, np.inf, -np.inf]])
+    df = spark.createDataFrame(pd.DataFrame({"n": np.arange(len(x)), "x": x}))
+    got = df.select("n", ordered_image(F.col("x")).alias("i")).toPandas().sort_values("n")["i"].to_numpy()
+    size = np.abs(x).view(np.int64)
+    assert (got == np.where(x < 0, -size, size)).all()
+    nan = spark.sql("SELECT double('NaN') AS x UNION ALL SELECT CAST(NULL AS DOUBLE)").select(ordered_image(F.col("x")).alias("i")).collect()
+    assert {r["i"] for r in nan} == {0x7FF8 << 48, None}
+
+
+def test_quantile_of_a_million_distinct_values_counts_digits(spark):
+    """No keys: the values of one bracket differ in their low bits only, the worst case for high digits."""
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(1.0) + F.col("id") * F.lit(2.0 ** -52)).alias("value"))
+    for f in (0.0, 0.37, 1.0):
+        got = quantile(df, "value", f).first()
+        assert got["group_rows"] == n
+        at = f * (n - 1)
+        assert abs(got["quantile"] - (1.0 + at * 2.0 ** -52)) <= 2.0 ** -52
+    cells = df.select(F.col("value").alias("_v"), ordered_image(F.col("value")).alias("_i"), F.lit(1).cast("long").alias("_c"))
+    pick = spark.createDataFrame([(370_000, 0)], "_need long, _p long")
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        digits = cells.filter(F.shiftright("_i", shift + DIGIT) == pick.first()["_p"]) if shift + DIGIT < 64 else cells
+        assert digits.select(F.shiftright("_i", shift)).distinct().count() <= 1 << DIGIT
+        pick = spark.createDataFrame(_next_digit(cells, pick, [], shift).collect(), "_need long, _p long")
+    assert pick.first()["_need"] == 0 and pick.first()["_p"] == (1023 << 52) + 370_000
+
+
+def test_quantile_of_nulls_infinities_and_nothing(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", -inf), ("a", 1.0), ("a", inf), ("b", None), ("c", -0.0), ("c", 0.0)], "key string, value double")
+    got = {r["key"]: (r["group_rows"], r["quantile"]) for r in quantile(df, "value", 0.5, ["key"]).collect()}
+    assert got == {"a": (3, 1.0), "c": (2, 0.0)}
+    assert {r["key"]: r["quantile"] for r in quantile(df, "value", 1.0, ["key"]).collect()} == {"a": inf, "c": 0.0}
+    assert quantile(df.limit(0), "value", 0.5, ["key"]).count() == 0
