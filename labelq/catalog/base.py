@@ -102,11 +102,13 @@ fragment("structured_raw", f"SELECT id, label, list_transform(features, lambda x
 fragment("lab_structured", "SELECT id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y*y)))) AS features FROM structured_raw", "structured_raw")
 
 
-def lab_line(spark, sf) -> DataFrame:
+def lab_line(spark, sf, spread: bool = True) -> DataFrame:
+    """Not ``spread``: for queries that hash nothing, and so need neither the id nor a shuffle."""
     li = table(spark, sf, "lineitem")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    return li.select(key.alias("id"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"), code.cast("int").alias("label")).repartition(SPREAD, "id")
+    lab = li.select(key.alias("id"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features"), code.cast("int").alias("label"))
+    return lab.repartition(SPREAD, "id") if spread else lab
 
 
 fragment("lab_line", """SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS id,
@@ -114,10 +116,11 @@ fragment("lab_line", """SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-
  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem""")
 
 
-def lab_order(spark, sf) -> DataFrame:
+def lab_order(spark, sf, spread: bool = True) -> DataFrame:
     o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"),
-                    F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price")).repartition(SPREAD, "id")
+    lab = o.select(F.col("o_orderkey").alias("id"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("label"),
+                   F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"))
+    return lab.repartition(SPREAD, "id") if spread else lab
 
 
 fragment("lab_order", "SELECT o_orderkey AS id, substr(o_orderpriority,1,1)::INT - 1 AS label, o_custkey AS cust, o_totalprice AS price FROM orders")

@@ -257,7 +257,7 @@ def _(spark, sf):
 
 @query("class_prior", ctes("lab_line") + "SELECT label, count(*) AS n, round(count(*)/(SELECT count(*) FROM lab_line),6) AS share FROM lab_line GROUP BY label")
 def _(spark, sf):
-    return sampling.class_counts(lab_line(spark, sf), "label").withColumn("share", F.round("share", 6))
+    return sampling.class_counts(lab_line(spark, sf, spread=False), "label").withColumn("share", F.round("share", 6))
 
 
 @query("cap_per_class", ctes("lab_line") + f"SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {H('cap', 'id')}, id) AS rn FROM lab_line) WHERE rn <= 1000")

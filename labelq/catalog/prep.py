@@ -91,7 +91,7 @@ def _(spark, sf):
 
 @query("label_offset", "SELECT o_orderkey AS id, substr(o_orderpriority,1,1)::INT - 1 AS label FROM orders")
 def _(spark, sf):
-    return lab_order(spark, sf).select("id", "label")
+    return lab_order(spark, sf, spread=False).select("id", "label")
 
 
 @query("round6", ctes("probs_line") + "SELECT id, round(probs[1],6) AS p FROM probs_line")
