@@ -72,14 +72,13 @@ def kernel(qa: np.ndarray, da: np.ndarray, qx: np.ndarray, dx: np.ndarray) -> np
 def by_gradient(suspicious: DataFrame, trusted: DataFrame, k: int = 1, **layout) -> DataFrame:
     """(id, rank, nbr_id, score): trusted rows of the predicted class with the greatest gradient product.
 
-    The product is an inner product of the outer products grad x (x, 1), searched with length bounds.
+    The error vector and (x, 1) stay apart; the search bounds the product by their inner products.
     """
-    def flat(df: DataFrame, group: str) -> DataFrame:
+    def side(df: DataFrame, group: str) -> DataFrame:
         x = F.concat("features", F.array(F.lit(1.0)))
-        both = F.flatten(F.transform("grad", lambda g: F.transform(x, lambda v: g * v)))
-        return log_likelihood_gradient(df).select("id", "label", F.col(group).alias("_g"), both.alias("features"))
+        return log_likelihood_gradient(df).select("id", "label", F.col(group).alias("_g"), "grad", x.alias("features"))
 
-    found = neighbours.knn(flat(suspicious, "pred"), flat(trusted, "label"), k, "inner", "_g", "_g", **layout)
+    found = neighbours.knn(side(suspicious, "pred"), side(trusted, "label"), k, "product", "_g", "_g", factor="grad", **layout)
     return found.select("id", "rank", "nbr_id", (-F.col("dist")).alias("score"))
 
 

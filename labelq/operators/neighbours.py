@@ -1,19 +1,22 @@
-"""Exact nearest neighbours by cells, bounds and blocks.
-
-No pair table is ever formed. Points are grouped into cells; per cell only a count and a distance
-range are kept. A query first searches one block of its home cell, which bounds its k-th distance;
-then it visits only the cells that can still hold something nearer. A cell with many rows is cut into
-blocks, and the queries of a block into chunks, so a cell (or class, or set of copies) that holds a
-third of the rows is spread over many tasks. One task sees one block of data and one chunk of queries
-and returns at most k rows per query.
-
-Metrics: ``cosine`` (1 - cos), ``euclidean``, ``cityblock``, and ``inner`` (minus the inner product, for
-maximum inner product search; its cells are ranges of vector length).
+"""Exact nearest neighbours by a tree of pivots, bounds and packed blocks.
+
+No pair table is ever formed. Rows are dealt to about sqrt(N / block) top pivots and, inside each, to pivots
+drawn from its own rows, so nodes grow in number and not in size when the data grow. Of a node only its pivot,
+a count and a distance range are kept; its rows are packed into blocks. Queries go down the same tree and are
+packed into chunks of near queries with a centre and a radius. A chunk first meets one block of its own node,
+which bounds the k-th distance of each of its queries; then it is shipped, once per node, to the few nearest
+nodes, and with the bounds found there to all others that can still hold something nearer. A task compares
+one block with some chunks and returns at most k rows per query, and none beyond the bound it came with.
+
+Metrics: ``cosine`` (1 - cos), ``euclidean``, ``cityblock``, ``inner`` (minus the inner product) and
+``product`` (minus the product of two inner products). The last two become distances by one more coordinate
+that gives all data the same length; a product of two vectors is never written out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,13 @@ from labelq.functions import arrays, rand
 from labelq.session import materialised
 
 BLOCK_ROWS = 4096
-MAX_CELLS = 1024
+CHUNK_ROWS = 512      # queries shipped together
+TASK_CHUNKS = 16      # chunks one task compares with a block
+NEXT_NODES = 4        # nodes visited before the bounds are taken again
+SALT_ROWS = 65536     # rows of one top cell that a task deals to its nodes
 DIGITS = 9
 SLACK = 1e-9
+NODE = ["grp", "top", "node"]
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -40,79 +47,83 @@ def _cityblock(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.abs(x[s:s + step, None, :] - y[None, :, :]).sum(2) for s in range(0, len(x), step)]) if len(x) else np.zeros((0, len(y)))
 
 
-def _root_distance(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Distances in the space where the triangle inequality holds: |x-y|_1, or Euclid."""
-    if metric == "cityblock":
-        return _cityblock(x, y)
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-    return np.sqrt(np.maximum(square, 0.0))
-
-
-def _reported(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Row-wise distance of paired vectors, as reported."""
-    if metric == "cosine":
-        return 1.0 - (x * y).sum(1)
-    if metric == "inner":
-        return -(x * y).sum(1)
-    if metric == "cityblock":
-        return np.abs(x - y).sum(1)
-    return np.sqrt(((x - y) ** 2).sum(1))
-
-
-def _block(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """All distances of a chunk to a block; squared for Euclid."""
-    if metric == "cosine":
-        return 1.0 - x @ y.T
-    if metric == "inner":
-        return -(x @ y.T)
-    if metric == "cityblock":
-        return _cityblock(x, y)
-    return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-
-
-class Cells:
-    """Cell geometry on the driver: pivots (or length cuts) and, per (group, cell), count and range."""
-
-    def __init__(self, metric: str, anchors: np.ndarray, stats: list[tuple[int, int, int, float, float]], block_rows: int):
-        self.metric, self.anchors = metric, anchors
-        self.group = np.array([s[0] for s in stats], dtype=np.int64)
-        self.cell = np.array([s[1] for s in stats], dtype=np.int64)
-        self.count = np.array([s[2] for s in stats], dtype=np.int64)
-        self.lo = np.array([s[3] for s in stats])
-        self.hi = np.array([s[4] for s in stats])
-        self.parts = np.maximum(1, -(-self.count // block_rows))
+@dataclass(frozen=True)
+class Geometry:
+    """A metric, and the space in which it obeys the triangle inequality ("root" distances).
+
+    ``split`` is the width of the first factor of ``product``; ``square`` the common squared length of the
+    data for ``inner`` and ``product``, whose vectors end with the coordinate that fills them up (0 for queries).
+    """
+
+    metric: str
+    split: int = 0
+    square: float = 0.0
 
     @property
-    def blocks(self) -> int:
-        return int(self.parts.sum())
-
-    def bounds(self, x: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query and cell: least possible distance (root space), and nearness for choosing a home.
-
-        Cells of another group are infinitely far.
-        """
-        if self.metric == "inner":
-            length = np.sqrt((x * x).sum(1))[:, None]
-            least = -length * self.hi[None, :]
-            near = least.copy()
+    def filled(self) -> bool:
+        return self.metric in ("inner", "product")
+
+    def dot(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.metric != "product":
+            return x @ y.T
+        s = self.split
+        return (x[:, :s] @ y[:, :s].T) * (x[:, s:-1] @ y[:, s:-1].T) + np.outer(x[:, -1], y[:, -1])
+
+    def squares(self, x: np.ndarray) -> np.ndarray:
+        if self.metric != "product":
+            return (x * x).sum(1)
+        s = self.split
+        return (x[:, :s] ** 2).sum(1) * (x[:, s:-1] ** 2).sum(1) + x[:, -1] ** 2
+
+    def root(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """All distances in root space."""
+        if self.metric == "cityblock":
+            return _cityblock(x, y)
+        return np.sqrt(np.maximum(self.squares(x)[:, None] + self.squares(y)[None, :] - 2.0 * self.dot(x, y), 0.0))
+
+    def order(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A matrix that orders a block for a chunk; up to rounding the reported distance, squared for Euclid."""
+        if self.metric == "cosine":
+            return 1.0 - x @ y.T
+        if self.filled:
+            return -self.dot(x, y)
+        if self.metric == "cityblock":
+            return _cityblock(x, y)
+        return self.squares(x)[:, None] + self.squares(y)[None, :] - 2.0 * (x @ y.T)
+
+    def reported(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Row-wise distance of paired vectors, rounded as reported."""
+        s = self.split
+        if self.metric == "cosine":
+            d = 1.0 - (x * y).sum(1)
+        elif self.metric == "inner":
+            d = -(x[:, :-1] * y[:, :-1]).sum(1)
+        elif self.metric == "product":
+            d = -(x[:, :s] * y[:, :s]).sum(1) * (x[:, s:-1] * y[:, s:-1]).sum(1)
+        elif self.metric == "cityblock":
+            d = np.abs(x - y).sum(1)
         else:
-            d = _root_distance(x, self.anchors, self.metric)[:, self.cell]
-            least = np.maximum(0.0, np.maximum(d - self.hi[None, :], self.lo[None, :] - d))
-            near = d.copy()
-        wrong = groups[:, None] != self.group[None, :]
-        least[wrong] = np.inf
-        near[wrong] = np.inf
-        return least, near
+            d = np.sqrt(((x - y) ** 2).sum(1))
+        return np.round(d, DIGITS)
 
+    def limit(self, x: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        """The root distance beyond which nothing is as near to a query as ``dist``."""
+        if self.metric == "cosine":
+            return np.sqrt(np.maximum(2.0 * (dist + SLACK), 0.0))
+        if self.filled:
+            return np.sqrt(np.maximum(self.squares(x) + self.square + 2.0 * (dist + SLACK), 0.0))
+        return dist + SLACK
 
-def _to_root(dist: np.ndarray, metric: str) -> np.ndarray:
-    """A reported distance in root space."""
-    return np.sqrt(np.maximum(2.0 * dist, 0.0)) if metric == "cosine" else dist
+    def slack(self, *lengths: np.ndarray | float) -> np.ndarray | float:
+        """Rounding of a root distance between vectors of these squared lengths, so no bound cuts off an exact tie."""
+        return 1e-6 * (1.0 + np.sqrt(sum(lengths)))
 
 
-def prepared(df: DataFrame, metric: str, group: str | None) -> DataFrame:
-    """(id, label, grp, vec); cosine works on unit vectors."""
+def prepared(df: DataFrame, metric: str, group: str | None, factor: str | None = None) -> DataFrame:
+    """(id, label, grp, vec); cosine works on unit vectors, ``product`` on both factors one after the other."""
     vec = arrays.unit("features") if metric == "cosine" else F.col("features").cast("array<double>")
+    if metric == "product":
+        vec = F.concat(F.col(factor).cast("array<double>"), vec)
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     return df.select("id", "label", g.alias("grp"), vec.alias("vec"))
 
@@ -126,155 +137,302 @@ def _limit_copies(data: DataFrame, keep: int) -> DataFrame:
     return data.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 
 
-def _assigned(data: DataFrame, metric: str, anchors: np.ndarray) -> DataFrame:
-    """Add the cell of every row and its distance to the pivot (its length for ``inner``)."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields)
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _square(vec: str, split: int) -> Column:
+    """Squared length of a vector, or of the product of its two factors."""
+    square = lambda a: arrays.dot(a, a)
+    if not split:
+        return square(F.col(vec))
+    return square(F.slice(vec, 1, split)) * square(F.slice(vec, F.lit(split + 1), F.size(vec) - split))
+
+
+def _geometry(points: DataFrame, queries: DataFrame, metric: str, split: int = 0) -> tuple[Geometry, DataFrame, DataFrame]:
+    """The geometry, and both tables with the coordinate that fills vectors up where the metric needs it."""
+    if metric not in ("inner", "product"):
+        return Geometry(metric), points, queries
+    longest = float(points.agg(F.max(_square("vec", split))).first()[0] or 0.0)
+    rest = F.sqrt(F.greatest(F.lit(longest) - _square("vec", split), F.lit(0.0)))
+    filled = points.withColumn("vec", F.concat("vec", F.array(rest)))
+    return Geometry(metric, split, longest), filled, queries.withColumn("vec", F.concat("vec", F.array(F.lit(0.0))))
+
+
+@dataclass
+class Tree:
+    """Top cells on the driver (about sqrt(N / block) per group), nodes per top cell and packed blocks as tables."""
+
+    geo: Geometry
+    pivots: np.ndarray
+    grp: np.ndarray
+    top: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    packs: DataFrame
+    blocks: DataFrame
+    n_nodes: int
+    n_blocks: int
+    split: bool
+
+
+def _to_top(rows: DataFrame, geo: Geometry, pivots: np.ndarray, own: set[tuple[int, int]] | None = None) -> DataFrame:
+    """Add the nearest top pivot and its distance; with ``own`` only (group, pivot) pairs that hold data count."""
+    allowed: dict[int, np.ndarray] = {}
+    for g, t in own or ():
+        allowed.setdefault(g, np.full(len(pivots), np.inf))[t] = 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if own is not None:
+                pdf = pdf[pdf["grp"].isin(list(allowed))]
             if not len(pdf):
                 continue
-            x = _stack(pdf["vec"])
-            if metric == "inner":
-                r = np.sqrt((x * x).sum(1))
-                cell = np.searchsorted(anchors, r)
-            else:
-                d = _root_distance(x, anchors, metric)
-                cell = d.argmin(1)
-                r = d[np.arange(len(x)), cell]
-            yield pdf.assign(cell=cell.astype(np.int32), r=r)
+            d = geo.root(_stack(pdf["vec"]), pivots)
+            if own is not None:
+                d = d + np.stack([allowed[g] for g in pdf["grp"]])
+            top = d.argmin(1)
+            yield pdf.assign(top=top.astype(np.int32), r=d[np.arange(len(pdf)), top])
 
-    return data.mapInPandas(run, f"{fields}, cell int, r double")
+    return rows.mapInPandas(run, f"{_fields(rows)}, top int, r double")
 
 
-def layout(data: DataFrame, metric: str, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS) -> tuple[Cells, DataFrame]:
-    """Choose cells for prepared data and cut them into blocks: (cells, data with cell and part).
+def _to_node(rows: DataFrame, geo: Geometry, packs: DataFrame) -> DataFrame:
+    """Replace the distance to the top pivot by the nearest node of the top cell and the distance to its pivot.
 
-    The driver sees at most ``max_cells`` pivots and one statistics row per (group, cell).
+    ``packs`` is (grp, top, nodes); a busy top cell is dealt by a hash of the id, its nodes go to every share.
     """
-    n = data.count()
-    n_cells = int(min(max_cells, max(1, n // block_rows)))
-    if metric == "inner":
-        length = arrays.norm("vec")
-        cuts = [i / n_cells for i in range(1, n_cells)]
-        got = data.agg(F.percentile_approx(length, cuts, 10000)).first()[0] if cuts else []
-        anchors = np.array(sorted(got or []), dtype=float)
-    else:
-        rows = data.orderBy(rand.hash32("pivot", "id"), "id").limit(n_cells).select("vec").collect()
-        anchors = np.array([r["vec"] for r in rows], dtype=float)
-        if not len(anchors):
-            anchors = np.zeros((1, 1))
-    placed = materialised(_assigned(data, metric, anchors), "cells")
-    stats = placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
-    # Widened by a rounding margin, so that a bound never cuts off an exact tie.
-    cells = Cells(metric, anchors, [(s["grp"], s["cell"], s["n"], s["lo"] - 1e-7, s["hi"] + 1e-7) for s in stats], block_rows)
-    return cells, placed.withColumn("part", part_of("id", cells)).drop("r")
-
-
-def part_of(key: str, cells: Cells) -> Column:
-    """Block number of a row inside its cell; only split cells are listed in the expression."""
-    big = [(int(g), int(c), int(p)) for g, c, p in zip(cells.group, cells.cell, cells.parts) if p > 1]
-    if not big:
-        return F.lit(0)
-    pairs = [F.lit(x) for g, c, p in big for x in (f"{g}/{c}", p)]
-    parts = F.try_element_at(F.create_map(*pairs), F.concat_ws("/", "grp", "cell"))
-    return F.coalesce(F.pmod(F.xxhash64(key), parts.cast("long")), F.lit(0)).cast("int")
-
-
-def _probes(queries: DataFrame, cells: Cells, home_only: bool, radius: float | None = None) -> DataFrame:
-    """Rows (query.., cell, part): where each query has to look.
-
-    ``home_only``: one block of the nearest cell. Otherwise every block of every cell within the
-    query's ``bound`` (or a fixed radius), without the block already searched.
-    """
-    drop = "bound" if "bound" in queries.columns else None
-    kept = [f for f in queries.schema.fields if f.name != drop]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    counts = rows.groupBy("grp", "top").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("id", F.lit(11)), F.col("shares").cast("long")).cast("int")
+    q = rows.join(counts, ["grp", "top"]).withColumn("share", share).drop("shares")
+    p = packs.select("grp", "top", "nodes").join(counts, ["grp", "top"])
+    p = p.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    columns = [*rows.columns, "node"]
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame(columns=columns)
+        nodes = p["nodes"].iloc[0]
+        at, y = np.array([v["node"] for v in nodes], np.int32), _stack(pd.Series([v["vec"] for v in nodes]))
+        near, r = np.zeros(len(q), np.int64), np.zeros(len(q))
+        for s in range(0, len(q), 4096):
+            d = geo.root(_stack(q["vec"].iloc[s:s + 4096]), y)
+            near[s:s + 4096] = d.argmin(1)
+            r[s:s + 4096] = d.min(1)
+        return q.assign(r=r, node=at[near])[columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for start in range(0, len(whole), 1024):
-                pdf = whole.iloc[start:start + 1024].reset_index(drop=True)
-                least, near = cells.bounds(_stack(pdf["vec"]), pdf["grp"].to_numpy())
-                some = np.isfinite(near).any(1) if near.shape[1] else np.zeros(len(pdf), bool)
-                if not some.any():
-                    continue
-                home = near.argmin(1)
-                # The home block follows from the id alone, so both rounds agree on it.
-                salt = pd.util.hash_array(pdf["id"].to_numpy()).astype(np.uint64)
-                mine = (salt % cells.parts[home].astype(np.uint64)).astype(np.int64)
-                if home_only:
-                    rows = np.nonzero(some)[0]
-                    cell, part = home[rows], mine[rows]
-                else:
-                    if radius is None:
-                        limit = _to_root(pdf["bound"].fillna(np.inf).to_numpy() + SLACK, cells.metric)
-                    else:
-                        limit = np.full(len(pdf), radius + SLACK)
-                    rows, at = np.nonzero((least <= limit[:, None]) & np.isfinite(least))
-                    width = cells.parts[at]
-                    rows, cell = np.repeat(rows, width), np.repeat(at, width)
-                    part = np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
-                    if radius is None:
-                        fresh = ~((cell == home[rows]) & (part == mine[rows]))
-                        rows, cell, part = rows[fresh], cell[fresh], part[fresh]
-                out = pdf.iloc[rows].drop(columns=[drop] if drop else [])
-                yield out.assign(cell=cells.cell[cell].astype(np.int32), part=part.astype(np.int32))
-
-    return queries.mapInPandas(run, f"{fields}, cell int, part int")
-
-
-def _chunked(probes: DataFrame, data: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Split the queries of busy cells into chunks and give every chunk its own copy of the blocks."""
-    keys = ["grp", "cell", "part"]
-    # Only blocks with many queries are listed; Spark broadcasts the list if its measured size allows.
-    counts = probes.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks")).filter("chunks > 1")
-    chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks").cast("long"))).cast("int")
-    p = probes.join(counts, keys, "left").withColumn("chunk", chunk).drop("chunks")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
-    d = data.join(counts, keys, "left").withColumn("chunk", copies).drop("chunks")
-    return p, d, [*keys, "chunk"]
-
-
-def _together(p: DataFrame, d: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
-    """Queries and data of a key in one task; the data get fresh column identities, as both may come from one table."""
+    return _together(q, p, ["grp", "top", "share"], run, f"{_fields(rows)}, node int")
+
+
+def _together(p: DataFrame, d: DataFrame, keys: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """Both tables' rows of a key in one task; the second gets fresh column identities, as both may come from one table."""
     d = d.toDF(*d.columns)
     return p.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(kernel, schema)
 
 
-def _search(probes: DataFrame, data: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
-    p, d, keys = _chunked(probes, data, block_rows)
-    return _together(p, d, keys, kernel, schema)
+def _packed(rows: DataFrame, geo: Geometry, size: int) -> DataFrame:
+    """One row per about ``size`` rows of a node: ids, labels and vectors as bytes, with a centre and a radius.
+
+    The centre is the row whose farthest other row of a sample is nearest. ``aux``, where present, is packed too.
+    """
+    counts = rows.groupBy(*NODE).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts").cast("long")).cast("int")
+    types = dict(rows.dtypes)
+    aux = "aux" in types
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = _stack(pdf["vec"])
+        some = x[:: max(1, len(x) // 256)]
+        centre = some[geo.root(some, some).max(1).argmin()]
+        radius = float(geo.root(x, centre[None, :]).max() + geo.slack(geo.squares(x).max()))
+        row = {c: pdf[c].iloc[0] for c in (*NODE, "part")}
+        row |= {"centre": centre, "radius": radius, "ids": pdf["id"].to_numpy(), "labels": pdf["label"].to_numpy(), "vecs": x.tobytes()}
+        if aux:
+            row["auxs"] = _stack(pdf["aux"]).tobytes()
+        return pd.DataFrame({c: [v] for c, v in row.items()})
+
+    schema = f"grp long, top int, node int, part int, centre array<double>, radius double, ids array<{types['id']}>, labels array<{types['label']}>, vecs binary" + (", auxs binary" if aux else "")
+    return rows.join(counts, NODE).withColumn("part", part).groupBy(*NODE, "part").applyInPandas(run, schema)
+
+
+def _split(placed: DataFrame, geo: Geometry, cells: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their node, and the nodes of every top cell; split cells draw nodes from their own rows.
+
+    The top pivot is a node of every cell, so none is without.
+    """
+    h = rand.uniform("node", "id")
+    inner = placed.join(cells.filter("split"), ["grp", "top"]).filter(h < F.col("rate"))
+    inner = inner.groupBy("grp", "top").agg(F.array_sort(F.collect_list(F.struct(h.alias("h"), "id", "vec"))).alias("drawn"))
+    vecs = F.concat(F.array("pivot"), F.coalesce(F.transform("drawn", lambda v: v["vec"]), F.array().cast("array<array<double>>")))
+    nodes = F.transform(vecs, lambda v, i: F.struct(i.cast("int").alias("node"), v.alias("vec")))
+    named = materialised(cells.join(inner, ["grp", "top"], "left").select("grp", "top", nodes.alias("nodes")), "pivots")
+    placed = materialised(_to_node(placed, geo, named), "nodes")
+    held = placed.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    each = named.select("grp", "top", F.explode("nodes").alias("v")).select("grp", "top", "v.node", "v.vec").join(held, NODE)
+    parts = F.ceil(F.col("n") / block_rows).cast("int").alias("parts")
+    return placed, materialised(each.groupBy("grp", "top").agg(F.array_sort(F.collect_list(F.struct("node", "vec", "lo", "hi", parts))).alias("nodes")), "packs")
+
+
+def build(points: DataFrame, geo: Geometry, block_rows: int = BLOCK_ROWS) -> Tree:
+    """The tree over (id, label, grp, vec[, aux]), a stored table.
+
+    The driver sees about sqrt(N / block_rows) pivots and one row of statistics per group and pivot. A top cell
+    gets a node per ``block_rows`` of its rows, four times the number of top pivots at most: a cell that holds
+    more has bigger nodes, of more blocks.
+    """
+    spark = points.sparkSession
+    n_top = max(1, int(np.ceil(np.sqrt(points.count() / block_rows))))
+    drawn = points.orderBy(rand.hash32("pivot", "id"), "id").limit(n_top).select("vec").collect()
+    pivots = np.array([r["vec"] for r in drawn] or [[0.0]], dtype=float)
+    placed = materialised(_to_top(points, geo, pivots), "top")
+    stats = placed.groupBy("grp", "top").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
+    wide = [geo.slack(s["hi"] ** 2, *geo.squares(pivots[s["top"]][None, :])) for s in stats]
+    split = any(s["n"] > block_rows for s in stats)
+    if split:
+        cells = [(s["grp"], s["top"], [float(v) for v in pivots[s["top"]]], min(4 * n_top, -(-s["n"] // block_rows)) / s["n"], s["n"] > block_rows) for s in stats]
+        placed, packs = _split(placed, geo, spark.createDataFrame(cells, "grp long, top int, pivot array<double>, rate double, split boolean"), block_rows)
+    else:  # every top cell is one node of one block
+        placed = placed.withColumn("node", F.lit(0))
+        one = [(s["grp"], s["top"], [(0, [float(v) for v in pivots[s["top"]]], s["lo"], s["hi"], 1)]) for s in stats]
+        packs = spark.createDataFrame(one, "grp long, top int, nodes array<struct<node:int,vec:array<double>,lo:double,hi:double,parts:int>>")
+    blocks = materialised(_packed(placed, geo, block_rows), "blocks")
+    sizes = packs.agg(F.sum(F.size("nodes")), F.sum(F.aggregate("nodes", F.lit(0), lambda s, v: s + v["parts"]))).first() if split else (len(stats), len(stats))
+    return Tree(geo, pivots, np.array([s["grp"] for s in stats], np.int64), np.array([s["top"] for s in stats], np.int64),
+                np.array([s["lo"] for s in stats]) - wide, np.array([s["hi"] for s in stats]) + wide, packs, blocks, int(sizes[0] or 0), int(sizes[1] or 0), split)
+
+
+def chunks_of(queries: DataFrame, tree: Tree, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Queries packed by the node they fall into, each chunk with a number and the number of blocks of its node.
+
+    Queries of a group without data have no node and are left out.
+    """
+    own = set(zip(tree.grp.tolist(), tree.top.tolist()))
+    placed = _to_top(queries, tree.geo, tree.pivots, own)
+    placed = _to_node(materialised(placed, "asked"), tree.geo, tree.packs) if tree.split else placed.withColumn("node", F.lit(0))
+    packed = _packed(materialised(placed, "asked"), tree.geo, chunk_rows).drop("part")
+    nodes = tree.packs.select("grp", "top", F.explode("nodes").alias("v")).select("grp", "top", "v.node", F.col("v.parts").alias("parts"))
+    return materialised(packed.join(nodes, NODE).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def home(chunks: DataFrame) -> DataFrame:
+    """(chunk, grp, top, node, part, least): one block of the chunk's own node."""
+    return chunks.select("chunk", *NODE, F.pmod("chunk", F.col("parts").cast("long")).cast("int").alias("part"), F.lit(0.0).alias("least"))
 
 
-def _topk_kernel(metric: str, k: int, exclude_self: bool):
-    columns = ["grp", "id", "label", "nbr_id", "nbr_label", "dist"]
+def _vectors(row, name: str = "vecs") -> np.ndarray:
+    return np.frombuffer(row[name]).reshape(len(row["ids"]), -1)
+
+
+def bounded(chunks: DataFrame, found: DataFrame, geo: Geometry, k: int) -> DataFrame:
+    """Chunks with ``bounds``, the k-th distance found for each query (infinite where fewer are), and the widest root limit."""
+    w = W.partitionBy("chunk", "pos").orderBy("dist", "nbr_id")
+    kth = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
+    kth = kth.groupBy("chunk").agg(F.collect_list(F.struct("pos", "dist")).alias("_b"))
+    state = chunks.join(kth, "chunk", "left")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bounds, limits = [], []
+            for _, row in pdf.iterrows():
+                b = np.full(len(row["ids"]), np.inf)
+                for v in row["_b"] if row["_b"] is not None else ():
+                    b[v["pos"]] = v["dist"]
+                bounds.append(b)
+                limits.append(float(geo.limit(_vectors(row), b).max()))
+            yield pdf.drop(columns="_b").assign(bounds=bounds, limit=limits)
+
+    return state.mapInPandas(run, f"{types}, bounds array<double>, limit double")
+
+
+def pairs(state: DataFrame, tree: Tree, far: bool = False) -> DataFrame:
+    """(chunk, grp, top, node, part, least): the blocks a chunk has to meet, by its centre, radius and ``limit``.
+
+    A chunk is compared with the top cells first and with the nodes of those that stay. ``least`` is the
+    smallest root distance a pair can have. With ``far`` the blocks are those where a pair can be as far as the limit.
+    """
+    geo, pivots, grp, top, lo, hi = tree.geo, tree.pivots, tree.grp, tree.top, tree.lo, tree.hi
+
+    def needed(d: np.ndarray, radius: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = radius[:, None]
+        if far:
+            return -(d + r + high[None, :]), d + r + high[None, :] >= limit[:, None]
+        least = np.maximum(0.0, np.maximum(d - r - high[None, :], low[None, :] - d - r))
+        return least, least <= limit[:, None]
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            _, keep = needed(geo.root(_stack(pdf["centre"]), pivots)[:, top], pdf["radius"].to_numpy(), pdf["limit"].to_numpy(), lo, hi)
+            i, j = np.nonzero(keep & (pdf["grp"].to_numpy()[:, None] == grp[None, :]))
+            yield pdf.iloc[i].assign(top=top[j].astype(np.int32))[["chunk", "grp", "top", "centre", "radius", "limit"]]
+
+    thin = state.select("chunk", "grp", "centre", "radius", "limit")
+    some = thin.mapInPandas(tops, "chunk long, grp long, top int, centre array<double>, radius double, limit double")
+    shares = max(1, thin.count() // TASK_CHUNKS // 64)
+    some = some.withColumn("share", F.pmod("chunk", F.lit(shares)))
+    packs = tree.packs.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+
+    def nodes(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        columns = ["chunk", *NODE, "parts", "least"]
+        if not len(q) or not len(p):
+            return pd.DataFrame(columns=columns)
+        held = p["nodes"].iloc[0]
+        y = _stack(pd.Series([v["vec"] for v in held]))
+        high, low = np.array([v["hi"] for v in held]), np.array([v["lo"] for v in held])
+        wide = geo.slack(high ** 2, geo.squares(y))
+        least, keep = needed(geo.root(_stack(q["centre"]), y), q["radius"].to_numpy(), q["limit"].to_numpy(), low - wide, high + wide)
+        i, j = np.nonzero(keep)
+        at, parts = np.array([v["node"] for v in held]), np.array([v["parts"] for v in held])
+        return q.iloc[i][["chunk", "grp", "top"]].assign(node=at[j], parts=parts[j], least=least[i, j])[columns]
+
+    got = _together(some, packs, ["grp", "top", "share"], nodes, "chunk long, grp long, top int, node int, parts int, least double")
+    return got.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("chunk", *NODE, "part", "least")
+
+
+def visit(todo: DataFrame, state: DataFrame, tree: Tree, kernel: Callable, schema: str) -> DataFrame:
+    """Ship every chunk once to each block it has to meet; a busy block is copied per ``TASK_CHUNKS`` chunks.
+
+    ``kernel(chunk row, block row)`` returns a frame.
+    """
+    keys = [*NODE, "part"]
+    counts = todo.groupBy(*keys).agg(F.ceil(F.count("*") / TASK_CHUNKS).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64("chunk", F.lit(7)), F.col("copies").cast("long")).cast("int")
+    q = todo.join(counts, keys).withColumn("copy", copy).drop("copies", "least")
+    q = q.join(state.drop(*NODE, "parts", "centre", "radius", "limit"), "chunk")
+    d = tree.blocks.drop("centre", "radius").join(counts, keys).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
-            return pd.DataFrame(columns=columns)
-        y, ids, labels = _stack(d["vec"]), d["id"].to_numpy(), d["label"].to_numpy()
-        out = []
-        step = max(1, min(1024, 8_000_000 // max(1, len(d) * (y.shape[1] if metric == "cityblock" else 1))))
-        for start in range(0, len(q), step):
-            part = q.iloc[start:start + step]
-            x, own = _stack(part["vec"]), part["id"].to_numpy()
-            dist = _block(x, y, metric)
-            if exclude_self:
-                dist[own[:, None] == ids[None, :]] = np.inf
-            m = min(k, dist.shape[1]) - 1
-            limit = np.partition(dist, m, axis=1)[:, m]
-            near = (dist <= limit[:, None] + 1e-8) & np.isfinite(dist)
-            r, c = np.nonzero(near)
-            exact = np.round(_reported(x[r], y[c], metric), DIGITS)
-            order = np.lexsort((ids[c], exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            first = np.r_[0, np.nonzero(np.diff(r))[0] + 1] if len(r) else np.array([], int)
-            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-            keep = place < k
-            r, c, exact = r[keep], c[keep], exact[keep]
-            out.append(pd.DataFrame({"grp": part["grp"].to_numpy()[r], "id": own[r], "label": part["label"].to_numpy()[r], "nbr_id": ids[c], "nbr_label": labels[c], "dist": exact}))
-        return pd.concat(out, ignore_index=True)[columns]
+            return pd.DataFrame(columns=names)
+        block = d.iloc[0]
+        return pd.concat([kernel(row, block) for _, row in q.iterrows()], ignore_index=True)[names]
+
+    return _together(q, d, [*keys, "copy"], run, schema)
+
+
+def _topk(geo: Geometry, k: int, exclude_self: bool) -> Callable:
+    def run(q, d) -> pd.DataFrame:
+        y, ids, labels = _vectors(d), np.asarray(d["ids"]), np.asarray(d["labels"])
+        x, own, names, bounds = _vectors(q), np.asarray(q["ids"]), np.asarray(q["labels"]), np.asarray(q["bounds"])
+        dist = geo.order(x, y)
+        if exclude_self:
+            dist[own[:, None] == ids[None, :]] = np.inf
+        m = min(k, dist.shape[1]) - 1
+        limit = np.partition(dist, m, axis=1)[:, m]
+        r, c = np.nonzero((dist <= limit[:, None] + 1e-8 * (1.0 + np.abs(limit[:, None]))) & np.isfinite(dist))
+        exact = geo.reported(x[r], y[c])
+        near = exact <= bounds[r]
+        r, c, exact = r[near], c[near], exact[near]
+        order = np.lexsort((ids[c], exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.r_[0, np.nonzero(np.diff(r))[0] + 1] if len(r) else np.array([], int)
+        place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+        r, c, exact = r[place < k], c[place < k], exact[place < k]
+        return pd.DataFrame({"chunk": q["chunk"], "pos": r.astype(np.int32), "grp": q["grp"], "id": own[r], "label": names[r], "nbr_id": ids[c], "nbr_label": labels[c], "dist": exact})
 
     return run
 
@@ -289,35 +447,44 @@ def knn(
     exclude_self: bool = True,
     keep_group: bool = False,
     block_rows: int = BLOCK_ROWS,
-    max_cells: int = MAX_CELLS,
+    chunk_rows: int = CHUNK_ROWS,
+    factor: str | None = None,
 ) -> DataFrame:
     """(id, label, rank, nbr_id, nbr_label, dist): the k nearest rows of ``data``, ranks from 1.
 
     Distances are rounded to 9 digits and ties go to the lower id. With groups, a query only meets
     data of its own group (few groups: classes, rounds); ``keep_group`` adds it as ``grp``, so that a row
-    may be asked in several groups.
+    may be asked in several groups. ``factor`` names the second vector column of the metric ``product``.
     """
-    points, q = prepared(data, metric, data_group), prepared(queries, metric, query_group)
-    types = {f.name: f.dataType.simpleString() for f in q.schema.fields}
-    schema = f"grp long, id {types['id']}, label {types['label']}, nbr_id {dict(points.dtypes)['id']}, nbr_label {dict(points.dtypes)['label']}, dist double"
-    kernel = _topk_kernel(metric, k, exclude_self)
+    points = materialised(_limit_copies(prepared(data, metric, data_group, factor), k + int(exclude_self)), "points")
+    width = points.select(F.size("vec")).first()
+    split = data.select(F.size(factor)).first()[0] if factor and width else 0
+    geo, filled, q = _geometry(points, prepared(queries, metric, query_group, factor), metric, split)
+    ids, labels = dict(points.dtypes)["id"], dict(points.dtypes)["label"]
+    schema = f"chunk long, pos int, grp long, id {dict(q.dtypes)['id']}, label {dict(q.dtypes)['label']}, nbr_id {ids}, nbr_label {labels}, dist double"
+    tree = build(filled, geo, block_rows)
+    chunks = chunks_of(q, tree, chunk_rows)
+    unbounded = chunks.withColumn("bounds", F.transform("ids", lambda _: F.lit(float("inf"))))
+    kernel = _topk(geo, k, exclude_self)
+    found = visit(home(chunks), unbounded, tree, kernel, schema)
+    if tree.n_blocks > 1:
+        found = materialised(found, "near")
+        state = materialised(bounded(chunks, found, geo, k), "state")
+        todo = pairs(state, tree).join(home(chunks), ["chunk", *NODE, "part"], "left_anti")
+        place = F.row_number().over(W.partitionBy("chunk").orderBy("least", *NODE, "part"))
+        todo = materialised(todo.withColumn("place", place), "visits")
+        found = materialised(found.unionByName(visit(todo.filter(F.col("place") <= NEXT_NODES).drop("place"), state, tree, kernel, schema)), "near")
+        state = materialised(bounded(chunks, found, geo, k), "state")
+        rest = todo.filter(F.col("place") > NEXT_NODES).drop("place").join(state.select("chunk", "limit"), "chunk").filter("least <= limit").drop("limit")
+        found = found.unionByName(visit(rest, state, tree, kernel, schema))
     w = W.partitionBy("grp", "id").orderBy("dist", "nbr_id")
     out = (*(["grp"] if keep_group else []), "id", "label", "rank", "nbr_id", "nbr_label", "dist")
-    points = materialised(_limit_copies(points, k + int(exclude_self)), "points")
-    cells, blocks = layout(points, metric, block_rows, max_cells)
-    found = _search(_probes(q, cells, True), blocks, kernel, schema, block_rows)
-    if cells.blocks > 1:
-        found = materialised(found, "near")
-        bound = found.groupBy("grp", "id").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
-        bound = bound.select("grp", "id", F.when(F.col("n") >= k, F.col("far")).alias("bound"))
-        rest = materialised(_probes(q.join(bound, ["grp", "id"], "left"), cells, False), "probes")
-        found = found.unionByName(_search(rest, blocks, kernel, schema, block_rows))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*out)
 
 
 def within_radius(
-    queries: DataFrame, data: DataFrame, radius: float, score, score_column: str,
-    query_group: str | None = None, data_group: str | None = None, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS,
+    queries: DataFrame, data: DataFrame, radius: float, score: Callable, score_column: str,
+    query_group: str | None = None, data_group: str | None = None, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Per query: how many rows lie within a Euclidean radius, and the one with the greatest score.
 
@@ -328,68 +495,67 @@ def within_radius(
         g = F.col(group).cast("long") if group else F.lit(0).cast("long")
         return df.select("id", "label", g.alias("grp"), F.col("features").cast("array<double>").alias("vec"), F.col(score_column).alias("aux"))
 
-    points, q = side(data, data_group), side(queries, query_group)
-    idt = dict(q.dtypes)["id"]
+    geo = Geometry("euclidean")
+    tree = build(materialised(side(data, data_group), "points"), geo, block_rows)
+    chunks = chunks_of(side(queries, query_group), tree, chunk_rows).withColumn("limit", F.lit(float(radius) + SLACK))
 
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        cols = ["id", "n", "nbr_id", "score"]
-        if not len(q) or not len(d):
-            return pd.DataFrame(columns=cols)
-        d = d.sort_values("id")
-        y, ya, ids = _stack(d["vec"]), _stack(d["aux"]), d["id"].to_numpy()
-        out = []
-        for start in range(0, len(q), 512):
-            part = q.iloc[start:start + 512]
-            x, own = _stack(part["vec"]), part["id"].to_numpy()
-            near = np.maximum(_block(x, y, "euclidean"), 0.0) <= (radius + SLACK) ** 2
-            near &= own[:, None] != ids[None, :]
-            s = np.where(near, np.round(score(_stack(part["aux"]), ya, x, y), DIGITS), -np.inf)
-            hit = near.any(1)
-            best = s.argmax(1)
-            out.append(pd.DataFrame({"id": own, "n": near.sum(1), "nbr_id": ids[best], "score": s.max(1)})[hit])
-        return pd.concat(out, ignore_index=True)[cols]
-
-    schema = f"id {idt}, n long, nbr_id {idt}, score double"
-    cells, blocks = layout(points, "euclidean", block_rows, max_cells)
-    rows = _search(_probes(q, cells, False, radius), blocks, run, schema, block_rows)
+    def run(q, d) -> pd.DataFrame:
+        x, y, own, ids = _vectors(q), _vectors(d), np.asarray(q["ids"]), np.asarray(d["ids"])
+        near = np.maximum(geo.order(x, y), 0.0) <= (radius + SLACK) ** 2
+        near &= own[:, None] != ids[None, :]
+        s = np.where(near, np.round(score(_vectors(q, "auxs"), _vectors(d, "auxs"), x, y), DIGITS), -np.inf)
+        best = s.argmax(1)
+        return pd.DataFrame({"id": own, "n": near.sum(1), "nbr_id": ids[best], "score": s.max(1)})[near.any(1)]
+
+    rows = visit(pairs(chunks, tree), chunks, tree, run, f"id {dict(queries.dtypes)['id']}, n long, nbr_id {dict(data.dtypes)['id']}, score double")
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("nbr_id")))
     return rows.groupBy("id").agg(F.sum("n").alias("n_within"), best.alias("_b")).select("id", "n_within", F.col("_b.nbr_id").alias("nbr_id"), (-F.col("_b.s")).alias("score"))
 
 
-def diameter(df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS) -> float:
-    """Greatest pairwise Euclidean distance.
+def far_pairs(df: DataFrame, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> tuple[float, Tree, DataFrame, DataFrame]:
+    """A distance that is attained, the tree, the chunks, and the visits that could show a greater one.
 
-    Cells whose farthest possible pair is below a distance already attained are not visited; every
-    visited block returns one number.
+    The farthest row of each top pivot is a corner; the greatest distance between corners, or from a pivot to its
+    corner, is attained. A chunk has to meet a block only where both centres and radii allow more.
     """
-    points = prepared(df, "euclidean", None)
+    geo = Geometry("euclidean")
+    points = materialised(prepared(df, "euclidean", None), "points")
+    tree = build(points, geo, block_rows)
+    pivots = tree.pivots
 
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"far": pd.Series(dtype=float)})
-        x, y = _stack(q["vec"]), _stack(d["vec"])
-        best = 0.0
-        for start in range(0, len(x), 512):
-            b = _block(x[start:start + 512], y, "euclidean")
-            i, j = np.unravel_index(b.argmax(), b.shape)
-            best = max(best, float(_reported(x[start + i:start + i + 1], y[j:j + 1], "euclidean")[0]))
-        return pd.DataFrame({"far": [best]})
-
-    cells, blocks = layout(points, "euclidean", block_rows, max_cells)
-    known = max(float(_root_distance(cells.anchors, cells.anchors, "euclidean").max()), float(cells.hi.max()) - 1e-7)
-    anchors, hi, cell, parts = cells.anchors, cells.hi, cells.cell, cells.parts
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far, rows = np.full(len(pivots), -1.0), [None] * len(pivots)
         for pdf in batches:
-            most = _root_distance(_stack(pdf["vec"]), anchors, "euclidean")[:, cell] + hi[None, :]
-            rows, at = np.nonzero(most >= known)
-            width = parts[at]
-            rows, at = np.repeat(rows, width), np.repeat(at, width)
-            part = np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
-            yield pdf.iloc[rows].assign(cell=cell[at].astype(np.int32), part=part.astype(np.int32))
-
-    got = _search(points.mapInPandas(probes, f"{fields}, cell int, part int"), blocks, run, "far double", block_rows).agg(F.max("far")).first()[0]
+            if not len(pdf):
+                continue
+            x = _stack(pdf["vec"])
+            d = geo.root(pivots, x)
+            best = d.argmax(1)
+            for i in np.nonzero(d[np.arange(len(pivots)), best] > far)[0]:
+                far[i], rows[i] = d[i, best[i]], x[best[i]]
+        yield pd.DataFrame([(i, f, v) for i, (f, v) in enumerate(zip(far, rows)) if v is not None], columns=["pivot", "far", "vec"])
+
+    seen = points.mapInPandas(corners, "pivot int, far double, vec array<double>").groupBy("pivot").agg(F.max_by("vec", "far").alias("vec")).collect()
+    ends = np.array([r["vec"] for r in seen], dtype=float)
+    known = 0.0
+    for v in ends:
+        known = max(known, float(np.sqrt(((ends - v) ** 2).sum(1)).max()), float(np.sqrt(((pivots - v) ** 2).sum(1)).max()))
+    chunks = chunks_of(points, tree, chunk_rows).withColumn("limit", F.lit(known))
+    return known, tree, chunks, pairs(chunks, tree, far=True)
+
+
+def diameter(df: DataFrame, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> float:
+    """Greatest pairwise Euclidean distance; every visited block returns one number. 0 for an empty table."""
+    known, tree, chunks, todo = far_pairs(df, block_rows, chunk_rows)
+    geo = tree.geo
+
+    def run(q, d) -> pd.DataFrame:
+        x, y = _vectors(q), _vectors(d)
+        b = geo.order(x, y)
+        i, j = np.unravel_index(b.argmax(), b.shape)
+        return pd.DataFrame({"far": [float(np.sqrt(((x[i] - y[j]) ** 2).sum()))]})
+
+    got = visit(todo, chunks, tree, run, "far double").agg(F.max("far")).first()[0]
     return max(known, got or 0.0)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelq.operators import margin, neighbours
 
@@ -48,7 +49,7 @@ def collected(df):
 def test_knn_matches_brute_force_with_small_blocks(spark, metric, copies):
     x, label = points(300, 5, 3, copies)
     df = table(spark, x, label)
-    got = collected(neighbours.knn(df, df, 4, metric, block_rows=20, max_cells=8))
+    got = collected(neighbours.knn(df, df, 4, metric, block_rows=20, chunk_rows=16))
     want = brute(distances(x, x, metric), np.arange(300), np.arange(300), 4)
     assert got == want
 
@@ -56,30 +57,78 @@ def test_knn_matches_brute_force_with_small_blocks(spark, metric, copies):
 def test_knn_within_groups_and_two_tables(spark):
     x, label = points(240, 4, 5)
     q, d = table(spark, x[:80], label[:80]), table(spark, x[80:], label[80:], first=80)
-    got = collected(neighbours.knn(q, d, 3, "euclidean", "label", "label", block_rows=15, max_cells=6))
+    got = collected(neighbours.knn(q, d, 3, "euclidean", "label", "label", block_rows=15, chunk_rows=16))
     allowed = label[:80, None] == label[None, 80:]
     want = brute(distances(x[:80], x[80:], "euclidean"), np.arange(80), np.arange(80, 240), 3, allowed)
     assert got == want
 
 
-def test_knn_bounds_skip_cells(spark):
-    """With separated clusters most cells are never visited."""
+def test_chunks_meet_few_nodes_on_clusters(spark):
+    """With separated clusters a chunk is shipped to well under half of the nodes, once to each."""
     x, label = points(600, 3, 7, groups=6)
     x = x + label[:, None] * 50.0
     df = table(spark, x, label)
-    cells, _ = neighbours.layout(neighbours.prepared(df, "euclidean", None), "euclidean", 40, 16)
-    least, _ = cells.bounds(x, np.zeros(len(x), dtype=int))
-    assert (least <= 10.0).mean() < 0.5
-    got = collected(neighbours.knn(df, df, 3, "euclidean", block_rows=40, max_cells=16))
+    geo = neighbours.Geometry("euclidean")
+    rows = neighbours.prepared(df, "euclidean", None).cache()
+    tree = neighbours.build(rows, geo, 20)
+    assert tree.n_nodes > 15 and len(tree.pivots) == 6
+    chunks = neighbours.chunks_of(rows, tree, 16)
+    assert sorted(i for r in chunks.select("ids").collect() for i in r["ids"]) == list(range(600))
+    state = chunks.withColumn("limit", F.lit(5.0))
+    visits = neighbours.pairs(state, tree)
+    assert visits.count() == visits.select("chunk", "grp", "top", "node", "part").distinct().count()
+    assert visits.count() < 0.4 * chunks.count() * tree.n_blocks
+    got = collected(neighbours.knn(df, df, 3, "euclidean", block_rows=20, chunk_rows=16))
     assert got == brute(distances(x, x, "euclidean"), np.arange(600), np.arange(600), 3)
 
 
+def test_number_of_nodes_grows_with_the_data(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1600, 3))
+    rows = neighbours.prepared(table(spark, x, np.zeros(1600, int)), "euclidean", None)
+    small = neighbours.build(rows.filter("id < 200").cache(), neighbours.Geometry("euclidean"), 25)
+    large = neighbours.build(rows.cache(), neighbours.Geometry("euclidean"), 25)
+    assert large.n_nodes > 4 * small.n_nodes
+    assert large.blocks.agg(F.max(F.size("ids"))).first()[0] <= 75
+
+
+def test_gradient_product_matches_brute_force(spark):
+    x, label = points(150, 4, 13)
+    rng = np.random.default_rng(4)
+    probs = rng.dirichlet(np.ones(3), 150)
+    rows = [(i, [float(v) for v in x[i]], int(label[i]), [float(v) for v in probs[i]], int(probs[i].argmax())) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int, probs array<double>, pred int")
+    got = collected(margin.by_gradient(df.filter("id < 40"), df.filter("id >= 40"), 3, block_rows=12, chunk_rows=8))
+    g = np.eye(3)[label] - probs
+    dist = -(g @ g.T) * (x @ x.T + 1)
+    allowed = probs.argmax(1)[:40, None] == label[None, 40:]
+    assert got == brute(dist[:40, 40:], np.arange(40), np.arange(40, 150), 3, allowed)
+
+
+def test_empty_tables(spark):
+    x, label = points(20, 3, 1)
+    df = table(spark, x, label)
+    none = df.filter("id < 0")
+    assert neighbours.knn(none, df, 2).count() == 0
+    assert neighbours.knn(df, none, 2).count() == 0
+    assert neighbours.knn(df, none, 2, "inner").count() == 0
+    assert neighbours.diameter(none) == 0.0
+
+
 def test_diameter(spark):
     x, label = points(200, 4, 9)
-    got = neighbours.diameter(table(spark, x, label), block_rows=30, max_cells=5)
+    got = neighbours.diameter(table(spark, x, label), block_rows=30, chunk_rows=16)
     assert abs(got - distances(x, x, "euclidean").max()) < 1e-9
 
 
+def test_diameter_meets_few_blocks(spark):
+    x, label = points(600, 3, 7, groups=6)
+    x = x + label[:, None] * 50.0
+    known, tree, chunks, todo = neighbours.far_pairs(table(spark, x, label), block_rows=20, chunk_rows=16)
+    assert todo.count() < 0.2 * chunks.count() * tree.n_blocks
+    assert abs(neighbours.diameter(table(spark, x, label), block_rows=20, chunk_rows=16) - distances(x, x, "euclidean").max()) < 1e-9
+
+
 def test_radius_search_counts_and_falls_back(spark):
     x, label = points(200, 3, 11)
     rng = np.random.default_rng(2)
@@ -88,7 +137,7 @@ def test_radius_search_counts_and_falls_back(spark):
     df = spark.createDataFrame(rows, "id long, features array<double>, label int, probs array<double>, pred int")
     s, t = df.filter("id < 50"), df.filter("id >= 50")
     share = 0.12
-    got = margin.within_radius(s, t, share, block_rows=25, max_cells=4).toPandas().set_index("id")
+    got = margin.within_radius(s, t, share, block_rows=25, chunk_rows=16).toPandas().set_index("id")
     dist = distances(x, x, "euclidean")
     radius = share * dist.max()
     g = np.eye(3)[label] - probs
