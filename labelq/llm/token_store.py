@@ -113,7 +113,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 0, c
     """Encode ``docs`` (doc_id, text) with a byte-level BPE file and write the chunks to ``folder``.
 
     Documents are dealt by ranges of doc_id (null first), so a part holds the ids between its neighbours';
-    equal doc_ids stay next to each other. A null text is empty and has the end id only; with ``end_id``
+    equal doc_ids stay next to each other, ordered by their texts (null first, then by bytes), so the files do not
+    depend on how the rows arrive. A null text is empty and has the end id only; with ``end_id``
     None nothing is appended. Other columns are ignored; an empty table gives an empty folder. A worker
     holds one chunk: ``chunk_ids`` ids, or one document if that is longer.
     """
@@ -125,7 +126,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int | None = 0, c
         ("doc_ids", pa.list_({"bigint": pa.int64(), "int": pa.int32()}[kind])), ("width", pa.int32()), ("ids", pa.binary()),
         ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = named.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = named.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     ordered.mapInArrow(_chunks(path, end_id, chunk_ids, schema), CHUNK.format(kind=kind)).write.parquet(folder)
 
 

@@ -55,6 +55,16 @@ def test_store_round_trip(spark, documents, some_texts, library):
     assert ids == sorted(ids)
 
 
+def test_order_of_equal_ids_does_not_follow_the_partitions(spark, documents):
+    rows = [(7, f"text number {i} " * (i % 5)) for i in range(40)] + [(7, None), (None, "x"), (None, None), (8, "same"), (8, "same")]
+    stores = []
+    for dealt in (documents(rows).repartition(5), documents(rows[::-1]).coalesce(1)):
+        folder = scratch_path(spark, "store")
+        token_store.write_ids(dealt, PATH, folder, chunk_ids=50)
+        stores.append(Counter(tuple(r) for r in token_store.read_documents(spark, folder).collect()))
+    assert stores[0] == stores[1] and sum(stores[0].values()) == len(rows)
+
+
 def test_empty_store(spark, documents):
     folder = scratch_path(spark, "store")
     token_store.write_ids(documents([]), PATH, folder)
