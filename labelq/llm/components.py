@@ -27,12 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest node of its component.
 
     Rounds are written to the shared folder; their number grows with the logarithm of the longest chain. Only a
-    count and a checksum of each round reach the driver.
+    count and a checksum of each round reach the driver. A round is written in as many files as the edges need: neither
+    kind of step makes more edges than there were.
     """
     one_way = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     now, seen = materialised(one_way, "edges"), None
+    n = now.count()
     while True:
-        now = materialised(_small_star(_large_star(now)), "edges")
+        now = materialised(_small_star(_large_star(now)), "edges", n)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == seen:
             break

@@ -204,30 +204,43 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return batch(PAIRS, {"a": found[:, 0], "b": found[:, 1]})
 
 
+def _spanning(r: dict, s: int, e: int, percent: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that one larger tree leaves; the traversal ends once all its sets are connected."""
+    joined, open_ = _Joined(), len(np.unique(r["id"][s:e])) - 1
+    for i, j, _ in _large_tree(r, s, e, percent):
+        for x, y in zip(r["id"][i].tolist(), r["id"][j].tolist(), strict=True):
+            if joined.join(x, y):
+                yield x, y
+                open_ -= 1
+        if not open_:
+            return
+
+
 def _candidate_forest(percent: int):
     """Step 2 in a partition sorted by (token, part): spanning forests of the pairs that the trees leave."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, ("token", "part"), 20_000, 1 << 25):
+        for t in _whole_groups(batches, ("token", "part"), 5_000, 1 << 23):
             r = {x: t.column(x).to_numpy() for x in ("token", "part", "side", "id", "first")}
             r["n"], r["m"] = (t.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
             r["sig"], r["w"] = t.column("sig").to_pylist(), S.width_class(2 * r["n"])
             starts, ends = _groups([r["token"], r["part"]])
             size = ends - starts
             some = (size > 1) & (size <= BULK)
-            found = [x for s, e in zip(starts[size > BULK].tolist(), ends[size > BULK].tolist(), strict=True) for x in _large_tree(r, s, e, percent)]
-            found += _small_trees(r, starts[some], ends[some], percent)
-            if not found:
-                continue
-            i, j, _ = (np.concatenate(x) for x in zip(*found, strict=True))
-            group = np.repeat(np.arange(len(starts)), size)
-            order = np.argsort(group[i], kind="stable")
-            pairs, joined, last = [], _Joined(), -1
-            for g, x, y in zip(group[i][order].tolist(), r["id"][i][order].tolist(), r["id"][j][order].tolist(), strict=True):
-                if g != last:
-                    joined, last = _Joined(), g
-                if joined.join(x, y):
-                    pairs.append((x, y))
-            yield _pairs(pairs)
+            # Near copies leave nearly all pairs of a large tree: they are joined slice by slice and never held together.
+            pairs = [x for s, e in zip(starts[size > BULK].tolist(), ends[size > BULK].tolist(), strict=True) for x in _spanning(r, s, e, percent)]
+            found = list(_small_trees(r, starts[some], ends[some], percent))
+            if found:
+                i, j, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+                group = np.repeat(np.arange(len(starts)), size)
+                order = np.argsort(group[i], kind="stable")
+                joined, last = _Joined(), -1
+                for g, x, y in zip(group[i][order].tolist(), r["id"][i][order].tolist(), r["id"][j][order].tolist(), strict=True):
+                    if g != last:
+                        joined, last = _Joined(), g
+                    if joined.join(x, y):
+                        pairs.append((x, y))
+            if pairs:
+                yield _pairs(pairs)
     return run
 
 
@@ -395,10 +408,11 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85, count: bool
     spark = docs.sparkSession
     small_batches(spark)
     made = materialised(features(docs, k, percent), "features")
+    rows = made.count()
     thin = made.select("doc_id", "text_key", "n", "f1", "f2")
     known = thin.where("n > 0 and doc_id is not null")
-    classes = materialised(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("weight")), "classes")
-    copies = materialised(known.join(classes.where("rows > 1"), ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id", "n", "f1", "f2"), "copies")
+    classes = materialised(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("weight")), "classes", rows)
+    copies = materialised(known.join(classes.where("rows > 1"), ["n", "f1", "f2"]).where("doc_id <> id").select("doc_id", "n", "f1", "f2"), "copies", rows)
     few = copies.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     reps = made.where("n > 0 and doc_id is not null").join(F.broadcast(copies) if few else copies, ["doc_id", "n", "f1", "f2"], "left_anti")
     counts = materialised(reps.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts")
@@ -416,17 +430,17 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85, count: bool
     candidates = materialised(ordered.mapInArrow(_candidate_forest(percent), "a long, b long").distinct(), "candidates")
     family = components(candidates)
     sized = reps.select(F.col("doc_id").alias("id"), "n").distinct()
-    members = materialised(family.withColumnRenamed("component", "family").join(sized, "id"), "families")
+    members = materialised(family.withColumnRenamed("component", "family").join(sized, "id"), "families", rows)
     weights = classes.select("id", "n", "f1", "f2", "weight") if count else None
     links = materialised(_links(docs, materialised(_families(members, percent), "places"), weights, k, percent), "links")
-    final = materialised(components(links.where("links is null").select("a", "b").distinct()), "components")
+    final = materialised(components(links.where("links is null").select("a", "b").distinct()), "components", rows)
     placed = classes.join(final, "id", "left")
     if count:
         others = links.where("links is not null").groupBy("n", "f1", "f2").agg(F.sum("links").alias("links"))
         placed = placed.join(others, ["n", "f1", "f2"], "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
     number = ["n_links"] if count else []
     placed = placed.select("n", "f1", "f2", F.coalesce("component", "id").alias("component_id"), *number)
-    out = thin.join(materialised(placed, "placed"), ["n", "f1", "f2"], "left")
+    out = thin.join(materialised(placed, "placed", rows), ["n", "f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
                       *[F.when(F.col("doc_id").isNotNull(), F.coalesce(x, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(x) for x in number])
@@ -437,9 +451,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words and rows with a null doc_id all stay. The result has the columns of ``docs``.
     """
-    found = materialised(near_components(docs, k, percent), "components")
-    gone = materialised(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone")
-    twice = materialised(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "twice")
+    found = materialised(near_components(docs, k, percent), "near")
+    rows = found.count()
+    gone = materialised(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone", rows)
+    twice = materialised(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "twice", rows)
     match = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"])
     few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     kept = docs.join(F.broadcast(gone) if few else gone, match, "left_anti")

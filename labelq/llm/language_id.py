@@ -94,7 +94,8 @@ def _cuts(labelled: DataFrame, sample_rows: int, language_rows: int) -> list[tup
 def _drawn(labelled: DataFrame, sample_rows: int, language_rows: int, cuts: list[tuple[str, int]] | None = None) -> DataFrame:
     """The rows (lang, text) the model is fitted on; see ``_cuts``."""
     cuts = _cuts(labelled, sample_rows, language_rows) if cuts is None else cuts
-    cut = labelled.sparkSession.createDataFrame(cuts, "lang string, _cut long")
+    # From Arrow: rows of plain Python objects would start a second set of Python workers on the executors.
+    cut = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array([x for x, _ in cuts], pa.string()), "_cut": pa.array([x for _, x in cuts], pa.int64())}))
     return _hashed(labelled).join(F.broadcast(cut), "lang").where("_h <= _cut").select("lang", "text")
 
 

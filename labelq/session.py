@@ -47,8 +47,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate that is read several times to the shared folder; it outlives lost executors."""
+#: Narrow rows that one file of an intermediate of known size holds at least.
+FILE_ROWS = 100_000
+
+
+def materialised(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write an intermediate that is read several times to the shared folder; it outlives lost executors.
+
+    ``rows`` is the number of narrow rows it has at most, where that is known: it is then written by as many tasks as
+    these rows need, though by one for each core at least, and not in a small file for each shuffle partition.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
