@@ -19,12 +19,21 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> HALF)
 
 
+#: Texts whose words are held at once; as Python objects these take many times the text.
+TEXTS = 100
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For every text the sorted distinct 64-bit hashes of its shingles of ``k`` words.
 
     Words are what ASCII white space leaves, with A-Z lower-cased. A text of fewer than ``k`` words has its whole
     sequence as one shingle; one without words, or null, has none.
     """
+    for at in range(0, len(column), TEXTS):
+        yield from _sets(column.slice(at, TEXTS), k)
+
+
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     words = [(x.as_py() or "").encode().lower().split() for x in column]
     lengths = np.array([len(w) for w in words])
     flat = np.empty(int(lengths.sum()), dtype=object)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from labelq.llm import jaccard_join, language_id
 from labelq.llm import signatures as S
 from labelq.llm.components import components
+from labelq.llm.shingle_sets import shingle_sets
 
 
 def test_trees_of_near_copies_are_not_held_as_pairs():
@@ -30,6 +31,16 @@ def test_trees_of_near_copies_are_not_held_as_pairs():
     assert most < 64 << 20, most  # all pairs of the four trees at once were over 100 MB
 
 
+def test_words_of_a_few_texts_are_held_at_once():
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(400)) for i in range(500)])
+    tracemalloc.start()
+    sizes = [len(s) for s in shingle_sets(texts, 5)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [396] * 500
+    assert most < 16 << 20, most
+
+
 def test_rounds_of_few_edges_are_few_files(spark, tmp_path, monkeypatch):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     monkeypatch.setattr("labelq.session.scratch_path", lambda _, name: f"{tmp_path}/{name}-{len(glob.glob(f'{tmp_path}/*'))}")
