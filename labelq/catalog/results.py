@@ -19,8 +19,9 @@ MODELS = ["mlp", "fcn", "resnet18", "all-MiniLM-L6-v2"]
 RUNS = results.RUN
 
 
-def datacard_wide(spark, sf):
-    o = lab_order(spark, sf).withColumn("noise_type", F.explode(F.array(*[F.lit(n) for n in NOISES])))
+def datacard_wide(spark, sf, orders=None):
+    """``orders``: the labelled orders, where the caller deals them itself."""
+    o = (lab_order(spark, sf) if orders is None else orders).withColumn("noise_type", F.explode(F.array(*[F.lit(n) for n in NOISES])))
     tag = lambda s: F.concat(F.col("noise_type"), F.lit(s))
     inj = rand.uniform(tag("/inj"), "id") < F.split("noise_type", "-")[1].cast("double")
     d = o.withColumn("is_injected_noise", inj.cast("int")).withColumn("noisy_label", F.when(F.col("is_injected_noise") == 1, (F.col("label") + 1) % KO).otherwise(F.col("label")).cast("int"))
@@ -33,8 +34,8 @@ def datacard_wide(spark, sf):
                     "noise_type", F.lit("42").alias("seed"), "id", F.col("label").alias("observed_labels"), "noisy_label", "is_injected_noise", *flags)
 
 
-def datacard_long(spark, sf):
-    return results.datacard_long(datacard_wide(spark, sf), METHODS)
+def datacard_long(spark, sf, orders=None):
+    return results.datacard_long(datacard_wide(spark, sf, orders), METHODS)
 
 
 _T = lambda s: f"(noise_type||'{s}')"

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelq.catalog.base import U, ctes, fragment, preds_line, query, table
-from labelq.catalog.results import METHODS, datacard_long, datacard_wide
+from labelq.catalog.base import U, ctes, fragment, lab_order, preds_line, query, table
+from labelq.catalog.results import METHODS, NOISES, datacard_long, datacard_wide
 from labelq.functions import rand
 from labelq.operators.metrics import metrics
-from labelq.session import scratch_path
+from labelq.session import open_files, scratch_path
 from labelq.sources import readers, writers
 
 ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+RUN_FILES = 8 * len(NOISES) * len(METHODS)  # runs of the eight data sets
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
@@ -108,7 +109,12 @@ def _(spark, sf):
 def _(spark, sf):
     path = _scratch(spark, "preds")
     name = F.concat_ws("_", "dataset", "base_model", "noise_type", "method", "seed", F.lit("test_preds.csv"))
-    datacard_long(spark, sf).select(F.col("pred_cleaned").alias("pred"), name.alias("file")).hint("rebalance", "file").write.partitionBy("file").csv(path)
+    # The narrow orders are dealt by data set, so that a task writes the files of few runs; the 24 rows that come of
+    # each are not moved or sorted, every run has its own open file.
+    orders = lab_order(spark, sf, spread=False).withColumn("_d", F.col("cust") % 8).hint("rebalance", "_d").drop("_d")
+    preds = datacard_long(spark, sf, orders).select(F.col("pred_cleaned").alias("pred"), name.alias("file"))
+    with open_files(spark, RUN_FILES):
+        preds.write.partitionBy("file").csv(path)
     d = readers.predictions(spark, path, r"/file=([^/]+)/", "*.csv")
     return d.groupBy("dataset", "base_model", "noise_type", "method", "seed").agg(F.count("*").alias("n"), F.sum("pred").alias("total"))
 

@@ -6,6 +6,7 @@ path with one expression per file, not per row value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,11 +94,20 @@ def datacards(spark: SparkSession, path: str, schema: str = DATACARD_SCHEMA) ->
 
 
 def predictions(spark: SparkSession, path: str, file: str = r"/([^/]+)$", glob: str = "*_test_preds.csv") -> DataFrame:
-    """Headerless one-column files ``<dataset>_<model>_<noise>_<method>_<seed>_test_preds.csv``."""
+    """Headerless one-column files ``<dataset>_<model>_<noise>_<method>_<seed>_test_preds.csv``.
+
+    The names of the files found, which the driver has listed anyway, are parsed once each; a row only looks its file up.
+    """
     raw = spark.read.schema("pred int").option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
-    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), file, 1)
     fields = ("dataset", "base_model", "noise_type", "method", "seed")
-    return raw.select(*[F.regexp_extract(name, PREDS_FILE, i).alias(f) for i, f in enumerate(fields, 1)], "pred")
+    name = F.regexp_extract(F.url_decode("_where"), file, 1)
+    # The listing writes a path without an authority as scheme:///path, the rows as scheme:/path.
+    listed = {w for f in raw.inputFiles() for w in (f, re.sub(r"^([\w.+-]+):///", r"\1:/", f))}
+    found = spark.createDataFrame([(w,) for w in sorted(listed)], "_where string")
+    run = F.struct(*[F.regexp_extract(name, PREDS_FILE, i).alias(f) for i, f in enumerate(fields, 1)])
+    d = raw.withColumn("_where", F.col("_metadata.file_path")).join(F.broadcast(found.select("_where", run.alias("_run"))), "_where", "left")
+    known = F.coalesce("_run", F.raise_error(F.concat(F.lit("not among the listed files: "), "_where")).cast(dict(found.select(run.alias("r")).dtypes)["r"]))
+    return d.withColumn("_run", known).select("_run.*", "pred")
 
 
 def label_from_findings(studies: DataFrame, readings: DataFrame, keys: Sequence[str], finding: str, reading: str,
