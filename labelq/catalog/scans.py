@@ -47,8 +47,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = _scratch(spark, "dirs")
     docs = table(spark, sf, "documents").select("lang", "text")
-    # One file per document: the rows of each task are split into files of one record.
-    docs.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("lang").text(path)
+    writers.labelled_dirs(docs, path, "lang", "text")  # one file per document
     d = readers.labelled_dirs(spark, path).withColumn("label", F.regexp_extract("label", "=(.*)$", 1))
     return d.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"),
                                   F.min(F.md5("text")).alias("least"), F.max(F.md5("text")).alias("greatest"))

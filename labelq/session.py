@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,16 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The local name of a ``file:`` path, a folder that the driver and all executors have mounted; None for other stores."""
+    sc = spark.sparkContext
+    if re.search(r"[*?\[{]", path):  # Hadoop would expand it
+        return None
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return at.getPath() if at.getScheme() == "file" else None
+
+
 @contextlib.contextmanager
 def open_files(spark: SparkSession, most: int) -> Iterator[None]:
     """Inside, a write by partitions keeps up to ``most`` files of a task open; beyond that Spark sorts its rows first."""

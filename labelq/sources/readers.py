@@ -6,12 +6,16 @@ path with one expression per file, not per row value.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelq.session import materialised, mounted
+
 
 # The folder and file naming of stored runs.
 RUN_FOLDER = r"results_(.*)_randomseed_(.*)_([^_/]*)$"
@@ -43,13 +47,83 @@ def tsv_label_first(spark: SparkSession, path: str, length: int) -> DataFrame:
 
 
 def labelled_dirs(spark: SparkSession, path: str) -> DataFrame:
-    """One text file per row; the label is the parent folder. Newlines are removed, ends trimmed."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    where = F.col("_metadata.file_path")
-    return raw.select(
-        F.regexp_extract(where, r"/([^/]+)/[^/]+$", 1).alias("label"),
-        F.regexp_extract(where, r"/([^/]+)$", 1).alias("file"),
-        strip(F.regexp_replace("value", "\n", "")).alias("text"))
+    """One text file per row; the label is the parent folder. Newlines are removed, ends trimmed.
+
+    In a mounted folder the files are listed and read by tasks of many files each, however small the files are.
+    """
+    files = _listed(spark, path)
+    if files is None:
+        where = F.col("_metadata.file_path")
+        raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+            F.regexp_extract(where, r"/([^/]+)/[^/]+$", 1).alias("label"), F.regexp_extract(where, r"/([^/]+)$", 1).alias("file"), "value")
+    else:
+        raw = files.mapInArrow(_contents, "label string, file string, value binary").withColumn("value", F.col("value").cast("string"))
+    return raw.select("label", "file", strip(F.regexp_replace("value", "\n", "")).alias("text"))
+
+
+TASK_BYTES = 16 << 20  # of files that one task reads
+TASK_FILES = 4096
+BATCH_BYTES = 4 << 20  # of contents that leave a worker at once
+PACKED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst")
+
+
+def _encoded(name: str) -> str:
+    """A name as it stands in the paths that Spark reports."""
+    return re.sub(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]', lambda m: f"%{ord(m[0]):02X}", name)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, size) of what Spark would read in each folder; -1 for a folder."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            with os.scandir(folder) as found:
+                rows = [(e.path, -1 if e.is_dir() else e.stat().st_size) for e in found
+                        if e.name[0] != "." and (e.name[0] != "_" or "=" in e.name) and not e.name.endswith("._COPYING_")]
+            for s in range(0, len(rows), 10_000):
+                path, size = zip(*rows[s:s + 10_000])
+                yield pa.record_batch({"path": pa.array(path, pa.string()), "size": pa.array(size, pa.int64())})
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        parts = [p.rsplit("/", 2) for p, _ in held]
+        return pa.record_batch({"label": pa.array([_encoded(x[-2]) for x in parts], pa.string()), "file": pa.array([_encoded(x[-1]) for x in parts], pa.string()),
+                                "value": pa.array([v for _, v in held], pa.binary())})
+
+    held, size = [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                held.append((path, f.read()))
+            size += len(held[-1][1])
+            if size >= BATCH_BYTES:
+                yield rows(held)
+                held, size = [], 0
+    if held:
+        yield rows(held)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The paths of all files below a mounted folder, dealt out; None where Spark has to read them itself.
+
+    Each folder is listed by a task; the driver sees folders only. Empty files have no row.
+    """
+    top = mounted(spark, path)
+    if top is None or not os.path.isdir(top):
+        return None
+    level, files = [top], None
+    while level:
+        folders = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 4 * spark.sparkContext.defaultParallelism))
+        found = materialised(folders.mapInArrow(_entries, "path string, size long"), "listed")
+        own = found.filter("size > 0")
+        files = own if files is None else files.unionByName(own)
+        level = [r["path"] for r in found.filter("size < 0").select("path").collect()]
+    packed = F.lower("path").rlike("(" + "|".join(re.escape(x) for x in PACKED) + ")$").cast("int")
+    n, size, odd = files.agg(F.count("*"), F.sum("size"), F.max(packed)).first()
+    if odd:
+        return None
+    tasks = max(-(-(size or 0) // TASK_BYTES), -(-n // TASK_FILES), min(n, spark.sparkContext.defaultParallelism), 1)
+    return files.select("path").repartition(tasks, "path")
 
 
 def ts_text(spark: SparkSession, path: str) -> DataFrame:

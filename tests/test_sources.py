@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from labelq.session import open_files, scratch_path
-from labelq.sources import readers
+from labelq.sources import readers, writers
 
 
 def local(path):
@@ -34,3 +34,30 @@ def test_open_files_puts_the_setting_back(spark):
     with open_files(spark, 7):
         assert spark.conf.get(key) == "7"
     assert spark.conf.get(key) == before
+
+
+def test_one_file_per_row_is_read_by_few_tasks(spark, monkeypatch):
+    """What the tasks write and read themselves is what Spark's own writer and reader make of the same rows."""
+    texts = [" one\nline ", None, "", "tab\t", "\u00e9\u4e2d", "x" * 9000] * 20
+    labels = ["en", None, "", "a b", "c/d%", "e=f", "\u00e9"]
+    rows = [(labels[i % 7], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = lambda d: sorted((r["label"], r["text"]) for r in d.collect())
+    path, other = scratch_path(spark, "dirs"), scratch_path(spark, "dirs")
+    writers.labelled_dirs(df, path, "lang", "text")
+    os.makedirs(f"{local(path)}/deep/er")
+    for name in (".hidden", "_mark", "none.txt"):
+        with open(f"{local(path)}/deep/er/{name}", "w") as f:
+            f.write("" if name == "none.txt" else "not read")
+    with open(f"{local(path)}/deep/er/50%.txt", "w") as f:
+        f.write("read")
+    d = readers.labelled_dirs(spark, path)
+    mine = got(d)
+    assert d.rdd.getNumPartitions() <= 16  # 121 files; four of Spark's open costs fill one of its tasks
+    assert len(mine) == 121 and ("er", "read") in mine
+    assert [r["file"] for r in d.filter("label = 'er'").collect()] == ["50%25.txt"]
+    for module in (readers, writers):
+        monkeypatch.setattr(module, "mounted", lambda *_: None)
+    assert got(readers.labelled_dirs(spark, path)) == mine
+    writers.labelled_dirs(df, other, "lang", "text")
+    assert got(readers.labelled_dirs(spark, other)) == [r for r in mine if r[0] != "er"]
