@@ -90,7 +90,7 @@ def rank_flags(spark, sf, d):
 
 @query("knn_rank", ctes("nn_rank") + "SELECT * FROM nn_rank")
 def _(spark, sf):
-    return rank_flags(spark, sf, dist(spark, sf))
+    return rank_flags(spark, sf, materialised(dist(spark, sf), "distribution"))
 
 
 @query("knn_both", ctes("nn_rank", "nn_vote") + "SELECT v.id, v.label_issue*r.label_issue AS label_issue FROM nn_vote v JOIN nn_rank r ON r.id=v.id")
@@ -116,8 +116,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The whole method with an estimated transition; no true label is used."""
     d = noisy_structured(spark, sf)
-    found = materialised(nn(spark, sf), "knn")
-    return consensus.detect(d, found, KE, min_similarity=SIM)
+    return consensus.detect(d, nn(spark, sf), KE, min_similarity=SIM)
 
 
 # ---- consensus ----

@@ -1,6 +1,11 @@
-"""Exact nearest neighbours by a tree of pivots, bounds and packed blocks.
+"""Exact nearest neighbours by packed blocks, bounds and, where needed, a tree of pivots.
 
-No pair table is ever formed. Rows are dealt to about sqrt(N / block) top pivots and, inside each, to pivots
+No pair table is ever formed. ``knn`` packs the rows where they are read: a task writes blocks of near vectors into a
+file of the shared folder, with a centre and a radius each. That is the only copy of the vectors. A chunk of queries (of
+a table searched in itself: a block) then meets the blocks by rising least distance, read from those files, and stops
+where nothing nearer can follow. Nothing is shuffled but names of chunks, and only k rows per query are written.
+
+Where tasks cannot open the shared folder themselves, and for ``within_radius`` and ``far_pairs``, rows are dealt to about sqrt(N / block) top pivots and, inside each, to pivots
 drawn from its own rows, so nodes grow in number and not in size when the data grow. Of a node only its pivot,
 a count and a distance range are kept; its rows are packed into blocks. Queries go down the same tree and are
 packed into chunks of near queries with a centre and a radius. A chunk first meets one block of its own node,
@@ -15,17 +20,23 @@ that gives all data the same length; a product of two vectors is never written o
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelq.functions import arrays, rand
-from labelq.session import materialised
+from labelq.session import materialised, mounted, scratch_path
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512      # queries shipped together
@@ -35,6 +46,9 @@ SALT_ROWS = 65536     # rows of one top cell that a task deals to its nodes
 DIGITS = 9
 SLACK = 1e-9
 NODE = ["grp", "top", "node"]
+OFTEN = 10_000        # hashes of vectors with too many copies that are looked up by a broadcast table
+PACK_BYTES = 32 << 20  # of vectors that a task puts in order at once
+SEARCH_CHUNKS = 4     # chunks that a task searches one after another
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -137,6 +151,20 @@ def _limit_copies(data: DataFrame, keep: int) -> DataFrame:
     return data.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
 
 
+def _limit_hot(data: DataFrame, keep: int) -> tuple[DataFrame, bool]:
+    """``_limit_copies`` that moves only rows whose vector's hash is too frequent, and whether there are any."""
+    hashed = data.withColumn("_h", F.xxhash64("vec"))
+    counts = hashed.groupBy("grp", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > keep).select("grp", "_h")
+    often = counts.limit(OFTEN + 1).collect()
+    if not often:
+        return data, False
+    if len(often) > OFTEN:
+        return _limit_copies(data, keep), True
+    hot = F.broadcast(data.sparkSession.createDataFrame(often, counts.schema))
+    rare, copies = (hashed.join(hot, ["grp", "_h"], how).select(*data.columns) for how in ("left_anti", "left_semi"))
+    return rare.unionByName(_limit_copies(copies, keep)), True
+
+
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -437,9 +465,285 @@ def _topk(geo: Geometry, k: int, exclude_self: bool) -> Callable:
     return run
 
 
+# ---- search in packed files ----
+
+@dataclass
+class Index:
+    """Rows of a table in blocks of near vectors: Arrow files in a mounted folder, and one row per block.
+
+    ``table`` (file, at, grp, n, centre, radius, wide) is stored in the folder ``folder``; ``wide`` is the greatest
+    squared length. ``rows`` is the table that the blocks were made of.
+    """
+
+    rows: DataFrame
+    metric: str
+    keep: int
+    geo: Geometry
+    table: DataFrame
+    folder: str
+    types: dict[str, str]
+    limited: bool
+
+
+def _bisected(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in parts of at most ``most`` rows, halved across the line between two rows far apart."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        v = x[rows]
+        far = v[((v - v[0]) ** 2).sum(1).argmax()]
+        other = v[((v - far) ** 2).sum(1).argmax()]
+        side = np.argsort(v @ (far - other), kind="stable")
+        half = most * max(1, round(len(rows) / most / 2))
+        todo += [rows[side[:half]], rows[side[half:]]]
+    return done
+
+
+def _arrow_types(df: DataFrame) -> dict[str, pa.DataType]:
+    return {f.name: to_arrow_type(f.dataType) for f in df.select("id", "label").schema.fields}
+
+
+def _pack(rows: DataFrame, geo: Geometry, folder: str, most: int) -> DataFrame:
+    """(file, at, grp, n, centre, radius, wide): every task writes its rows as blocks of at most ``most`` near vectors.
+
+    A block is a record batch of a file in ``folder``. No row is moved; a task holds ``PACK_BYTES`` of vectors at once.
+    """
+    kinds = _arrow_types(rows)
+    schema = pa.schema([("id", kinds["id"]), ("label", kinds["label"]), ("vec", pa.large_list(pa.float64()))])
+
+    def blocks(writer: pa.ipc.RecordBatchFileWriter, held: pa.Table, name: str, at: int) -> Iterator[dict]:
+        held = held.combine_chunks()
+        if held["vec"].null_count or len(pc.unique(pc.list_value_length(held["vec"]))) > 1:
+            raise ValueError("vectors are null or differ in length")
+        x = _matrix(held["vec"].chunk(0)) if held.num_rows else np.zeros((0, 0))
+        if np.isnan(x).any():
+            raise ValueError("vectors hold null or NaN")
+        grp = held["grp"].to_numpy()
+        for g in np.unique(grp):
+            own = np.nonzero(grp == g)[0]
+            for part in _bisected(x[own], most):
+                take = own[part]
+                v = x[take]
+                some = v[:: max(1, len(v) // 128)]
+                centre = some[geo.root(some, some).max(1).argmin()]
+                squares = geo.squares(v)
+                radius = float(geo.root(v, centre[None, :]).max() + geo.slack(squares.max()))
+                vec = pa.LargeListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int64()), pa.array(v.ravel()))
+                writer.write_batch(pa.record_batch([held["id"].take(pa.array(take)).combine_chunks(), held["label"].take(pa.array(take)).combine_chunks(), vec], schema=schema))
+                yield {"file": name, "at": at, "grp": int(g), "n": len(v), "centre": centre.tolist(), "radius": radius, "wide": float(squares.max())}
+                at += 1
+
+    out = pa.schema([("file", pa.string()), ("at", pa.int32()), ("grp", pa.int64()), ("n", pa.int32()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("wide", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, at, size, held, writer = f"{task.partitionId():05d}-{task.taskAttemptId()}.arrow", 0, 0, [], None
+        for batch in _and_end(batches):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.column("vec").nbytes
+            if held and (batch is None or size >= PACK_BYTES):
+                if writer is None:
+                    os.makedirs(folder, exist_ok=True)
+                    writer = pa.ipc.new_file(f"{folder}/{name}", schema)
+                made = list(blocks(writer, pa.Table.from_batches(held), name, at))
+                at, size, held = at + len(made), 0, []
+                yield pa.RecordBatch.from_pylist(made, schema=out)
+        if writer is not None:
+            writer.close()
+
+    made = rows.select("id", "label", "grp", "vec").mapInArrow(run, "file string, at int, grp long, n int, centre array<double>, radius double, wide double")
+    return materialised(made, "blocks")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def index(data: DataFrame, keep: int, metric: str = "cosine", group: str | None = None, factor: str | None = None, rows_each: int = CHUNK_ROWS) -> Index | None:
+    """``data`` packed for searches of up to ``keep`` - 1 neighbours each; None where the shared folder is not mounted.
+
+    The blocks are the only copy of the vectors that is stored.
+    """
+    folder = mounted(data.sparkSession, scratch_path(data.sparkSession, "packed"))
+    if folder is None:
+        return None
+    points, limited = _limit_hot(prepared(data, metric, group, factor), keep)
+    split = (data.select(F.size(factor)).first() or [0])[0] if factor else 0
+    geo, filled, _ = _geometry(points, points, metric, split)
+    return Index(data, metric, keep, geo, _pack(filled, geo, folder, rows_each), folder, dict(points.dtypes), limited)
+
+
+class _Blocks:
+    """Blocks by name and number, from files that stay open."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def __call__(self, file: str, at: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        if file not in self.files:
+            if len(self.files) >= 256:
+                self.files.clear()
+            self.files[file] = pa.ipc.open_file(pa.memory_map(f"{self.folder}/{file}"))
+        b = self.files[file].get_batch(at)
+        ids = b.column(0)
+        ids = ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.asarray(ids.to_pylist())
+        return _matrix(b.column(2)), ids, b.column(1)
+
+
+class _Nearest:
+    """The k nearest so far of the queries of a chunk, ties by id."""
+
+    def __init__(self, geo: Geometry, x: np.ndarray, own: np.ndarray | None, k: int):
+        self.geo, self.x, self.own, self.k = geo, x, own, k
+        self.bounds = np.full(len(x), np.inf)
+        self.row, self.dist, self.block, self.pos = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = None
+        self.square = geo.squares(x).max()
+        # The screen of these metrics is one product of single precision; what it lets pass is measured in double.
+        self.single = x.astype(np.float32) if geo.metric in ("cosine", "inner") else None
+
+    def limit(self) -> float:
+        return float(self.geo.limit(self.x, self.bounds).max())
+
+    def _candidates(self, y: np.ndarray, wide: float, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        open_ = not np.isfinite(self.bounds).all()
+        if self.single is not None and not open_:
+            slack = 1e-8 + (y.shape[1] + 8) * 1.2e-7 * np.sqrt(self.square * wide)
+            least = ((1.0 if self.geo.metric == "cosine" else 0.0) - self.bounds - slack).astype(np.float32) - np.float32(1e-6) * np.abs(self.bounds).astype(np.float32)
+            hit = np.flatnonzero(self.single @ y.astype(np.float32).T >= least[:, None])
+            return hit // len(y), hit % len(y)
+        order = self.geo.order(self.x, y)
+        if self.own is not None:
+            order[self.own[:, None] == ids[None, :]] = np.inf
+        limit = np.square(self.bounds) if self.geo.metric == "euclidean" else self.bounds
+        if open_:
+            m = min(self.k, order.shape[1]) - 1
+            limit = np.minimum(limit, np.partition(order, m, axis=1)[:, m])
+        with np.errstate(invalid="ignore"):
+            slack = 1e-8 * (1.0 + np.abs(limit)) + 1e-13 * (self.square + wide)
+            return np.nonzero((order <= (limit + slack)[:, None]) & np.isfinite(order))
+
+    def meet(self, y: np.ndarray, ids: np.ndarray, number: int, wide: float) -> None:
+        r, c = self._candidates(y, wide, ids)
+        if self.own is not None and len(r):
+            other = self.own[r] != ids[c]
+            r, c = r[other], c[other]
+        if not len(r):
+            return
+        exact = self.geo.reported(self.x[r], y[c])
+        near = exact <= self.bounds[r]
+        r, c, exact = r[near], c[near], exact[near]
+        if not len(r):
+            return
+        touched = np.zeros(len(self.x), bool)
+        touched[r] = True
+        old = touched[self.row]
+        rest = ~old
+        row, dist = np.r_[self.row[old], r], np.r_[self.dist[old], exact]
+        block, pos = np.r_[self.block[old], np.full(len(r), number)], np.r_[self.pos[old], c]
+        names = ids[c] if self.ids is None else np.concatenate([self.ids[old], ids[c]])
+        order = np.lexsort((names, dist, row))
+        row = row[order]
+        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        full = order[place == self.k - 1]
+        order = order[place < self.k]
+        row = np.r_[self.row[old], r]
+        self.bounds[row[full]] = dist[full]
+        self.ids = names[order] if self.ids is None else np.concatenate([self.ids[rest], names[order]])
+        self.row, self.dist = np.r_[self.row[rest], row[order]], np.r_[self.dist[rest], dist[order]]
+        self.block, self.pos = np.r_[self.block[rest], block[order]], np.r_[self.pos[rest], pos[order]]
+
+
+def _search(chunks: DataFrame, chunk_folder: str, data: Index, k: int, exclude_self: bool, types: dict[str, str], out: DataFrame) -> DataFrame:
+    """(grp, id, label, rank, nbr_id, nbr_label, dist): every chunk meets the blocks by rising least distance.
+
+    It stops where the least distance to a block is beyond the k-th found for each of its queries. Nothing is shuffled
+    but the names of the chunks; a task holds one chunk, one block and the table of blocks' centres in slices.
+    """
+    geo, folder = data.geo, data.folder
+    table = mounted(chunks.sparkSession, data.table.inputFiles()[0].rsplit("/", 1)[0]) if data.table.inputFiles() else None
+    kinds = _arrow_types(out)
+    schema = pa.schema([("grp", pa.int64()), ("id", kinds["id"]), ("label", kinds["label"]), ("rank", pa.int32()),
+                        ("nbr_id", to_arrow_type(data.rows.schema["id"].dataType)), ("nbr_label", to_arrow_type(data.rows.schema["label"].dataType)), ("dist", pa.float64())])
+
+    def near(chunk: dict) -> tuple[list, list, np.ndarray, np.ndarray]:
+        """Name, number, least distance and greatest square of the blocks of the chunk's group, nearest first."""
+        file, at, least, wide = [], [], [], []
+        for batch in ds.dataset(table, format="parquet").to_batches(filter=ds.field("grp") == chunk["grp"], columns=["file", "at", "centre", "radius", "wide"]):
+            if batch.num_rows:
+                d = geo.root(np.asarray(chunk["centre"])[None, :], _matrix(batch.column("centre")))[0]
+                least.append(d - chunk["radius"] - batch.column("radius").to_numpy())
+                wide.append(batch.column("wide").to_numpy())
+                file += batch.column("file").to_pylist()
+                at += batch.column("at").to_pylist()
+        if not file:
+            return [], [], np.zeros(0), np.zeros(0)
+        least, wide = np.concatenate(least), np.concatenate(wide)
+        order = np.argsort(least, kind="stable")
+        return [file[i] for i in order], [at[i] for i in order], least[order], wide[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, own = _Blocks(folder), _Blocks(chunk_folder)
+        for batch in batches:
+            for chunk in batch.to_pylist():
+                x, ids, labels = own(chunk["file"], chunk["at"])
+                found = _Nearest(geo, x, ids if exclude_self else None, k)
+                file, at, least, wide = near(chunk)
+                limit = np.inf
+                for j in range(len(file)):
+                    if least[j] > limit:
+                        break
+                    y, names, _ = of(file[j], at[j])
+                    found.meet(y, names, j, float(wide[j]))
+                    if j % 8 == 0:
+                        limit = found.limit()
+                if not len(found.row):
+                    continue
+                order = np.lexsort((found.ids, found.dist, found.row))
+                row, block, pos = found.row[order], found.block[order], found.pos[order]
+                first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+                rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) + 1
+                tags = np.empty(len(row), object)
+                for j in np.unique(block):
+                    here = np.flatnonzero(block == j)
+                    tags[here] = of(file[j], at[j])[2].take(pa.array(pos[here])).to_pylist()
+                yield pa.record_batch([pa.array(np.full(len(row), chunk["grp"])), pa.array(ids[row].tolist(), schema.field("id").type), labels.take(pa.array(row)).cast(schema.field("label").type),
+                                       pa.array(rank.astype(np.int32)), pa.array(found.ids[order].tolist(), schema.field("nbr_id").type), pa.array(tags.tolist(), schema.field("nbr_label").type), pa.array(found.dist[order])], schema=schema)
+
+    n = chunks.count()
+    dealt = chunks.repartition(max(1, min(n, max(chunks.sparkSession.sparkContext.defaultParallelism, n // SEARCH_CHUNKS))), "file", "at")
+    names = dealt.select("file", "at", "grp", "centre", "radius")
+    return names.mapInArrow(run, f"grp long, id {types['id']}, label {types['label']}, rank int, nbr_id {data.types['id']}, nbr_label {data.types['label']}, dist double")
+
+
+def _knn_packed(queries: DataFrame, data: Index, k: int, query_group: str | None, exclude_self: bool, same: bool, factor: str | None, chunk_rows: int) -> DataFrame:
+    q = prepared(queries, data.metric, query_group, factor)
+    if same and not data.limited:
+        chunks, folder = data.table, data.folder
+    else:
+        folder = mounted(q.sparkSession, scratch_path(q.sparkSession, "packed"))
+        asked = q.withColumn("vec", F.concat("vec", F.array(F.lit(0.0)))) if data.geo.filled else q
+        chunks = _pack(asked, data.geo, folder, chunk_rows)
+    found = _search(chunks, folder, data, k, exclude_self, dict(q.dtypes), queries)
+    if q.groupBy("grp", "id").count().filter("count > 1").isEmpty():
+        return found
+    w = W.partitionBy("grp", "id").orderBy("dist", "nbr_id")  # rows that share an id share its k places
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def knn(
     queries: DataFrame,
-    data: DataFrame,
+    data: DataFrame | Index,
     k: int,
     metric: str = "cosine",
     query_group: str | None = None,
@@ -454,8 +758,23 @@ def knn(
 
     Distances are rounded to 9 digits and ties go to the lower id. With groups, a query only meets
     data of its own group (few groups: classes, rounds); ``keep_group`` adds it as ``grp``, so that a row
-    may be asked in several groups. ``factor`` names the second vector column of the metric ``product``.
+    may be asked in several groups. ``factor`` names the second vector column of the metric ``product``. An ``index`` that was made of the data before
+    is searched as it is; without one, the data is packed by the tasks that read it, or, where the shared folder is
+    not mounted, sent through the tree. The result is stored, so that no use of it searches again.
     """
+    made = data if isinstance(data, Index) else index(data, k + int(exclude_self), metric, data_group, factor, chunk_rows)
+    out = (*(["grp"] if keep_group else []), "id", "label", "rank", "nbr_id", "nbr_label", "dist")
+    if made is not None:
+        if made.keep < k + int(exclude_self):
+            raise ValueError("the index keeps too few copies of a vector for this search")
+        same = queries is made.rows and query_group == data_group and not made.geo.filled
+        return materialised(_knn_packed(queries, made, k, query_group, exclude_self, same, factor, chunk_rows).select(*out), "found")
+    return materialised(_knn_tree(queries, data, k, metric, query_group, data_group, exclude_self, block_rows, chunk_rows, factor).select(*out), "found")
+
+
+def _knn_tree(queries: DataFrame, data: DataFrame, k: int, metric: str, query_group: str | None, data_group: str | None, exclude_self: bool,
+              block_rows: int, chunk_rows: int, factor: str | None) -> DataFrame:
+    """The search by the tree, for shared folders that tasks cannot open themselves."""
     points = materialised(_limit_copies(prepared(data, metric, data_group, factor), k + int(exclude_self)), "points")
     width = points.select(F.size("vec")).first()
     split = data.select(F.size(factor)).first()[0] if factor and width else 0
@@ -478,8 +797,7 @@ def knn(
         rest = todo.filter(F.col("place") > NEXT_NODES).drop("place").join(state.select("chunk", "limit"), "chunk").filter("least <= limit").drop("limit")
         found = found.unionByName(visit(rest, state, tree, kernel, schema))
     w = W.partitionBy("grp", "id").orderBy("dist", "nbr_id")
-    out = (*(["grp"] if keep_group else []), "id", "label", "rank", "nbr_id", "nbr_label", "dist")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*out)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def within_radius(

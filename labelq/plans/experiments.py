@@ -68,7 +68,7 @@ def by_neighbours(df: DataFrame, n_classes: int, k: int, rounds: int, sample: in
     parts = {"": df} if features_from is None else half_features(df, n_classes, features_from, seeded("half", seed))
     out = None
     for name, rows in parts.items():
-        found = materialised(neighbours.knn(rows, rows, k - 1), "knn")
+        found = neighbours.knn(rows, rows, k - 1)
         flags = consensus.detect(rows, found, n_classes, rounds, sample, steps, min_similarity, offset, method, seeded("consensus" + name, seed))
         out = flags if out is None else out.unionByName(flags)
     return out

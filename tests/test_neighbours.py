@@ -154,3 +154,45 @@ def test_unknown_group_gives_no_rows(spark):
     q = table(spark, x[:5], np.full(5, 99))
     d = table(spark, x[5:], label[5:], first=5)
     assert neighbours.knn(q, d, 2, "euclidean", "label", "label").count() == 0
+
+
+def test_vectors_are_stored_once(spark):
+    """A search leaves one copy of the vectors and its result in the shared folder, at any number of blocks."""
+    import glob
+    import os
+
+    from labelq.session import mounted, scratch_path
+
+    x = np.random.default_rng(8).normal(size=(3000, 64))
+    df = table(spark, x, np.zeros(3000, int)).cache()
+    df.count()
+    folder = mounted(spark, scratch_path(spark, "x").rsplit("/", 1)[0])
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(f))
+    before = size()
+    got = neighbours.knn(df, df, 3, block_rows=256, chunk_rows=256)
+    assert got.count() == 9000
+    assert size() - before < 2.0 * x.nbytes
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_packed_search_and_tree_agree(spark, monkeypatch, metric):
+    """Ids that are text or come twice, null labels, hot copies: both ways give the same rows."""
+    x, label = points(180, 4, 21, copies=40)
+    rows = [(f"r{i % 170}", [float(v) for v in x[i]], None if i % 9 == 0 else int(label[i])) for i in range(180)]
+    df = spark.createDataFrame(rows, "id string, features array<double>, label int").repartition(3)
+    asked = df.filter("id < 'r3'")
+    got = lambda: [sorted(tuple(r) for r in neighbours.knn(q, df, 3, metric, block_rows=20, chunk_rows=16).drop("nbr_label", "label").collect()) for q in (df, asked)]
+    packed = got()
+    monkeypatch.setattr(neighbours, "mounted", lambda *_: None)
+    assert got() == packed
+
+
+def test_index_is_searched_again(spark):
+    x, label = points(200, 4, 17)
+    df = table(spark, x, label)
+    packed = neighbours.index(df, 6)
+    want = brute(distances(x, x, "cosine"), np.arange(200), np.arange(200), 5)
+    assert collected(neighbours.knn(df, packed, 5)) == want
+    assert collected(neighbours.knn(df.filter("id < 20"), packed, 5)) == {i: want[i] for i in range(20)}
+    with pytest.raises(ValueError):
+        neighbours.knn(df, packed, 6)
