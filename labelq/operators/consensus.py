@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelq.functions import arrays
 from labelq.functions.ordering import attach, quantile
 from labelq.functions.rand import uniform
+from labelq.operators.neighbours import Index, index
 from labelq.operators.neighbours import knn as nearest_rows
 from labelq.operators.noise import class_grid
 from labelq.operators.sampling import class_counts, sample_rounds
@@ -20,6 +21,7 @@ EPS = 1e-8
 # Weight of the own loss in the score ``new``; diagonal and offset the transition solver starts from.
 OWN_WEIGHT = 1.1
 START_DIAGONAL, START_OFFSET = 5.0, -1.0
+FEW = 100_000  # ids that are broadcast by hint once they are counted
 
 
 def label_distribution(knn: DataFrame, n_classes: int, min_similarity: float = 0.45, norm: str = "l2") -> DataFrame:
@@ -90,10 +92,10 @@ def consensus_counts(df: DataFrame, sample: int | Column, rounds: int, tag: str
     """(l1, l2, l3, share): label of a row, its nearest and second nearest, averaged over samples.
 
     Every round draws exactly ``sample`` rows (all, if there are fewer) and searches inside the sample; all rounds
-    are one search in groups, cut into blocks like any other.
+    are one search in groups, cut into blocks like any other. The samples are stored in these blocks only.
     """
     size = F.lit(sample) if isinstance(sample, int) else sample
-    drawn = materialised(sample_rounds(df.select("id", "label", "features"), size, rounds, tag), "rounds")
+    drawn = sample_rounds(df.select("id", "label", "features"), size, rounds, tag)
     found = nearest_rows(drawn, drawn, 2, query_group="round", data_group="round", keep_group=True)
     nearest = lambda r: F.max(F.when(F.col("rank") == r, F.col("nbr_label")))
     three = found.groupBy("grp", "id").agg(F.max("label").alias("l1"), nearest(1).alias("l2"), nearest(2).alias("l3"))
@@ -201,36 +203,45 @@ def cell_transitions(df: DataFrame, centres: DataFrame, n_classes: int) -> DataF
     return m.select("cell", "label", "noisy_label", (share * local + (1 - share) * average).alias("prob"))
 
 
-def cover(df: DataFrame, size: int, tag: str = "cover") -> DataFrame:
+def cover(df: DataFrame, size: int, tag: str = "cover", packed: Index | None = None) -> DataFrame:
     """(cell, id): neighbourhoods of the ``size`` nearest rows (the centre is one) that together hold every row.
 
     ``cell`` is the centre's id. A round draws centres among the rows not yet held, by a keyed hash and twice as dense
     as in the round before, so after log2(size) rounds at most every row left is a centre of its own. A row can be in
-    several cells; a cell has at most ``size`` rows.
+    several cells; a cell has at most ``size`` rows. All rounds search one ``index`` of ``df``, the given one or its own.
     """
-    data = materialised(df.select("id", "features", F.lit(0).alias("label")), "cover")
-    left, held, r = data, None, 0
+    data = df.select("id", "features", F.lit(0).alias("label"))
+    packed = packed or index(data, size)
+    if packed is None:
+        data = materialised(data, "cover")
+    left, held, r = None, None, 0
     while True:
         rate = min(1.0, 2.0**r / size)
-        centres = materialised(left.where(uniform(f"{tag}/{r}", "id") < rate), "centres")
-        near = nearest_rows(centres, data, size - 1).select(F.col("id").alias("cell"), F.col("nbr_id").alias("id"))
+        drawn = uniform(f"{tag}/{r}", "id") < rate
+        centres = data.where(drawn)
+        if left is not None:  # only ids of the rows left are stored, their vectors stay where they are
+            chosen = materialised(left.where(drawn), "chosen")
+            few = chosen.limit(FEW + 1).count() <= FEW
+            centres = centres.join(F.broadcast(chosen) if few else chosen, "id", "left_semi")
+        centres = materialised(centres, "centres")
+        near = nearest_rows(centres, packed or data, size - 1).select(F.col("id").alias("cell"), F.col("nbr_id").alias("id"))
         cells = materialised(near.unionByName(centres.select(F.col("id").alias("cell"), "id")), "cells")
         held = cells if held is None else held.unionByName(cells)
         if rate >= 1.0:
             return held
-        left = materialised(left.join(cells.select("id").distinct(), "id", "left_anti"), "left")
+        left = materialised((data.select("id") if left is None else left).join(cells.select("id").distinct(), "id", "left_anti"), "left")
         if left.isEmpty():
             return held
         r += 1
 
 
-def cell_consensus(df: DataFrame, cells: DataFrame) -> DataFrame:
+def cell_consensus(df: DataFrame, cells: DataFrame, packed: Index | None = None) -> DataFrame:
     """(cell, l1, l2, l3, n): label triples of a row and its two nearest rows, counted per cell in one pass.
 
     ``df`` is (id, features, label); the two nearest are sought among all rows, so a cell's edge has no other
-    neighbours than its middle.
+    neighbours than its middle. ``packed`` is an ``index`` of ``df``.
     """
-    found = nearest_rows(df, df, 2)
+    found = nearest_rows(df, packed or df, 2)
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("nbr_label")))
     three = found.groupBy("id").agg(F.max("label").alias("l1"), at(1).alias("l2"), at(2).alias("l3")).filter("l3 is not null")
     return cells.join(three, "id").groupBy("cell", "l1", "l2", "l3").agg(F.count("*").alias("n"))
@@ -244,8 +255,9 @@ def local_transitions(df: DataFrame, n_classes: int, size: int = 250, steps: int
     share of the true class; ``prob`` mixes it with the global estimate, share * local + (1 - share) * global. Cells are
     as many as it takes; a task holds one tensor.
     """
-    cells = cover(df, size, tag) if cells is None else cells
-    counts = materialised(cell_consensus(df, cells), "consensus")
+    packed = index(df, max(size, 3))
+    cells = cover(df, size, tag, packed) if cells is None else cells
+    counts = materialised(cell_consensus(df, cells, packed), "consensus")
     total = counts.groupBy("l1", "l2", "l3").agg(F.sum("n").alias("n")).collect()  # at most K^3 rows
     cube = np.zeros((n_classes,) * 3)
     for r in total:
