@@ -21,6 +21,7 @@ that gives all data the same length; a product of two vectors is never written o
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -726,7 +727,8 @@ def _search(chunks: DataFrame, chunk_folder: str, data: Index, k: int, exclude_s
     return names.mapInArrow(run, f"grp long, id {types['id']}, label {types['label']}, rank int, nbr_id {data.types['id']}, nbr_label {data.types['label']}, dist double")
 
 
-def _knn_packed(queries: DataFrame, data: Index, k: int, query_group: str | None, exclude_self: bool, same: bool, factor: str | None, chunk_rows: int) -> DataFrame:
+def _knn_packed(queries: DataFrame, data: Index, k: int, query_group: str | None, exclude_self: bool, same: bool, factor: str | None, chunk_rows: int) -> tuple[DataFrame, str]:
+    """What is found, and the folder of the packed queries."""
     q = prepared(queries, data.metric, query_group, factor)
     if same and not data.limited:
         chunks, folder = data.table, data.folder
@@ -736,9 +738,9 @@ def _knn_packed(queries: DataFrame, data: Index, k: int, query_group: str | None
         chunks = _pack(asked, data.geo, folder, chunk_rows)
     found = _search(chunks, folder, data, k, exclude_self, dict(q.dtypes), queries)
     if q.groupBy("grp", "id").count().filter("count > 1").isEmpty():
-        return found
+        return found, folder
     w = W.partitionBy("grp", "id").orderBy("dist", "nbr_id")  # rows that share an id share its k places
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), folder
 
 
 def knn(
@@ -768,7 +770,12 @@ def knn(
         if made.keep < k + int(exclude_self):
             raise ValueError("the index keeps too few copies of a vector for this search")
         same = queries is made.rows and query_group == data_group and not made.geo.filled
-        return materialised(_knn_packed(queries, made, k, query_group, exclude_self, same, factor, chunk_rows).select(*out), "found")
+        found, asked = _knn_packed(queries, made, k, query_group, exclude_self, same, factor, chunk_rows)
+        found = materialised(found.select(*out), "found")
+        # The result is stored: what was packed for this search alone is not kept.
+        for folder in {asked, made.folder} - ({made.folder} if made is data else set()):
+            shutil.rmtree(folder, ignore_errors=True)
+        return found
     return materialised(_knn_tree(queries, data, k, metric, query_group, data_group, exclude_self, block_rows, chunk_rows, factor).select(*out), "found")
 
 
